@@ -38,8 +38,23 @@ UPDATABLE = (
 )
 
 
-def _struct(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "double": T.DoubleType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "boolean": T.BooleanType(),
+    "date": T.DateType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+    "array<float>": T.ArrayType(T.FloatType()),
+    "array<string>": T.ArrayType(T.StringType()),
+}
+
+
+def _struct(columns: str) -> T.StructType:
+    """`name type, ...` as a StructType, usable before any session exists."""
+    fields = (column.split() for column in columns.split(", "))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in fields])
 
 
 RAW_CASE = _struct(
