@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casework.operators.skew import attach_by_key
+from casework.session import cut_lineage
 
 DUPLICATE_THRESHOLD = 0.78
 TOP_K = 5
@@ -107,35 +108,19 @@ def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str
     if mode not in ("any", "earlier"):
         raise ValueError(f"unknown mode: {mode}")
     length = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    rows = vectors.where(F.col("customer_name").isNotNull() & (length > 0)).select(
+    usable = vectors.where(F.col("customer_name").isNotNull() & (length > 0))
+    # Narrow rows first: the vectors themselves are shuffled only for the comparison.
+    keyed = usable.select(
         "id",
         "customer_name",
         F.col(order).cast("bigint").alias("ord"),
         F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256).alias("copy_key"),
-        "embedding",
     )
     group = ["customer_name", "copy_key"]
-    heads = (
-        rows.withColumn("_place", F.row_number().over(Window.partitionBy(*group).orderBy("ord", "id")))
-        .where(F.col("_place") <= k + 1)
-    )
+    place = F.row_number().over(Window.partitionBy(*group).orderBy("ord", "id"))
+    heads = cut_lineage(keyed.withColumn("place", place).where(F.col("place") <= k + 1))
 
-    sizes = heads.groupBy("customer_name").agg(F.count("*").alias("_w"))
-    sizes = sizes.withColumn("_blocks", F.ceil(F.col("_w") / block_rows))
-    bundles = sizes.agg(F.greatest(F.lit(1), F.ceil(F.sum("_w") / block_rows)).alias("n")).scalar()
-    sized = attach_by_key(heads, sizes, "customer_name", "_w", "id")
-    block = F.when(F.col("_blocks") > 1, F.pmod(F.xxhash64("id"), "_blocks")).otherwise(F.lit(0)).cast("int")
-    placed = sized.withColumn("side", block).withColumn(
-        "_other", F.explode(F.sequence(F.lit(0), F.col("_blocks").cast("int") - 1))
-    )
-    placed = placed.select(
-        "id", "customer_name", "ord", "copy_key", "embedding", "side",
-        F.least("side", "_other").alias("lo"),
-        F.greatest("side", "_other").alias("hi"),
-        F.when(F.col("_blocks") > 1, F.concat(F.lit("="), "customer_name"))
-        .otherwise(F.concat(F.lit("~"), F.pmod(F.xxhash64("customer_name"), bundles).cast("string")))
-        .alias("cell"),
-    )
+    cells = _placed(heads, usable.select("id", "embedding"), block_rows)
     id_type = vectors.schema["id"].dataType
     schema = T.StructType(
         [
@@ -145,29 +130,56 @@ def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str
             T.StructField("neighbour_ord", T.LongType()),
         ]
     )
-    found = placed.groupBy("cell", "lo", "hi").applyInPandas(_search_cell(k, mode == "earlier"), schema)
-
-    # Members of a copy group beyond the first k+1: the answer is the first k members.
-    beyond = rows.select("id", *group).join(heads.select("id"), "id", "left_anti")
-    first_k = F.slice(F.array_sort(F.collect_list(F.struct("_place", "id", "ord"))), 1, k)
-    answers = heads.groupBy(*group).agg(first_k.alias("_first"))
-    weights = rows.groupBy(*group).agg(F.count("*").alias("_w")).where(F.col("_w") > k + 1)
-    keyed = answers.join(weights, group).select(
-        F.concat_ws("\u0001", *group).alias("_group"), "_first", "_w"
-    )
-    copied = attach_by_key(
-        beyond.withColumn("_group", F.concat_ws("\u0001", *group)), keyed, "_group", "_w", "id"
-    ).select("id", F.inline("_first"))
-    copied = copied.toDF("id", "_place", "neighbour", "neighbour_ord").select(
-        "id", "neighbour", F.lit(2 * 10 ** _DIGITS).cast("long").alias("score"), "neighbour_ord"
-    )
+    found = cells.groupBy("cell", "lo", "hi").applyInPandas(_search_cell(k, mode == "earlier"), schema)
+    # A copy group has members beyond its first k+1 only if it has a (k+1)-th one.
+    full = heads.where(F.col("place") == k + 1).select(*group)
+    if not full.isEmpty():
+        found = found.unionByName(_beyond(keyed, heads, full, group, k))
 
     best = Window.partitionBy("id").orderBy(F.col("score").desc(), "neighbour_ord", "neighbour")
-    ranked = found.unionByName(copied).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     similarity = F.least(F.col("score"), F.lit(10 ** _DIGITS)).cast("double") / 10 ** _DIGITS
     return ranked.select("id", "neighbour", similarity.alias("similarity"), "rank")
 
 
+def _placed(heads: DataFrame, embedded: DataFrame, block_rows: int) -> DataFrame:
+    """Heads with their vectors, once for every comparison cell they take part in."""
+    sizes = heads.groupBy("customer_name").agg(F.count("*").alias("_w"))
+    sizes = sizes.withColumn("_blocks", F.ceil(F.col("_w") / block_rows).cast("int"))
+    sized = attach_by_key(heads, sizes, "customer_name", "_w", "id")
+    bundles = heads.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("n")).scalar()
+    split = F.col("_blocks") > 1
+    own = F.when(split, F.pmod(F.xxhash64("id"), F.col("_blocks"))).otherwise(F.lit(0)).cast("int")
+    cell = F.when(split, F.concat(F.lit("="), "customer_name")).otherwise(
+        F.concat(F.lit("~"), F.pmod(F.xxhash64("customer_name"), bundles).cast("string"))
+    )
+    narrow = sized.select(
+        "id", "customer_name", "ord", "copy_key", "_blocks", own.alias("side"), cell.alias("cell")
+    )
+    every = narrow.join(embedded, "id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    return every.select(
+        "id", "customer_name", "ord", "copy_key", "embedding", "side", "cell",
+        F.least("side", "_other").alias("lo"),
+        F.greatest("side", "_other").alias("hi"),
+    )
+
+
+def _beyond(keyed: DataFrame, heads: DataFrame, full: DataFrame, group: list[str], k: int) -> DataFrame:
+    """Members of a copy group after its first k+1: their neighbours are the first k members."""
+    first_k = heads.where(F.col("place") <= k).join(full, group, "left_semi").groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct("place", F.col("id").alias("neighbour"), F.col("ord").alias("neighbour_ord"))))
+        .alias("_first")
+    )
+    weights = keyed.groupBy(*group).agg(F.count("*").alias("_w")).where(F.col("_w") > k + 1)
+    whole = F.concat_ws("\u0001", *group)
+    per_group = first_k.join(weights, group).select(whole.alias("_group"), "_first", "_w")
+    late = keyed.select("id", whole.alias("_group")).join(heads.select("id"), "id", "left_anti")
+    answers = attach_by_key(late, per_group, "_group", "_w", "id").select("id", F.inline("_first"))
+    return answers.select(
+        "id", "neighbour", F.lit(2 * 10 ** _DIGITS).cast("long").alias("score"), "neighbour_ord"
+    )
+
+
 def detect(vectors: DataFrame, threshold: float = DUPLICATE_THRESHOLD, **search) -> DataFrame:
     """Every case with its best neighbour's similarity and, at or above the threshold, its original."""
     nearest = neighbours(vectors, **search).where((F.col("rank") == 1) & (F.col("similarity") > 0))

@@ -1,0 +1,207 @@
+"""Duplicate, root-cause and whole-enrichment queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from casework.functions import vectors as vec
+from casework.operators import duplicates, rootcause
+from casework.plans import enrich as plan
+from casework.queries.base import CASES, VECTORS, over, query
+from casework.queries.text_queries import KEYWORD_SQL
+from casework.sources import views
+
+# The driver vectors are near random: no pair of one label reaches 0.78, so the queries use a lower threshold.
+THRESHOLD = 0.30
+
+SIM_SQL = "list_inner_product(a.embedding, b.embedding) / (sqrt(list_inner_product(a.embedding, a.embedding)) * sqrt(list_inner_product(b.embedding, b.embedding)))"
+
+
+def _ranked_sql(condition: str) -> str:
+    return f"""
+ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY copy DESC, similarity DESC, neighbour) AS rank FROM (
+    SELECT a.id, b.id AS neighbour, a.embedding = b.embedding AS copy,
+      CASE WHEN a.embedding = b.embedding THEN 1.0::DOUBLE ELSE round({SIM_SQL}, 6) END AS similarity
+    FROM vectors a JOIN vectors b ON a.customer_name = b.customer_name AND {condition}))"""
+
+
+@query("e3_neighbours", over(VECTORS, _ranked_sql("a.id <> b.id")) + """
+SELECT id, neighbour, similarity, rank FROM ranked WHERE rank <= 5""")
+def neighbours(spark, folder):
+    """The five nearest vectors of the same customer."""
+    return duplicates.neighbours(views.vectors(spark, folder).select("id", "customer_name", "embedding"))
+
+
+@query("j2_duplicates", over(VECTORS, _ranked_sql("a.id <> b.id")) + """
+SELECT v.id, CASE WHEN similarity >= 0.30 THEN neighbour END AS duplicate_of, round(COALESCE(similarity, 0), 4) AS similarity
+FROM vectors v LEFT JOIN ranked r ON v.id = r.id AND rank = 1 AND similarity > 0""")
+def detect(spark, folder):
+    return duplicates.detect(views.vectors(spark, folder).select("id", "customer_name", "embedding"), THRESHOLD)
+
+
+@query("j3_duplicates_of_earlier", over(VECTORS, _ranked_sql("b.id < a.id")) + """
+SELECT v.id, CASE WHEN similarity >= 0.30 THEN neighbour END AS duplicate_of, round(COALESCE(similarity, 0), 4) AS similarity
+FROM vectors v LEFT JOIN ranked r ON v.id = r.id AND rank = 1 AND similarity > 0""")
+def detect_earlier(spark, folder):
+    rows = views.vectors(spark, folder).select("id", "customer_name", "embedding")
+    return duplicates.detect(rows, THRESHOLD, mode="earlier")
+
+
+@query("h36_vector_text", "SELECT vec_id, len(embedding) AS dims, round(list_sum(embedding::DOUBLE[]), 3) AS total FROM embeddings")
+def vector_text(spark, folder):
+    rows = views.table(spark, folder, "embeddings").select(
+        "vec_id", F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), ", "), F.lit("]")).alias("t")
+    )
+    parsed = rows.select("vec_id", vec.parse_vector(F.col("t")).alias("v"))
+    total = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return parsed.select("vec_id", F.size("v").alias("dims"), F.round(total, 3).alias("total"))
+
+
+@query("c3_block_sizes", over(VECTORS) + "SELECT customer_name, COUNT(*) AS vectors, 1 AS cells FROM vectors GROUP BY 1")
+def block_sizes(spark, folder):
+    return duplicates.block_sizes(views.vectors(spark, folder))
+
+
+CLUSTERED = """
+labelled AS (SELECT id % 8 AS cluster_id, CASE WHEN id % 5 < 4 THEN CASE id % 8 WHEN 0 THEN 'UPI' WHEN 1 THEN 'ATM' WHEN 2 THEN 'Card'
+    WHEN 3 THEN 'Loan' WHEN 4 THEN 'NetBanking' ELSE 'General' END ELSE category END AS category,
+  CASE WHEN id % 8 = 3 THEN 'Pune' WHEN id % 8 = 5 THEN NULL ELSE location END AS location FROM vectors),
+cats AS (SELECT cluster_id, COALESCE(category, 'Unknown') AS v, COUNT(*) AS n FROM labelled GROUP BY 1, 2),
+locs AS (SELECT cluster_id, COALESCE(location, 'Unknown') AS v, COUNT(*) AS n FROM labelled GROUP BY 1, 2),
+prof AS (SELECT c.cluster_id, total AS count, c.v AS category, CAST(c.n AS DOUBLE) / total AS category_share, l.v AS top_city,
+    CAST(l.n AS DOUBLE) / total AS city_share, city_count, named, phrase FROM
+  (SELECT *, SUM(n) OVER (PARTITION BY cluster_id)::BIGINT AS total, ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY n DESC, v) AS rn FROM cats) c
+  JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY n DESC, v) AS rn, COUNT(*) OVER (PARTITION BY cluster_id) AS city_count FROM locs) l
+    ON c.cluster_id = l.cluster_id AND c.rn = 1 AND l.rn = 1
+  LEFT JOIN (SELECT cluster_id, SUM(n)::BIGINT AS named, string_agg(v || ' (' || CAST(n AS VARCHAR) || ')', ', ' ORDER BY n DESC, v) AS phrase
+    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY n DESC, v) AS rn FROM locs) WHERE rn <= 3 AND v <> 'Unknown' GROUP BY 1) t
+    ON c.cluster_id = t.cluster_id)"""
+
+
+def _labelled(spark, folder):
+    """Given clusters: KMeans labels differ between engines, the counting after them does not."""
+    key = F.col("id") % 8
+    rows = views.vectors(spark, folder)
+    names = F.when(key == 0, "UPI").when(key == 1, "ATM").when(key == 2, "Card").when(key == 3, "Loan").when(
+        key == 4, "NetBanking").otherwise("General")
+    return rows.select(
+        key.alias("cluster_id"),
+        F.when(F.col("id") % 5 < 4, names).otherwise(F.col("category")).alias("category"),
+        F.when(key == 3, "Pune").when(key != 5, F.col("location")).alias("location"),
+    )
+
+
+@query("d21_cluster_profiles", over(VECTORS, CLUSTERED) + """
+SELECT cluster_id, count, category, round(category_share, 4) AS category_share, top_city, round(city_share, 4) AS city_share, city_count,
+  COALESCE(phrase, '') AS top_cities FROM prof""")
+def cluster_profiles(spark, folder):
+    """D21 and E4."""
+    found = rootcause.profiles(_labelled(spark, folder))
+    phrase = F.array_join(F.transform(
+        "top_cities", lambda c: F.concat(c["city"], F.lit(" ("), c["n"].cast("string"), F.lit(")"))), ", ")
+    return found.withColumns({"top_cities": phrase, "category_share": F.round("category_share", 4),
+                              "city_share": F.round("city_share", 4)})
+
+
+@query("j5_root_cause_alerts", over(VECTORS, CLUSTERED) + """
+SELECT cluster_id, category, CASE WHEN city_share >= 0.4 THEN top_city END AS location, count, round(category_share, 2) AS category_share,
+  round(city_share, 2) AS location_share,
+  CASE WHEN city_share >= 0.4 THEN CAST(count AS VARCHAR) || ' ' || category || ' complaints concentrated in ' || top_city || ' ('
+      || CAST(CAST(round_even(city_share * 100, 0) AS BIGINT) AS VARCHAR) || '% of cluster) -- possible local ' || category || ' service issue.'
+    WHEN phrase IS NOT NULL THEN CAST(count AS VARCHAR) || ' ' || category || ' complaints across ' || CAST(city_count AS VARCHAR)
+      || ' cities. Top hotspots: ' || phrase || CASE WHEN count > named THEN ' + ' || CAST(count - named AS VARCHAR) || ' elsewhere' ELSE '' END
+      || '. Possible systemic ' || category || ' issue.'
+    ELSE CAST(count AS VARCHAR) || ' ' || category || ' complaints, location unknown -- possible systemic ' || category || ' issue.' END AS summary
+FROM prof WHERE count >= 5 AND category_share >= 0.6 ORDER BY count DESC, category_share DESC, cluster_id""")
+def root_cause_alerts(spark, folder):
+    """J5, H33 and F3."""
+    return rootcause.alerts(_labelled(spark, folder))
+
+
+@query("d16_systemic_banner", over(VECTORS, CLUSTERED) + """
+, big AS (SELECT *, ROW_NUMBER() OVER (ORDER BY count DESC, cluster_id) AS rk FROM prof WHERE count >= 20 AND category_share >= 0.6)
+SELECT COUNT(*) AS clusters, COALESCE(SUM(count), 0)::BIGINT AS cases, string_agg(CASE WHEN rk <= 3 THEN CAST(count AS VARCHAR) || ' ' || category
+  || CASE WHEN city_share >= 0.4 THEN ' (' || top_city || ')' ELSE '' END END, '; ' ORDER BY rk) AS preview FROM big""")
+def systemic_banner(spark, folder):
+    from casework.operators.kpi import systemic_banner as banner
+
+    return banner(rootcause.alerts(_labelled(spark, folder)))
+
+
+@query("j4_clusters")
+def clusters(spark, folder):
+    """KMeans over all vectors with two restarts: sizes per cluster."""
+    found = rootcause.assign_clusters(views.vectors(spark, folder), restarts=2)
+    return found.groupBy("cluster_id").agg(F.count("*").alias("vectors"))
+
+
+SEVERITY_SQL = r"""CASE WHEN amount_involved >= 50000 THEN 'Critical'
+  WHEN regexp_matches(text, '(?i)unauthor|fraud|stuck|debit.{0,15}fail|debited') THEN 'High'
+  WHEN amount_involved > 0 THEN 'Medium' ELSE 'Low' END"""
+SENTIMENT_SQL = r"""CASE WHEN regexp_matches(text, '(?i)unacceptable|disgust|outrage|terrible|worst|!!') THEN 'Angry'
+  WHEN regexp_matches(text, '(?i)kindly|please|would you|appreciate|sir/madam|कृपया') THEN 'Polite'
+  WHEN contains(text, '!') OR contains(text, '?') THEN 'Frustrated' ELSE 'Neutral' END"""
+
+ENRICH = f"""
+base AS (SELECT id, customer_name, channel, date, amount_involved, COALESCE(text, '') AS text, CAST(embedding AS DOUBLE[]) AS embedding
+  FROM cases LEFT JOIN documents ON doc_id = id LEFT JOIN embeddings ON vec_id = id),
+labelled AS (SELECT *, {KEYWORD_SQL} AS cat, {SEVERITY_SQL} AS sev, {SENTIMENT_SQL} AS sent FROM base),
+dups AS (SELECT id, neighbour, similarity FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY similarity DESC, odate, neighbour) AS rn FROM (
+    SELECT a.id, b.id AS neighbour, b.date AS odate,
+      round({SIM_SQL}, 6) AS similarity
+    FROM base a JOIN base b ON a.customer_name = b.customer_name AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL
+      AND (b.date, b.id) < (a.date, a.id))) WHERE rn = 1 AND similarity > 0),
+decided AS (SELECT l.*, CASE WHEN similarity >= 0.30 THEN neighbour END AS duplicate_of, round(COALESCE(similarity, 0), 4) AS sim,
+    GREATEST(1, CAST(round_even(CAST(CASE cat WHEN 'UPI' THEN 5 WHEN 'ATM' THEN 5 WHEN 'Card' THEN 7 WHEN 'NetBanking' THEN 7 ELSE 30 END AS DOUBLE)
+      * CAST(CASE sev WHEN 'Critical' THEN 0.5 WHEN 'High' THEN 0.7 WHEN 'Low' THEN 1.2 ELSE 1.0 END AS DOUBLE), 0) AS INTEGER)) AS days,
+    round(GREATEST(0.02::DOUBLE, LEAST(0.92::DOUBLE, 0.18::DOUBLE
+      + CASE sev WHEN 'Critical' THEN 0.35::DOUBLE WHEN 'High' THEN 0.20::DOUBLE WHEN 'Low' THEN -0.08::DOUBLE ELSE 0::DOUBLE END
+      + CASE WHEN amount_involved >= 25000 THEN 0.10::DOUBLE ELSE 0::DOUBLE END)), 3) AS p
+  FROM labelled l LEFT JOIN dups d ON l.id = d.id),
+final AS (SELECT *, CASE WHEN duplicate_of IS NOT NULL THEN 'auto_resolved_dup' WHEN sev IN ('Low', 'Medium') AND sent = 'Polite'
+    THEN 'auto_resolved_std' ELSE 'open' END AS status FROM decided),
+h AS (SELECT customer_name AS hn, COUNT(*) AS filed, COUNT(*) FILTER (sent IN ('Angry', 'Frustrated')) AS upset,
+    COUNT(*) FILTER (status = 'open') AS unresolved, COUNT(*) FILTER (channel IN ('twitter', 'whatsapp')) AS public,
+    COUNT(DISTINCT cat) AS categories FROM final GROUP BY 1),
+scores AS (SELECT final.*, filed,
+    CAST(round_even(p * 40::DOUBLE, 0) AS INTEGER) + CASE sev WHEN 'Critical' THEN 30 WHEN 'High' THEN 20 WHEN 'Low' THEN 3 ELSE 10 END
+      + LEAST(filed * 3, 15) + CASE WHEN amount_involved >= 100000 THEN 12 WHEN amount_involved >= 25000 THEN 6 ELSE 0 END + LEAST(upset * 2, 8) AS o,
+    LEAST(filed * 6, 30) + LEAST(unresolved * 5, 25) + LEAST(categories * 6, 20) + CASE WHEN sent IN ('Angry', 'Frustrated') THEN 12 ELSE 0 END
+      + CASE WHEN sev IN ('Critical', 'High') THEN 8 ELSE 0 END AS c,
+    LEAST(public * 12, 45) + CASE WHEN channel IN ('twitter', 'whatsapp') THEN 18 ELSE 0 END
+      + CASE sent WHEN 'Angry' THEN 22 WHEN 'Frustrated' THEN 10 ELSE 0 END + CASE WHEN sev = 'Critical' THEN 8 ELSE 0 END AS s
+  FROM final JOIN h ON customer_name = hn)"""
+
+ENRICH_SELECT = """
+SELECT id, cat AS category, sev AS severity, sent AS sentiment, duplicate_of, sim AS similarity, date + days AS sla_due_date, p AS sla_breach_prob, status,
+  LEAST(100, o) AS risk_ombudsman, LEAST(100, c) AS risk_churn, LEAST(100, s) AS risk_social,
+  LEAST(100, CAST(round_even(0.45::DOUBLE * o + 0.30::DOUBLE * c + 0.25::DOUBLE * s, 0) AS INTEGER)) AS risk_score,
+  CAST(round_even(GREATEST(0::DOUBLE, LEAST(100::DOUBLE, CASE sev WHEN 'Critical' THEN 3 WHEN 'High' THEN 2 WHEN 'Low' THEN 0 ELSE 1 END * 12
+    + CASE sent WHEN 'Angry' THEN 3 WHEN 'Frustrated' THEN 2 WHEN 'Polite' THEN 0 ELSE 1 END * 7
+    + LEAST(COALESCE(amount_involved, 0) / 5000::DOUBLE, 20::DOUBLE) + LEAST(filed * 3, 12)
+    + LEAST((DATE '2001-08-01' - date) * 0.4::DOUBLE, 10::DOUBLE) + p * 18::DOUBLE
+    - CASE WHEN duplicate_of IS NULL THEN 0 ELSE 8 END)), 0) AS INTEGER) AS priority_score,
+  CASE WHEN duplicate_of IS NULL THEN 1 ELSE 0 END AS drafted
+FROM scores"""
+
+
+@query("l1_enrichment", over(CASES, ENRICH) + ENRICH_SELECT)
+def enrichment(spark, folder):
+    """All nine stages over every case, its document and its vector."""
+    done = plan.enrich(views.filed_texts(spark, folder), views.AS_OF, THRESHOLD)
+    return done.select(
+        "id", "category", "severity", "sentiment", "duplicate_of", "similarity", "sla_due_date", "sla_breach_prob", "status",
+        "risk_ombudsman", "risk_churn", "risk_social", "risk_score", "priority_score",
+        F.col("draft_response").isNotNull().cast("int").alias("drafted"),
+    )
+
+
+@query("l2_pending_run", over(CASES) + """
+SELECT COUNT(*) AS processed, 0::BIGINT AS errors FROM cases WHERE processed_at IS NULL""")
+def pending_run(spark, folder):
+    """B6 then L1 on the queue, summarised by D19."""
+    rows = views.filed_texts(spark, folder).join(views.cases(spark, folder, "id", "processed_at"), "id")
+    _, _, summary = plan.process_pending(rows, views.AS_OF, with_alerts=False, threshold=THRESHOLD)
+    return summary.select("processed", "errors")
