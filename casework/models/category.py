@@ -10,7 +10,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IDFModel, NGram, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,7 +48,7 @@ def without_accents(text: Column) -> Column:
 
 
 @F.udf(VectorUDT())
-def _sublinear(counts: SparseVector) -> SparseVector:
+def _sublinear(counts):
     return Vectors.sparse(counts.size, counts.indices, [1.0 + math.log(v) for v in counts.values])
 
 

@@ -110,9 +110,8 @@ def process_pending(table: DataFrame, as_of, with_alerts: bool = True, **options
     """
     pending = table.where(F.col("processed_at").isNull())
     done = enrich(pending, as_of, **options).withColumn("error", F.when(F.col("date").isNull(), "unreadable filing date"))
-    alerts = None
-    if with_alerts:
-        alerts = rootcause.detect(table)
+    # Clusters are profiled with the labels the run has just assigned.
+    alerts = rootcause.detect(write_back(table, done)) if with_alerts else None
     return done, alerts, kpi.run_summary(done, alerts)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from casework import schemas
@@ -19,7 +20,7 @@ POLL = "30 seconds"
 
 def mail_source(spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
     """Decoded mail as JSON lines. An unreadable line arrives in `_broken` instead of failing the trigger."""
-    schema = schemas.MAIL.add("_broken", "string") if "_broken" not in schemas.MAIL.names else schemas.MAIL
+    schema = T.StructType([*schemas.MAIL.fields, T.StructField("_broken", T.StringType())])
     return (
         spark.readStream.schema(schema)
         .option("columnNameOfCorruptRecord", "_broken")
