@@ -26,26 +26,43 @@ NAME_STOPWORDS = (
     "madam", "none", "null", "unknown", "na", "n/a",
 )
 _UNICODE = "(?U)"
+# Rules that need an at sign, and what any text holding one of the other identifiers contains. Masks never add
+# either, so both tests look at the original text once.
+_AT_RULES = ("EMAIL", "UPI")
+_CODE_HINT = r"(?U)\d{4}|[A-Z]{4}0"
+
+
+def _may_hold(text: Column) -> tuple[Column, Column]:
+    return F.contains(text, F.lit("@")), text.rlike(_CODE_HINT)
 
 
 def masked_kinds(text: Column) -> Column:
     """Every identifier becomes PII_<KIND>, without numbering."""
-    out = F.coalesce(text, F.lit(""))
-    for kind, pattern in RULES.items():
-        out = F.regexp_replace(out, _UNICODE + pattern, f"PII_{kind}")
-    return out
+    body = F.coalesce(text, F.lit(""))
+    at_sign, codes = _may_hold(body)
+
+    def masked(value: Column, kinds) -> Column:
+        for kind in kinds:
+            value = F.regexp_replace(value, _UNICODE + RULES[kind], f"PII_{kind}")
+        return value
+
+    addresses = F.when(at_sign, masked(body, _AT_RULES)).otherwise(body)
+    return F.when(codes, masked(addresses, [k for k in RULES if k not in _AT_RULES])).otherwise(addresses)
 
 
 def identifier_counts(df: DataFrame, text: str, prefix: str = "n_") -> DataFrame:
     """P5: identifiers per kind, each counted on the text the earlier rules have already masked."""
     work = df.withColumn("_masked", F.coalesce(F.col(text), F.lit("")))
-    names = []
+    at_sign, codes = _may_hold(F.col("_masked"))
+    work = work.withColumns({"_at": at_sign, "_codes": codes})
     for kind, pattern in RULES.items():
+        possible = F.col("_at") if kind in _AT_RULES else F.col("_codes")
+        found = F.regexp_count("_masked", F.lit(_UNICODE + pattern)).cast("long")
         name = prefix + kind.lower()
-        names.append(name)
-        work = work.withColumn(name, F.regexp_count("_masked", F.lit(_UNICODE + pattern)).cast("long"))
-        work = work.withColumn("_masked", F.regexp_replace("_masked", _UNICODE + pattern, f"PII_{kind}"))
-    return work.drop("_masked")
+        work = work.withColumn(name, F.when(possible, found).otherwise(F.lit(0).cast("long")))
+        replaced = F.regexp_replace("_masked", _UNICODE + pattern, f"PII_{kind}")
+        work = work.withColumn("_masked", F.when(F.col(name) > 0, replaced).otherwise(F.col("_masked")))
+    return work.drop("_masked", "_at", "_codes")
 
 
 def _token(kind: str, number: Column) -> Column:
@@ -56,9 +73,13 @@ def mask_identifiers(df: DataFrame, text: str, masked: str = "masked_text", toke
     """Numbered tokens per kind in order of first appearance, and the map token -> value."""
     pair = "array<struct<token:string,value:string>>"
     work = df.withColumn("_t", F.coalesce(F.col(text), F.lit(""))).withColumn("_pairs", F.array().cast(pair))
+    at_sign, codes = _may_hold(F.col("_t"))
+    work = work.withColumns({"_at": at_sign, "_codes": codes})
     for kind, pattern in RULES.items():
         rx = _UNICODE + pattern
-        work = work.withColumn("_hits", F.regexp_extract_all("_t", F.lit(rx), F.lit(0)))
+        possible = F.col("_at") if kind in _AT_RULES else F.col("_codes")
+        hits = F.regexp_extract_all("_t", F.lit(rx), F.lit(0))
+        work = work.withColumn("_hits", F.when(possible, hits).otherwise(F.array().cast("array<string>")))
         work = work.withColumn("_values", F.array_distinct("_hits"))
         pieces = F.split("_t", rx, -1)
         labels = F.concat(
@@ -75,7 +96,7 @@ def mask_identifiers(df: DataFrame, text: str, masked: str = "masked_text", toke
     return (
         work.withColumn(masked, F.col("_t"))
         .withColumn(tokens, F.map_from_entries("_pairs"))
-        .drop("_t", "_pairs", "_hits", "_values")
+        .drop("_t", "_pairs", "_hits", "_values", "_at", "_codes")
     )
 
 

@@ -1,10 +1,16 @@
-"""Text rules H1-H11 and H30-H32 as Column expressions."""
+"""Text rules H1-H11 and H30-H32 as Column expressions.
+
+Every keyword rule is a regular expression behind a literal test on the lower-cased text: a row reaches the
+expression only if it contains a literal every match must contain, so most text is scanned by substring search
+alone. `scan` projects the lower-cased text once for all rules of a job.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casework.schemas import CATEGORIES, INTAKE, lookup
@@ -32,6 +38,18 @@ SUBSTRING_CATEGORY = {
     "NetBanking": ("net banking", "mobile banking", "internet banking", "netbanking"),
 }
 HIGH_SEVERITY = r"unauthor|fraud|stuck|debit.{0,15}fail|debited"
+# Literals one of which every match of the rule contains, in lower case.
+REQUIRED = {
+    "UPI": ("upi", "paytm", "gpay", "google pay", "phonepe", "bhim"),
+    "ATM": ("atm", "cash", "दिखाई नहीं", "कैश मशीन"),
+    "Card": ("card", "कार्ड"),
+    "Loan": ("loan", "emi", "ऋण"),
+    "NetBanking": ("banking", "mobile app"),
+    "High": ("unauthor", "fraud", "stuck", "debit"),
+    "Angry": ("unacceptable", "disgust", "outrage", "terrible", "worst", "!!"),
+    "Polite": ("kindly", "please", "would you", "appreciate", "sir/madam", "कृपया"),
+    "Amount": ("rs", "₹", "inr", "rupee", "/-"),
+}
 ANGRY = r"unacceptable|disgust|outrage|terrible|worst|!!"
 POLITE = r"kindly|please|would you|appreciate|sir/madam|कृपया"
 FRAUD_KEYWORDS = ("unauthor", "fraud", "stolen", "hack", "scam", "stuck", "debited")
@@ -55,33 +73,62 @@ KNOWN_CITIES = (
 
 # (?i) ignore case, (?U) Unicode word boundaries and classes: the text is multilingual.
 _FLAGS = "(?iU)"
+# Letters that equal an ASCII letter when case is ignored but keep another lower-case form.
+_ODD_CASE = "[ſKıİ]"
+
+
+@dataclass(frozen=True)
+class Scan:
+    """Columns of a text under test: the text, its lower case, and whether lower case can hide a match."""
+
+    text: Column
+    lowered: Column
+    odd: Column
+
+    def has(self, *literals: str) -> Column:
+        hit = self.odd
+        for literal in literals:
+            hit = hit | F.contains(self.lowered, F.lit(literal))
+        return hit
+
+    def matches(self, pattern: str, literals: Sequence[str]) -> Column:
+        return self.has(*literals) & self.text.rlike(_FLAGS + pattern)
+
+
+def scan(df: DataFrame, text: str) -> tuple[DataFrame, Scan]:
+    """Add the columns `_text`, `_lowered`, `_odd`; drop them with `SCAN_COLUMNS` when the rules are applied."""
+    out = df.withColumn("_text", _text(F.col(text)))
+    out = out.withColumns({"_lowered": F.lower("_text"), "_odd": F.col("_text").rlike(_ODD_CASE)})
+    return out, Scan(F.col("_text"), F.col("_lowered"), F.col("_odd"))
+
+
+SCAN_COLUMNS = ("_text", "_lowered", "_odd")
 
 
 def _text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def _rule_chain(text: Column, rules: dict[str, str], default: str) -> Column:
+def _rule_chain(scanned: Scan, rules: dict[str, str], default: str) -> Column:
     chain = None
     for label, pattern in rules.items():
-        hit = text.rlike(_FLAGS + pattern)
+        hit = scanned.matches(pattern, REQUIRED[label])
         chain = F.when(hit, F.lit(label)) if chain is None else chain.when(hit, F.lit(label))
     return chain.otherwise(F.lit(default))
 
 
-def keyword_category(text: Column) -> Column:
+def keyword_category(scanned: Scan) -> Column:
     """H1."""
-    return _rule_chain(_text(text), KEYWORD_CATEGORY, "General")
+    return _rule_chain(scanned, KEYWORD_CATEGORY, "General")
 
 
-def weak_category(text: Column) -> Column:
+def weak_category(scanned: Scan) -> Column:
     """H2: the wider multilingual rules that label training text."""
-    return _rule_chain(_text(text), WEAK_CATEGORY, "General")
+    return _rule_chain(scanned, WEAK_CATEGORY, "General")
 
 
-def substring_category(text: Column) -> Column:
-    """H3: `text` should be lower-cased once by the caller's projection."""
-    lowered = F.lower(_text(text))
+def substring_category(lowered: Column) -> Column:
+    """H3 on an already lower-cased text."""
     chain = None
     for label, words in SUBSTRING_CATEGORY.items():
         hit = F.contains(lowered, F.lit(words[0]))
@@ -91,24 +138,23 @@ def substring_category(text: Column) -> Column:
     return chain.otherwise(F.lit("General"))
 
 
-def severity_rule(text: Column, amount: Column) -> Column:
+def severity_rule(scanned: Scan, amount: Column) -> Column:
     """H4."""
     money = F.coalesce(amount, F.lit(0.0))
     return (
         F.when(money >= CRITICAL_AMOUNT, "Critical")
-        .when(_text(text).rlike(_FLAGS + HIGH_SEVERITY), "High")
+        .when(scanned.matches(HIGH_SEVERITY, REQUIRED["High"]), "High")
         .when(money > 0, "Medium")
         .otherwise("Low")
     )
 
 
-def sentiment_rule(text: Column) -> Column:
+def sentiment_rule(scanned: Scan) -> Column:
     """H5."""
-    body = _text(text)
     return (
-        F.when(body.rlike(_FLAGS + ANGRY), "Angry")
-        .when(body.rlike(_FLAGS + POLITE), "Polite")
-        .when(F.contains(body, F.lit("!")) | F.contains(body, F.lit("?")), "Frustrated")
+        F.when(scanned.matches(ANGRY, REQUIRED["Angry"]), "Angry")
+        .when(scanned.matches(POLITE, REQUIRED["Polite"]), "Polite")
+        .when(F.contains(scanned.text, F.lit("!")) | F.contains(scanned.text, F.lit("?")), "Frustrated")
         .otherwise("Neutral")
     )
 
@@ -130,14 +176,17 @@ def language_tag(text: Column, mode: str = "reference") -> Column:
     return F.when(marathi, "marathi").when(body.rlike(DEVANAGARI), "hindi").otherwise("english")
 
 
-def amount_from_text(text: Column) -> Column:
-    """H7: the first match of each pattern; an unreadable number falls through to the next pattern."""
-    body = _text(text)
+def amount_from_text(scanned: Scan) -> Column:
+    """H7: the first match of each pattern; an unreadable number falls through to the next pattern.
+
+    Without an ASCII digit no match is readable, so such a text has no amount.
+    """
+    possible = scanned.has(*REQUIRED["Amount"]) & scanned.text.rlike("[0-9]")
     parsed = [
-        F.replace(F.regexp_extract(body, _FLAGS + pattern, 1), F.lit(","), F.lit("")).try_cast("double")
+        F.replace(F.regexp_extract(scanned.text, _FLAGS + pattern, 1), F.lit(","), F.lit("")).try_cast("double")
         for pattern in AMOUNT_PATTERNS
     ]
-    return F.coalesce(*parsed)
+    return F.when(possible, F.coalesce(*parsed))
 
 
 def city_tag(lowered: Column, cities: Sequence[str] = KNOWN_CITIES) -> Column:
@@ -164,13 +213,15 @@ def text_length(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Words between runs of white space."""
-    trimmed = F.regexp_replace(_text(text), r"(?U)^\s+|\s+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"(?U)\s+"))).cast("int")
+    return F.regexp_count(_text(text), F.lit(r"(?U)\S+")).cast("int")
 
 
-def fraud_flag(text: Column) -> Column:
-    """H11."""
-    return F.lower(_text(text)).rlike("|".join(FRAUD_KEYWORDS)).cast("int")
+def fraud_flag(lowered: Column) -> Column:
+    """H11 on an already lower-cased text."""
+    hit = F.contains(lowered, F.lit(FRAUD_KEYWORDS[0]))
+    for word in FRAUD_KEYWORDS[1:]:
+        hit = hit | F.contains(lowered, F.lit(word))
+    return hit.cast("int")
 
 
 def intake_fallback(cases_columns: dict[str, Column]) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casework.functions import labels
-from casework.functions.text import sentiment_rule, weak_category
+from casework.functions.text import SCAN_COLUMNS, Scan, scan, sentiment_rule, weak_category
 from casework.models.split import holdout, with_balance
 from casework.schemas import CATEGORIES
 
@@ -95,7 +95,8 @@ def training_rows(cases: DataFrame, fallback: DataFrame, text: str = "complaint_
     if known.limit(LEAST_LABELLED).count() >= LEAST_LABELLED:
         usable = known.where(F.col(text).isNotNull() & F.col("category").isin(*CATEGORIES))
         return usable.select("id", text, "category"), "labelled"
-    return fallback.select("id", text, weak_category(F.col(text)).alias("category")), "weak labels"
+    scanned_rows, scanned = scan(fallback, text)
+    return scanned_rows.select("id", text, weak_category(scanned).alias("category")), "weak labels"
 
 
 def fit(rows: DataFrame, source: str, text: str = "complaint_text", max_terms: int = MAX_TERMS, max_iter: int = 100) -> CategoryModel | None:
@@ -138,16 +139,15 @@ def second_opinion(rows: DataFrame, model: CategoryModel, text: str = "complaint
 
 
 def sentiment_opinion(rows: DataFrame, scorer=None, text: str = "complaint_text") -> DataFrame:
-    """K20 + H28: `scorer` maps a text column to a label column; without one the opinion stays empty.
+    """K20 + H28: `scorer` maps a scanned text to a label column; without one the opinion stays empty.
 
     `sentiment_scorer_by_rule` is the built-in scorer.
     """
-    label = F.lit(None).cast("string") if scorer is None else scorer(F.col(text))
-    bucket = labels.scorer_bucket(label)
-    return rows.withColumn("ml_sentiment", bucket).withColumn(
-        "sentiment_confidence", labels.sentiment_agreement(F.col("sentiment"), F.col("ml_sentiment"))
-    )
+    out, scanned = scan(rows, text)
+    label = F.lit(None).cast("string") if scorer is None else scorer(scanned)
+    out = out.withColumn("ml_sentiment", labels.scorer_bucket(label)).drop(*SCAN_COLUMNS)
+    return out.withColumn("sentiment_confidence", labels.sentiment_agreement(F.col("sentiment"), F.col("ml_sentiment")))
 
 
-def sentiment_scorer_by_rule(text: Column) -> Column:
-    return labels.sentiment_bucket(sentiment_rule(text))
+def sentiment_scorer_by_rule(scanned: Scan) -> Column:
+    return labels.sentiment_bucket(sentiment_rule(scanned))

@@ -25,17 +25,17 @@ def classified(cases: DataFrame) -> DataFrame:
     for name in (*_INTAKE_INPUT, "channel"):
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast("double" if name == "amount_involved" else "string"))
-    body = F.col("complaint_text")
+    out, scanned = text.scan(out, "complaint_text")
     return out.withColumns(
         {
-            "category": text.keyword_category(body),
-            "severity": text.severity_rule(body, F.col("amount_involved")),
-            "sentiment": text.sentiment_rule(body),
+            "category": text.keyword_category(scanned),
+            "severity": text.severity_rule(scanned, F.col("amount_involved")),
+            "sentiment": text.sentiment_rule(scanned),
             "intake_json": F.to_json(
                 text.intake_fallback({n: F.col(n) for n in _INTAKE_INPUT}), {"ignoreNullFields": "false"}
             ),
         }
-    )
+    ).drop(*text.SCAN_COLUMNS)
 
 
 def with_duplicates(labelled: DataFrame, cases: DataFrame, threshold: float = duplicates.DUPLICATE_THRESHOLD,

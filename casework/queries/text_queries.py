@@ -23,8 +23,8 @@ SENTIMENT_SQL = r"""CASE WHEN regexp_matches(text, '(?i)unacceptable|disgust|out
 
 @query("h1_keyword_category", f"SELECT doc_id, {KEYWORD_SQL} AS category FROM documents")
 def keyword_category(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return docs.select("doc_id", text.keyword_category(F.col("text")).alias("category"))
+    docs, scanned = text.scan(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    return docs.select("doc_id", text.keyword_category(scanned).alias("category"))
 
 
 @query("h2_weak_category", r"""
@@ -35,8 +35,8 @@ SELECT doc_id, CASE WHEN regexp_matches(text, '(?i)\b(upi|paytm|gpay|google pay|
   WHEN regexp_matches(text, '(?i)net.?banking|mobile.?banking|internet.?banking|netbanking|mobile app') THEN 'NetBanking'
   ELSE 'General' END AS category FROM documents""")
 def weak_category(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
-    return docs.select("doc_id", text.weak_category(F.col("text")).alias("category"))
+    docs, scanned = text.scan(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    return docs.select("doc_id", text.weak_category(scanned).alias("category"))
 
 
 @query("h3_substring_category", """
@@ -51,10 +51,10 @@ def substring_category(spark, folder):
 
 @query("h4_h5_labels", f"SELECT doc_id, {SEVERITY_SQL} AS severity, {SENTIMENT_SQL} AS sentiment FROM documents")
 def rule_labels(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text", "n_chars")
+    docs, scanned = text.scan(table(spark, folder, "documents").select("doc_id", "text", "n_chars"), "text")
     amount = F.when(F.col("n_chars") * 20 >= 50000, 50000.0).when(F.col("n_chars") % 2 == 0, F.col("n_chars").cast("double"))
-    return docs.select("doc_id", text.severity_rule(F.col("text"), amount).alias("severity"),
-                       text.sentiment_rule(F.col("text")).alias("sentiment"))
+    return docs.select("doc_id", text.severity_rule(scanned, amount).alias("severity"),
+                       text.sentiment_rule(scanned).alias("sentiment"))
 
 
 @query("h6_language_tags", """
@@ -87,7 +87,8 @@ def amounts(spark, folder):
         .otherwise("")
     )
     docs = table(spark, folder, "documents").select("doc_id", F.concat("text", suffix).alias("text"))
-    return docs.select("doc_id", text.amount_from_text(F.col("text")).alias("amount"))
+    docs, scanned = text.scan(docs, "text")
+    return docs.select("doc_id", text.amount_from_text(scanned).alias("amount"))
 
 
 def _city_sql(column: str) -> str:
@@ -118,10 +119,10 @@ def canonical_labels(spark, folder):
 SELECT doc_id, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words,
   CAST(regexp_matches(lower(text), 'unauthor|fraud|stolen|hack|scam|stuck|debited') AS INTEGER) AS fraud FROM documents""")
 def text_features(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("lowered", F.lower("text"))
     body = F.col("text")
     return docs.select("doc_id", text.text_length(body).alias("chars"), text.word_count(body).alias("words"),
-                       text.fraud_flag(body).alias("fraud"))
+                       text.fraud_flag(F.col("lowered")).alias("fraud"))
 
 
 @query("h12_h13_filing_features", over(CASES) + """

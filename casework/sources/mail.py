@@ -59,7 +59,8 @@ def tagged(mails: DataFrame) -> DataFrame:
 def normalise(mails: DataFrame, as_of) -> DataFrame:
     """A4: kept mail as raw cases; a missing send time takes `as_of` as filing date."""
     kept = tagged(mails).where(F.col("drop_reason").isNull())
-    kept = kept.withColumn("_search", F.lower(F.concat_ws(" ", "_subject", "complaint_text")))
+    kept, scanned = text.scan(kept, "complaint_text")
+    kept = kept.withColumn("_search", F.concat_ws(" ", F.lower("_subject"), "_lowered"))
     address = F.coalesce("from_addr", F.lit(""))
     return kept.select(
         "mail_id",
@@ -70,7 +71,7 @@ def normalise(mails: DataFrame, as_of) -> DataFrame:
         text.language_tag(F.col("complaint_text")).alias("language"),
         F.coalesce(F.col("sent_at").cast("date"), F.lit(str(as_of)).cast("date")).alias("date"),
         F.lit(DEFAULT_ACCOUNT_TYPE).alias("account_type"),
-        text.amount_from_text(F.col("complaint_text")).alias("amount_involved"),
+        text.amount_from_text(scanned).alias("amount_involved"),
         text.city_tag(F.col("_search")).alias("location"),
         F.col("from_addr").alias("customer_email"),
     )

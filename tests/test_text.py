@@ -17,13 +17,17 @@ RULES = [
     ("Premium account query", None, "Loan", "Low", "Neutral"),
     ("कृपया मेरा खाता देखें", 0.0, "General", "Low", "Polite"),
     (None, None, "General", "Low", "Neutral"),
+    ("blocKed loan", None, "Loan", "Low", "Neutral"),
+    ("pleaſe help, my ınternet bankıng", None, "NetBanking", "Low", "Polite"),
+    ("CASH lost in the\nmachine", None, "General", "Low", "Neutral"),
+    ("cash stuck in machine", None, "ATM", "High", "Neutral"),
 ]
 
 
 def test_keyword_rules(spark):
-    df = spark.createDataFrame([(t, a) for t, a, *_ in RULES], "t string, a double")
+    df, scanned = text.scan(spark.createDataFrame([(t, a) for t, a, *_ in RULES], "t string, a double"), "t")
     got = df.select(
-        text.keyword_category(F.col("t")), text.severity_rule(F.col("t"), F.col("a")), text.sentiment_rule(F.col("t"))
+        text.keyword_category(scanned), text.severity_rule(scanned, F.col("a")), text.sentiment_rule(scanned)
     ).collect()
     assert [tuple(r) for r in got] == [tuple(r[2:]) for r in RULES]
 
@@ -41,9 +45,8 @@ def test_keyword_rules(spark):
     ],
 )
 def test_weak_and_substring_categories(spark, sample, weak, plain):
-    row = spark.createDataFrame([(sample,)], "t string").select(
-        text.weak_category(F.col("t")), text.substring_category(F.col("t"))
-    ).first()
+    df, scanned = text.scan(spark.createDataFrame([(sample,)], "t string"), "t")
+    row = df.select(text.weak_category(scanned), text.substring_category(scanned.lowered)).first()
     assert tuple(row) == (weak, plain)
 
 
@@ -59,8 +62,8 @@ def test_amounts(spark):
         "rs.12.345": 12.34,
         None: None,
     }
-    df = spark.createDataFrame([(t,) for t in samples], "t string")
-    got = [r[0] for r in df.select(text.amount_from_text(F.col("t"))).collect()]
+    df, scanned = text.scan(spark.createDataFrame([(t,) for t in samples], "t string"), "t")
+    got = [r[0] for r in df.select(text.amount_from_text(scanned)).collect()]
     assert got == list(samples.values())
 
 
@@ -88,7 +91,7 @@ def test_canonical_labels(spark):
 
 def test_lengths_words_and_fraud(spark):
     df = spark.createDataFrame([("  two words \n",), ("",), (None,), ("HACKED now",)], "t string")
-    got = df.select(text.text_length(F.col("t")), text.word_count(F.col("t")), text.fraud_flag(F.col("t"))).collect()
+    got = df.select(text.text_length(F.col("t")), text.word_count(F.col("t")), text.fraud_flag(F.lower(F.coalesce("t", F.lit(""))))).collect()
     assert [tuple(r) for r in got] == [(13, 2, 0), (0, 0, 0), (0, 0, 0), (10, 2, 1)]
 
 
