@@ -39,17 +39,24 @@ SUBSTRING_CATEGORY = {
 }
 HIGH_SEVERITY = r"unauthor|fraud|stuck|debit.{0,15}fail|debited"
 # Literals one of which every match of the rule contains, in lower case.
-REQUIRED = {
+KEYWORD_LITERALS = {
+    "UPI": ("upi",),
+    "ATM": ("atm", "cash"),
+    "Card": ("card",),
+    "Loan": ("loan", "emi"),
+    "NetBanking": ("banking",),
+}
+WEAK_LITERALS = {
     "UPI": ("upi", "paytm", "gpay", "google pay", "phonepe", "bhim"),
     "ATM": ("atm", "cash", "दिखाई नहीं", "कैश मशीन"),
     "Card": ("card", "कार्ड"),
     "Loan": ("loan", "emi", "ऋण"),
     "NetBanking": ("banking", "mobile app"),
-    "High": ("unauthor", "fraud", "stuck", "debit"),
-    "Angry": ("unacceptable", "disgust", "outrage", "terrible", "worst", "!!"),
-    "Polite": ("kindly", "please", "would you", "appreciate", "sir/madam", "कृपया"),
-    "Amount": ("rs", "₹", "inr", "rupee", "/-"),
 }
+HIGH_LITERALS = ("unauthor", "fraud", "stuck", "debit")
+ANGRY_LITERALS = ("unacceptable", "disgust", "outrage", "terrible", "worst", "!!")
+POLITE_LITERALS = ("kindly", "please", "would you", "appreciate", "sir/madam", "कृपया")
+AMOUNT_LITERALS = ("rs", "₹", "inr", "rupee", "/-")
 ANGRY = r"unacceptable|disgust|outrage|terrible|worst|!!"
 POLITE = r"kindly|please|would you|appreciate|sir/madam|कृपया"
 FRAUD_KEYWORDS = ("unauthor", "fraud", "stolen", "hack", "scam", "stuck", "debited")
@@ -74,7 +81,7 @@ KNOWN_CITIES = (
 # (?i) ignore case, (?U) Unicode word boundaries and classes: the text is multilingual.
 _FLAGS = "(?iU)"
 # Letters that equal an ASCII letter when case is ignored but keep another lower-case form.
-_ODD_CASE = "[ſKıİ]"
+_ODD_CASE = ("ſ", "\u212a", "ı", "İ")
 
 
 @dataclass(frozen=True)
@@ -98,7 +105,10 @@ class Scan:
 def scan(df: DataFrame, text: str) -> tuple[DataFrame, Scan]:
     """Add the columns `_text`, `_lowered`, `_odd`; drop them with `SCAN_COLUMNS` when the rules are applied."""
     out = df.withColumn("_text", _text(F.col(text)))
-    out = out.withColumns({"_lowered": F.lower("_text"), "_odd": F.col("_text").rlike(_ODD_CASE)})
+    odd = F.lit(False)
+    for letter in _ODD_CASE:
+        odd = odd | F.contains("_text", F.lit(letter))
+    out = out.withColumns({"_lowered": F.lower("_text"), "_odd": odd})
     return out, Scan(F.col("_text"), F.col("_lowered"), F.col("_odd"))
 
 
@@ -109,22 +119,22 @@ def _text(column: Column) -> Column:
     return F.coalesce(column, F.lit(""))
 
 
-def _rule_chain(scanned: Scan, rules: dict[str, str], default: str) -> Column:
+def _rule_chain(scanned: Scan, rules: dict[str, str], literals: dict[str, tuple], default: str) -> Column:
     chain = None
     for label, pattern in rules.items():
-        hit = scanned.matches(pattern, REQUIRED[label])
+        hit = scanned.matches(pattern, literals[label])
         chain = F.when(hit, F.lit(label)) if chain is None else chain.when(hit, F.lit(label))
     return chain.otherwise(F.lit(default))
 
 
 def keyword_category(scanned: Scan) -> Column:
     """H1."""
-    return _rule_chain(scanned, KEYWORD_CATEGORY, "General")
+    return _rule_chain(scanned, KEYWORD_CATEGORY, KEYWORD_LITERALS, "General")
 
 
 def weak_category(scanned: Scan) -> Column:
     """H2: the wider multilingual rules that label training text."""
-    return _rule_chain(scanned, WEAK_CATEGORY, "General")
+    return _rule_chain(scanned, WEAK_CATEGORY, WEAK_LITERALS, "General")
 
 
 def substring_category(lowered: Column) -> Column:
@@ -143,7 +153,7 @@ def severity_rule(scanned: Scan, amount: Column) -> Column:
     money = F.coalesce(amount, F.lit(0.0))
     return (
         F.when(money >= CRITICAL_AMOUNT, "Critical")
-        .when(scanned.matches(HIGH_SEVERITY, REQUIRED["High"]), "High")
+        .when(scanned.matches(HIGH_SEVERITY, HIGH_LITERALS), "High")
         .when(money > 0, "Medium")
         .otherwise("Low")
     )
@@ -152,8 +162,8 @@ def severity_rule(scanned: Scan, amount: Column) -> Column:
 def sentiment_rule(scanned: Scan) -> Column:
     """H5."""
     return (
-        F.when(scanned.matches(ANGRY, REQUIRED["Angry"]), "Angry")
-        .when(scanned.matches(POLITE, REQUIRED["Polite"]), "Polite")
+        F.when(scanned.matches(ANGRY, ANGRY_LITERALS), "Angry")
+        .when(scanned.matches(POLITE, POLITE_LITERALS), "Polite")
         .when(F.contains(scanned.text, F.lit("!")) | F.contains(scanned.text, F.lit("?")), "Frustrated")
         .otherwise("Neutral")
     )
@@ -181,7 +191,7 @@ def amount_from_text(scanned: Scan) -> Column:
 
     Without an ASCII digit no match is readable, so such a text has no amount.
     """
-    possible = scanned.has(*REQUIRED["Amount"]) & scanned.text.rlike("[0-9]")
+    possible = scanned.has(*AMOUNT_LITERALS) & scanned.text.rlike("[0-9]")
     parsed = [
         F.replace(F.regexp_extract(scanned.text, _FLAGS + pattern, 1), F.lit(","), F.lit("")).try_cast("double")
         for pattern in AMOUNT_PATTERNS

@@ -41,6 +41,10 @@ def train(cases: DataFrame, as_of, effort: float = 1.0) -> PriorityModel:
             GBTRegressor(maxIter=max(2, round(300 * effort)), maxDepth=4, stepSize=0.06, subsamplingRate=0.9, seed=SEED),
         ]
     )
-    model = pipe.fit(fit_rows.select("id", "label", *PRIORITY_FEATURES).persist())
+    prepared = fit_rows.select("id", "label", *PRIORITY_FEATURES).persist()
+    try:
+        model = pipe.fit(prepared)
+    finally:
+        prepared.unpersist()
     quality = regression(model.transform(test_rows), "label", "prediction").first()
     return PriorityModel(model, quality["mae"], quality["r2"])

@@ -68,7 +68,7 @@ def _search_cell(k: int, earlier: bool):
         vectors = np.stack(cell["embedding"].to_numpy()).astype(np.float64)
         vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
         copies = pd.factorize(cell["copy_key"])[0]
-        sides = cell["side"].to_numpy()
+        sides, asks = cell["side"].to_numpy(), cell["asks"].to_numpy()
         bounds = np.flatnonzero(np.r_[True, (cell["customer_name"] != cell["customer_name"].shift()).to_numpy()[1:], True])
         for low, high in zip(bounds[:-1], bounds[1:]):
             rows = np.arange(low, high)
@@ -78,6 +78,9 @@ def _search_cell(k: int, earlier: bool):
             if len(parts) == 1 and cell["lo"].iat[low] != cell["hi"].iat[low]:
                 continue
             for q, c in jobs:
+                q = q[asks[q]]
+                if not len(q):
+                    continue
                 found, score = _best(vectors[q], vectors[c], q, c, copies[q], copies[c], k, earlier)
                 row, slot = np.nonzero(found >= 0)
                 if len(row):
@@ -115,6 +118,7 @@ def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str
         "customer_name",
         F.col(order).cast("bigint").alias("ord"),
         F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256).alias("copy_key"),
+        (F.col("asks") if "asks" in vectors.columns else F.lit(True)).alias("asks"),
     )
     group = ["customer_name", "copy_key"]
     place = F.row_number().over(Window.partitionBy(*group).orderBy("ord", "id"))
@@ -154,11 +158,11 @@ def _placed(heads: DataFrame, embedded: DataFrame, block_rows: int) -> DataFrame
         F.concat(F.lit("~"), F.pmod(F.xxhash64("customer_name"), bundles).cast("string"))
     )
     narrow = sized.select(
-        "id", "customer_name", "ord", "copy_key", "_blocks", own.alias("side"), cell.alias("cell")
+        "id", "customer_name", "ord", "copy_key", "asks", "_blocks", own.alias("side"), cell.alias("cell")
     )
     every = narrow.join(embedded, "id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
     return every.select(
-        "id", "customer_name", "ord", "copy_key", "embedding", "side", "cell",
+        "id", "customer_name", "ord", "copy_key", "asks", "embedding", "side", "cell",
         F.least("side", "_other").alias("lo"),
         F.greatest("side", "_other").alias("hi"),
     )
@@ -173,7 +177,7 @@ def _beyond(keyed: DataFrame, heads: DataFrame, full: DataFrame, group: list[str
     weights = keyed.groupBy(*group).agg(F.count("*").alias("_w")).where(F.col("_w") > k + 1)
     whole = F.concat_ws("\u0001", *group)
     per_group = first_k.join(weights, group).select(whole.alias("_group"), "_first", "_w")
-    late = keyed.select("id", whole.alias("_group")).join(heads.select("id"), "id", "left_anti")
+    late = keyed.where("asks").select("id", whole.alias("_group")).join(heads.select("id"), "id", "left_anti")
     answers = attach_by_key(late, per_group, "_group", "_w", "id").select("id", F.inline("_first"))
     return answers.select(
         "id", "neighbour", F.lit(2 * 10 ** _DIGITS).cast("long").alias("score"), "neighbour_ord"

@@ -134,35 +134,33 @@ def with_drafts(cases: DataFrame, days: Column) -> DataFrame:
     return cases.withColumn("draft_response", F.when(F.col("duplicate_of").isNull(), reply))
 
 
-def allocate_ids(new: DataFrame, start_after: Column | int, key: str, date_col: str = "date",
+def allocate_ids(new: DataFrame, start_after: Column | int, key: str, as_of, date_col: str = "date",
                  prefix: str = "UBI-") -> DataFrame:
-    """Consecutive ids in (date, digest of key, key) order, without a window over the whole table.
+    """Consecutive ids in (date, digest of key, key) order; a missing filing date becomes `as_of`.
 
-    Rows fall into 256 digest ranges per day. Ranges are numbered by a running sum over their counts (first
-    within the day, then over the days) and rows by `row_number` inside a range, so the largest task holds
-    1/256 of a day even when every row was filed on the same day.
+    No window runs over the whole table. Rows fall into 256 digest ranges per day. Ranges are numbered by a running
+    sum over their counts (first within the day, then over the days) and rows by `row_number` inside a range, so the
+    largest task holds 1/256 of a day even when every row was filed on the same day. The numbering and the join
+    with the offsets use the same partitioning, so the rows are shuffled once.
     """
+    dated = new.withColumn(date_col, F.coalesce(F.col(date_col), F.lit(str(as_of)).cast("date")))
     digest = F.md5(F.col(key).cast("string"))
-    ranged = new.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, 2))
-    counts = ranged.groupBy(date_col, "_range").agg(F.count("*").alias("_n"))
+    ranged = dated.withColumn("_digest", digest).withColumn("_range", F.substring("_digest", 1, 2))
+    part = [date_col, "_range"]
+    counts = ranged.groupBy(*part).agg(F.count("*").alias("_n"))
     within = counts.withColumn(
-        "_before",
-        F.sum("_n").over(Window.partitionBy(date_col).orderBy("_range")) - F.col("_n"),
+        "_before", F.sum("_n").over(Window.partitionBy(date_col).orderBy("_range")) - F.col("_n")
     )
     per_day = counts.groupBy(date_col).agg(F.sum("_n").alias("_day_n"))
     # One row per calendar day: the only unpartitioned window, over a table of days.
-    day_start = per_day.withColumn(
-        "_day_before", F.sum("_day_n").over(Window.orderBy(F.col(date_col).asc_nulls_first())) - F.col("_day_n")
-    ).select(F.col(date_col).alias("_d"), "_day_before")
-    offsets = within.join(day_start, F.col(date_col).eqNullSafe(F.col("_d"))).select(
-        F.col(date_col).alias("_od"), F.col("_range").alias("_or"), (F.col("_before") + F.col("_day_before")).alias("_offset")
+    day_start = per_day.select(
+        date_col, (F.sum("_day_n").over(Window.orderBy(date_col)) - F.col("_day_n")).alias("_day_before")
     )
-    position = F.row_number().over(Window.partitionBy(date_col, "_range").orderBy("_digest", key))
+    offsets = within.join(day_start, date_col).select(*part, (F.col("_before") + F.col("_day_before")).alias("_offset"))
+    position = F.row_number().over(Window.partitionBy(*part).orderBy("_digest", key))
     base = start_after if isinstance(start_after, Column) else F.lit(start_after)
-    numbered = (
-        ranged.withColumn("_pos", position)
-        .join(offsets, F.col(date_col).eqNullSafe(F.col("_od")) & (F.col("_range") == F.col("_or")))
-        .withColumn("_number", base + F.col("_offset") + F.col("_pos"))
+    numbered = ranged.withColumn("_pos", position).join(offsets, part).withColumn(
+        "_number", base + F.col("_offset") + F.col("_pos")
     )
     width = F.greatest(F.lit(4), F.char_length(F.col("_number").cast("string")))
     return numbered.select(

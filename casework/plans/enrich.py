@@ -39,12 +39,26 @@ def classified(cases: DataFrame) -> DataFrame:
 
 
 def with_duplicates(labelled: DataFrame, cases: DataFrame, threshold: float = duplicates.DUPLICATE_THRESHOLD,
-                    mode: str = "earlier", **search) -> DataFrame:
-    """J2 on the cases that carry a vector; the others have no original."""
-    indexed = cases.where(F.col("embedding").isNotNull() & F.col("customer_name").isNotNull()).select(
-        "id", "customer_name", "embedding", F.unix_date("date").alias("filed_on")
+                    mode: str = "earlier", known: DataFrame | None = None, **search) -> DataFrame:
+    """J2 on the cases that carry a vector; the others have no original.
+
+    Cases in `known` are candidates and count as earlier than every new one; only those of customers with a new
+    case are read into the search.
+    """
+    def indexed(rows: DataFrame) -> DataFrame:
+        return rows.where(F.col("embedding").isNotNull() & F.col("customer_name").isNotNull())
+
+    vectors = indexed(cases).select(
+        "id", "customer_name", "embedding", (F.unix_date("date") + 1_000_000).alias("turn"), F.lit(True).alias("asks")
     )
-    best = duplicates.detect(indexed, threshold, mode=mode, order="filed_on", **search)
+    if known is not None:
+        concerned = vectors.select("customer_name").distinct()
+        vectors = vectors.unionByName(
+            indexed(known).join(concerned, "customer_name", "left_semi").select(
+                "id", "customer_name", "embedding", F.lit(0).alias("turn"), F.lit(False).alias("asks")
+            )
+        )
+    best = duplicates.detect(vectors, threshold, mode=mode, order="turn", **search)
     found = labelled.drop("duplicate_of", "similarity").join(best, "id", "left")
     return found.withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
@@ -87,17 +101,27 @@ def with_priority(cases: DataFrame, as_of, counted: bool = False) -> DataFrame:
     return rows.withColumn("priority_score", F.bround(score, 0).cast("int")).drop("customer_complaint_count")
 
 
+_HISTORY = ("customer_name", "category", "sentiment", "status", "channel")
+
+
 def enrich(cases: DataFrame, as_of, threshold: float = duplicates.DUPLICATE_THRESHOLD, mode: str = "earlier",
-           draft: bool = True, **search) -> DataFrame:
+           draft: bool = True, known: DataFrame | None = None, **search) -> DataFrame:
     """L1: the enriched columns by id, without the text and the vector.
 
-    History counts come from the enriched batch itself, each case included.
+    History counts come from the enriched batch itself, each case included, and from the stored cases in `known`
+    (which must not hold the batch's ids).
     """
     labelled = classified(cases).drop("complaint_text", "embedding")
-    decided = with_resolution(
-        with_sla(with_duplicates(labelled, cases, threshold, mode, **search)), as_of, draft
+    decided = cut_lineage(
+        with_resolution(with_sla(with_duplicates(labelled, cases, threshold, mode, known, **search)), as_of, draft)
     )
-    joined = history.with_history(cut_lineage(decided)).withColumn(
+    past = None
+    if known is not None:
+        named = F.coalesce("customer_name", F.lit(""))
+        concerned = decided.select(named.alias("_concerned")).distinct()
+        stored = known.join(concerned, named == F.col("_concerned"), "left_semi").select(*_HISTORY)
+        past = decided.select(*_HISTORY).unionByName(stored)
+    joined = history.with_history(decided, past).withColumn(
         "customer_complaint_count", F.when(F.col("customer_name").isNotNull(), F.col("filed"))
     )
     return with_priority(history.scored(joined), as_of, counted=True)

@@ -80,7 +80,7 @@ def conform(spark, folder):
 SELECT id, date, 'UBI-' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS new_id FROM (
   SELECT id, date, 500 + ROW_NUMBER() OVER (ORDER BY date, md5(CAST(id AS VARCHAR)), id) AS n FROM cases)""")
 def allocate_ids(spark, folder):
-    return store.allocate_ids(cases(spark, folder, "id", "date"), 500, "id")
+    return store.allocate_ids(cases(spark, folder, "id", "date"), 500, "id", AS_OF)
 
 
 @query("c9_dangling_references", over(CASES) + """

@@ -12,10 +12,12 @@ from casework import schemas
 from casework.operators import kpi, store
 from casework.operators.strikes import STRIKES_TO_BLOCK
 from casework.plans import enrich as plan
+from casework.session import cut_lineage
 from casework.sources import mail
 
 FILES_PER_TRIGGER = 5
 POLL = "30 seconds"
+_RAW = (*schemas.RAW_CASE.names, "embedding")
 
 
 def mail_source(spark: SparkSession, folder: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
@@ -41,32 +43,33 @@ def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
         return like.limit(0)
 
 
-def append_new(batch: DataFrame, path: str, key: str = "id") -> None:
-    """A5 as an append: rows whose id the table lacks. A replayed trigger finds its ids and adds nothing."""
-    spark = batch.sparkSession
-    known = _stored(spark, path, batch).select(key)
-    fresh = store.first_per_key(batch.where(F.col(key).isNotNull()), key, ["date"])
-    fresh.join(known, key, "left_anti").write.mode("append").parquet(path)
+def unseen(batch: DataFrame, path: str, key: str = "id") -> DataFrame:
+    """A5 for a micro-batch: one row per id the table lacks. A replayed trigger finds its ids and adds nothing."""
+    known = _stored(batch.sparkSession, path, batch).select(key)
+    return store.first_per_key(batch.where(F.col(key).isNotNull()), key, ["date"]).join(known, key, "left_anti")
 
 
 def start_mail_ingest(mails: DataFrame, table: str, quarantine: str, checkpoint: str, as_of, trigger: dict | None = None,
                       enrich: bool = True) -> StreamingQuery:
     """I1 + I2: each trigger turns its mail into enriched cases, once per mail id.
 
-    Broken lines go to `quarantine`, so one bad record neither blocks the stream nor is read again. The streaming
+    New cases are compared with the stored ones and share their customers' histories. Broken lines go to `quarantine`, so one bad record neither blocks the stream nor is read again. The streaming
     checkpoint takes the place of the "seen" mark.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            batch.where(F.col("_broken").isNotNull()).select("_broken").withColumn("batch_id", F.lit(batch_id)).write.mode(
-                "append"
-            ).json(quarantine)
-            cases = mail.normalise(batch.where(F.col("_broken").isNull()), as_of).withColumnRenamed("mail_id", "id")
+            broken = batch.where(F.col("_broken").isNotNull()).select("_broken")
+            broken.withColumn("batch_id", F.lit(batch_id)).write.mode("append").json(quarantine)
+            raw = mail.normalise(batch.where(F.col("_broken").isNull()), as_of).withColumnRenamed("mail_id", "id")
+            fresh = unseen(schemas.conform(raw, schemas.CASE), table)
             if enrich:
-                done = plan.enrich(cases.withColumn("embedding", F.lit(None).cast("array<float>")), as_of)
-                cases = done.join(cases.select("id", "complaint_text"), "id")
-            append_new(schemas.conform(cases, schemas.CASE), table)
+                fresh = cut_lineage(fresh)
+                known = _stored(batch.sparkSession, table, fresh)
+                kept = fresh.select("id", "complaint_text", "embedding")
+                done = plan.enrich(fresh.select(*_RAW), as_of, known=known)
+                fresh = schemas.conform(done.join(kept, "id"), schemas.CASE)
+            fresh.write.mode("append").parquet(table)
         finally:
             batch.unpersist()
 

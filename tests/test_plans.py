@@ -81,3 +81,17 @@ def test_remix_caps_and_repeats(spark):
     assert moved <= 50 and out.where("complaint_text like '%{%}%'").count() == 0
     assert out.where("status = 'open' and resolved_at is not null").count() == 0
     assert out.where("resolved_at < date or resolved_at > date '2026-05-29'").count() == 0
+
+
+def test_known_cases_are_candidates_and_history(spark):
+    schema = "id int, customer_name string, channel string, complaint_text string, date date, amount_involved double, embedding array<float>"
+    old = spark.createDataFrame([(1, "C", "email", "atm", dt.date(2001, 7, 20), None, [1.0, 0.0]),
+                                 (9, "Z", "email", "atm", dt.date(2001, 7, 20), None, [1.0, 0.0])], schema)
+    new = spark.createDataFrame([(2, "C", "email", "loan", dt.date(2001, 7, 1), None, [1.0, 0.0]),
+                                 (3, None, "email", "loan", dt.date(2001, 7, 1), None, None)], schema)
+    stored = enrich.enrich(old, AS_OF).join(old.select("id", "embedding"), "id")
+    got = {r["id"]: r for r in enrich.enrich(new, AS_OF, known=stored).collect()}
+    assert set(got) == {2, 3}
+    # The stored case was filed later but indexed first. History: two cases, one open, two categories.
+    assert (got[2]["duplicate_of"], got[2]["risk_churn"]) == (1, 12 + 5 + 12)
+    assert got[3]["risk_churn"] == 6 + 5 + 6

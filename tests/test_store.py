@@ -68,7 +68,7 @@ def test_ids_are_consecutive_even_for_one_hot_day(spark):
     rows = spark.range(5000).select(
         "id", F.when(F.col("id") % 3 == 0, F.lit("2026-01-02")).otherwise(F.date_add(F.lit("2026-01-01").cast("date"), (F.col("id") % 9).cast("int"))).cast("date").alias("date")
     )
-    got = store.allocate_ids(rows, 9_990, "id").select("new_id", "date").collect()
+    got = store.allocate_ids(rows, 9_990, "id", "2026-01-03").select("new_id", "date").collect()
     numbers = sorted(int(r["new_id"].removeprefix("UBI-")) for r in got)
     assert numbers == list(range(9_991, 14_991))
     by_number = sorted(got, key=lambda r: int(r["new_id"][4:]))
@@ -77,8 +77,9 @@ def test_ids_are_consecutive_even_for_one_hot_day(spark):
 
 def test_ids_start_after_the_highest_suffix(spark):
     stored = spark.createDataFrame([("UBI-0007",), ("PORTAL-AB",), ("UBI-0003",)], "id string")
-    new = spark.createDataFrame([("x", "2026-01-01")], "raw string, date string")
-    assert store.allocate_ids(new, store.last_number(stored), "raw").first()["new_id"] == "UBI-0008"
+    new = spark.createDataFrame([("x", None)], "raw string, date date")
+    row = store.allocate_ids(new, store.last_number(stored), "raw", "2026-01-01").first()
+    assert (row["new_id"], row["date"]) == ("UBI-0008", dt.date(2026, 1, 1))
 
 
 def test_dangling_references_count_their_rows(spark):
