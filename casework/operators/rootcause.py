@@ -116,6 +116,17 @@ def alerts(labelled: DataFrame) -> DataFrame:
     ).orderBy(F.col("count").desc(), F.col("category_share").desc(), "cluster_id")
 
 
+def numbered(found: DataFrame, created_at) -> DataFrame:
+    """Alerts as stored rows. At most one alert per cluster, so the window holds a dozen rows."""
+    position = F.row_number().over(
+        Window.orderBy(F.col("count").desc(), F.col("category_share").desc(), "cluster_id")
+    )
+    return found.select(
+        position.cast("bigint").alias("id"), "cluster_id", "category", "location", "count", "summary",
+        F.lit(str(created_at)).cast("timestamp_ntz").alias("created_at"),
+    )
+
+
 def detect(vectors: DataFrame, k: int = MAX_CLUSTERS, restarts: int = RESTARTS) -> DataFrame:
     """J4-J5 end to end; an empty alert table below five vectors."""
     labelled = assign_clusters(vectors, k, restarts)

@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from casework.queries import (  # noqa: F401
+    io_queries,
     model_queries,
     report_queries,
     store_queries,
