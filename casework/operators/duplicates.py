@@ -26,14 +26,14 @@ from casework.session import cut_lineage
 DUPLICATE_THRESHOLD = 0.78
 TOP_K = 5
 BLOCK_ROWS = 8192
-_DIGITS = 6
+_DIGITS = 9
 _CHUNK = 1024
 
 
 def _best(queries, candidates, query_pos, candidate_pos, query_copy, candidate_copy, k, earlier):
     """Positions and scores of the k best candidates per query, -1 where fewer exist.
 
-    Scores are whole millionths so that equal similarities tie exactly; copies score above 1.
+    Scores are whole billionths so that equal similarities tie exactly; copies score above 1.
     """
     scale = 10 ** _DIGITS
     span = len(candidate_pos) + len(query_pos) + 1

@@ -62,7 +62,7 @@ def report_json(spark, folder):
 
 
 @query("a9_alert_table", over(VECTORS, CLUSTERED) + """
-SELECT ROW_NUMBER() OVER (ORDER BY count DESC, category_share DESC, cluster_id) AS id, cluster_id, category, count
+SELECT ROW_NUMBER() OVER (ORDER BY count DESC, rounded DESC, cluster_id) AS id, cluster_id, category, count
 FROM (SELECT *, round(category_share, 2) AS rounded FROM prof WHERE count >= 5 AND category_share >= 0.6) ORDER BY 1 DESC LIMIT 20""")
 def alert_table(spark, folder):
     """The alert table is written and its latest rows are read back."""

@@ -22,7 +22,7 @@ def _ranked_sql(condition: str) -> str:
 ranked AS (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY copy DESC, similarity DESC, neighbour) AS rank FROM (
     SELECT a.id, b.id AS neighbour, a.embedding = b.embedding AS copy,
-      CASE WHEN a.embedding = b.embedding THEN 1.0::DOUBLE ELSE round({SIM_SQL}, 6) END AS similarity
+      CASE WHEN a.embedding = b.embedding THEN 1.0::DOUBLE ELSE round({SIM_SQL}, 9) END AS similarity
     FROM vectors a JOIN vectors b ON a.customer_name = b.customer_name AND {condition}))"""
 
 
@@ -150,7 +150,7 @@ labelled AS (SELECT *, {KEYWORD_SQL} AS cat, {SEVERITY_SQL} AS sev, {SENTIMENT_S
 dups AS (SELECT id, neighbour, similarity FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY id ORDER BY similarity DESC, odate, neighbour) AS rn FROM (
     SELECT a.id, b.id AS neighbour, b.date AS odate,
-      round({SIM_SQL}, 6) AS similarity
+      round({SIM_SQL}, 9) AS similarity
     FROM base a JOIN base b ON a.customer_name = b.customer_name AND a.embedding IS NOT NULL AND b.embedding IS NOT NULL
       AND (b.date, b.id) < (a.date, a.id))) WHERE rn = 1 AND similarity > 0),
 decided AS (SELECT l.*, CASE WHEN similarity >= 0.30 THEN neighbour END AS duplicate_of, round(COALESCE(similarity, 0), 4) AS sim,

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import sys
 import time
 
+from pyspark.sql import SparkSession
+
 from casework.queries import ORACLES, QUERIES
 from casework.session import get_session
 from tests.oracle import compare, connect
@@ -14,7 +17,12 @@ def main() -> int:
     scale = sys.argv[1] if len(sys.argv) > 1 else "0.01"
     parts = sys.argv[2:]
     folder = f"/root/testdata/sf{scale}"
-    spark = get_session("oracle", 8, 8)
+    if os.environ.get("PLAIN_SESSION"):
+        # A session with Spark's own defaults, as a foreign driver would pass it.
+        spark = SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false").getOrCreate()
+        spark.sparkContext.setLogLevel("ERROR")
+    else:
+        spark = get_session("oracle", 8, 8)
     con = connect(folder)
     failed = 0
     for name, fn in QUERIES.items():

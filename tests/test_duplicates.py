@@ -21,7 +21,7 @@ def brute(rows, k, earlier):
             if earlier and (theirs_order, oid) > (order, cid):
                 continue
             copy = vector == theirs
-            similarity = 1.0 if copy else round(float(units[cid] @ units[oid]), 6)
+            similarity = 1.0 if copy else round(float(units[cid] @ units[oid]), 9)
             scored.append((not copy, -similarity, theirs_order, oid))
         out[cid] = [(oid, -s) for _, s, _, oid in sorted(scored)[:k]]
     return out
@@ -48,8 +48,8 @@ def test_matches_brute_force(spark, mode, copies, block_rows):
     found = duplicates.neighbours(df, 3, mode, "filed", block_rows).collect()
     got: dict = {}
     for r in sorted(found, key=lambda r: (r["id"], r["rank"])):
-        got.setdefault(r["id"], []).append((r["neighbour"], round(r["similarity"], 6)))
-    want = {i: [(o, round(s, 6)) for o, s in n] for i, n in brute(rows, 3, mode == "earlier").items() if n}
+        got.setdefault(r["id"], []).append((r["neighbour"], round(r["similarity"], 9)))
+    want = {i: [(o, round(s, 9)) for o, s in n] for i, n in brute(rows, 3, mode == "earlier").items() if n}
     assert got == want
 
 
