@@ -14,6 +14,8 @@ Exact copies rank before other neighbours; ties go to the earlier case, then the
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -102,7 +104,7 @@ def _search_cell(k: int, earlier: bool):
 
 
 def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str = "id",
-               block_rows: int = BLOCK_ROWS) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, exclude: Sequence[str] = ()) -> DataFrame:
     """The k nearest vectors of the same customer: id, neighbour, similarity, rank.
 
     `vectors` has id, customer_name, embedding and the bigint column `order`. `mode='earlier'` compares a case
@@ -112,6 +114,8 @@ def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str
         raise ValueError(f"unknown mode: {mode}")
     length = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     usable = vectors.where(F.col("customer_name").isNotNull() & (length > 0))
+    if exclude:
+        usable = usable.where(~F.col("customer_name").isin(*exclude))
     # Narrow rows first: the vectors themselves are shuffled only for the comparison.
     keyed = usable.select(
         "id",

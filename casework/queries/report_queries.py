@@ -25,6 +25,7 @@ FROM cases"""
 
 @query("l5_compliance_report", REPORT_SQL)
 def compliance_report(spark, folder):
+    """H18, H19 and H20."""
     wanted = ("id", "customer_name", "category", "severity", "channel", "date", "sla_due_date", "sla_breach_prob",
               "status", "duplicate_of")
     return report.compliance_report(cases(spark, folder, *wanted), AS_OF)

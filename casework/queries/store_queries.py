@@ -15,6 +15,7 @@ from casework.sources.views import AS_OF, cases, table
 @query("a2_scan", over(CASES) + """
 SELECT id, date, channel, amount_involved FROM cases WHERE amount_involved >= 100000 ORDER BY date DESC, id DESC""")
 def scan(spark, folder):
+    """Also F1."""
     return store.scan(cases(spark, folder, "id", "date", "channel", "amount_involved"), F.col("amount_involved") >= 100000)
 
 

@@ -58,6 +58,7 @@ def test_threshold_and_zero_vectors(spark):
     df = spark.createDataFrame(rows, "id int, customer_name string, embedding array<float>")
     got = {r["id"]: (r["duplicate_of"], r["similarity"]) for r in duplicates.detect(df).collect()}
     assert got == {1: (2, 0.8), 2: (1, 0.8), 3: (None, 0.6), 4: (None, 0.0), 5: (None, 0.0), 6: (None, 0.0)}
+    assert duplicates.neighbours(df, exclude=["A"]).count() == 0
     only_earlier = {r["id"]: r["duplicate_of"] for r in duplicates.detect(df, mode="earlier").collect()}
     assert only_earlier[1] is None and only_earlier[2] == 1
 
