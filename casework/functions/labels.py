@@ -14,6 +14,7 @@ SCORER_BUCKET = {
     "LABEL_2": "positive", "LABEL_1": "neutral", "LABEL_0": "negative",
 }
 REFERENCE_PREFIX = "UBI/"
+REPLY_SUBJECT = "Update regarding your complaint %s - Union Bank of India"
 REPLY_TEMPLATE = (
     "Dear %s,\n\n"
     "Thank you for contacting Union Bank of India regarding your %s concern. "
@@ -71,6 +72,11 @@ def standard_reply(case_id: Column, customer_name: Column, category: Column, day
     return F.concat(*parts)
 
 
+def reply_subject(case_id: Column) -> Column:
+    before, after = REPLY_SUBJECT.split("%s")
+    return F.concat(F.lit(before), case_id.cast("string"), F.lit(after))
+
+
 def iso_instant(instant: Column) -> Column:
     """Second precision with a trailing Z; the input is UTC wall-clock time."""
     return F.date_format(instant.cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss'Z'")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from casework import schemas
-from casework.functions.labels import standard_reply
+from casework.functions.labels import reply_subject, standard_reply
 from casework.operators.skew import attach_by_key
 
 
@@ -122,8 +122,7 @@ def outbox(cases: DataFrame, users: DataFrame, portal_channels: Sequence[str] =
     return joined.select(
         "id",
         address.alias("to_email"),
-        F.concat(F.lit("Update regarding your complaint "), F.col("id").cast("string"), F.lit(" - Union Bank of India"))
-        .alias("subject"),
+        reply_subject(F.col("id")).alias("subject"),
         F.col("draft_response").alias("body"),
     ).where(F.col("to_email").isNotNull())
 

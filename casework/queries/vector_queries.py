@@ -48,14 +48,15 @@ def detect_earlier(spark, folder):
     return duplicates.detect(rows, THRESHOLD, mode="earlier")
 
 
-@query("h36_vector_text", "SELECT vec_id, len(embedding) AS dims, round(list_sum(embedding::DOUBLE[]), 3) AS total FROM embeddings")
+@query("h36_vector_text", """
+SELECT vec_id, len(embedding) AS dims, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM embeddings""")
 def vector_text(spark, folder):
     rows = views.table(spark, folder, "embeddings").select(
         "vec_id", F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), ", "), F.lit("]")).alias("t")
     )
     parsed = rows.select("vec_id", vec.parse_vector(F.col("t")).alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return parsed.select("vec_id", F.size("v").alias("dims"), F.round(total, 3).alias("total"))
+    ends = {"first": F.element_at("v", 1), "last": F.element_at("v", -1)}
+    return parsed.select("vec_id", F.size("v").alias("dims"), *[v.cast("double").alias(n) for n, v in ends.items()])
 
 
 @query("c3_block_sizes", over(VECTORS) + "SELECT customer_name, COUNT(*) AS vectors, 1 AS cells FROM vectors GROUP BY 1")
