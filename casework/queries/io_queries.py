@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from casework import schemas
 from casework.functions import text
 from casework.operators import duplicates, kpi, rootcause, store, strikes
-from casework.queries.base import CASES, VECTORS, over, query
+from casework.queries.base import VECTORS, over, query
 from casework.queries.report_queries import REPORT_SQL, compliance_report
 from casework.queries.text_queries import KEYWORD_SQL, MAILS, SENTIMENT_SQL
 from casework.queries.vector_queries import CLUSTERED, _labelled

@@ -145,8 +145,8 @@ def histories(spark, folder):
 
 
 RISK_SQL = over(CASES, HISTORY) + """
-SELECT id, GREATEST(0, LEAST(100, o)) AS risk_ombudsman, GREATEST(0, LEAST(100, c)) AS risk_churn,
-  GREATEST(0, LEAST(100, s)) AS risk_social,
+SELECT id, CAST(GREATEST(0, LEAST(100, o)) AS INTEGER) AS risk_ombudsman, CAST(GREATEST(0, LEAST(100, c)) AS INTEGER) AS risk_churn,
+  CAST(GREATEST(0, LEAST(100, s)) AS INTEGER) AS risk_social,
   GREATEST(0, LEAST(100, CAST(round_even(0.45::DOUBLE * o + 0.30::DOUBLE * c + 0.25::DOUBLE * s, 0) AS INTEGER))) AS risk_score
 FROM (SELECT id,
   CAST(round_even(COALESCE(sla_breach_prob, 0) * 40::DOUBLE, 0) AS INTEGER)
@@ -300,7 +300,7 @@ def strikes_per_day(spark, folder):
 
 
 @query("e5_recent_strikes", over(STRIKES) + """
-SELECT account_number, id, rn AS rank FROM (
+SELECT account_number, id, CAST(rn AS INTEGER) AS rank FROM (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY account_number ORDER BY created_at DESC, id DESC) AS rn FROM strikes) WHERE rn <= 20""")
 def recent_strikes(spark, folder):
     return strikes.recent(views.strikes(spark, folder)).select("account_number", "id", "rank")

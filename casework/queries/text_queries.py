@@ -116,7 +116,7 @@ def canonical_labels(spark, folder):
 
 
 @query("h10_h11_text_features", r"""
-SELECT doc_id, length(text) AS chars, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS words,
+SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS INTEGER) AS words,
   CAST(regexp_matches(lower(text), 'unauthor|fraud|stolen|hack|scam|stuck|debited') AS INTEGER) AS fraud FROM documents""")
 def text_features(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("lowered", F.lower("text"))
@@ -126,7 +126,7 @@ def text_features(spark, folder):
 
 
 @query("h12_h13_filing_features", over(CASES) + """
-SELECT id, isodow(date) - 1 AS weekday, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS weekend,
+SELECT id, CAST(isodow(date) - 1 AS INTEGER) AS weekday, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS weekend,
   CAST(DATE '2001-08-01' - date AS DOUBLE) * 24 AS hours,
   round(CAST(DATE '2001-08-01' - date AS DOUBLE) * 24 / (sla_days * 24.0::DOUBLE), 6) AS share FROM cases""")
 def filing_features(spark, folder):
@@ -239,7 +239,7 @@ _KINDS = list(pii.RULES)
 
 
 @query("p5_identifier_counts", f"""
-SELECT kind, SUM(n) AS identifiers FROM (
+SELECT kind, SUM(n)::BIGINT AS identifiers FROM (
   SELECT unnest({_KINDS}) AS kind, unnest([{", ".join(f"len(regexp_extract_all(m, 'PII_{k}'))" for k in _KINDS)}]) AS n
   FROM (SELECT {_masked_sql('text')} AS m FROM documents)) GROUP BY 1""")
 def identifier_counts(spark, folder):

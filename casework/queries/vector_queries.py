@@ -27,7 +27,7 @@ ranked AS (
 
 
 @query("e3_neighbours", over(VECTORS, _ranked_sql("a.id <> b.id")) + """
-SELECT id, neighbour, similarity, rank FROM ranked WHERE rank <= 5""")
+SELECT id, neighbour, similarity, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5""")
 def neighbours(spark, folder):
     """The five nearest vectors of the same customer."""
     return duplicates.neighbours(views.vectors(spark, folder).select("id", "customer_name", "embedding"))
@@ -49,7 +49,7 @@ def detect_earlier(spark, folder):
 
 
 @query("h36_vector_text", """
-SELECT vec_id, len(embedding) AS dims, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM embeddings""")
+SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dims, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[-1] AS DOUBLE) AS last FROM embeddings""")
 def vector_text(spark, folder):
     rows = views.table(spark, folder, "embeddings").select(
         "vec_id", F.concat(F.lit("["), F.array_join(F.col("embedding").cast("array<string>"), ", "), F.lit("]")).alias("t")
@@ -59,7 +59,7 @@ def vector_text(spark, folder):
     return parsed.select("vec_id", F.size("v").alias("dims"), *[v.cast("double").alias(n) for n, v in ends.items()])
 
 
-@query("c3_block_sizes", over(VECTORS) + "SELECT customer_name, COUNT(*) AS vectors, 1 AS cells FROM vectors GROUP BY 1")
+@query("c3_block_sizes", over(VECTORS) + "SELECT customer_name, COUNT(*) AS vectors, 1::BIGINT AS cells FROM vectors GROUP BY 1")
 def block_sizes(spark, folder):
     return duplicates.block_sizes(views.vectors(spark, folder))
 
@@ -177,7 +177,7 @@ scores AS (SELECT final.*, filed,
 
 ENRICH_SELECT = """
 SELECT id, cat AS category, sev AS severity, sent AS sentiment, duplicate_of, sim AS similarity, date + days AS sla_due_date, p AS sla_breach_prob, status,
-  LEAST(100, o) AS risk_ombudsman, LEAST(100, c) AS risk_churn, LEAST(100, s) AS risk_social,
+  CAST(LEAST(100, o) AS INTEGER) AS risk_ombudsman, CAST(LEAST(100, c) AS INTEGER) AS risk_churn, CAST(LEAST(100, s) AS INTEGER) AS risk_social,
   LEAST(100, CAST(round_even(0.45::DOUBLE * o + 0.30::DOUBLE * c + 0.25::DOUBLE * s, 0) AS INTEGER)) AS risk_score,
   CAST(round_even(GREATEST(0::DOUBLE, LEAST(100::DOUBLE, CASE sev WHEN 'Critical' THEN 3 WHEN 'High' THEN 2 WHEN 'Low' THEN 0 ELSE 1 END * 12
     + CASE sent WHEN 'Angry' THEN 3 WHEN 'Frustrated' THEN 2 WHEN 'Polite' THEN 0 ELSE 1 END * 7

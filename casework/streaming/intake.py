@@ -44,9 +44,14 @@ def _stored(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
 
 
 def unseen(batch: DataFrame, path: str, key: str = "id") -> DataFrame:
-    """A5 for a micro-batch: one row per id the table lacks. A replayed trigger finds its ids and adds nothing."""
-    known = _stored(batch.sparkSession, path, batch).select(key)
-    return store.first_per_key(batch.where(F.col(key).isNotNull()), key, ["date"]).join(known, key, "left_anti")
+    """A5 for a micro-batch: one row per id the table lacks. A replayed trigger finds its ids and adds nothing.
+
+    The batch is materialised first: its real size lets Spark filter the stored ids against it without shuffling
+    the table, and only ids of the batch take part in the final anti join.
+    """
+    fresh = cut_lineage(store.first_per_key(batch.where(F.col(key).isNotNull()), key, ["date"]))
+    stored = _stored(batch.sparkSession, path, batch).select(key).join(fresh.select(key), key, "left_semi")
+    return fresh.join(stored, key, "left_anti")
 
 
 def start_mail_ingest(mails: DataFrame, table: str, quarantine: str, checkpoint: str, as_of, trigger: dict | None = None,
