@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,3 +53,25 @@ def kind_count(spans: Column, kind: str) -> Column:
 
 def of_kinds(spans: Column, kinds: tuple[str, ...]) -> Column:
     return F.filter(spans, lambda s: s["kind"].isin(*kinds))
+
+
+#: Names of the three columns that tell the rows of a table apart; none of them is ever null.
+ROW = ("__no_id", "__id", "__digest")
+
+
+def row_key(key: str, text: str) -> list[Column]:
+    """Whether the row has an id, the id, and a digest of the text, which parts rows that share an id."""
+    number = F.col(key).cast("long")
+    return [
+        number.isNull().alias(ROW[0]), F.coalesce(number, F.lit(-(1 << 63))).alias(ROW[1]), F.xxhash64(text_of(text)).alias(ROW[2])
+    ]
+
+
+def row_id() -> Column:
+    """The id of a row that `row_key` names."""
+    return F.when(~F.col(ROW[0]), F.col(ROW[1]))
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` computed once, however often the body and lambdas inside it use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import chat, pii_scan, secret_scan, warc
+from casework.llm import chat, decontamination, licences, packing, pii_scan, quality, secret_scan, sharding, simhash, warc
 from casework.llm.common import kind_count, of_kinds, scratch, span_list, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -101,3 +102,108 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(spark, folder).select(
         F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
+
+
+@query("op2_simhash_pivots")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query("op6_vector_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(table(spark, sf_dir, "documents"))
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "tokens", F.col("digest").alias("group_digest"),
+    )
+
+
+@query("op8_sum_of_squares")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return placed.withColumnRenamed("id", "doc_id")
+
+
+OP7_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text FROM documents
+), words AS (
+  SELECT *, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM docs
+), numbered AS (
+  SELECT *, row_number() OVER () AS r FROM words
+), windows AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS v FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM numbered WHERE len(w) > 2)
+), twice AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, v) AS n FROM windows) WHERE n > 1
+), covered AS (
+  SELECT r, count(DISTINCT i + k) AS n FROM twice, (VALUES (0), (1), (2)) AS t(k) GROUP BY r
+), split_ AS (
+  SELECT host, text, unnest(string_split(regexp_replace(regexp_replace(lower(text), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), '[0-9]+', '0', 'g'), chr(10))) AS line,
+    generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM (SELECT DISTINCT host, text FROM docs)
+), trimmed AS (
+  SELECT host, text, pos, trim(line, ' ') AS line FROM split_ WHERE trim(line, ' ') <> ''
+), frequent AS (
+  SELECT t.host, t.line FROM (SELECT host, line, count(DISTINCT text) AS documents FROM trimmed GROUP BY host, line) t
+  JOIN (SELECT host, count(DISTINCT text) AS all_ FROM docs GROUP BY host) h ON t.host = h.host
+  WHERE t.documents > greatest(10.0, h.all_ * CAST(0.05 AS DOUBLE))
+), removed AS (
+  SELECT t.host, t.text, count(*) AS removed_lines, sum(len(t.line) - len(replace(t.line, ' ', '')) + 1) AS removed_words
+  FROM trimmed t JOIN frequent f ON t.host = f.host AND t.line = f.line GROUP BY t.host, t.text
+), counted AS (
+  SELECT n.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    length(regexp_replace(n.text, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+    coalesce(c.n, 0) AS n_repeat_words, coalesce(d.removed_lines, 0) AS removed_lines, CAST(coalesce(d.removed_words, 0) AS BIGINT) AS removed_words
+  FROM numbered n LEFT JOIN covered c ON n.r = c.r LEFT JOIN removed d ON n.host = d.host AND n.text = d.text
+), judged AS (
+  SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted
+)
+SELECT *, NOT base_failed AND NOT n_words - removed_words < n_words * CAST(0.5 AS DOUBLE) AS kept FROM judged
+"""
+
+
+@query("op7_line_frequency", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.verdicts(table(spark, sf_dir, "documents"))
+    return rows.drop(*quality.TEXT).withColumnRenamed("id", "doc_id")
+
+
+OP9_SQL = r"""
+WITH texts AS (
+  SELECT 'doc' AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 'item', item_id, text FROM benchmark
+), words AS (
+  SELECT kind, id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
+  FROM texts
+), shingles AS (
+  SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS s
+  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT id, count(*) AS item_shingles FROM shingles WHERE kind = 'item' GROUP BY id
+), shared AS (
+  SELECT d.id AS doc_id, i.id AS item_id, count(*) AS shared
+  FROM (SELECT * FROM shingles WHERE kind = 'doc') d JOIN (SELECT * FROM shingles WHERE kind = 'item') i ON d.s = i.s GROUP BY 1, 2
+)
+SELECT doc_id, item_id, shared, item_shingles, CAST(shared AS DOUBLE) / item_shingles AS containment
+FROM shared JOIN sizes ON item_id = id WHERE shared * 100 >= item_shingles * 80
+"""
+
+
+@query("op9_containment_search", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return pairs.withColumnsRenamed({"doc": "doc_id", "item": "item_id"})
+
+
+#: Where a document lies: source/language/block of a hundred; every tenth id of a folder is its licence file.
+DOC_PATH = """concat_ws('/', coalesce(source, ''), CASE WHEN doc_id % 1000 = 0 THEN 'LICENSE.' || doc_id
+  ELSE concat_ws('/', coalesce(lang, ''), CASE WHEN doc_id % 100 = 0 THEN 'LICENSE.' || doc_id
+  ELSE CAST(doc_id - doc_id % 100 AS STRING) || '/' || CASE WHEN doc_id % 10 = 0 THEN 'LICENSE.' || doc_id ELSE doc_id || '.txt' END END) END)"""
+
+
+@query("op1_licence_scan")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{DOC_PATH} AS path")
+    return licences.scan(files).withColumnRenamed("id", "doc_id")
