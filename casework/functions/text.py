@@ -57,6 +57,7 @@ HIGH_LITERALS = ("unauthor", "fraud", "stuck", "debit")
 ANGRY_LITERALS = ("unacceptable", "disgust", "outrage", "terrible", "worst", "!!")
 POLITE_LITERALS = ("kindly", "please", "would you", "appreciate", "sir/madam", "कृपया")
 AMOUNT_LITERALS = ("rs", "₹", "inr", "rupee", "/-")
+AMOUNT_NEAR = r"(?U)(?:rs\.?|₹|inr)\s*[0-9,]|[0-9,]\s*(?:rupee|/-)"
 ANGRY = r"unacceptable|disgust|outrage|terrible|worst|!!"
 POLITE = r"kindly|please|would you|appreciate|sir/madam|कृपया"
 FRAUD_KEYWORDS = ("unauthor", "fraud", "stolen", "hack", "scam", "stuck", "debited")
@@ -189,9 +190,9 @@ def language_tag(text: Column, mode: str = "reference") -> Column:
 def amount_from_text(scanned: Scan) -> Column:
     """H7: the first match of each pattern; an unreadable number falls through to the next pattern.
 
-    Without an ASCII digit no match is readable, so such a text has no amount.
+    One pass over the lower-cased text looks for a mark beside a number; most texts with a mark's letters have none.
     """
-    possible = scanned.has(*AMOUNT_LITERALS) & scanned.text.rlike("[0-9]")
+    possible = scanned.has(*AMOUNT_LITERALS) & (scanned.odd | scanned.lowered.rlike(AMOUNT_NEAR))
     parsed = [
         F.replace(F.regexp_extract(scanned.text, _FLAGS + pattern, 1), F.lit(","), F.lit("")).try_cast("double")
         for pattern in AMOUNT_PATTERNS

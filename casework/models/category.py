@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-import math
 import unicodedata
-from dataclasses import dataclass
-
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, IDFModel, NGram, Normalizer, RegexTokenizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from dataclasses import asdict, dataclass
+
+import numpy as np
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram, RegexTokenizer
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from casework.functions import labels
 from casework.functions.text import SCAN_COLUMNS, Scan, scan, sentiment_rule, weak_category
-from casework.models.split import holdout, with_balance
+from casework.models.split import MAX_LABELLED_ROWS, bounded, holdout, with_balance
+from casework.models.stored import read_facts, write_facts
 from casework.schemas import CATEGORIES
+from casework.session import table_path
 
 MAX_TERMS = 10000
 MIN_DOCS = 2
 INVERSE_PENALTY = 2.0
-LEAST_LABELLED = 100
 
 
 def _accent_tables() -> tuple[str, str]:
@@ -47,11 +47,6 @@ def without_accents(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), _ACCENTED, _PLAIN)
 
 
-@F.udf(VectorUDT())
-def _sublinear(counts):
-    return Vectors.sparse(counts.size, counts.indices, [1.0 + math.log(v) for v in counts.values])
-
-
 def _terms(rows: DataFrame, text: str) -> DataFrame:
     """Words of two or more characters and their pairs."""
     plain = rows.withColumn("_plain", without_accents(F.col(text)))
@@ -61,24 +56,57 @@ def _terms(rows: DataFrame, text: str) -> DataFrame:
     return out.withColumn("_terms", F.concat("_words", "_pairs")).drop("_plain", "_words", "_pairs")
 
 
+def _numbers(values: list[float]) -> Column:
+    """A constant array, folded once when the plan is made."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+
+
+def _entries(counts: str, idf: list[float]) -> Column:
+    """(i, w) of a count vector: w = (1 + ln(count)) * idf."""
+    vector = F.unwrap_udt(F.col(counts))
+    weights = _numbers(idf)
+    return F.zip_with(
+        vector["indices"], vector["values"],
+        lambda i, n: F.struct(i.alias("i"), ((1 + F.ln(n)) * F.get(weights, i)).alias("w")),
+    )
+
+
+def _total(entries: Column, value) -> Column:
+    return F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + value(e))
+
+
+def _length(entries: Column) -> Column:
+    return F.sqrt(_total(entries, lambda e: e["w"] * e["w"]))
+
+
 @dataclass
 class CategoryModel:
-    """TF-IDF with 1 + ln(tf), smoothed idf + 1 and unit length, then logistic regression."""
+    """TF-IDF with 1 + ln(tf), smoothed idf + 1 and unit length, then logistic regression.
 
-    vocabulary: PipelineModel
-    weighting: PipelineModel
-    classifier: LogisticRegressionModel
+    Everything is bounded by the vocabulary and the classes. Scoring is a sum of coefficient times weight per class, as Column
+    expressions on the row: no shuffle, no Python.
+    """
+
+    vocabulary: list[str]
+    idf: list[float]
+    coefficients: list[list[float]]
+    intercepts: list[float]
     classes: list[str]
     accuracy: float
     source: str
 
-    def _features(self, rows: DataFrame, text: str) -> DataFrame:
-        counted = self.vocabulary.transform(_terms(rows, text)).withColumn("_tf", _sublinear("_counts"))
-        return self.weighting.transform(counted).drop("_terms", "_counts", "_tf", "_weighted")
-
     def predict(self, rows: DataFrame, text: str = "complaint_text") -> DataFrame:
         """Best class, its probability and the whole distribution, rounded to four places."""
-        scored = self.classifier.transform(self._features(rows, text)).withColumn("_p", vector_to_array("probability"))
+        counter = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="_terms", outputCol="_counts")
+        counted = counter.transform(_terms(rows, text)).withColumn("_entries", _entries("_counts", self.idf))
+        counted = counted.withColumn("_length", F.greatest(_length(F.col("_entries")), F.lit(1e-300)))
+        margins = [
+            _total(F.col("_entries"), lambda e, c=_numbers(row): e["w"] * F.get(c, e["i"])) / F.col("_length") + F.lit(b)
+            for row, b in zip(self.coefficients, self.intercepts, strict=True)
+        ]
+        scored = counted.withColumn("_margins", F.array(*margins))
+        scored = scored.withColumn("_odds", F.transform("_margins", lambda m: F.exp(m - F.array_max("_margins"))))
+        scored = scored.withColumn("_p", F.transform("_odds", lambda o: o / F.aggregate("_odds", F.lit(0.0), lambda a, x: a + x)))
         names = F.array(*[F.lit(c) for c in self.classes])
         best = F.array_position("_p", F.array_max("_p")).cast("int")
         return scored.select(
@@ -88,53 +116,78 @@ class CategoryModel:
             F.map_from_arrays(names, F.transform("_p", lambda p: F.round(p, 4))).alias("ml_category_all"),
         )
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        write_facts(spark, asdict(self), path)
 
-def training_rows(cases: DataFrame, fallback: DataFrame, text: str = "complaint_text") -> tuple[DataFrame, str]:
-    """Labelled cases when there are at least a hundred, else rule labels on the raw text."""
-    known = cases.where(F.col("processed_at").isNotNull())
-    if known.limit(LEAST_LABELLED).count() >= LEAST_LABELLED:
-        usable = known.where(F.col(text).isNotNull() & F.col("category").isin(*CATEGORIES))
-        return usable.select("id", text, "category"), "labelled"
-    scanned_rows, scanned = scan(fallback, text)
-    return scanned_rows.select("id", text, weak_category(scanned).alias("category")), "weak labels"
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> CategoryModel:
+        return cls(**read_facts(spark, path))
 
 
-def fit(rows: DataFrame, source: str, text: str = "complaint_text", max_terms: int = MAX_TERMS, max_iter: int = 100) -> CategoryModel | None:
-    """K13. None when fewer than two classes occur. The class list is as small as the vocabulary."""
+def training_rows(cases: DataFrame, fallback: DataFrame, source: str, text: str = "complaint_text") -> DataFrame:
+    """`source` "labelled" takes the processed cases, "weak" rule labels on the raw text. The caller decides."""
+    if source == "labelled":
+        known = cases.where(F.col("processed_at").isNotNull())
+        return known.where(F.col(text).isNotNull() & F.col("category").isin(*CATEGORIES)).select("id", text, "category")
+    if source != "weak":
+        raise ValueError(f"unknown source: {source}")
+    scanned_rows, scanned = scan(fallback, text)
+    return scanned_rows.select("id", text, weak_category(scanned).alias("category"))
+
+
+def _prepared(counted: DataFrame, idf: list[float], terms: int) -> DataFrame:
+    """id, label, features: the entries as vectors. A vector's stored form is a struct, so the table that cuts the lineage is
+    written as structs and read as vectors."""
+    entries, length = F.col("_entries"), F.col("_length")
+    vector = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(terms).alias("size"), F.transform(entries, lambda e: e["i"]).alias("indices"),
+        F.transform(entries, lambda e: e["w"] / length).alias("values"),
+    )
+    rows = counted.select("id", "label", _entries("_counts", idf).alias("_entries"))
+    rows = rows.withColumn("_length", F.greatest(_length(entries), F.lit(1e-300)))
+    path = table_path(counted.sparkSession)
+    rows.select("id", "label", vector.alias("features")).write.parquet(path)
+    kind = T.StructType([rows.schema["id"], T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])
+    return counted.sparkSession.read.schema(kind).parquet(path)
+
+
+def fit(rows: DataFrame, source: str, text: str = "complaint_text", max_terms: int = MAX_TERMS, max_iter: int = 100,
+        max_labelled_rows: int = MAX_LABELLED_ROWS) -> CategoryModel | None:
+    """K13, on `max_labelled_rows` at most. None when fewer than two classes occur. The class list is as small as the vocabulary."""
     classes = sorted(r["category"] for r in rows.select("category").distinct().collect())
     if len(classes) < 2:
         return None
     order = F.array(*[F.lit(c) for c in classes])
-    labelled = rows.withColumn("label", (F.array_position(order, F.col("category")) - 1).cast("double"))
-    train, test = holdout(labelled)
+    labelled = bounded(rows, max_labelled_rows).withColumn("label", (F.array_position(order, F.col("category")) - 1).cast("double"))
+    train, test = holdout(labelled, label="label")
     terms = _terms(train, text)
-    vocabulary = Pipeline(stages=[CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_terms, minDF=MIN_DOCS)]).fit(terms)
-    counted = vocabulary.transform(terms).withColumn("_tf", _sublinear("_counts"))
-    idf: IDFModel = IDF(inputCol="_tf", outputCol="_idf").fit(counted)
-    scale = Vectors.dense(idf.idf.toArray() + 1.0)
-    weighting = Pipeline(
-        stages=[
-            ElementwiseProduct(inputCol="_tf", outputCol="_weighted", scalingVec=scale),
-            Normalizer(inputCol="_weighted", outputCol="features"),
-        ]
-    ).fit(counted)
-    prepared = with_balance(weighting.transform(counted).select("id", "label", "features")).persist()
-    try:
-        n = prepared.count()
-        classifier = LogisticRegression(
-            weightCol="weight", maxIter=max_iter, regParam=1.0 / (INVERSE_PENALTY * n), family="multinomial"
-        ).fit(prepared)
-    finally:
-        prepared.unpersist()
-    model = CategoryModel(vocabulary, weighting, classifier, classes, 0.0, source)
+    counter = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_terms, minDF=MIN_DOCS).fit(terms)
+    counted = counter.transform(terms).select("id", "label", "_counts")
+    n = counted.count()
+    held = counted.select(F.explode(F.unwrap_udt("_counts")["indices"]).alias("i")).groupBy("i").agg(F.count("*").alias("n"))
+    documents = np.zeros(len(counter.vocabulary))
+    for row in held.collect():
+        documents[row["i"]] = row["n"]
+    idf = (np.log((1 + n) / (1 + documents)) + 1).tolist()
+    prepared = with_balance(_prepared(counted, idf, len(idf)))
+    fitted = LogisticRegression(
+        weightCol="weight", maxIter=max_iter, regParam=1.0 / (INVERSE_PENALTY * n), family="multinomial"
+    ).fit(prepared)
+    model = CategoryModel(
+        list(counter.vocabulary), idf, fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist(), classes, 0.0, source
+    )
     hit = F.avg((F.col("ml_category") == F.col("category")).cast("double"))
     model.accuracy = round(model.predict(test, text).agg(hit.alias("a")).first()["a"] or 0.0, 4)
     return model
 
 
-def second_opinion(rows: DataFrame, model: CategoryModel, text: str = "complaint_text") -> DataFrame:
-    """K14 + H27."""
-    scored = model.predict(rows, text)
+def second_opinion(rows: DataFrame, model: CategoryModel | None, text: str = "complaint_text") -> DataFrame:
+    """K14 + H27; without a model the opinion stays empty."""
+    if model is None:
+        empty = {"ml_category": "string", "ml_category_prob": "double", "ml_category_all": "map<string, double>"}
+        scored = rows.withColumns({n: F.lit(None).cast(t) for n, t in empty.items()})
+    else:
+        scored = model.predict(rows, text)
     return scored.withColumn("category_confidence", labels.category_agreement(F.col("category"), F.col("ml_category")))
 
 

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.functions.risk import clipped
 from casework.models.features import PRIORITY_FEATURES, priority_features, priority_target
 from casework.models.split import SEED, holdout
+from casework.models.stored import read_facts, read_part, write_facts, write_part
 from casework.operators.metrics import regression
 
 
@@ -30,15 +31,23 @@ class PriorityModel:
         amount = [F.col("amount_involved")] if "amount_involved" in kept else []
         return rows.select(*original, *amount, clipped(F.bround("prediction", 0)).alias("priority_score"))
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        write_part(self.model, f"{path}/model")
+        write_facts(spark, {"mae": self.mae, "r2": self.r2}, path)
 
-def train(cases: DataFrame, as_of, effort: float = 1.0) -> PriorityModel:
-    """K16."""
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> PriorityModel:
+        return cls(read_part("PipelineModel", f"{path}/model"), **read_facts(spark, path))
+
+
+def train(cases: DataFrame, as_of, rounds: int = 300) -> PriorityModel:
+    """Fitted and scored on all rows."""
     rows = priority_features(cases, as_of).withColumn("label", priority_target())
     fit_rows, test_rows = holdout(rows)
     pipe = Pipeline(
         stages=[
             VectorAssembler(inputCols=list(PRIORITY_FEATURES), outputCol="features"),
-            GBTRegressor(maxIter=max(2, round(300 * effort)), maxDepth=4, stepSize=0.06, subsamplingRate=0.9, seed=SEED),
+            GBTRegressor(maxIter=rounds, maxDepth=4, stepSize=0.06, subsamplingRate=0.9, seed=SEED),
         ]
     )
     prepared = fit_rows.select("id", "label", *PRIORITY_FEATURES).persist()

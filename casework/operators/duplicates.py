@@ -151,20 +151,33 @@ def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str
 
 
 def _placed(heads: DataFrame, embedded: DataFrame, block_rows: int) -> DataFrame:
-    """Heads with their vectors, once for every comparison cell they take part in."""
-    sizes = heads.groupBy("customer_name").agg(F.count("*").alias("_w"))
-    sizes = sizes.withColumn("_blocks", F.ceil(F.col("_w") / block_rows).cast("int"))
-    sized = attach_by_key(heads, sizes, "customer_name", "_w", "id")
+    """Heads with their vectors, once for every comparison cell they take part in.
+
+    A large customer's rows that ask and its rows that only answer lie in blocks of their own, and cells exist only for pairs
+    of blocks of which one asks: stored rows are never compared with each other, and a customer without a question has no cell.
+    """
+    sizes = heads.groupBy("customer_name").agg(F.count("*").alias("_w"), F.count_if("asks").alias("_ask"))
+    sizes = sizes.where(F.col("_ask") > 0)
+    split = F.col("_w") > block_rows
+    blocks = lambda n: F.ceil(n / block_rows).cast("int")
+    sizes = sizes.select(
+        "customer_name", "_w", F.when(split, blocks(F.col("_ask"))).otherwise(0).alias("_asking"),
+        F.when(split, blocks(F.col("_w") - F.col("_ask"))).otherwise(0).alias("_answering"),
+    )
+    sized = attach_by_key(heads, sizes, "customer_name", "_w", "id").where(F.col("_asking").isNotNull())
     bundles = heads.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("n")).scalar()
-    split = F.col("_blocks") > 1
-    own = F.when(split, F.pmod(F.xxhash64("id"), F.col("_blocks"))).otherwise(F.lit(0)).cast("int")
-    cell = F.when(split, F.concat(F.lit("="), "customer_name")).otherwise(
+    place = F.xxhash64("id")
+    own = F.when(F.col("_asking") == 0, 0).when(F.col("asks"), F.pmod(place, F.col("_asking"))).otherwise(
+        F.col("_asking") + F.pmod(place, F.greatest(F.lit(1), F.col("_answering")))
+    ).cast("int")
+    cell = F.when(F.col("_asking") > 0, F.concat(F.lit("="), "customer_name")).otherwise(
         F.concat(F.lit("~"), F.pmod(F.xxhash64("customer_name"), bundles).cast("string"))
     )
+    met = F.when(F.col("asks"), F.col("_asking") + F.col("_answering")).otherwise(F.col("_asking"))
     narrow = sized.select(
-        "id", "customer_name", "ord", "copy_key", "asks", "_blocks", own.alias("side"), cell.alias("cell")
+        "id", "customer_name", "ord", "copy_key", "asks", F.greatest(F.lit(1), met).alias("_met"), own.alias("side"), cell.alias("cell")
     )
-    every = narrow.join(embedded, "id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    every = narrow.join(embedded, "id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_met") - 1)))
     return every.select(
         "id", "customer_name", "ord", "copy_key", "asks", "embedding", "side", "cell",
         F.least("side", "_other").alias("lo"),

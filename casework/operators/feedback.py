@@ -21,6 +21,12 @@ def latest_corrections(feedback: DataFrame) -> DataFrame:
     )
 
 
+def listing(feedback: DataFrame, complaint: int | str | None = None) -> DataFrame:
+    """Reviews newest first, of all complaints or of one."""
+    rows = feedback if complaint is None else feedback.where(F.col("complaint_id") == complaint)
+    return rows.orderBy(F.col("created_at").desc(), F.col("id").desc())
+
+
 def apply_corrections(cases: DataFrame, feedback: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     """Pivot the last corrections to one row per case and patch the cases."""
     wide = (

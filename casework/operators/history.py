@@ -10,9 +10,10 @@ from casework.operators.skew import attach_by_key
 from casework.schemas import PUBLIC_CHANNELS
 
 
-def complaint_counts(cases: DataFrame) -> DataFrame:
-    """Cases per named customer, joined to every case; a null name has no count."""
-    counts = cases.where(F.col("customer_name").isNotNull()).groupBy("customer_name").agg(
+def complaint_counts(cases: DataFrame, counted_in: DataFrame | None = None) -> DataFrame:
+    """Cases per named customer, joined to every case; a null name has no count. `counted_in`: what to count, else `cases`."""
+    source = cases if counted_in is None else counted_in
+    counts = source.where(F.col("customer_name").isNotNull()).groupBy("customer_name").agg(
         F.count("*").alias("customer_complaint_count")
     )
     counts = counts.withColumn("_w", F.col("customer_complaint_count"))
@@ -88,12 +89,19 @@ def latest_scored(cases: DataFrame) -> DataFrame:
 
 
 def emotion_timeline(cases: DataFrame, customer: str | None = None) -> DataFrame:
-    """Cases of one customer, or of all, in filing order with their emotion level."""
+    """Cases of one customer, or of all, in filing order with their emotion level.
+
+    Of all customers each partition is in order, not the whole: rows are dealt by customer and month, so a hot customer is
+    spread over its months.
+    """
     rows = cases if customer is None else cases.where(F.col("customer_name") == customer)
-    return rows.select(
+    levels = rows.select(
         "customer_name", "date", "id", "category", "severity", "sentiment", "amount_involved",
         risk.emotion_rank(F.col("sentiment")).alias("emotion_level"),
-    ).orderBy("customer_name", "date", "id")
+    )
+    if customer is not None:
+        return levels.orderBy("customer_name", "date", "id")
+    return levels.repartition("customer_name", F.trunc("date", "month")).sortWithinPartitions("customer_name", "date", "id")
 
 
 def customer_totals(cases: DataFrame) -> DataFrame:

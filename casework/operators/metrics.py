@@ -65,7 +65,7 @@ def regression(df: DataFrame, actual: str, predicted: str) -> DataFrame:
 
 
 def drift(reference: DataFrame, current: DataFrame, groups: dict[str, Column], least_rows: int = 30) -> DataFrame:
-    """Population stability index per grouped column; no rows when `current` is too small.
+    """Population stability index per grouped column, marked `too_small` where `current` has fewer than `least_rows` rows.
 
     `groups` maps a column name to a bucket expression with a bounded set of values.
     """
@@ -81,9 +81,11 @@ def drift(reference: DataFrame, current: DataFrame, groups: dict[str, Column], l
     both = long(reference, "ref_rows").join(long(current, "cur_rows"), ["column", "bucket"], "full_outer")
     both = both.fillna(0, ["ref_rows", "cur_rows"])
     totals = both.groupBy("column").agg(F.sum("ref_rows").alias("ref_total"), F.sum("cur_rows").alias("cur_total"))
-    share = both.join(totals, "column").where(F.col("cur_total") >= least_rows)
+    share = both.join(totals, "column")
     floor = F.lit(0.0001)
     ref = F.greatest(F.try_divide("ref_rows", "ref_total"), floor)
     cur = F.greatest(F.try_divide("cur_rows", "cur_total"), floor)
-    index = share.groupBy("column").agg(F.round(F.sum((cur - ref) * F.ln(cur / ref)), 4).alias("psi"))
+    index = share.groupBy("column").agg(
+        F.round(F.sum((cur - ref) * F.ln(cur / ref)), 4).alias("psi"), (F.max("cur_total") < least_rows).alias("too_small")
+    )
     return index.withColumn("drifted", F.col("psi") > 0.2)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casework.session import cut_lineage
+
 MIN_CLUSTER = 5
 DOMINANT_SHARE = 0.60
 CITY_SHARE = 0.40
@@ -17,24 +20,22 @@ SEED = 42
 TOP_CITIES = 3
 
 
-def assign_clusters(vectors: DataFrame, k: int = MAX_CLUSTERS, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame | None:
-    """KMeans labels for every vector; the restart with the lowest cost wins. None below five vectors."""
-    points = vectors.where(F.col("embedding").isNotNull()).withColumn("features", array_to_vector("embedding"))
-    points = points.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = points.count()
-        if n < MIN_CLUSTER:
-            return None
-        clusters = max(2, min(k, n // MIN_CLUSTER))
-        models = (
-            KMeans(k=clusters, seed=seed + i, featuresCol="features", predictionCol="cluster_id").fit(points)
-            for i in range(restarts)
-        )
-        best = min(models, key=lambda m: m.summary.trainingCost)
-    finally:
-        points.unpersist()
-    fresh = vectors.where(F.col("embedding").isNotNull()).withColumn("features", array_to_vector("embedding"))
-    return best.transform(fresh).drop("features")
+def assign_clusters(vectors: DataFrame, k: int = MAX_CLUSTERS, restarts: int = RESTARTS, seed: int = SEED) -> DataFrame:
+    """KMeans labels for every vector; of the restarts, which run side by side, the one with the lowest cost wins.
+
+    `k` is what it says, at any number of vectors; without vectors there are no labels.
+    """
+    usable = vectors.where(F.col("embedding").isNotNull())
+    points = cut_lineage(usable.withColumn("features", array_to_vector("embedding")))
+    if points.isEmpty():
+        return usable.withColumn("cluster_id", F.lit(0))
+
+    def fit(i: int):
+        return KMeans(k=k, seed=seed + i, featuresCol="features", predictionCol="cluster_id").fit(points)
+
+    with ThreadPoolExecutor(restarts) as pool:
+        best = min(pool.map(fit, range(restarts)), key=lambda m: m.summary.trainingCost)
+    return best.transform(points).drop("features")
 
 
 def profiles(labelled: DataFrame) -> DataFrame:
@@ -128,8 +129,5 @@ def numbered(found: DataFrame, created_at) -> DataFrame:
 
 
 def detect(vectors: DataFrame, k: int = MAX_CLUSTERS, restarts: int = RESTARTS) -> DataFrame:
-    """J4-J5 end to end; an empty alert table below five vectors."""
-    labelled = assign_clusters(vectors, k, restarts)
-    if labelled is None:
-        labelled = vectors.limit(0).withColumn("cluster_id", F.lit(0))
-    return alerts(labelled)
+    """J4-J5 end to end; too few vectors make no cluster of `MIN_CLUSTER`, hence no alert."""
+    return alerts(assign_clusters(vectors, k, restarts))

@@ -34,9 +34,11 @@ def per_day(strikes: DataFrame) -> DataFrame:
 
 
 def blocked_accounts(strikes: DataFrame, now, threshold: int = STRIKES_TO_BLOCK, max_age_days: int = MAX_AGE_DAYS) -> DataFrame:
-    """Accounts whose recent strikes, at most `max_age_days` whole days old, reach the threshold on one day."""
+    """Accounts whose strikes, at most `max_age_days` whole days old, reach the threshold on one day.
+
+    Every young strike counts, however many came after it; the stream counts the same way."""
     moment = F.lit(str(now)).cast("timestamp_ntz")
     age = F.floor(F.timestamp_diff("SECOND", "created_at", moment) / 86400)
-    young = recent(strikes).where(age <= max_age_days)
+    young = strikes.where(age <= max_age_days)
     days = per_day(young).where(F.col("strikes") >= threshold)
     return days.groupBy("account_number").agg(F.max("strikes").alias("strikes_on_worst_day"))

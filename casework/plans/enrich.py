@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casework.functions import labels, risk, sla, text
+from casework.models import features
+from casework.models.breach import Trained
+from casework.models.category import CategoryModel, second_opinion, sentiment_opinion
+from casework.models.priority import PriorityModel
 from casework.operators import duplicates, history, kpi, rootcause
 from casework.operators.store import patch
 from casework.schemas import SLA_DAYS, lookup
@@ -63,14 +67,21 @@ def with_duplicates(labelled: DataFrame, cases: DataFrame, threshold: float = du
     return found.withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
 
 
-def with_sla(cases: DataFrame) -> DataFrame:
-    """H15 and H17; a missing filing date leaves the due date empty."""
-    return cases.withColumns(
-        {
-            "sla_due_date": sla.due_date(F.col("date"), F.col("category"), F.col("severity")),
-            "sla_breach_prob": sla.breach_rule(F.col("severity"), F.col("amount_involved")),
-        }
-    )
+def opinions(labelled: DataFrame, category: CategoryModel | None = None, sentiment=None) -> DataFrame:
+    """The second opinions on category and sentiment and how they agree with the rules."""
+    scored = second_opinion(labelled, category).drop("ml_category_all")
+    return sentiment_opinion(scored, sentiment).withColumn("ml_sentiment_prob", F.lit(None).cast("double"))
+
+
+def with_sla(cases: DataFrame, as_of=None, breach: Trained | None = None, counted_in: DataFrame | None = None) -> DataFrame:
+    """H15, and K10's winner where it is given, else the rule H17; a missing filing date leaves the due date empty."""
+    due = cases.withColumn("sla_due_date", sla.due_date(F.col("date"), F.col("category"), F.col("severity")))
+    if breach is None:
+        return due.withColumn("sla_breach_prob", sla.breach_rule(F.col("severity"), F.col("amount_involved")))
+    narrow = [c for c in due.columns if c in _BREACH_INPUT]
+    counted = history.complaint_counts(due.select("id", *narrow), counted_in)
+    scored = breach.transform(features.sla_features(counted, as_of)).select("id", "sla_breach_prob")
+    return due.drop(*_TEXT_NUMBERS).join(scored, "id", "left")
 
 
 def with_resolution(cases: DataFrame, as_of, draft: bool = True) -> DataFrame:
@@ -90,9 +101,11 @@ def with_resolution(cases: DataFrame, as_of, draft: bool = True) -> DataFrame:
     )
 
 
-def with_priority(cases: DataFrame, as_of, counted: bool = False) -> DataFrame:
-    """H25 rounded half to even; the composite stands in until a fitted priority model is applied."""
+def with_priority(cases: DataFrame, as_of, counted: bool = False, model: PriorityModel | None = None) -> DataFrame:
+    """K17 with a fitted priority model, else H25 rounded half to even."""
     rows = cases if counted else history.complaint_counts(cases)
+    if model is not None:
+        return model.score(rows, as_of).drop("customer_complaint_count")
     c = F.col
     score = risk.priority_composite(
         c("severity"), c("sentiment"), c("amount_involved"), c("customer_complaint_count"),
@@ -102,19 +115,32 @@ def with_priority(cases: DataFrame, as_of, counted: bool = False) -> DataFrame:
 
 
 _HISTORY = ("customer_name", "category", "sentiment", "status", "channel")
+_TEXT_NUMBERS = ("complaint_text_length", "complaint_word_count", "is_fraud_keyword")
+_BREACH_INPUT = (
+    *features.CATEGORICAL, *_TEXT_NUMBERS, "customer_name", "amount_involved", "date", "duplicate_of",
+)
 
 
 def enrich(cases: DataFrame, as_of, threshold: float = duplicates.DUPLICATE_THRESHOLD, mode: str = "earlier",
-           draft: bool = True, known: DataFrame | None = None, **search) -> DataFrame:
+           draft: bool = True, known: DataFrame | None = None, breach: Trained | None = None,
+           category: CategoryModel | None = None, sentiment=None, priority: PriorityModel | None = None, **search) -> DataFrame:
     """L1: the enriched columns by id, without the text and the vector.
 
+    A fitted model that is given scores its stage: `breach` the probability, `category` and `sentiment` (a scorer of scanned
+    texts) the second opinions, `priority` the priority. Without it the rule does, and the opinions stay empty.
+
     History counts come from the enriched batch itself, each case included, and from the stored cases in `known`
     (which must not hold the batch's ids).
     """
-    labelled = classified(cases).drop("complaint_text", "embedding")
-    decided = cut_lineage(
-        with_resolution(with_sla(with_duplicates(labelled, cases, threshold, mode, known, **search)), as_of, draft)
-    )
+    labelled = opinions(classified(cases), category, sentiment)
+    labelled = (labelled if breach is None else features.text_numbers(labelled)).drop("complaint_text", "embedding")
+    found = with_duplicates(labelled, cases, threshold, mode, known, **search)
+    names = None
+    if breach is not None:
+        found = cut_lineage(found)
+        names = found.select("customer_name")
+        names = names if known is None else names.unionByName(known.select("customer_name"))
+    decided = cut_lineage(with_resolution(with_sla(found, as_of, breach, names), as_of, draft))
     past = None
     if known is not None:
         named = F.coalesce("customer_name", F.lit(""))
@@ -124,7 +150,7 @@ def enrich(cases: DataFrame, as_of, threshold: float = duplicates.DUPLICATE_THRE
     joined = history.with_history(decided, past).withColumn(
         "customer_complaint_count", F.when(F.col("customer_name").isNotNull(), F.col("filed"))
     )
-    return with_priority(history.scored(joined), as_of, counted=True)
+    return with_priority(history.scored(joined), as_of, True, priority)
 
 
 def process_pending(table: DataFrame, as_of, with_alerts: bool = True, **options) -> tuple[DataFrame, DataFrame | None, DataFrame]:
@@ -144,7 +170,8 @@ def write_back(table: DataFrame, enriched: DataFrame) -> DataFrame:
     written = [
         "category", "severity", "sentiment", "intake_json", "duplicate_of", "similarity", "draft_response",
         "sla_due_date", "sla_breach_prob", "risk_score", "risk_ombudsman", "risk_churn", "risk_social",
-        "status", "resolved_at", "processed_at", "priority_score",
+        "status", "resolved_at", "processed_at", "priority_score", "ml_category", "ml_category_prob", "category_confidence",
+        "ml_sentiment", "ml_sentiment_prob", "sentiment_confidence",
     ]
     return patch(table, enriched.select("id", *[c for c in written if c in enriched.columns]))
 

@@ -83,17 +83,19 @@ def recorded_strikes(spark, folder):
     return both.groupBy("account_number").agg(F.count("*").alias("strikes"))
 
 
-@query("a13_city_dimension", """
-SELECT location, cases, lat, lon FROM (
-  SELECT CASE doc_id % 4 WHEN 0 THEN 'Pune' WHEN 1 THEN 'Thane' ELSE 'Nowhere' END AS location, COUNT(*) AS cases FROM documents GROUP BY 1)
-JOIN (VALUES ('Pune', 18.5204::DOUBLE, 73.8567::DOUBLE), ('Thane', 19.2183::DOUBLE, 72.9781::DOUBLE)) c(location, lat, lon) USING (location)""")
+CITIES_SQL = ", ".join(f"('{name}', {lat}::DOUBLE, {lon}::DOUBLE)" for name, (lat, lon) in dims.CITY_COORDINATES.items())
+
+
+@query("a13_city_dimension", f"""
+SELECT location, COUNT(*) AS cases, lat, lon FROM (SELECT DISTINCT * FROM (VALUES {CITIES_SQL}) c(location, lat, lon)) JOIN
+  (SELECT list_element([{", ".join(f"'{c}'" for c in dims.CITY_COORDINATES)}, 'Nowhere'], CAST(doc_id % {len(dims.CITY_COORDINATES) + 1} AS INTEGER) + 1) AS location
+   FROM documents) USING (location) GROUP BY 1, 3, 4""")
 def city_dimension(spark, folder):
-    """Documents tagged by H8 and placed on the map by the city dimension."""
-    key = F.col("doc_id") % 4
-    suffix = F.when(key == 0, " near AGRA and Pune").when(key == 1, " in Thane").otherwise(" elsewhere")
-    docs = table(spark, folder, "documents").select(F.lower(F.concat("source", suffix)).alias("lowered"))
-    tagged = docs.select(text.city_tag(F.col("lowered")).alias("location"))
-    return kpi.mapped_cities(tagged, dims.city_coordinates(spark)).select("location", "cases", "lat", "lon")
+    """Every city of the dimension, and one that it lacks, placed on the map."""
+    names = F.array(*[F.lit(c) for c in dims.CITY_COORDINATES], F.lit("Nowhere"))
+    place = (F.col("doc_id") % (len(dims.CITY_COORDINATES) + 1) + 1).cast("int")
+    docs = table(spark, folder, "documents").select(F.element_at(names, place).alias("location"))
+    return kpi.mapped_cities(docs, dims.city_coordinates(spark)).select("location", "cases", "lat", "lon")
 
 
 @query("b11_validity_split", """
@@ -124,19 +126,18 @@ _MAIL_SEVERITY = r"""CASE WHEN amount >= 50000 THEN 'Critical' WHEN regexp_match
 
 
 @query("i1_mail_ingest", over(MAILS) + rf""",
-kept AS (SELECT mail_id AS id, substr(trim(t, E' \n\t\r'), 1, 4000) AS text, COALESCE(
+kept AS (SELECT mail_id AS id, trim(t, E' \n\t\r') AS text, COALESCE(
     TRY_CAST(replace(regexp_extract(t, '(?i)(?:Rs\.?|₹|INR)\s*([0-9,]+(?:\.[0-9]{{1,2}})?)', 1), ',', '') AS DOUBLE),
     TRY_CAST(replace(regexp_extract(t, '(?i)([0-9,]+(?:\.[0-9]{{1,2}})?)\s*(?:rupees?|/-)', 1), ',', '') AS DOUBLE)) AS amount
   FROM judged WHERE drop_reason IS NULL)
 SELECT id, {KEYWORD_SQL} AS category, {_MAIL_SEVERITY} AS severity, {SENTIMENT_SQL} AS sentiment, length(text) AS chars FROM kept""")
 def mail_ingest(spark, folder):
-    """Mail files through the ingest stream into the enriched case table."""
+    """Mail files through the ingest stream, in two triggers, into the enriched case table."""
     base = scratch(spark)
     views.mails(spark, folder).repartition(8, "mail_id").write.json(f"{base}/inbox")
-    source = intake.mail_source(spark, f"{base}/inbox", files_per_trigger=8)
+    source = intake.mail_source(spark, f"{base}/inbox", files_per_trigger=4)
     stream = intake.start_mail_ingest(
         source, f"{base}/table", f"{base}/quarantine", f"{base}/checkpoint", "2024-02-01", {"availableNow": True}
     )
     stream.awaitTermination()
-    stored = spark.read.schema(schemas.CASE).parquet(f"{base}/table")
-    return stored.select("id", "category", "severity", "sentiment", F.char_length("complaint_text").alias("chars"))
+    return intake.read_table(spark, f"{base}/table").select("id", "category", "severity", "sentiment", F.char_length("complaint_text").alias("chars"))

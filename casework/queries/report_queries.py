@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casework.functions import labels, risk, sla
-from casework.operators import history, kpi, queue, report, store
+from casework.operators import history, kpi, queue, report, rootcause, store
 from casework.queries.base import CASES, VECTORS, over, query
+from casework.queries.vector_queries import CLUSTERED, _labelled
 from casework.sources import dims, views
 from casework.sources.views import AS_OF, cases
 
@@ -47,7 +48,7 @@ def report_by_category(spark, folder):
     return report.summary_by_category(cases(spark, folder, "category"))
 
 
-@query("d1_service_stats", over(CASES, VECTORS) + """
+@query("d1_service_stats", over(CASES, VECTORS, CLUSTERED) + """
 SELECT 'total' AS metric, '' AS key, CAST(COUNT(*) AS DOUBLE) AS value FROM cases
 UNION ALL SELECT 'processed', '', COUNT(processed_at) FROM cases
 UNION ALL SELECT 'pending', '', COUNT(*) - COUNT(processed_at) FROM cases
@@ -57,10 +58,11 @@ UNION ALL SELECT 'avg_breach_probability', '', round(AVG(sla_breach_prob), 3) FR
 UNION ALL SELECT 'avg_risk_score', '', round(AVG(risk_score), 1) FROM cases
 UNION ALL SELECT 'by_category', COALESCE(category, 'Unprocessed'), COUNT(*) FROM cases GROUP BY 2
 UNION ALL SELECT 'by_severity', COALESCE(severity, 'Unprocessed'), COUNT(*) FROM cases GROUP BY 2
-UNION ALL SELECT 'by_channel', channel, COUNT(*) FROM cases GROUP BY 2""")
+UNION ALL SELECT 'by_channel', channel, COUNT(*) FROM cases GROUP BY 2
+UNION ALL SELECT 'root_cause_alerts', '', COUNT(*) FROM prof WHERE count >= 5 AND category_share >= 0.6""")
 def service_stats(spark, folder):
     wanted = ("category", "severity", "channel", "processed_at", "sla_breach_prob", "risk_score", "duplicate_of")
-    return kpi.service_stats(cases(spark, folder, *wanted))
+    return kpi.service_stats(cases(spark, folder, *wanted), rootcause.alerts(_labelled(spark, folder)))
 
 
 @query("d2_kpi_strip", over(CASES) + """
@@ -391,8 +393,9 @@ def breach_rule(spark, folder):
     return rows.select("id", sla.breach_rule(F.col("severity"), F.col("amount_involved")).alias("p"))
 
 
-@query("d19_run_summary", over(CASES) + """
-SELECT COUNT(*) AS processed, 0::BIGINT AS errors, COUNT(duplicate_of) AS duplicates_found FROM cases WHERE processed_at IS NOT NULL""")
+@query("d19_run_summary", over(CASES, VECTORS, CLUSTERED) + """
+SELECT COUNT(*) AS processed, 0::BIGINT AS errors, COUNT(duplicate_of) AS duplicates_found,
+  (SELECT COUNT(*) FROM prof WHERE count >= 5 AND category_share >= 0.6) AS alerts_detected FROM cases WHERE processed_at IS NOT NULL""")
 def run_summary(spark, folder):
     done = cases(spark, folder, "id", "duplicate_of", "processed_at").where(F.col("processed_at").isNotNull())
-    return kpi.run_summary(done)
+    return kpi.run_summary(done, rootcause.alerts(_labelled(spark, folder)))

@@ -25,11 +25,14 @@ def scan_limit(spark, folder):
 
 
 @query("a3_known_accounts", """
-SELECT o_orderkey AS id, o_custkey AS account_no, c_custkey IS NOT NULL AS known
-FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) ON o_custkey = c_custkey""")
+SELECT o_orderkey AS id, account_no, c_custkey IS NOT NULL AS known
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN -o_custkey ELSE o_custkey END AS account_no FROM orders)
+LEFT JOIN customer ON account_no = c_custkey""")
 def known_accounts(spark, folder):
-    requests = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("account_no"))
-    customers = table(spark, folder, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("account_no"))
+    """Every tenth request states an account that no customer has."""
+    stated = F.when(F.col("o_orderkey") % 10 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    requests = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), stated.alias("account_no"))
+    customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("account_no"))
     return store.known_keys(requests, customers, "account_no", "id")
 
 
@@ -79,22 +82,25 @@ def conform(spark, folder):
 
 @query("a16_allocate_ids", over(CASES) + """
 SELECT id, date, 'UBI-' || CASE WHEN n < 10000 THEN lpad(CAST(n AS VARCHAR), 4, '0') ELSE CAST(n AS VARCHAR) END AS new_id FROM (
-  SELECT id, date, 500 + ROW_NUMBER() OVER (ORDER BY date, md5(CAST(id AS VARCHAR)), id) AS n FROM cases)""")
+  SELECT id, date, (SELECT 2 * MAX(c_custkey) FROM customer) + ROW_NUMBER() OVER (ORDER BY date, md5(CAST(id AS VARCHAR)), id) AS n FROM cases)""")
 def allocate_ids(spark, folder):
-    return store.allocate_ids(cases(spark, folder, "id", "date"), 500, "id", AS_OF)
+    """Numbers follow the highest one allocated, which gaps have driven above the number of rows."""
+    taken = table(spark, folder, "customer").select(F.concat(F.lit("UBI-"), (F.col("c_custkey") * 2).cast("string")).alias("id"))
+    return store.allocate_ids(cases(spark, folder, "id", "date"), store.last_number(taken), "id", AS_OF)
 
 
 @query("c9_dangling_references", over(CASES) + """
 SELECT 'cases.duplicate_of' AS reference, CAST(duplicate_of AS VARCHAR) AS missing_key, COUNT(*) AS rows FROM cases
 WHERE duplicate_of IS NOT NULL AND duplicate_of NOT IN (SELECT id FROM cases) GROUP BY 2
 UNION ALL
-SELECT 'orders.o_custkey', CAST(o_custkey AS VARCHAR), COUNT(*) FROM orders
-WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 2""")
+SELECT 'orders.o_custkey', CAST(-o_custkey AS VARCHAR), COUNT(*) FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 2""")
 def dangling(spark, folder):
     rows = cases(spark, folder, "id", "duplicate_of")
-    accounts = table(spark, folder, "customer").where("c_acctbal > 0")
+    accounts = table(spark, folder, "customer")
+    stated = F.when(F.col("o_orderkey") % 10 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    orders = table(spark, folder, "orders").select(stated.alias("o_custkey"))
     return store.dangling_references(rows, "duplicate_of", rows, "id", "cases.duplicate_of").unionByName(
-        store.dangling_references(table(spark, folder, "orders"), "o_custkey", accounts, "c_custkey", "orders.o_custkey")
+        store.dangling_references(orders, "o_custkey", accounts, "c_custkey", "orders.o_custkey")
     )
 
 
@@ -214,6 +220,13 @@ def apply_corrections(spark, folder):
     return feedback.apply_corrections(base, views.reviews(spark, folder), ("category", "severity"))
 
 
+@query("e7_feedback_listing", over(REVIEWS) + """
+SELECT id, complaint_id, field, corrected_value, created_at FROM reviews ORDER BY created_at DESC, id DESC""")
+def feedback_listing(spark, folder):
+    """Newest first."""
+    return feedback.listing(views.reviews(spark, folder)).select("id", "complaint_id", "field", "corrected_value", "created_at")
+
+
 @query("d14_feedback_stats", over(REVIEWS) + """
 SELECT COUNT(*) AS total, COUNT(*) FILTER (is_correct) AS correct, COUNT(*) FILTER (NOT is_correct) AS corrections,
   CAST(COUNT(*) FILTER (is_correct) AS DOUBLE) / COUNT(*) AS accuracy_rate FROM reviews""")
@@ -279,7 +292,8 @@ share AS (SELECT col, bucket,
   GREATEST(SUM(CASE WHEN date < DATE '2001-07-02' THEN 1 ELSE 0 END) / SUM(SUM(CASE WHEN date < DATE '2001-07-02' THEN 1 ELSE 0 END)) OVER (PARTITION BY col), 0.0001::DOUBLE) AS r,
   GREATEST(SUM(CASE WHEN date >= DATE '2001-07-02' THEN 1 ELSE 0 END) / SUM(SUM(CASE WHEN date >= DATE '2001-07-02' THEN 1 ELSE 0 END)) OVER (PARTITION BY col), 0.0001::DOUBLE) AS c
   FROM long GROUP BY 1, 2)
-SELECT col AS "column", round(SUM((c - r) * ln(c / r)), 4) AS psi, round(SUM((c - r) * ln(c / r)), 4) > 0.2 AS drifted FROM share GROUP BY 1""")
+SELECT col AS "column", round(SUM((c - r) * ln(c / r)), 4) AS psi, round(SUM((c - r) * ln(c / r)), 4) > 0.2 AS drifted,
+  (SELECT COUNT(*) FROM cases WHERE date >= DATE '2001-07-02') < 30 AS too_small FROM share GROUP BY 1""")
 def drift(spark, folder):
     """Cases of the last 30 days against the cases before."""
     rows = cases(spark, folder, "category", "severity", "amount_involved", "date")
@@ -308,9 +322,8 @@ def recent_strikes(spark, folder):
 
 @query("i3_blocked_accounts", over(STRIKES) + """
 SELECT account_number, MAX(n) AS strikes_on_worst_day FROM (
-  SELECT account_number, CAST(created_at AS DATE) AS day, COUNT(*) AS n FROM (
-    SELECT *, ROW_NUMBER() OVER (PARTITION BY account_number ORDER BY created_at DESC, id DESC) AS rn FROM strikes)
-  WHERE rn <= 20 AND floor(date_diff('second', created_at, TIMESTAMP '2024-01-30 23:59:59') / 86400.0) <= 2 GROUP BY 1, 2)
+  SELECT account_number, CAST(created_at AS DATE) AS day, COUNT(*) AS n FROM strikes
+  WHERE floor(date_diff('second', created_at, TIMESTAMP '2024-01-30 23:59:59') / 86400.0) <= 2 GROUP BY 1, 2)
 WHERE n >= 2 GROUP BY 1""")
 def blocked_accounts(spark, folder):
     """The busiest account-day of the test table has few strikes, so the threshold is lowered to two."""

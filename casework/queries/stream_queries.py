@@ -6,9 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from casework.plans import remix
 from casework.queries.base import STRIKES, over, query
-from casework.queries.model_queries import text_cases
 from casework.session import ensure_checkpoint_dir
 from casework.sources import views
 from casework.streaming import intake, ratelimit
@@ -55,42 +53,33 @@ def rate_limit_stream(spark, folder):
     return intake.run_to_table(ratelimit.limit_stream(requests), f"{where}/out", f"{where}/checkpoint").drop("at")
 
 
-@query("i6_once_per_id", "SELECT user_id, MIN(event_id) IS NOT NULL AS seen FROM events GROUP BY 1")
+@query("i6_once_per_id", "SELECT user_id, 1::BIGINT AS kept, 1 AS own FROM events GROUP BY 1")
 def once_per_id(spark, folder):
-    """The first event of every user; later ones within the watermark are retries."""
+    """One event of every user, of the user's own; the others within the watermark are retries."""
     events = _event_stream(spark, folder).select("user_id", "event_id", "ts")
     where = _scratch(spark)
     out = intake.run_to_table(intake.once_per_id(events, "user_id", "ts", "60 days"), f"{where}/out", f"{where}/checkpoint")
-    return out.select("user_id", F.col("event_id").isNotNull().alias("seen"))
+    own = views.table(spark, folder, "events").select("event_id", F.col("user_id").alias("owner"))
+    checked = out.join(own, "event_id", "left").withColumn("own", F.col("user_id").eqNullSafe(F.col("owner")).cast("int"))
+    return checked.groupBy("user_id").agg(F.count("*").alias("kept"), F.min("own").alias("own"))
 
 
 @query("d20_strikes_per_day_stream", over(STRIKES) + """
-SELECT account_number, CAST(created_at AS DATE) AS day, COUNT(*) AS strikes FROM strikes
-WHERE CAST(created_at AS DATE) + 1 <= (SELECT MAX(created_at) - INTERVAL 2 DAY FROM strikes) GROUP BY 1, 2""")
+SELECT account_number, CAST(created_at AS DATE) AS day, COUNT(*) AS strikes FROM strikes GROUP BY 1, 2""")
 def strikes_per_day_stream(spark, folder):
-    """Closed account-days: append mode emits a day once the watermark has passed its end."""
+    """All account-days, open ones included: update mode into a keyed table."""
     strikes = _event_stream(spark, folder).where(F.col("event_type") == "error").select(
         F.col("user_id").cast("string").alias("account_number"), F.col("ts").alias("created_at")
     )
     where = _scratch(spark)
-    return intake.run_to_table(intake.strikes_per_day(strikes), f"{where}/out", f"{where}/checkpoint")
+    return intake.run_updates_to_table(
+        intake.strikes_per_day(strikes), f"{where}/out", f"{where}/checkpoint", ["account_number", "day"], "strikes"
+    )
 
 
 @query("i7_live_counts", "SELECT event_type AS status, COUNT(*) AS cases FROM events GROUP BY 1")
 def live_counts(spark, folder):
-    """A complete-mode aggregate in a memory table, as the dashboard polls it."""
-    name = f"live_{uuid.uuid4().hex}"
+    """A complete-mode aggregate into a table that each trigger replaces, as the dashboard polls it."""
     counts = intake.live_counts(_event_stream(spark, folder).select(F.col("event_type").alias("status")))
-    stream = (
-        counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True)
-        .option("checkpointLocation", f"{_scratch(spark)}/checkpoint").start()
-    )
-    stream.awaitTermination()
-    return spark.table(name)
-
-
-@query("l3_remix")
-def remixed(spark, folder):
-    """Cases per status and filing month after the redistribution."""
-    out = remix.remix(text_cases(spark, folder))
-    return out.groupBy("status", F.date_format("date", "yyyy-MM").alias("month")).agg(F.count("*").alias("cases"))
+    where = _scratch(spark)
+    return intake.run_complete_to_table(counts, f"{where}/out", f"{where}/checkpoint")

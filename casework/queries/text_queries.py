@@ -250,10 +250,38 @@ def identifier_counts(spark, folder):
     return totals.select(F.inline(pairs))
 
 
-@query("p2_numbered_tokens")
+def _token_steps_sql() -> str:
+    """Each masking step once more, with the values it takes out of the text that the steps before have left."""
+    ctes, before = [], "SELECT doc_id, text AS t FROM documents"
+    for i, (kind, pattern) in enumerate(_STEPS):
+        cut = pattern.index(")") + 1
+        grouped = f"{pattern[:cut]}({pattern[cut:]})"
+        ctes.append(f"s{i} AS (SELECT doc_id, regexp_replace(t, '{pattern}', '\\1PII_{kind}', 'g') AS t, regexp_extract_all(t, '{grouped}', 2) AS v FROM ({before}))")
+        before = f"SELECT doc_id, t FROM s{i}"
+    kinds = dict.fromkeys(kind for kind, _ in _STEPS)
+    parts = [
+        "len(list_distinct(" + " || ".join(f"s{i}.v" for i, (k, _) in enumerate(_STEPS) if k == kind) + "))" for kind in kinds
+    ]
+    joins = " ".join(f"JOIN s{i} USING (doc_id)" for i in range(1, len(_STEPS)))
+    return f"""WITH {", ".join(ctes)}
+SELECT s0.doc_id, s{len(_STEPS) - 1}.t AS masked, CAST({" + ".join(parts)} AS INTEGER) AS tokens, 1 AS in_order FROM s0 {joins}"""
+
+
+@query("p2_numbered_tokens", _token_steps_sql())
 def numbered_tokens(spark, folder):
+    """The text with its numbers taken out again (P1), the number of distinct identifiers, and whether each kind is numbered
+    in the order of first appearance."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return pii.mask_identifiers(docs, "text").select("doc_id", "masked_text", F.size("pii_tokens").alias("tokens"))
+    masked = pii.mask_identifiers(docs, "text")
+    kinds = "|".join(_KINDS)
+    in_order = F.lit(True)
+    for kind in _KINDS:
+        numbers = F.array_distinct(F.regexp_extract_all("masked_text", F.lit(f"PII_{kind}_([0-9]+)"), F.lit(1)))
+        in_order = in_order & (numbers == F.transform(numbers, lambda n, i: (i + 1).cast("string")))
+    return masked.select(
+        "doc_id", F.regexp_replace("masked_text", f"PII_({kinds})_[0-9]+", "PII_$1").alias("masked"),
+        F.size("pii_tokens").alias("tokens"), in_order.cast("int").alias("in_order"),
+    )
 
 
 @query("p3_masked_names", r"""
@@ -297,7 +325,7 @@ judged AS (
 
 @query("a4_mail_cases", over(MAILS) + rf"""
 SELECT mail_id, CASE WHEN trim(from_name) = '' THEN split_part(from_addr, '@', 1) ELSE trim(from_name) END AS customer_name, 'email' AS channel,
-  substr(trim(t, E' \n\t\r'), 1, 4000) AS complaint_text, 'english' AS language, CAST(sent_at AS DATE) AS date, 'savings' AS account_type,
+  trim(t, E' \n\t\r') AS complaint_text, 'english' AS language, CAST(sent_at AS DATE) AS date, 'savings' AS account_type,
   COALESCE(
     TRY_CAST(replace(regexp_extract(t, '(?i)(?:Rs\.?|₹|INR)\s*([0-9,]+(?:\.[0-9]{{1,2}})?)', 1), ',', '') AS DOUBLE),
     TRY_CAST(replace(regexp_extract(t, '(?i)([0-9,]+(?:\.[0-9]{{1,2}})?)\s*(?:rupees?|/-)', 1), ',', '') AS DOUBLE)) AS amount_involved,
@@ -320,7 +348,7 @@ def newest_mail(spark, folder):
 
 
 @query("a17_portal_cases", """
-SELECT 'PORTAL-' || upper(substr(sha256(email || chr(1) || customer_name || chr(1) || complaint_text || chr(1) || strftime(received_at, '%Y-%m-%d %H:%M:%S')), 1, 8)) AS id,
+SELECT 'PORTAL-' || upper(sha256(email || chr(1) || customer_name || chr(1) || complaint_text || chr(1) || strftime(received_at, '%Y-%m-%d %H:%M:%S'))) AS id,
   account_no, email AS customer_email, customer_name, 'portal' AS channel, complaint_text, 'English' AS language,
   CAST(received_at AS DATE) AS date, location, CAST(NULL AS VARCHAR) AS account_type, amount AS amount_involved, 'open' AS status
 FROM (SELECT 'c' || CAST(k AS VARCHAR) || '@example.org' AS email, 'Client ' || CAST(conv_id AS VARCHAR) AS customer_name, text AS complaint_text,
@@ -332,7 +360,7 @@ def portal_cases(spark, folder):
 
 
 @query("a18_input_check", """
-SELECT doc_id, CASE WHEN length(t) < 4 THEN 'too short' WHEN length(t) > 4000 THEN 'too long' END AS reason, 'Walk-in' AS customer_name,
+SELECT doc_id, CASE WHEN length(t) < 4 THEN 'too short' END AS reason, 'Walk-in' AS customer_name,
   'email' AS channel, lang AS language FROM (SELECT doc_id, lang, CASE WHEN doc_id % 9 = 0 THEN 'abc' ELSE text END AS t FROM documents)""")
 def input_check(spark, folder):
     rows = table(spark, folder, "documents").select(

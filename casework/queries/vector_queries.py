@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casework.functions import vectors as vec
+from casework.models.category import sentiment_scorer_by_rule
 from casework.operators import duplicates, rootcause
 from casework.plans import enrich as plan
 from casework.queries.base import CASES, VECTORS, over, query
@@ -59,13 +60,32 @@ def vector_text(spark, folder):
     return parsed.select("vec_id", F.size("v").alias("dims"), *[v.cast("double").alias(n) for n, v in ends.items()])
 
 
-@query("c3_block_sizes", over(VECTORS) + "SELECT customer_name, COUNT(*) AS vectors, 1::BIGINT AS cells FROM vectors GROUP BY 1")
+def _two_customers(spark, folder):
+    """Two customers own all vectors, so that each is cut into blocks."""
+    return views.vectors(spark, folder).withColumn("customer_name", F.concat(F.lit("half"), (F.col("id") % 2).cast("string")))
+
+
+BLOCK = 16
+
+
+@query("c3_block_sizes", f"""
+SELECT 'half' || CAST(vec_id % 2 AS VARCHAR) AS customer_name, COUNT(*) AS vectors,
+  CAST(ceil(COUNT(*) / {BLOCK}.0) * (ceil(COUNT(*) / {BLOCK}.0) + 1) / 2 AS BIGINT) AS cells FROM embeddings GROUP BY 1""")
 def block_sizes(spark, folder):
-    return duplicates.block_sizes(views.vectors(spark, folder))
+    return duplicates.block_sizes(_two_customers(spark, folder), BLOCK)
+
+
+@query("c3_blocked_neighbours", over(VECTORS.replace("vectors AS", "all_vectors AS", 1),
+    "vectors AS (SELECT * REPLACE ('half' || CAST(id % 2 AS VARCHAR) AS customer_name) FROM all_vectors)", _ranked_sql("a.id <> b.id")) + """
+SELECT id, neighbour, similarity, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 5""")
+def blocked_neighbours(spark, folder):
+    """The five nearest vectors of customers that are cut into many cells."""
+    return duplicates.neighbours(_two_customers(spark, folder).select("id", "customer_name", "embedding"), block_rows=BLOCK)
 
 
 CLUSTERED = """
-labelled AS (SELECT id % 8 AS cluster_id, CASE WHEN id % 5 < 4 THEN CASE id % 8 WHEN 0 THEN 'UPI' WHEN 1 THEN 'ATM' WHEN 2 THEN 'Card'
+labelled AS (SELECT id % 8 AS cluster_id, CASE WHEN id % 8 = 7 THEN CASE id % 3 WHEN 0 THEN 'UPI' WHEN 1 THEN 'Card' ELSE 'Loan' END
+    WHEN id % 5 < 4 THEN CASE id % 8 WHEN 0 THEN 'UPI' WHEN 1 THEN 'ATM' WHEN 2 THEN 'Card'
     WHEN 3 THEN 'Loan' WHEN 4 THEN 'NetBanking' ELSE 'General' END ELSE category END AS category,
   CASE WHEN id % 8 = 3 THEN 'Pune' WHEN id % 8 = 5 THEN NULL ELSE location END AS location FROM vectors),
 cats AS (SELECT cluster_id, COALESCE(category, 'Unknown') AS v, COUNT(*) AS n FROM labelled GROUP BY 1, 2),
@@ -81,14 +101,16 @@ prof AS (SELECT c.cluster_id, total AS count, c.v AS category, CAST(c.n AS DOUBL
 
 
 def _labelled(spark, folder):
-    """Given clusters: KMeans labels differ between engines, the counting after them does not."""
+    """Given clusters: KMeans labels differ between engines, the counting after them does not. Cluster 7 has no dominant
+    category and raises no alert."""
     key = F.col("id") % 8
     rows = views.vectors(spark, folder)
     names = F.when(key == 0, "UPI").when(key == 1, "ATM").when(key == 2, "Card").when(key == 3, "Loan").when(
         key == 4, "NetBanking").otherwise("General")
     return rows.select(
         key.alias("cluster_id"),
-        F.when(F.col("id") % 5 < 4, names).otherwise(F.col("category")).alias("category"),
+        F.when(key == 7, F.when(F.col("id") % 3 == 0, "UPI").when(F.col("id") % 3 == 1, "Card").otherwise("Loan"))
+        .when(F.col("id") % 5 < 4, names).otherwise(F.col("category")).alias("category"),
         F.when(key == 3, "Pune").when(key != 5, F.col("location")).alias("location"),
     )
 
@@ -130,11 +152,25 @@ def systemic_banner(spark, folder):
     return banner(rootcause.alerts(_labelled(spark, folder)))
 
 
-@query("j4_clusters")
+@query("j4_clusters", "SELECT COUNT(*) AS vectors, 12 AS clusters, 1 AS within FROM embeddings")
 def clusters(spark, folder):
-    """KMeans over all vectors with two restarts: sizes per cluster."""
-    found = rootcause.assign_clusters(views.vectors(spark, folder), restarts=2)
-    return found.groupBy("cluster_id").agg(F.count("*").alias("vectors"))
+    """KMeans over all vectors, the best of ten restarts: every vector in one of twelve clusters."""
+    sizes = rootcause.assign_clusters(views.vectors(spark, folder)).groupBy("cluster_id").agg(F.count("*").alias("n"))
+    inside = F.min(F.col("cluster_id").between(0, 11).cast("int"))
+    return sizes.agg(F.sum("n").alias("vectors"), F.count("*").cast("int").alias("clusters"), inside.alias("within"))
+
+
+@query("j6_detected_alerts", "SELECT 1 AS sized, 1 AS dominated, 1 AS ordered, 1 AS placed")
+def detected_alerts(spark, folder):
+    """J4 to J6 end to end on fitted clusters of the vectors: every alert keeps the rules."""
+    found = rootcause.numbered(rootcause.detect(views.vectors(spark, folder)), "2001-08-01 00:00:00")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("id", "count"))), lambda x: x["count"])
+    every = lambda c: F.coalesce(F.min(c.cast("int")), F.lit(1))
+    sums = found.agg(
+        every(F.col("count") >= rootcause.MIN_CLUSTER).alias("sized"), every(F.contains("summary", F.col("category"))).alias("dominated"),
+        listed.alias("listed"), every(F.col("cluster_id").between(0, 11)).alias("placed"),
+    )
+    return sums.select("sized", "dominated", (F.col("listed") == F.reverse(F.array_sort("listed"))).cast("int").alias("ordered"), "placed")
 
 
 SEVERITY_SQL = r"""CASE WHEN amount_involved >= 50000 THEN 'Critical'
@@ -184,25 +220,29 @@ SELECT id, cat AS category, sev AS severity, sent AS sentiment, duplicate_of, si
     + LEAST(COALESCE(amount_involved, 0) / 5000::DOUBLE, 20::DOUBLE) + LEAST(filed * 3, 12)
     + LEAST((DATE '2001-08-01' - date) * 0.4::DOUBLE, 10::DOUBLE) + p * 18::DOUBLE
     - CASE WHEN duplicate_of IS NULL THEN 0 ELSE 8 END)), 0) AS INTEGER) AS priority_score,
-  CASE WHEN duplicate_of IS NULL THEN 1 ELSE 0 END AS drafted
+  CASE WHEN duplicate_of IS NULL THEN 1 ELSE 0 END AS drafted, CAST(NULL AS VARCHAR) AS ml_category, 'Unknown' AS category_confidence,
+  CASE sent WHEN 'Polite' THEN 'positive' WHEN 'Neutral' THEN 'neutral' ELSE 'negative' END AS ml_sentiment, 'High Confidence' AS sentiment_confidence
 FROM scores"""
 
 
 @query("l1_enrichment", over(CASES, ENRICH) + ENRICH_SELECT)
 def enrichment(spark, folder):
-    """All nine stages over every case, its document and its vector."""
-    done = plan.enrich(views.filed_texts(spark, folder), views.AS_OF, THRESHOLD)
+    """All nine stages over every case, its document and its vector; the rule scorer gives the second opinion on sentiment."""
+    done = plan.enrich(views.filed_texts(spark, folder), views.AS_OF, THRESHOLD, sentiment=sentiment_scorer_by_rule)
     return done.select(
         "id", "category", "severity", "sentiment", "duplicate_of", "similarity", "sla_due_date", "sla_breach_prob", "status",
         "risk_ombudsman", "risk_churn", "risk_social", "risk_score", "priority_score",
         F.col("draft_response").isNotNull().cast("int").alias("drafted"),
+        "ml_category", "category_confidence", "ml_sentiment", "sentiment_confidence",
     )
 
 
 @query("l2_pending_run", over(CASES) + """
-SELECT COUNT(*) AS processed, 0::BIGINT AS errors FROM cases WHERE processed_at IS NULL""")
+SELECT COUNT(*) AS processed, COUNT(*) FILTER (id % 5 = 0) AS errors, 1 AS alerts_listed FROM cases WHERE processed_at IS NULL""")
 def pending_run(spark, folder):
-    """B6 then L1 on the queue, summarised by D19."""
+    """B6 then L1 on the queue, the clusters of all vectors, and D19; every fifth case lost its filing date."""
     rows = views.filed_texts(spark, folder).join(views.cases(spark, folder, "id", "processed_at"), "id")
-    _, _, summary = plan.process_pending(rows, views.AS_OF, with_alerts=False, threshold=THRESHOLD)
-    return summary.select("processed", "errors")
+    rows = rows.withColumn("date", F.when(F.col("id") % 5 != 0, F.col("date")))
+    _, alerts, summary = plan.process_pending(rows, views.AS_OF, threshold=THRESHOLD)
+    listed = alerts.agg(F.coalesce(F.min((F.col("count") >= rootcause.MIN_CLUSTER).cast("int")), F.lit(1)).alias("alerts_listed"))
+    return summary.select("processed", "errors", listed.scalar().alias("alerts_listed"))

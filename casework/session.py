@@ -4,13 +4,20 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def get_session(app: str = "casework", cpus: int | str = "*", shuffle_partitions: int | None = None) -> SparkSession:
-    """Local session for tests and the bench; a cluster passes its own session to every function."""
+def get_session(app: str = "casework", cpus: int | str = "*", shuffle_partitions: int | None = None,
+                checkpoint_dir: str | None = None) -> SparkSession:
+    """Local session for tests and the bench; a cluster passes its own session to every function.
+
+    `checkpoint_dir` is where intermediate tables go; without it a job that needs one fails.
+    """
     builder = (
         SparkSession.builder.appName(app)
         .master(f"local[{cpus}]")
@@ -21,6 +28,8 @@ def get_session(app: str = "casework", cpus: int | str = "*", shuffle_partitions
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if checkpoint_dir:
+        builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
@@ -29,10 +38,10 @@ def get_session(app: str = "casework", cpus: int | str = "*", shuffle_partitions
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Checkpoint folder of the session: the cluster's own setting wins.
+    """The folder that driver and executors share, as `spark.checkpoint.dir` names it.
 
-    Only a local session (tests, bench) with nothing configured gets a temporary folder; on a cluster
-    a missing setting is an error, because a machine-local folder would not survive a lost executor.
+    Where it is unset a local session, as in tests, gets a temporary folder; on a cluster that is an error, because a
+    machine-local folder would not survive a lost executor.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -47,13 +56,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or configured
 
 
+def table_path(spark: SparkSession) -> str:
+    """Path of a new intermediate table; `owned_tables` can remove it."""
+    path = f"{ensure_checkpoint_dir(spark)}/casework-{uuid.uuid4().hex}"
+    for tables in getattr(_OWNERS, "lists", ()):
+        tables.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise a frame as a Parquet table in the shared checkpoint folder and read it back.
 
     Unlike an RDD checkpoint the table keeps column pruning, filter push-down and real sizes for join planning,
     and a lost executor costs a re-read, not a recomputation.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/casework-{uuid.uuid4().hex}"
+    path = table_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+_OWNERS = threading.local()
+
+
+@contextmanager
+def owned_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove the intermediate tables that this thread makes inside; what depends on them must be written by then."""
+    tables: list[str] = []
+    _OWNERS.lists = [*getattr(_OWNERS, "lists", ()), tables]
+    try:
+        yield
+    finally:
+        _OWNERS.lists = _OWNERS.lists[:-1]
+        jvm = spark.sparkContext._jvm
+        for path in tables:
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -17,13 +17,13 @@ BLOCKED_PARTS = (
     "no-reply@", "noreply@", "do-not-reply@", "donotreply@",
     "notifications@", "mailer-daemon@", "postmaster@",
 )
-MAX_CHARS = 4000
 DEFAULT_ACCOUNT_TYPE = "savings"
-_EDGE_SPACE = r"(?U)^\s+|\s+$"
+# Characters with the Unicode property White_Space.
+_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def _strip(column: Column) -> Column:
-    return F.regexp_replace(column, _EDGE_SPACE, "")
+    return F.btrim(column, F.lit(_SPACE))
 
 
 def blocked(address: Column) -> Column:
@@ -44,20 +44,25 @@ def tagged(mails: DataFrame) -> DataFrame:
         .withColumn("_body", _strip(body))
         .withColumn(
             "complaint_text",
-            F.when(
-                (F.col("_subject") != "") & ~F.contains(F.lower("_body"), F.lower("_subject")),
-                F.concat(F.lit("Subject: "), "_subject", F.lit("\n\n"), "_body"),
-            ).otherwise(F.col("_body")),
+            _strip(
+                F.when(
+                    (F.col("_subject") != "") & ~F.contains(F.lower("_body"), F.lower("_subject")),
+                    F.concat(F.lit("Subject: "), "_subject", F.lit("\n\n"), "_body"),
+                ).otherwise(F.col("_body"))
+            ),
         )
         .withColumn(
             "drop_reason",
-            F.when(blocked(F.col("from_addr")), "blocked sender").when(_strip(F.col("complaint_text")) == "", "empty"),
+            F.when(blocked(F.col("from_addr")), "blocked sender").when(F.col("complaint_text") == "", "empty"),
         )
     )
 
 
-def normalise(mails: DataFrame, as_of) -> DataFrame:
-    """A4: kept mail as raw cases; a missing send time takes `as_of` as filing date."""
+def normalise(mails: DataFrame, as_of, max_chars: int | None = None) -> DataFrame:
+    """A4: kept mail as raw cases; a missing send time takes `as_of` as filing date.
+
+    The whole text is the complaint. `max_chars` cuts what is stored, for stores that bound it; nothing here does.
+    """
     kept = tagged(mails).where(F.col("drop_reason").isNull())
     kept, scanned = text.scan(kept, "complaint_text")
     kept = kept.withColumn("_search", F.concat_ws(" ", F.lower("_subject"), "_lowered"))
@@ -67,7 +72,7 @@ def normalise(mails: DataFrame, as_of) -> DataFrame:
         F.coalesce(F.nullif(_strip(F.coalesce("from_name", F.lit(""))), F.lit("")), F.substring_index(address, "@", 1))
         .alias("customer_name"),
         F.lit("email").alias("channel"),
-        F.substring(_strip(F.col("complaint_text")), 1, MAX_CHARS).alias("complaint_text"),
+        (F.col("complaint_text") if max_chars is None else F.substring("complaint_text", 1, max_chars)).alias("complaint_text"),
         text.language_tag(F.col("complaint_text")).alias("language"),
         F.coalesce(F.col("sent_at").cast("date"), F.lit(str(as_of)).cast("date")).alias("date"),
         F.lit(DEFAULT_ACCOUNT_TYPE).alias("account_type"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: input contract ------------------------------------------------------------------
-MIN_CHARS, MAX_CHARS = 4, 4000
+MIN_CHARS = 4
 INPUT_DEFAULTS = {
     "customer_name": "Walk-in",
     "channel": "email",
@@ -26,7 +26,7 @@ def portal_amount(raw: Column) -> Column:
 
 
 def shape_forms(forms: DataFrame) -> DataFrame:
-    """Accepted portal posts as raw cases. The id is a digest of the post, so a retry keeps its id."""
+    """Accepted portal posts as raw cases. The id is the whole digest of the post, so a retry keeps its id and no two posts share one."""
     accepted = forms.where(
         _filled("email").isNotNull() & _filled("customer_name").isNotNull() & _filled("complaint_text").isNotNull()
     )
@@ -34,7 +34,7 @@ def shape_forms(forms: DataFrame) -> DataFrame:
         F.concat_ws("\u0001", "email", "customer_name", "complaint_text", F.col("received_at").cast("string")), 256
     )
     return accepted.select(
-        F.concat(F.lit("PORTAL-"), F.upper(F.substring(digest, 1, 8))).alias("id"),
+        F.concat(F.lit("PORTAL-"), F.upper(digest)).alias("id"),
         _filled("account_no").alias("account_no"),
         F.col("email").alias("customer_email"),
         "customer_name",
@@ -49,13 +49,14 @@ def shape_forms(forms: DataFrame) -> DataFrame:
     )
 
 
-def check_input(rows: DataFrame) -> DataFrame:
-    """Defaults filled, and the reason a row breaks the text contract (null when accepted)."""
+def check_input(rows: DataFrame, max_chars: int | None = None) -> DataFrame:
+    """Defaults filled, and the reason a row breaks the text contract (null when accepted). Texts have no upper bound
+    unless `max_chars` gives one."""
     length = F.char_length("complaint_text")
     reason = (
         F.when(F.col("complaint_text").isNull(), "missing text")
         .when(length < MIN_CHARS, "too short")
-        .when(length > MAX_CHARS, "too long")
+        .when(F.lit(max_chars is not None) & (length > F.lit(max_chars)), "too long")
     )
     out = rows.withColumn("reason", reason)
     for name, default in INPUT_DEFAULTS.items():

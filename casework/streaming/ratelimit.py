@@ -10,17 +10,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from casework.operators.skew import attach_by_key
 from casework.session import cut_lineage
 
 MAX_REQUESTS = 3
 WINDOW_MS = 24 * 60 * 60 * 1000
 UNLIMITED = "unknown"
-COLD_LIMIT = 100_000
 _HOUR_MS = 60 * 60 * 1000
 _SPREAD = 256
 _FREE = "\u0000"
@@ -84,75 +82,72 @@ def limit_stream(requests: DataFrame, limit: int = MAX_REQUESTS, strict: bool =
     return judged.select("client", "request_id", F.timestamp_micros("at_us").alias("at"), "accepted", "hours_left")
 
 
-def _reopens(at: Column, opened: Column, strict: bool) -> Column:
-    due = F.timestamp_add("HOUR", F.lit(24), opened)
-    return at > due if strict else at >= due
+_WINDOW_US, _CELL_US, _DAY_US = WINDOW_MS * 1000, _HOUR_MS * 1000, 24 * _HOUR_MS * 1000
 
 
-def _openers(requests: DataFrame, sizes: DataFrame, strict: bool, cold_limit: int) -> DataFrame:
-    """Opening instants per client as a sorted array (at most one per window length of the data's span).
+def _successors(instants: DataFrame, strict: bool) -> DataFrame:
+    """client, us, next: the first instant that reopens a window opened at `us`; the last instants of a client have none.
 
-    Clients up to `cold_limit` requests fold their sorted instants in one expression. Larger clients advance
-    together, one window per round: each round is one partial minimum over the rows behind the current windows.
+    Questions (the instants 24 hours on) and instants meet in (client, hour) cells, where one backward pass in time
+    answers them; a question that its cell cannot answer takes the first instant of the client's next filled cell.
     """
-    sized = attach_by_key(requests, sizes.withColumn("_w", F.col("n")), "client", "_w", "request_id")
-    cold = sized.where(F.col("n") <= cold_limit).groupBy("client").agg(F.array_sort(F.collect_set("at")).alias("_instants"))
-    folded = cold.select(
-        "client",
-        F.aggregate(
-            "_instants",
-            F.array().cast("array<timestamp_ntz>"),
-            lambda acc, at: F.when(
-                (F.size(acc) == 0) | _reopens(at, F.try_element_at(acc, F.lit(-1)), strict), F.array_append(acc, at)
-            ).otherwise(acc),
-        ).alias("openers"),
-    )
-    if sizes.where(F.col("n") > cold_limit).isEmpty():
-        return folded
-    hot = cut_lineage(sized.where(F.col("n") > cold_limit).select("client", "at", "request_id"))
-    step = cut_lineage(hot.groupBy("client").agg(F.min("at").alias("opened"), F.count("*").alias("_w")))
-    rounds = [step.select("client", "opened")]
-    while True:
-        # `hot` shrinks to the rows behind the current window, so late rounds read little.
-        behind = attach_by_key(hot, step, "client", "_w", "request_id")
-        hot = cut_lineage(behind.where(_reopens(F.col("at"), F.col("opened"), strict)).select("client", "at", "request_id"))
-        step = cut_lineage(hot.groupBy("client").agg(F.min("at").alias("opened"), F.count("*").alias("_w")))
-        if step.isEmpty():
-            break
-        rounds.append(step.select("client", "opened"))
-    opened = rounds[0]
-    for later in rounds[1:]:
-        opened = opened.unionByName(later)
-    hot_openers = opened.groupBy("client").agg(F.array_sort(F.collect_list("opened")).alias("openers"))
-    return folded.unionByName(hot_openers)
-
-
-def limit_batch(requests: DataFrame, limit: int = MAX_REQUESTS, strict: bool = False, cold_limit: int = COLD_LIMIT) -> DataFrame:
+    asked = instants.select("client", (F.col("us") + _WINDOW_US).alias("at"), F.col("us").alias("asks"))
+    both = asked.unionByName(instants.select("client", F.col("us").alias("at"), F.lit(None).cast("long").alias("asks")))
+    both = both.withColumn("cell", F.floor(F.col("at") / _CELL_US)).withColumn("found", F.when(F.col("asks").isNull(), F.col("at")))
+    # Backwards, an instant that may answer stands before the question: at equal time only when the window is not strict.
+    tie = F.col("asks").isNull() if strict else F.col("asks").isNotNull()
+    back = Window.partitionBy("client", "cell").orderBy(F.col("at").desc(), tie)
+    inside = both.withColumn("next", F.last("found", ignorenulls=True).over(back)).where(F.col("asks").isNotNull())
+    # A row per client and hour of the log.
+    cells = both.groupBy("client", "cell").agg(F.min("found").alias("first"))
+    behind = Window.partitionBy("client").orderBy(F.col("cell").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("client", "cell", F.last("first", ignorenulls=True).over(behind).alias("later"))
+    answered = inside.join(cells, ["client", "cell"]).select("client", F.col("asks").alias("us"), F.coalesce("next", "later").alias("next"))
+    return answered.where(F.col("next").isNotNull())
+
+
+def _openers(instants: DataFrame, strict: bool) -> DataFrame:
+    """client, opened: the chain of successors from each client's first instant, by doubling the jumps.
+
+    Rounds grow with the logarithm of the number of windows in the log, whatever the number of requests.
+    """
+    opened = instants.groupBy("client").agg(F.min("us").alias("us"))
+    jumps = cut_lineage(_successors(instants, strict))
+    while not jumps.isEmpty():
+        reached = opened.join(jumps, ["client", "us"]).select("client", F.col("next").alias("us"))
+        opened = cut_lineage(opened.unionByName(reached).distinct())
+        further = jumps.select("client", F.col("us").alias("next"), F.col("next").alias("_next"))
+        jumps = cut_lineage(jumps.join(further, ["client", "next"]).select("client", "us", F.col("_next").alias("next")))
+    return opened.withColumnRenamed("us", "opened")
+
+
+def limit_batch(requests: DataFrame, limit: int = MAX_REQUESTS, strict: bool = False) -> DataFrame:
     """The same verdicts over a finished log: request_id, client, at, accepted, hours_left.
 
-    Once the windows are known the rest is set-based: a rank limit finds the last accepted request of every
-    window, and a request is accepted when it does not come after it.
+    Openers are 24 hours apart, so a client has one at most on a day, and a request's window was opened on its own day or the day
+    before: two joins on exact keys. A rank limit then finds the last accepted request of every window, and a
+    request is accepted when it does not come after it. One way for clients of every size.
     """
     rows = requests.select("request_id", "client", F.col("at").cast("timestamp_ntz").alias("at"))
-    limited = rows.where(F.col("client").isNotNull() & (F.col("client") != UNLIMITED))
-    sizes = cut_lineage(limited.groupBy("client").agg(F.count("*").alias("n")))
-    openers = cut_lineage(_openers(limited, sizes, strict, cold_limit).join(sizes, "client"))
-    opened = attach_by_key(limited, openers, "client", "n", "request_id")
-    in_window = opened.withColumn("opened", F.array_max(F.filter("openers", lambda o: o <= F.col("at")))).drop("openers")
-    turn = F.row_number().over(Window.partitionBy("client", "opened").orderBy("at", "request_id"))
-    allowed = in_window.withColumn("_turn", turn).where(F.col("_turn") <= limit)
-    last = allowed.groupBy("client", "opened").agg(F.max(F.struct("at", "request_id")).alias("_last"))
-    windows = last.groupBy("client").agg(F.collect_list(F.struct("opened", "_last")).alias("_windows")).join(sizes, "client")
-    judged = attach_by_key(rows, windows, "client", "n", "request_id")
-    mine = F.array_max(F.filter("_windows", lambda w: w["opened"] <= F.col("at")))
-    judged = judged.withColumn("_window", mine)
     free = F.col("client").isNull() | (F.col("client") == UNLIMITED)
-    accepted = free | (F.struct("at", "request_id") <= F.col("_window._last"))
-    left = F.lit(WINDOW_MS * 1000) - F.timestamp_diff("MICROSECOND", F.col("_window.opened"), F.col("at"))
-    return judged.select(
-        "request_id",
-        "client",
-        "at",
-        accepted.alias("accepted"),
-        F.when(~accepted, F.ceil(left / (_HOUR_MS * 1000))).alias("hours_left"),
+    us = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("at"))
+    limited = cut_lineage(rows.where(~free).withColumn("us", us))
+    openers = cut_lineage(_openers(limited.select("client", "us").distinct(), strict).withColumn("day", F.floor(F.col("opened") / _DAY_US)))
+    day = F.floor(F.col("us") / _DAY_US)
+    today = openers.select("client", "day", F.col("opened").alias("today"))
+    before = openers.select("client", (F.col("day") + 1).alias("day"), F.col("opened").alias("before"))
+    placed = limited.withColumn("day", day).join(today, ["client", "day"], "left").join(before, ["client", "day"], "left")
+    placed = cut_lineage(placed.select(
+        "request_id", "client", "at", "us", F.when(F.col("today") <= F.col("us"), F.col("today")).otherwise(F.col("before")).alias("opened")
+    ))
+    turn = F.row_number().over(Window.partitionBy("client", "opened").orderBy("us", "request_id"))
+    allowed = placed.withColumn("_turn", turn).where(F.col("_turn") <= limit)
+    last = allowed.groupBy("client", "opened").agg(F.max(F.struct("us", "request_id")).alias("_last"))
+    judged = placed.join(cut_lineage(last), ["client", "opened"])
+    accepted = F.struct("us", "request_id") <= F.col("_last")
+    left = F.lit(_WINDOW_US) - (F.col("us") - F.col("opened"))
+    verdicts = judged.select(
+        "request_id", "client", "at", accepted.alias("accepted"), F.when(~accepted, F.ceil(left / _CELL_US)).alias("hours_left")
     )
+    unlimited = rows.where(free).select("request_id", "client", "at", F.lit(True).alias("accepted"), F.lit(None).cast("long").alias("hours_left"))
+    return verdicts.unionByName(unlimited)

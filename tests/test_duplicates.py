@@ -53,6 +53,18 @@ def test_matches_brute_force(spark, mode, copies, block_rows):
     assert got == want
 
 
+@pytest.mark.parametrize("block_rows", [9, 8192])
+def test_rows_that_only_answer(spark, block_rows):
+    rows = fixture(True)
+    df = spark.createDataFrame(rows, "id bigint, customer_name string, embedding array<float>, filed bigint").withColumn("asks", F.col("id") % 3 == 0)
+    found = duplicates.neighbours(df, 3, "any", "filed", block_rows).collect()
+    got: dict = {}
+    for r in sorted(found, key=lambda r: (r["id"], r["rank"])):
+        got.setdefault(r["id"], []).append((r["neighbour"], round(r["similarity"], 9)))
+    want = {i: [(o, round(s, 9)) for o, s in n] for i, n in brute(rows, 3, False).items() if n and i % 3 == 0}
+    assert got == want
+
+
 def test_threshold_and_zero_vectors(spark):
     rows = [(1, "A", [1.0, 0.0]), (2, "A", [0.8, 0.6]), (3, "A", [0.0, 1.0]), (4, "A", [0.0, 0.0]), (5, "B", [1.0, 0.0]), (6, None, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "id int, customer_name string, embedding array<float>")

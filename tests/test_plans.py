@@ -1,4 +1,4 @@
-"""Enrichment, batch run and remix invariants."""
+"""Enrichment and batch run invariants."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from casework.plans import enrich, remix
+from casework.plans import enrich
 from casework.queries.model_queries import text_cases
 from casework.sources import views
 
@@ -64,25 +64,6 @@ def test_scores_stay_in_range_and_ignore_row_order(spark):
     assert {tuple(r) for r in one.select(*wanted).collect()} == {tuple(r) for r in two.select(*wanted).collect()}
 
 
-def test_remix_caps_and_repeats(spark):
-    cases = text_cases(spark, FOLDER)
-    out = remix.remix(cases).persist()
-    again = remix.remix(cases.repartition(5))
-    columns = ["id", "date", "channel", "status", "resolved_at", "complaint_text"]
-    assert {tuple(r) for r in out.select(*columns).collect()} == {tuple(r) for r in again.select(*columns).collect()}
-    months = {r["m"]: r["count"] for r in out.groupBy(F.date_format("date", "yyyy-MM").alias("m")).count().collect()}
-    assert (months["2026-05"], months["2026-04"]) == (300, 250) and out.count() == 1500
-    by_status = {r["status"]: r["count"] for r in out.groupBy("status").count().collect()}
-    duplicates = cases.where("duplicate_of is not null").count()
-    polite = cases.where("duplicate_of is null and severity = 'Low' and sentiment = 'Polite'").count()
-    assert by_status["auto_resolved_dup"] == duplicates and by_status["auto_resolved_std"] == min(100, polite)
-    assert by_status["resolved"] == 200
-    moved = out.join(cases.select("id", F.col("channel").alias("before")), "id").where("channel = 'mobile_app' and before <> 'mobile_app'").count()
-    assert moved <= 50 and out.where("complaint_text like '%{%}%'").count() == 0
-    assert out.where("status = 'open' and resolved_at is not null").count() == 0
-    assert out.where("resolved_at < date or resolved_at > date '2026-05-29'").count() == 0
-
-
 def test_known_cases_are_candidates_and_history(spark):
     schema = "id int, customer_name string, channel string, complaint_text string, date date, amount_involved double, embedding array<float>"
     old = spark.createDataFrame([(1, "C", "email", "atm", dt.date(2001, 7, 20), None, [1.0, 0.0]),

@@ -242,4 +242,4 @@ def test_drift_is_zero_for_equal_shares_and_silent_for_few_rows(spark):
     assert (same["psi"], same["drifted"]) == (0.0, False)
     moved = metrics.drift(rows, rows.where("c <> '0'"), {"c": F.col("c")}).first()
     assert moved["drifted"]
-    assert metrics.drift(rows, rows.limit(10), {"c": F.col("c")}).count() == 0
+    assert [r.too_small for r in metrics.drift(rows, rows.limit(10), {"c": F.col("c")}).collect()] == [True]
