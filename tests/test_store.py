@@ -154,11 +154,11 @@ def test_block_rule(spark, age_days, count, blocked):
     assert (strikes.blocked_accounts(df, "2026-05-29 12:00:00").count() == 1) is blocked
 
 
-def test_block_rule_looks_at_the_last_twenty_only(spark):
+def test_later_strikes_hide_no_blocking_day(spark):
     old = [(i, "A", dt.datetime(2026, 5, 28, 0, i)) for i in range(15)]
     new = [(100 + i, "A", dt.datetime(2026, 5, 29, 0, i)) for i in range(6)]
     df = spark.createDataFrame(old + new, "id int, account_number string, created_at timestamp_ntz")
-    assert strikes.blocked_accounts(df, "2026-05-29 12:00:00").count() == 0
+    assert [r["strikes_on_worst_day"] for r in strikes.blocked_accounts(df, "2026-05-29 12:00:00").collect()] == [15]
     spread = [(i, "A", dt.datetime(2026, 5, 28 + i % 2, 1, i)) for i in range(15)]
     df = spark.createDataFrame(spread, "id int, account_number string, created_at timestamp_ntz")
     assert strikes.blocked_accounts(df, "2026-05-29 12:00:00").count() == 0
