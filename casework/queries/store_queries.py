@@ -26,11 +26,11 @@ def scan_limit(spark, folder):
 
 @query("a3_known_accounts", """
 SELECT o_orderkey AS id, account_no, c_custkey IS NOT NULL AS known
-FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN -o_custkey ELSE o_custkey END AS account_no FROM orders)
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN -1 - o_custkey ELSE o_custkey END AS account_no FROM orders)
 LEFT JOIN customer ON account_no = c_custkey""")
 def known_accounts(spark, folder):
     """Every tenth request states an account that no customer has."""
-    stated = F.when(F.col("o_orderkey") % 10 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    stated = F.when(F.col("o_orderkey") % 10 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))
     requests = table(spark, folder, "orders").select(F.col("o_orderkey").alias("id"), stated.alias("account_no"))
     customers = table(spark, folder, "customer").select(F.col("c_custkey").alias("account_no"))
     return store.known_keys(requests, customers, "account_no", "id")
@@ -93,11 +93,11 @@ def allocate_ids(spark, folder):
 SELECT 'cases.duplicate_of' AS reference, CAST(duplicate_of AS VARCHAR) AS missing_key, COUNT(*) AS rows FROM cases
 WHERE duplicate_of IS NOT NULL AND duplicate_of NOT IN (SELECT id FROM cases) GROUP BY 2
 UNION ALL
-SELECT 'orders.o_custkey', CAST(-o_custkey AS VARCHAR), COUNT(*) FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 2""")
+SELECT 'orders.o_custkey', CAST(-1 - o_custkey AS VARCHAR), COUNT(*) FROM orders WHERE o_orderkey % 10 = 0 GROUP BY 2""")
 def dangling(spark, folder):
     rows = cases(spark, folder, "id", "duplicate_of")
     accounts = table(spark, folder, "customer")
-    stated = F.when(F.col("o_orderkey") % 10 == 0, -F.col("o_custkey")).otherwise(F.col("o_custkey"))
+    stated = F.when(F.col("o_orderkey") % 10 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))
     orders = table(spark, folder, "orders").select(stated.alias("o_custkey"))
     return store.dangling_references(rows, "duplicate_of", rows, "id", "cases.duplicate_of").unionByName(
         store.dangling_references(orders, "o_custkey", accounts, "c_custkey", "orders.o_custkey")
