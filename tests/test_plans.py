@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from casework.models import breach, category, priority
 from casework.plans import enrich
 from casework.queries.model_queries import text_cases
 from casework.sources import views
@@ -76,3 +77,30 @@ def test_known_cases_are_candidates_and_history(spark):
     # The stored case was filed later but indexed first. History: two cases, one open, two categories.
     assert (got[2]["duplicate_of"], got[2]["risk_churn"]) == (1, 12 + 5 + 12)
     assert got[3]["risk_churn"] == 6 + 5 + 6
+
+
+def test_fitted_models_score_their_stages(spark):
+    cases = text_cases(spark, FOLDER)
+    texts = views.texts(spark, FOLDER).select("id", "complaint_text")
+    models = {
+        "breach": breach.train(cases, AS_OF, {"GradientBoosting": 2}, stacking=False, folds=2),
+        "category": category.fit(category.training_rows(texts, texts, "weak"), "weak labels"),
+        "sentiment": category.sentiment_scorer_by_rule,
+        "priority": priority.train(cases, AS_OF, rounds=2),
+    }
+    rows = views.filed_texts(spark, FOLDER)
+    wanted = ["id", "category", "severity", "amount_involved", "duplicate_of", "sla_breach_prob", "priority_score", "ml_category", "ml_category_prob",
+              "category_confidence", "ml_sentiment", "sentiment_confidence"]
+    by_rule = {r["id"]: r for r in enrich.enrich(rows, AS_OF, 0.3).select(*wanted).collect()}
+    scored = enrich.enrich(rows, AS_OF, 0.3, **models)
+    by_model = {r["id"]: r for r in scored.select(*wanted).collect()}
+    assert by_rule.keys() == by_model.keys() and len(by_rule) == rows.count()
+    for key, r in by_model.items():
+        rule = by_rule[key]
+        assert [r[c] for c in ("category", "severity", "amount_involved", "duplicate_of")] == [rule[c] for c in ("category", "severity", "amount_involved", "duplicate_of")]
+        assert 0 <= r["sla_breach_prob"] <= 1 and 0 <= r["priority_score"] <= 100 and 0 < r["ml_category_prob"] <= 1
+        assert r["ml_category"] in models["category"].classes and r["category_confidence"] != "Unknown" and r["sentiment_confidence"] == "High Confidence"
+        assert rule["ml_category"] is None and rule["category_confidence"] == "Unknown" and rule["ml_sentiment"] is None
+    assert {r["sla_breach_prob"] for r in by_model.values()} != {r["sla_breach_prob"] for r in by_rule.values()}
+    table = rows.select("id").withColumns({"processed_at": F.lit(None).cast("timestamp_ntz"), "ml_category": F.lit(None).cast("string")})
+    assert enrich.write_back(table, scored).where("ml_category is null or category_confidence is null").count() == 0
