@@ -16,7 +16,7 @@ HEADLINES = (
     "d13_report_summary", "d9_top_cities", "d10_resolution_breakdown", "d16_alert_conditions", "b2_queue", "l4_customer_view",
     "k19_recompute_risk", "k1_sla_features", "a5_insert_if_absent", "a16_allocate_ids", "c8_apply_corrections",
     "h1_keyword_category", "p1_masked_text", "p2_numbered_tokens", "a4_mail_cases", "i4_rate_limit",
-    "i4_rate_limit_stream", "i1_mail_ingest", "j4_clusters", "k14_category_predictions", "k10_leaderboard",
+    "i4_rate_limit_stream", "i1_mail_ingest", "j4_clusters", "k14_category_predictions",
 )
 ROWS_PER_SECOND = ("l1_enrichment", "l5_compliance_report", "d2_kpi_strip", "k19_recompute_risk")
 
