@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from casework.llm.common import SPACE, let, stored, text_of, words_of
 
 LEAST, SHARE, LEFT, WINDOW = 10, 0.05, 0.5, 3
+#: Frequent lines that may be broadcast, 16 bytes each.
+BROADCAST_LINES = 1_000_000
 #: A text on a host; two hashes, as copies are told apart by nothing else.
 TEXT = ["host", "d1", "d2"]
 
@@ -69,26 +71,38 @@ def counts(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
     )
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    return rows.withColumn("base_failed", failed)
+    return rows.withColumn("base_failed", _failed(F.col("n_words"), F.col("n_repeat_words")))
+
+
+def _failed(words: Column, repeats: Column) -> Column:
+    return (words < 50) | (repeats * 100 > words * 50)
+
+
+def _plain(text: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " "), r"[0-9]+", "0")
+
+
+def _line_words(line: Column) -> Column:
+    return F.char_length(line) - F.char_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def normalised_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
     """host, d1, d2, pos, line (hash), words: one row per line that is not blank."""
-    plain = F.regexp_replace(F.regexp_replace(F.lower(text_of(text)), r"[\x20\x09\x0B-\x0D]+", " "), r"[0-9]+", "0")
-    rows = docs.select(*_text_key(text, host), F.posexplode(F.split(plain, "\n", -1)).alias("pos", "raw"))
+    rows = docs.select(*_text_key(text, host), F.posexplode(F.split(_plain(text_of(text)), "\n", -1)).alias("pos", "raw"))
     rows = rows.withColumn("raw", F.btrim("raw")).filter("raw <> ''")
-    words = F.char_length("raw") - F.char_length(F.replace("raw", F.lit(" "), F.lit(""))) + 1
-    return rows.select(*TEXT, "pos", F.xxhash64("raw").alias("line"), words.alias("words"))
+    return rows.select(*TEXT, "pos", F.xxhash64("raw").alias("line"), _line_words(F.col("raw")).alias("words"))
 
 
-def removed_lines(docs: DataFrame, text: str = "text", host: str = "source", least: int = LEAST, share: float = SHARE) -> DataFrame:
-    """host, d1, d2, removed_lines, removed_words, positions: one row per distinct text with lines above the limit."""
-    lines = stored(normalised_lines(docs, text, host), "lines")
+def frequent_lines(docs: DataFrame, lines: DataFrame, text: str, host: str, least: int, share: float) -> DataFrame:
+    """host, line: a stored table of the lines above their host's limit. `lines` is a stored table."""
     frequency = lines.groupBy("host", "line").agg(F.count_distinct("d1", "d2").alias("documents"))
     hosts = docs.select(*_text_key(text, host)).groupBy("host").agg(F.count_distinct("d1", "d2").alias("all"))
     limit = F.greatest(F.lit(float(least)), F.col("all") * F.lit(share))
-    frequent = stored(frequency.join(hosts, "host").filter(F.col("documents") > limit).select("host", "line"), "frequent")
+    return stored(frequency.join(hosts, "host").filter(F.col("documents") > limit).select("host", "line"), "frequent")
+
+
+def removed_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
+    """host, d1, d2, removed_lines, removed_words, positions: one row per distinct text with lines above the limit."""
     # Copies repeat their lines; each position of a text counts once.
     found = lines.join(frequent, ["host", "line"]).groupBy(*TEXT, "pos").agg(F.min("words").alias("words"))
     return found.groupBy(*TEXT).agg(
@@ -99,16 +113,27 @@ def removed_lines(docs: DataFrame, text: str = "text", host: str = "source", lea
 def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = LEAST,
              share: float = SHARE, left: float = LEFT) -> DataFrame:
     """The columns of `counts` with removed_lines, removed_words and kept: one row per row of `docs`."""
-    removed = stored(removed_lines(docs, text, host, least, share).drop("positions"), "removed")
+    lines = stored(normalised_lines(docs, text, host), "lines")
+    frequent = frequent_lines(docs, lines, text, host, least, share)
+    removed = stored(removed_lines(lines, frequent).drop("positions"), "removed")
     rows = counts(docs, key, text, host).join(removed, TEXT, "left").fillna(0, ["removed_lines", "removed_words"])
     depleted = F.col("n_words") - F.col("removed_words") < F.col("n_words") * F.lit(left)
     return rows.withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = LEAST,
-          share: float = SHARE, left: float = LEFT) -> DataFrame:
-    """The rows of `docs` that are kept, without the removed lines; columns as in `docs`."""
-    removed = stored(removed_lines(docs, text, host, least, share), "removed")
+          share: float = SHARE, left: float = LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+    """The rows of `docs` that are kept, without the removed lines; columns as in `docs`.
+
+    A host has at most 1 / share times as many frequent lines as its documents have lines on average, so all hosts'
+    are few and are broadcast, and texts stay in the tasks that read them. Above `broadcast_lines` each text is joined with
+    its removed positions instead.
+    """
+    lines = stored(normalised_lines(docs, text, host), "lines")
+    frequent = frequent_lines(docs, lines, text, host, least, share)
+    if frequent.count() <= broadcast_lines:
+        return _clean_in_place(docs, frequent, text, host, left)
+    removed = stored(removed_lines(lines, frequent), "removed")
     failed = stored(
         counts(docs, key, text, host).join(removed, TEXT, "left")
         .filter(F.col("base_failed") | (F.col("n_words") - F.coalesce("removed_words", F.lit(0)) < F.col("n_words") * F.lit(left)))
@@ -116,13 +141,30 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
     )
     names = ["__host", "__d1", "__d2"]
     mine = [c.alias(n) for c, n in zip(_text_key(text, host), names, strict=True)]
-    cut = removed.join(failed, TEXT, "left_anti").select(*[F.col(c).alias(n) for c, n in zip(TEXT, names, strict=True)], F.col("positions").alias("__positions"))
-    gone = failed.select(*[F.col(c).alias(n) for c, n in zip(TEXT, names, strict=True)])
-    rows = docs.select(*docs.columns, *mine).join(gone, names, "left_anti").join(cut, names, "left")
+    renamed = [F.col(c).alias(n) for c, n in zip(TEXT, names, strict=True)]
+    cut = removed.join(failed, TEXT, "left_anti").select(*renamed, F.col("positions").alias("__positions"))
+    rows = docs.select(*docs.columns, *mine).join(failed.select(*renamed), names, "left_anti").join(cut, names, "left")
+    return rows.withColumn(text, _without(text, F.col("__positions"))).select(*docs.columns)
+
+
+def _without(text: str, positions: Column) -> Column:
+    """The text without the lines at these positions; as it is where there are none."""
 
     def rest(lines: Column) -> Column:
-        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__positions"))
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), positions)
         return F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
 
-    shortened = F.when(F.col("__positions").isNull(), F.col(text)).otherwise(let(F.split(text, "\n", -1), rest))
-    return rows.withColumn(text, shortened).select(*docs.columns)
+    return F.when(F.coalesce(F.size(positions), F.lit(0)) <= 0, F.col(text)).otherwise(let(F.split(text, "\n", -1), rest))
+
+
+def _clean_in_place(docs: DataFrame, frequent: DataFrame, text: str, host: str, left: float) -> DataFrame:
+    by_host = frequent.groupBy(F.col("host").alias("__host")).agg(F.collect_list("line").alias("__frequent"))
+    rows = docs.withColumn("__host", _host(host)).join(F.broadcast(by_host), "__host", "left")
+    rows = rows.withColumn("__words", words_of(text_of(text)))
+    rows = rows.withColumn("__n", F.size("__words")).filter(~_failed(F.col("__n"), repeated_words(F.col("__words"))))
+    raw = F.transform(F.split(_plain(text_of(text)), "\n", -1), lambda line, i: F.struct(i.alias("pos"), F.btrim(line).alias("raw")))
+    found = F.filter(raw, lambda x: (x["raw"] != "") & F.array_contains("__frequent", F.xxhash64(x["raw"])))
+    rows = rows.withColumn("__found", F.when(F.col("__frequent").isNotNull(), found))
+    removed = F.aggregate("__found", F.lit(0), lambda n, x: n + _line_words(x["raw"]))
+    rows = rows.filter(~(F.col("__n") - F.coalesce(removed, F.lit(0)) < F.col("__n") * F.lit(left)))
+    return rows.withColumn(text, _without(text, F.transform("__found", lambda x: x["pos"]))).select(*docs.columns)

@@ -63,12 +63,12 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
         gone = [x for x in text.split("\n") if (host, norm(x)) in out]
         assert by_id[i].removed_lines == len(gone) and by_id[i].removed_words == sum(len(x.split()) for x in gone)
         assert by_id[i].kept == (i != 400)
-    cleaned = quality.clean(docs)
-    assert cleaned.columns == docs.columns
-    texts = defaultdict(list)
-    for r in cleaned.collect():
-        texts[r.doc_id].append(r.text)
-    assert texts == {i: ["\n".join(x for x in text.split("\n") if (host, norm(x)) not in out)] for i, text, host in rows if i != 400}
+    for cleaned in (quality.clean(docs), quality.clean(docs, broadcast_lines=0)):
+        assert cleaned.columns == docs.columns
+        texts = defaultdict(list)
+        for r in cleaned.collect():
+            texts[r.doc_id].append(r.text)
+        assert texts == {i: ["\n".join(x for x in text.split("\n") if (host, norm(x)) not in out)] for i, text, host in rows if i != 400}
 
 
 def test_odd_rows(spark):
