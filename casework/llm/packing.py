@@ -11,23 +11,26 @@ empty result.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import TypeVar
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from casework.llm.common import stored, text_of
 from casework.llm.wordblocks import word_blocks
 
+K = TypeVar("K", str, bytes)
 LIMIT, PACK, END_ID = 2048, 16_384, 0
-#: Cached words of a Python worker and the longest word that is cached: the bound of its memory.
+#: Words, and as many units, that a Python worker keeps, and the longest that it keeps: the bound of its memory.
 CACHE_WORDS, CACHE_LENGTH = 1 << 20, 64
 
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
@@ -35,36 +38,54 @@ PLACED = f"{PIECES}, sequence_id long, offset long"
 PIECES_NAMES = [field.split()[0] for field in PIECES.split(", ")]
 
 
+#: Words of these characters fall into letters, single digits and runs of signs; the apostrophe has rules of its own and is not among them.
+_PLAIN = re.compile(r"[a-zß-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+_UNITS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+
+
+class _Cache(dict):
+    """A dictionary that computes what it lacks, and starts anew when it is full."""
+
+    def __init__(self, compute: Callable[[K], bytes]) -> None:
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, key: K) -> bytes:
+        found = self.compute(key)
+        if len(key) <= CACHE_LENGTH:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[key] = found
+        return found
+
+
 class WordTokens:
-    """Ids of words. The vocabulary drops white space before it merges, so a text's ids are those of its words in turn; words
-    repeat, so most are looked up. Only works for vocabularies with this property."""
+    """Ids of words. The vocabulary drops white space before it merges, so a text's ids are those of its words in turn, and a word's
+    those of its units: runs of letters, digits, runs of signs. Words and units repeat, so most are looked up. Words
+    with other characters go to the tokenizer whole. Only works for vocabularies with this property."""
 
     def __init__(self, vocabulary: str) -> None:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
-
-    def _new(self, word: bytes) -> bytes:
-        if word.isalpha():
-            # ASCII letters are one unit for the vocabulary's splitter and map to themselves.
-            return array("I", [t.id for t in self.tokenizer.model.tokenize(word.decode())]).tobytes()
-        if len(word) > 1 and word[-1:] in b".,;:!?" and word[:-1].isalpha():
-            return self[word[:-1]] + self[word[-1:]]
-        return array("I", self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids).tobytes()
-
-    def __getitem__(self, word: bytes) -> bytes:
-        found = self.known.get(word)
-        if found is None:
-            found = self._new(word)
-            if len(word) <= CACHE_LENGTH:
-                if len(self.known) >= CACHE_WORDS:
-                    self.known.clear()
-                self.known[word] = found
-        return found
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.bytewise = {c: spell(chr(c))[0][0] for c in range(0xDF, 0x100)}
+        self.units: _Cache = _Cache(self._unit)
+        self.words: _Cache = _Cache(self._word)
+
+    def _unit(self, unit: str) -> bytes:
+        spelled = unit if unit.isascii() else unit.translate(self.bytewise)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        lower = text.lower()
+        if len(word) <= CACHE_LENGTH and _PLAIN.fullmatch(lower) and len(lower) == len(text):
+            return b"".join(map(self.units.__getitem__, _UNITS.findall(lower)))
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: str) -> bytes:
         """Ids of the text and the end id, as unsigned 32-bit integers."""
-        parts = [b"".join(map(self.__getitem__, words)) for words in word_blocks(text)]
+        parts = [b"".join(map(self.words.__getitem__, words)) for words in word_blocks(text)]
         return b"".join([*parts, array("I", [END_ID]).tobytes()])
 
 
