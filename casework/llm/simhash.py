@@ -220,7 +220,12 @@ def hex_digits(fp: Column) -> Column:
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
     """One row of each component: that of its smallest id; of several rows with this id the one with the smallest text hash,
     of equal ones the first by its other columns. Columns and texts are as in `docs`."""
-    first = near_duplicates(docs, key, text, **options).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    return one_of_each(near_duplicates(docs, key, text, **options), docs, key, text)
+
+
+def one_of_each(found: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The row of `docs` that stays of each component; `found` has id, digest, root, component_id."""
+    first = found.filter(F.col("id").eqNullSafe(F.col("component_id")))
     chosen = stored(first.groupBy("root", "id").agg(F.min("digest").alias("digest")), "chosen")
     there = chosen.select(
         F.col("id").isNull().alias(ROW[0]), F.coalesce("id", F.lit(-(1 << 63))).alias(ROW[1]), F.col("digest").alias(ROW[2])
