@@ -19,6 +19,8 @@ from casework.llm.common import SPACE, let, stored, text_of, words_of
 LEAST, SHARE, LEFT, WINDOW = 10, 0.05, 0.5, 3
 #: Frequent lines that may be broadcast, 16 bytes each.
 BROADCAST_LINES = 1_000_000
+#: Frequent lines of one host that a text may be compared with in place, one after the other.
+HOST_LINES = 1_000
 #: A text on a host; two hashes, as copies are told apart by nothing else.
 TEXT = ["host", "d1", "d2"]
 
@@ -125,13 +127,14 @@ def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
           share: float = SHARE, left: float = LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The rows of `docs` that are kept, without the removed lines; columns as in `docs`.
 
-    A host has at most 1 / share times as many frequent lines as its documents have lines on average, so all hosts'
-    are few and are broadcast, and texts stay in the tasks that read them. Above `broadcast_lines` each text is joined with
+    With `share` 0 the limit is `least` documents on every host, however large. Frequent lines are mostly few; then they are broadcast, and
+    texts stay in the tasks that read them. Above `broadcast_lines`, or `HOST_LINES` of one host, each text is joined with
     its removed positions instead.
     """
     lines = stored(normalised_lines(docs, text, host), "lines")
     frequent = frequent_lines(docs, lines, text, host, least, share)
-    if frequent.count() <= broadcast_lines:
+    per_host = frequent.groupBy("host").count().agg(F.sum("count"), F.max("count")).first()
+    if (per_host[0] or 0) <= broadcast_lines and (per_host[1] or 0) <= HOST_LINES:
         return _clean_in_place(docs, frequent, text, host, left)
     removed = stored(removed_lines(lines, frequent), "removed")
     failed = stored(

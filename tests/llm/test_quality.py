@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 from casework.llm import quality
 
 
@@ -71,6 +72,28 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
         assert texts == {i: ["\n".join(x for x in text.split("\n") if (host, norm(x)) not in out)] for i, text, host in rows if i != 400}
 
 
+def test_stage_limit_does_not_grow_with_the_host(spark):
+    """Lines of 11 and of 190 documents go from a host of 4,000 (5 % are 200) as from a small one; a line of ten stays."""
+    draw = random.Random(3)
+    line = lambda: " ".join("".join(draw.choice("abcdefgh") for _ in range(8)) for _ in range(12))
+    many, eleven, ten, rows = line(), line(), line(), []
+    for host, n in (("hot", 4000), ("small", 200)):
+        for i in range(n):
+            held = [many] * (i < 190) + [eleven] * (i < 11) + [ten] * (i < 10)
+            rows.append((len(rows), "\n".join([*held, *[line() for _ in range(6)]]), host, 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    assert got == {i: "\n".join(x for x in text.split("\n") if x not in (many, eleven)) for i, text, _, _ in rows}
+
+
+def test_hosts_with_many_frequent_lines(spark, monkeypatch):
+    """Both ways of cleaning give the same."""
+    docs = spark.createDataFrame([(*r, "clash") for r in corpus()], "doc_id long, text string, source string, host string")
+    want = sorted(map(tuple, quality.clean(docs, share=0.0).collect()), key=repr)
+    monkeypatch.setattr(quality, "HOST_LINES", 0)
+    assert sorted(map(tuple, quality.clean(docs, share=0.0).collect()), key=repr) == want
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, None, None), (1, "", "h"), (1, "", "h")], "doc_id long, text string, source string")
     got = quality.verdicts(docs).collect()
