@@ -2,8 +2,9 @@
 
 Candidates are runs of 20 or more characters of the base64 alphabets. Inside a candidate each character class (hex,
 lower-case alphanumeric, base64) has its own maximal runs; a window slides over each run and its entropy is kept up to date by adding the entering and
-taking off the leaving character's count. Windows at or above the class's threshold join to one span. The allow-list suppresses candidates that are no secrets:
-strings without a digit, UUIDs, placeholders, and literal values of the caller's. It never suppresses the fixed patterns.
+taking off the leaving character's count. Windows at or above the class's threshold join to one span. The allow-list leaves out what is no secret:
+candidates without a digit, and inside the others UUIDs, placeholders and literal values of the caller's; the rest of such a
+candidate is scanned. It never suppresses the fixed patterns.
 
 Defined cases: a null or empty text has no spans; whole texts are scanned whatever their length; each of several repeated rows has its
 spans; spans are sorted by start, then by kind in the order of `KINDS`.
@@ -47,17 +48,36 @@ CLASSES = (
     CharClass("entropy_base64", r"[A-Za-z0-9+/_=-]+", 20, 3.9),
 )
 KINDS = (*BASE, *(c.kind for c in CLASSES))
-_UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
+_BETWEEN = r"(?<![A-Za-z0-9+]){}(?![A-Za-z0-9+])"
+_UUID = re.compile(_BETWEEN.format(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"))
 PLACEHOLDERS = ("example", "placeholder", "changeme", "dummy", "sample", "xxxx", "redacted")
+_PLACEHOLDER = re.compile("|".join(PLACEHOLDERS), re.IGNORECASE | re.ASCII)
+#: Candidates consist of tokens of these characters and of separators.
+_TOKEN = re.compile(r"[A-Za-z0-9+]+")
+REACH = 64
 _DIGIT = re.compile(r"[0-9]")
 
 
-def allowed(candidate: str, literals: frozenset[str] = frozenset()) -> bool:
-    """True if the candidate is known to be no secret."""
-    if not _DIGIT.search(candidate) or candidate in literals or _UUID.fullmatch(candidate):
-        return True
-    lower = candidate.lower()
-    return any(word in lower for word in PLACEHOLDERS)
+def open_parts(run: str, literals: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
+    """Parts of a candidate run that the allow-list leaves open, in order.
+
+    UUIDs and literals are allowed between separators. A placeholder word allows the token around it, in a long token only
+    `REACH` characters on either side.
+    """
+    if not _DIGIT.search(run) or run in literals:
+        return []
+    closed = [m.span() for m in _UUID.finditer(run)]
+    for value in literals:
+        closed += [m.span() for m in re.finditer(_BETWEEN.format(re.escape(value)), run)] if value and value in run else []
+    if _PLACEHOLDER.search(run):
+        for token in _TOKEN.finditer(run):
+            closed += [(max(token.start(), m.start() - REACH), min(token.end(), m.end() + REACH)) for m in _PLACEHOLDER.finditer(run, *token.span())]
+    parts, at = [], 0
+    for start, end in sorted(closed):
+        if start > at:
+            parts.append((at, start))
+        at = max(at, end)
+    return [*parts, (at, len(run))] if at < len(run) else parts
 
 
 def high_windows(run: str, window: int, bits: float) -> Iterable[tuple[int, int]]:
@@ -101,11 +121,10 @@ def finder(classes: tuple[CharClass, ...] = CLASSES, literals: frozenset[str] =
         spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
         if _DIGIT.search(text):
             for m in _CANDIDATE.finditer(text):
-                if allowed(m[0], literals):
-                    continue
-                for c, run in runs:
-                    for r in run.finditer(m[0]):
-                        spans += [(c.kind, m.start() + r.start() + a, m.start() + r.start() + b) for a, b in high_windows(r[0], c.window, c.bits)]
+                for part in open_parts(m[0], literals):
+                    for c, run in runs:
+                        for r in run.finditer(m[0], *part):
+                            spans += [(c.kind, m.start() + r.start() + a, m.start() + r.start() + b) for a, b in high_windows(r[0], c.window, c.bits)]
         return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))
 
     return find

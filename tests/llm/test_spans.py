@@ -84,6 +84,24 @@ def test_secret_method_and_allow_list():
         assert not [s for s in find(f"a {harmless} b") if s[0].startswith("entropy")], harmless
 
 
+def test_allow_list_leaves_the_rest_of_a_run_open():
+    find = secret_scan.finder(literals=frozenset({"Zx81kQpL0vRt7WmN3sYb"}))
+    draw = random.Random(6)
+    drawn = lambda n: "k9Qz" + "".join(draw.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwyz23456789") for _ in range(n - 4))
+    secret = drawn(40)
+    uuid, literal = "123e4567-e89b-12d3-a456-426614174000", "Zx81kQpL0vRt7WmN3sYb"
+    for before, closed in (("dataset_sample/", "sample"), ("sample_key=", "sample"), (f"{uuid}/", uuid), (f"{literal}/", literal), ("xxxx/" * 30, "xxxx")):
+        for run in (before + secret, f"{secret}/{before}", f"{secret}/{before}{secret}"):
+            spans = [s for s in find(f"a {run} b") if s[0] == "entropy_base64"]
+            covered = {i for _, a, b in spans for i in range(a - 2, b - 2)}
+            for at in (m.start() for m in re.finditer(secret, run)):
+                assert covered >= set(range(at + 4, at + 36)), run
+            assert not covered & set(range(run.index(before), run.index(before) + len(before.rstrip("/=")))), run
+    long = drawn(3000) + "example" + drawn(3000)
+    covered = {i for k, a, b in find(long) if k == "entropy_base64" for i in range(a, b)}
+    assert len(covered) > 5000 and not covered & set(range(3000 - 64, 3007 + 64))
+
+
 def test_pii_method_spans():
     text = "see https://bob:pw@host.org/x mailto:a@b.co IBAN: GB82 WEST 1234 5698 7654 32, account no 12345678 SSN 123-45-6789 https://plain.org"
     found = [(k, text[a:b]) for k, a, b in pii_scan.find(text) if k in ("address", "account")]
