@@ -23,6 +23,7 @@ BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "address", "account")
 _ORDER = {k: i for i, k in enumerate(KINDS)}
 
+_UPPER = re.compile(r"[A-Z]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _QUAD = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -50,9 +51,9 @@ def iban(value: str) -> bool:
 
 @lru_cache(maxsize=1)
 def _anchors() -> ahocorasick.Automaton:
-    """One automaton per Python worker; values are (what, text). Cues in the usual three cases."""
+    """One automaton per Python worker, for texts with A-Z lower-cased; values are (what, text)."""
     found = {"@": "at", "+": "plus"} | {str(d): "digit" for d in range(10)} | {s: "scheme" for s in SCHEMES}
-    found |= {form: "cue" for cue in CUES for form in (cue, cue.upper(), cue.capitalize())}
+    found |= dict.fromkeys(CUES, "cue")
     automaton = ahocorasick.Automaton()
     for text, what in found.items():
         automaton.add_word(text, (what, text))
@@ -61,7 +62,7 @@ def _anchors() -> ahocorasick.Automaton:
 
 
 def _address(text: str, start: int, end: int) -> tuple[int, int] | None:
-    if text[start:end] in ("mailto:", "tel:"):
+    if text[end - 1] == ":":
         m = _TARGET.match(text, end)
         return (start, m.end()) if m else None
     m = _AUTHORITY.match(text, end)
@@ -70,11 +71,16 @@ def _address(text: str, start: int, end: int) -> tuple[int, int] | None:
     return None
 
 
+def _lower(text: str) -> str:
+    """A-Z lower-cased and nothing else, so that every offset stays."""
+    return text.lower() if text.isascii() else _UPPER.sub(lambda m: m[0].lower(), text)
+
+
 def find(text: str) -> list[Span]:
     spans: list[Span] = []
     done = dict.fromkeys(KINDS, 0)  # where the last match of each kind ended, whether kept or dropped
     run_end = 0  # of the digit run that the last digit anchor stood in
-    for last, (what, word) in _anchors().iter(text):
+    for last, (what, word) in _anchors().iter(_lower(text)):
         start = last - len(word) + 1
         if what == "at":
             left = start
@@ -109,8 +115,8 @@ def find(text: str) -> list[Span]:
                 done["address"] = at[1]
                 spans.append(("address", *at))
         elif start >= done["account"]:
-            m = CUES[word.lower()].match(text, last + 1)
-            if m and (word.lower() != "iban" or iban(m[1])):
+            m = CUES[word].match(text, last + 1)
+            if m and (word != "iban" or iban(m[1])):
                 done["account"] = m.end(1)
                 spans.append(("account", *m.span(1)))
     return sorted(spans, key=lambda s: (s[1], _ORDER[s[0]], s[2]))

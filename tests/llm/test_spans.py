@@ -102,6 +102,17 @@ def test_allow_list_leaves_the_rest_of_a_run_open():
     assert len(covered) > 5000 and not covered & set(range(3000 - 64, 3007 + 64))
 
 
+def test_anchors_in_every_spelling():
+    for cue in ("Social Security", "SOCIAL security", "sOcIaL sEcUrItY", "Ssn"):
+        text = f"İ é {cue} Number: 123-45-6789."
+        assert [text[a:b] for k, a, b in pii_scan.find(text) if k == "account"] == ["123-45-6789"], cue
+    for address in ("Mailto:a@b.co", "HTTP://bob:pw@host.org", "Https://10.0.0.1:80", "TEL:12345678", "fTP://u@h"):
+        text = f"see {address} now"
+        assert [text[a:b] for k, a, b in pii_scan.find(text) if k == "address"] == [address]
+    text = "iBaN GB82 WEST 1234 5698 7654 32, aCCount 12345678"
+    assert [text[a:b] for k, a, b in pii_scan.find(text) if k == "account"] == ["GB82 WEST 1234 5698 7654 32", "12345678"]
+
+
 def test_pii_method_spans():
     text = "see https://bob:pw@host.org/x mailto:a@b.co IBAN: GB82 WEST 1234 5698 7654 32, account no 12345678 SSN 123-45-6789 https://plain.org"
     found = [(k, text[a:b]) for k, a, b in pii_scan.find(text) if k in ("address", "account")]
