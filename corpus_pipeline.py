@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casework.llm import decontamination, jaccard, packing, quality, secret_scan
+from casework.llm import decontamination, packing, quality, secret_scan, simhash
 from casework.llm.common import stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays; five-word similarity of 0.8 or more links."""
-    return jaccard.deduplicate(docs)
+    """One document of each group stays; SimHashes of three-word shingles link at three or fewer differing bits."""
+    return simhash.deduplicate(docs, size=3, radius=3)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
