@@ -24,12 +24,12 @@ class PriorityModel:
     r2: float
 
     def score(self, cases: DataFrame, as_of) -> DataFrame:
-        """Whole priority 0..100 beside the input columns."""
-        rows = self.model.transform(priority_features(cases, as_of))
-        kept = [c for c in cases.columns if c != "priority_score"]
-        original = [F.col(c) for c in kept if c != "amount_involved"]
-        amount = [F.col("amount_involved")] if "amount_involved" in kept else []
-        return rows.select(*original, *amount, clipped(F.bround("prediction", 0)).alias("priority_score"))
+        """Whole priority 0..100 beside the input columns, which stay as filed whatever the features fill in."""
+        inputs = [c for c in cases.columns if c in PRIORITY_FEATURES]
+        filed = {c: f"__filed_{c}" for c in inputs}
+        rows = self.model.transform(priority_features(cases.withColumns({f: F.col(c) for c, f in filed.items()}), as_of))
+        kept = [F.col(filed.get(c, c)).alias(c) for c in cases.columns if c != "priority_score"]
+        return rows.select(*kept, clipped(F.bround("prediction", 0)).alias("priority_score"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         write_part(self.model, f"{path}/model")
