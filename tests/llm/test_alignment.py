@@ -95,11 +95,25 @@ def in_order(rows: list[tuple]) -> list[tuple]:
 
 def test_groups_and_links():
     ends_a, ends_b = [2, 3, 7, 9, 12], [1, 3, 5, 6, 8, 12]
-    groups = list(alignment.groups_of(ends_a, ends_b))
-    assert groups == [(0, 2, 0, 2), (2, 5, 2, 6)]
-    links = [link for g in groups for link in alignment.links_of(*g, ends_a, ends_b)]
+    assert alignment.groups_of(ends_a, ends_b) == ([2, 5], [2, 6])
+    a, b = list(range(5)), list(range(6))
+    links = alignment.links_of(a[:2], b[:2], ends_a[:2], ends_b[:2]) + [1 << 32 | 1] + alignment.links_of(a[2:], b[2:], ends_a[2:], ends_b[2:]) + [4 << 32 | 5]
     spans = [list(zip([0, *e], e)) for e in (ends_a, ends_b)]
-    assert links == [(i, j) for i, x in enumerate(spans[0]) for j, y in enumerate(spans[1]) if x[0] < y[1] and y[0] < x[1]]
+    assert [(x >> 32, x & 0xFFFFFFFF) for x in links] == [
+        (i, j) for i, x in enumerate(spans[0]) for j, y in enumerate(spans[1]) if x[0] < y[1] and y[0] < x[1]
+    ]
+
+
+def test_fast_ids_equal_the_library(monkeypatch):
+    assert alignment.in_merge_order(A) and not alignment.in_merge_order(public_tokenizers.path("word_bpe_49k.json"))
+    fast = alignment.Encoders(A, B)
+    monkeypatch.setattr(alignment, "in_merge_order", lambda path: False)
+    plain = alignment.Encoders(A, B)
+    draw = random.Random(7)
+    pieces = ["a", "Z", "é", "\n", " ", "  ", "\t", "'s", "'LL", "12", "½", "日", "🙂", "\u00a0", "\u2003", "<|endoftext|>", "-", "\x00", "ß", "\u0301", "word"]
+    for _ in range(3000):
+        text = "".join(draw.choice(pieces) for _ in range(draw.randint(1, 30)))
+        assert fast.encode_a(text) == plain.encode_a(text), repr(text)
 
 
 ODD = [
