@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casework.llm import (
-    alignment, chat, decontamination, licences, negatives, packing, pii_scan, quality, secret_scan, sharding, simhash, warc,
+    alignment, chat, decontamination, licences, negatives, packing, pii_scan, quality, secret_scan, sharding, simhash, templates, warc,
 )
 from casework.llm.common import kind_count, of_kinds, scratch, span_list, table
 
@@ -211,6 +211,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(files).withColumnRenamed("id", "doc_id")
 
 
+@query("op11_template_slots")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = templates.main_texts(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 @query("op12_token_alignment")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     aligned = alignment.align(
