@@ -17,9 +17,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -82,22 +81,26 @@ class Encoders:
             for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))
         ]
         self.length_a, self.length_b = (np.array([len(x) for x in side], np.int64) for side in (self.bytes_a, self.bytes_b))
-        if in_merge_order(byte_level):
+        self.merges, self.names = in_merge_order(byte_level), list(map(str, range(max(size, len(self.bytes_b)))))
+        if self.merges:
             import tiktoken
 
             special = a.get_added_tokens_decoder()
             ranks = {x: i for i, x in enumerate(self.bytes_a) if i not in special}
-            self.encode_a = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.encode_a = tiktoken.Encoding("a", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+            self.encode_a = partial(self.encode_a, disallowed_special=())
         else:
             self.encode_a = lambda text: a.encode(text, add_special_tokens=False).ids
 
-    def ids(self, text: str) -> tuple[list[int], list[int]] | None:
+    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """Ids of both, or nothing where either does not keep the bytes."""
         if not text:
             return None
         data, a, b = b" " + text.encode(), self.encode_a(" " + text), self.b.encode(text, num_threads=1)
-        kept = all(b"".join(map(x.__getitem__, ids)) == data for x, ids in ((self.bytes_b, b), (self.bytes_a, a)))
-        return (a, b) if kept else None
+        # Merging by ascending ids starts from single bytes and cannot lose one.
+        if b"".join(map(self.bytes_b.__getitem__, b)) != data or not self.merges and b"".join(map(self.bytes_a.__getitem__, a)) != data:
+            return None
+        return np.array(a, np.int64), np.array(b, np.int64)
 
 
 @lru_cache(maxsize=1)
@@ -106,11 +109,12 @@ def _worker_encoders(byte_level: str, pieces: str) -> Encoders:
     return Encoders(byte_level, pieces)
 
 
-def groups_of(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
+def groups_of(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Places in both lists at which groups end, exclusive. Dictionaries keep the order of their keys, so the common ones come sorted."""
     at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
     common = list(filter(at_b.__contains__, at_a))
-    return list(map(at_a.__getitem__, common)), list(map(at_b.__getitem__, common))
+    place_a, place_b = (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
+    return place_a, place_b
 
 
 def links_of(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> list[int]:
@@ -136,32 +140,33 @@ class _Said(dict):
 _SAID = _Said()
 
 
-def aligned(encoders: Encoders, text: str) -> tuple[int, int, int, int, str, Counter]:
-    """n_a, n_b, n_groups, n_links, digest of the groups, and how often each id pair (A id in the upper 32 bits) is linked."""
+def aligned(encoders: Encoders, text: str) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+    """n_a, n_b, n_groups, n_links, digest of the groups, the different linked id pairs (A id in the upper 32 bits) and how often each is linked."""
     found = encoders.ids(text)
     if found is None:
-        return 0, 0, 0, 0, "", Counter()
-    ids_a, ids_b = found
-    a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        return 0, 0, 0, 0, "", np.array([], np.int64), np.array([], np.int64)
+    a, b = found
     ends_a, ends_b = np.cumsum(encoders.length_a[a]).tolist(), np.cumsum(encoders.length_b[b]).tolist()
-    last_a, last_b = groups_of(ends_a, ends_b)
-    to_a, to_b = np.array(last_a), np.array(last_b)
+    to_a, to_b = groups_of(ends_a, ends_b)
     # The last tokens of a group always overlap. Most groups have no others; the rest are expanded slice by slice.
-    linked = (a[to_a - 1] << 32 | b[to_b - 1]).tolist()
-    said = list(map(_SAID.__getitem__, linked))
-    more = np.flatnonzero((np.diff(to_a, prepend=0) > 1) | (np.diff(to_b, prepend=0) > 1)).tolist()
-    for k in more:
-        i, j, p, q = last_a[k - 1] if k else 0, last_b[k - 1] if k else 0, last_a[k], last_b[k]
+    linked = a[to_a - 1] << 32 | b[to_b - 1]
+    said, others, name = list(map(_SAID.__getitem__, linked.tolist())), [], encoders.names.__getitem__
+    from_a, from_b = np.r_[0, to_a[:-1]], np.r_[0, to_b[:-1]]
+    more = np.flatnonzero((to_a - from_a > 1) | (to_b - from_b > 1))
+    ids_a, ids_b = a.tolist(), b.tolist()
+    for k, i, p, j, q in zip(*(x.tolist() for x in (more, from_a[more], to_a[more], from_b[more], to_b[more])), strict=True):
         x, y = ids_a[i:p], ids_b[j:q]
-        said[k] = f"{','.join(map(str, x))}|{','.join(map(str, y))}"
+        said[k] = f"{','.join(map(name, x))}|{','.join(map(name, y))}"
         if q - j == 1:
-            linked += [v << 32 | y[0] for v in x[:-1]]
+            others += [v << 32 | y[0] for v in x[:-1]]
         elif p - i == 1:
             first = x[0] << 32
-            linked += [first | v for v in y[:-1]]
+            others += [first | v for v in y[:-1]]
         else:
-            linked += links_of(x, y, ends_a[i:p], ends_b[j:q])
-    return len(a), len(b), len(said), len(linked), hashlib.sha256(";".join(said).encode()).hexdigest(), Counter(linked)
+            others += links_of(x, y, ends_a[i:p], ends_b[j:q])
+    linked = np.concatenate([linked, np.array(others, np.int64)])
+    digest = hashlib.sha256(";".join(said).encode()).hexdigest()
+    return len(a), len(b), len(said), len(linked), digest, *np.unique(linked, return_counts=True)
 
 
 class _Places(dict):
@@ -183,11 +188,11 @@ class _Chunk:
         self.counts: list[np.ndarray] = []
         self.entries = 0
 
-    def add(self, id_: int | None, facts: tuple, pairs: Counter) -> None:
+    def add(self, id_: int | None, facts: tuple, pairs: np.ndarray, counts: np.ndarray) -> None:
         self.docs.append((id_, *facts))
         self.sizes.append(len(pairs))
-        self.places.append(np.fromiter(map(self.place.__getitem__, pairs), np.int32, len(pairs)))
-        self.counts.append(np.fromiter(pairs.values(), np.int32, len(pairs)))
+        self.places.append(np.fromiter(map(self.place.__getitem__, pairs.tolist()), np.int32, len(pairs)))
+        self.counts.append(counts.astype(np.int32))
         self.entries += len(pairs) + 1
 
     def batch(self, number: int) -> pa.RecordBatch:
@@ -207,8 +212,8 @@ def chunked(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id",
         number, open_ = (task.partitionId() if task else 0) << 32, _Chunk()
         for batch in batches:
             for id_, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                *facts, pairs = aligned(encoders, value.as_py())
-                open_.add(id_, tuple(facts), pairs)
+                *facts, pairs, counts = aligned(encoders, value.as_py())
+                open_.add(id_, tuple(facts), pairs, counts)
                 if open_.entries >= chunk:
                     yield open_.batch(number)
                     number, open_ = number + 1, _Chunk()

@@ -95,7 +95,7 @@ def in_order(rows: list[tuple]) -> list[tuple]:
 
 def test_groups_and_links():
     ends_a, ends_b = [2, 3, 7, 9, 12], [1, 3, 5, 6, 8, 12]
-    assert alignment.groups_of(ends_a, ends_b) == ([2, 5], [2, 6])
+    assert [x.tolist() for x in alignment.groups_of(ends_a, ends_b)] == [[2, 5], [2, 6]]
     a, b = list(range(5)), list(range(6))
     links = alignment.links_of(a[:2], b[:2], ends_a[:2], ends_b[:2]) + [1 << 32 | 1] + alignment.links_of(a[2:], b[2:], ends_a[2:], ends_b[2:]) + [4 << 32 | 5]
     spans = [list(zip([0, *e], e)) for e in (ends_a, ends_b)]
@@ -113,7 +113,7 @@ def test_fast_ids_equal_the_library(monkeypatch):
     pieces = ["a", "Z", "é", "\n", " ", "  ", "\t", "'s", "'LL", "12", "½", "日", "🙂", "\u00a0", "\u2003", "<|endoftext|>", "-", "\x00", "ß", "\u0301", "word"]
     for _ in range(3000):
         text = "".join(draw.choice(pieces) for _ in range(draw.randint(1, 30)))
-        assert fast.encode_a(text) == plain.encode_a(text), repr(text)
+        assert fast.encode_a(text).tolist() == plain.encode_a(text), repr(text)
 
 
 ODD = [
