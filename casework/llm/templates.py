@@ -21,7 +21,6 @@ page, and for a page unlike its host, the page is its own template. Repeated row
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -71,6 +70,8 @@ def classes(found: DataFrame) -> DataFrame:
         F.first("parent").alias("parent"), F.first("is_text").alias("is_text"), F.first("holds").alias("holds"), F.count("*").alias("on"),
         F.sum("n").alias("n"), F.sum("words").alias("words"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"),
     )
+    # A text on fewer pages cannot be a template's on any host; it goes before the join, whose key is the host alone.
+    vectors = vectors.filter(~F.col("is_text") | (F.col("on") >= LEAST_PAGES * CONSTANT))
     enough = F.when(F.col("is_text"), (F.col("on") >= CONSTANT * F.col("pages")) & (F.col("pages") >= LEAST_PAGES)).otherwise(
         F.col("on") >= SUPPORT * F.col("pages")
     )
@@ -144,7 +145,7 @@ def main_text(page: Page, template: Template) -> str:
     return "\n".join(b.text for b in (own if 2 * size[0] >= size[1] else chosen))
 
 
-def _extracted(batches: Iterator[pa.RecordBatch], extra: int) -> Iterator[pa.RecordBatch]:
+def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     host, template = None, Template([], [], [], [])
     for batch in batches:
         texts = []
@@ -162,4 +163,4 @@ def main_texts(pages: DataFrame, key: str = "page_id", html: str = "html", url:
     deduced = stored(templates(found), "templates")
     rows = pages.select(F.col(key).cast("long").alias("id"), host_of(F.col(url)).alias("host"), text_of(html).alias("html"), F.col(url).alias("url"))
     beside = rows.join(deduced, "host", "left").select("id", "host", "html", *TEMPLATE, F.col("url").cast("string").alias("url"))
-    return beside.mapInArrow(partial(_extracted, extra=0), "id long, text string, url string")
+    return beside.mapInArrow(_extracted, "id long, text string, url string")
