@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over the same bytes: groups between common ends, links inside them, corpus counts of linked id pairs.
 
-Both encodings of a text are partitions of the same bytes. Each has a dictionary from the end of a token to its place; the keys that both dictionaries
-hold, in order, cut both id lists into groups, and inside a group every pair of tokens whose byte ranges overlap is a link.
+Both encodings of a text are partitions of the same bytes. A dictionary leads from the end of a token to its place; the ends that both encodings
+have, in order, cut both id lists into groups, and inside a group every pair of tokens whose byte ranges overlap is a link.
 
 Counts of id pairs are over the whole corpus and come back to every document, which would be a join of all links. Instead documents are gathered in
 chunks of about `CHUNK` distinct pairs: a chunk keeps one list of its pairs and its documents point into it. Only the lists are counted, summed over chunks, and
@@ -19,6 +19,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -110,11 +111,10 @@ def _worker_encoders(byte_level: str, pieces: str) -> Encoders:
 
 
 def groups_of(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Places in both lists at which groups end, exclusive. Dictionaries keep the order of their keys, so the common ones come sorted."""
-    at_a, at_b = dict(zip(ends_a, range(1, len(ends_a) + 1))), dict(zip(ends_b, range(1, len(ends_b) + 1)))
-    common = list(filter(at_b.__contains__, at_a))
-    place_a, place_b = (np.fromiter(map(at.__getitem__, common), np.int64, len(common)) for at in (at_a, at_b))
-    return place_a, place_b
+    """Places in both lists at which groups end, exclusive: the dictionary of one side's ends is probed with the other's, which come in order."""
+    at_b = dict(zip(ends_b, range(1, len(ends_b) + 1)))
+    found = np.fromiter(map(at_b.get, ends_a, repeat(0)), np.int64, len(ends_a))
+    return np.flatnonzero(found) + 1, found[found > 0]
 
 
 def links_of(ids_a: list[int], ids_b: list[int], ends_a: list[int], ends_b: list[int]) -> list[int]:
