@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from casework.models import breach, category, features, priority, smote, split
+from casework.models import breach, category, ensembles, features, priority, smote, split
 from casework.models.backfill import backfill
 from casework.queries.model_queries import text_cases
 
@@ -107,7 +107,7 @@ def test_candidates_learn_and_leaderboard_is_ordered(spark, cases):
 def test_stacking_and_importances(prepared):
     table, encoder, rows = prepared
     pool = breach.candidates(SMALL)
-    model = breach.fit_stacking(rows, [pool["RandomForest"], pool["GradientBoosting"]], folds=2)
+    model = breach.fit_stacking(rows, pool, folds=2)
     auc, accuracy = breach._scores(model.transform(rows))
     assert auc > 0.7 and accuracy > 0.6
     named = breach.importances(encoder, model, table).collect()
@@ -118,8 +118,8 @@ def test_stacking_and_importances(prepared):
 
 def test_grid_returns_a_grid_point(prepared):
     _, _, rows = prepared
-    best, score = breach.tune(rows, {"maxIter": (2, 3), "maxDepth": (2,)}, folds=2)
-    assert best["maxDepth"] == 2 and best["maxIter"] in (2, 3) and 0.5 < score <= 1.0
+    best, score = breach.tune(rows, {"trees": (2, 3), "depth": (2,)}, folds=2)
+    assert best["depth"] == 2 and best["trees"] in (2, 3) and 0.5 < score <= 1.0
     grid = 1
     for values in breach.GRID.values():
         grid *= len(values)
@@ -176,8 +176,8 @@ def test_saved_models_score_alike(spark, cases, prepared, tmp_path):
     rows = features.sla_features(cases, AS_OF)
     table, encoder, fitted = prepared
     pool = breach.candidates(SMALL)
-    for i, model in enumerate([pool["RandomForest"].fit(fitted), breach.fit_stacking(fitted, list(pool.values()), folds=2)]):
-        trained = breach.Trained(encoder, model, "x", [{"model": "x"}], 0.9, 0.8, 10, {"maxDepth": 3})
+    for i, model in enumerate([ensembles.fit_one(fitted, pool["RandomForest"]), breach.fit_stacking(fitted, pool, folds=2)]):
+        trained = breach.Trained(encoder, model, "x", [{"model": "x"}], 0.9, 0.8, 10, {"depth": 3})
         trained.save(spark, str(tmp_path / f"breach{i}"))
         again = breach.Trained.load(spark, str(tmp_path / f"breach{i}"))
         assert (again.winner, again.leaderboard, again.tuned) == (trained.winner, trained.leaderboard, trained.tuned)
