@@ -2,8 +2,8 @@
 
 A document's ids are those of its text and one end id; documents longer than a sequence are cut into whole pieces and a rest.
 Each piece goes where the sum over all gaps of (open sequences with this gap) squared becomes smallest: into an open sequence with some gap, or into a new one. Ties take the
-smallest gap. Pieces are dealt by a digest over packs of about `PACK` pieces that are packed independently, the longest first; a
-pack needs only lengths, so texts and ids never leave the task that tokenised them.
+smallest gap. Pieces are dealt by a digest over packs of about `PACK` pieces that are packed independently, the longest first; the digest takes
+in the row's place in the stored table, so that repeated rows spread. A pack needs only lengths, so texts and ids never leave the task that tokenised them.
 
 Defined cases: null and empty texts are the end id alone; texts are tokenised whole, in blocks; repeated rows are packed each; an empty table gives an
 empty result.
@@ -62,11 +62,17 @@ class _Cache(dict):
 class WordTokens:
     """Ids of words. The vocabulary drops white space before it merges, so a text's ids are those of its words in turn, and a word's
     those of its units: runs of letters, digits, runs of signs. Words and units repeat, so most are looked up. Words
-    with other characters go to the tokenizer whole. Only works for vocabularies with this property."""
+    with other characters go to the tokenizer whole. Only works for vocabularies with this property.
+
+    Added tokens of the vocabulary are one id each where a text spells them exactly; elsewhere, in other case too, they are plain characters."""
 
     def __init__(self, vocabulary: str) -> None:
         self.tokenizer = Tokenizer.from_file(vocabulary)
+        # Words come here lower-cased and between added tokens, so what looks like one is none.
         self.tokenizer.encode_special_tokens = True
+        self.added = {t.content: array("I", [i]).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        longest_first = sorted(self.added, key=len, reverse=True)
+        self.at_added = re.compile(f"({'|'.join(map(re.escape, longest_first))})") if self.added else None
         spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.bytewise = {c: spell(chr(c))[0][0] for c in range(0xDF, 0x100)}
         self.units: _Cache = _Cache(self._unit)
@@ -85,7 +91,13 @@ class WordTokens:
 
     def ids(self, text: str) -> bytes:
         """Ids of the text and the end id, as unsigned 32-bit integers."""
-        parts = [b"".join(map(self.words.__getitem__, words)) for words in word_blocks(text)]
+        segments = self.at_added.split(text) if self.at_added else [text]
+        parts: list[bytes] = []
+        for i, segment in enumerate(segments):
+            if i % 2:
+                parts.append(self.added[segment])
+            else:
+                parts += [b"".join(map(self.words.__getitem__, words)) for words in word_blocks(segment)]
         return b"".join([*parts, array("I", [END_ID]).tobytes()])
 
 
@@ -149,7 +161,8 @@ def sum_of_squares(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndar
 def pack(pieces: DataFrame, limit: int = LIMIT, per_pack: int = PACK) -> DataFrame:
     """`pieces` (a stored table) with sequence_id and offset."""
     packs = max(1, -(-pieces.count() // per_pack))
-    dealt = pieces.select(*PIECES_NAMES, F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(packs)).alias("pack"))
+    row = F.monotonically_increasing_id()  # a stored table reads alike in every attempt
+    dealt = pieces.select(*PIECES_NAMES, F.pmod(F.xxhash64("id", "piece", "ids_crc32", row), F.lit(packs)).alias("pack"))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], ignore_index=True)

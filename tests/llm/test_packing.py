@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from casework.llm import packing, queries
@@ -17,7 +18,6 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 
 def whole_ids(texts: list[str]) -> list[list[int]]:
     tokenizer = Tokenizer.from_file(VOCABULARY)
-    tokenizer.encode_special_tokens = True
     return [e.ids + [0] for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -27,7 +27,7 @@ def ids_of(text: str) -> list[int]:
 
 def test_word_tokens_equal_whole_texts():
     draw = random.Random(1)
-    pieces = ["the", "Don't", "we'll", "'s", "é", "É", "ß", "İ", "K", "ﬁ", "日本", "١٢", "3.14", ".,", "!?", "<|endoftext|>", "<|startoftext|>", "\x0b", "\x0c",
+    pieces = ["the", "Don't", "we'll", "'s", "é", "É", "ß", "İ", "K", "ﬁ", "日本", "١٢", "3.14", ".,", "!?", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "|>", "\x0b", "\x0c",
               "\x1c", "\x85", "\xa0", " ", "　", " ", "\n", "\t", "-", "x", "X", "_", "🙂", "ͅ", "ạ̇", "²", "Ⅷ", "\x00", "Σς", "."]
     texts = ["".join(draw.choice(pieces) for _ in range(draw.randint(0, 12))) for _ in range(5000)]
     tokens = packing.WordTokens(VOCABULARY)
@@ -35,6 +35,12 @@ def test_word_tokens_equal_whole_texts():
         assert np.frombuffer(tokens.ids(text), "<u4").tolist() == want, repr(text)
 
 
+def test_added_tokens_are_one_id_each():
+    assert ids_of("a <|endoftext|> b") == [320, 49407, 321, 0]
+    assert ids_of("a<|endoftext|>b<|startoftext|>") == [320, 49407, 321, 49406, 0]
+    assert ids_of("<|ENDOFTEXT|>") == [27, 347, 40786, 4160, 91, 285, 0]
+
+
 def test_tokens_equal_on_documents(spark):
     texts = [r.text or "" for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
     tokens = packing.WordTokens(VOCABULARY)
@@ -107,3 +113,10 @@ def test_odd_rows_and_sequences(spark):
     for r in placed.collect():
         assert whole[r.sequence_id][r.offset:r.offset + r.length] == ids[r.id][r.start:r.start + r.length]
     assert packing.pack_documents(docs.limit(0), VOCABULARY).count() == 0
+
+
+def test_equal_rows_without_id_spread_over_packs(spark):
+    pieces = spark.range(100_000).selectExpr("CAST(null AS BIGINT) AS id", "0 AS piece", "0L AS start", "700L AS length", "5L AS ids_crc32")
+    placed = packing.pack(pieces, per_pack=10_000)
+    sizes = [r["count"] for r in placed.groupBy((F.col("sequence_id") / (1 << 32)).cast("int")).count().collect()]
+    assert len(sizes) == 10 and sum(sizes) == 100_000 and max(sizes) < 12_000
