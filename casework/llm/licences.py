@@ -1,9 +1,12 @@
 """Licence scan: sparse TF-IDF cosine of headers and licence files to templates, inherited from the nearest ancestor directory.
 
-A file's passages are its sentences with a licence cue; of a licence file (LICENSE, LICENCE, COPYING, NOTICE, any extension) its whole text is a passage too. Terms are
-those of the templates; a term's weight is its count times ln((1 + N) / (1 + df)) + 1, df over all N texts. A passage has
-the licence of the template with the highest cosine, `LEAST` or more; a file has that of its best passage. Ties go to the
-licence, then to the passage, first in order.
+A file's passages are its sentences with a licence cue; of a licence file (LICENSE, LICENCE, COPYING, NOTICE, any extension) its whole text is a passage too. A
+term's weight is its count times ln((1 + N) / (1 + df)) + 1, df over all N texts. A passage's length is that of all its terms, so
+words that no template has lower its cosine. A passage has the licence of the template with the highest cosine, `LEAST` or more; a file has
+that of its best passage. Ties go to the licence, then to the passage, first in order.
+
+Document frequencies are a distributed count of every term of every text. Passages take them by a broadcast of the `COMMON` terms of most texts
+and a join for the rest, where no term has more than one in `COMMON` of all occurrences.
 
 A directory has the licence of the licence file in it (of several, of the first path in order). Files without their own take
 the licence of the nearest directory above that has one: distinct directories are exploded to their ancestors and joined by path, so
@@ -21,20 +24,28 @@ from pyspark.sql import functions as F
 
 from casework.llm.common import stored, text_of
 
-LEAST = 0.55
+LEAST, COMMON = 0.55, 10_000
 #: Licence and a sentence that states it. Fixed values.
 TEMPLATES = (
+    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC0-1.0", "This work is dedicated to the public domain under the Creative Commons CC0 1.0 Universal license."),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, version 3."),
+    ("ISC", "Licensed under the ISC License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
@@ -59,14 +70,10 @@ def template_terms(spark: SparkSession) -> DataFrame:
     )
 
 
-def term_weights(files: DataFrame, terms: list[str], text: str) -> DataFrame:
-    """term, idf over all files."""
-    body = text_of(text)
-    held = F.array_intersect(_terms(body), F.array(*map(F.lit, terms)))
-    found = files.select(F.explode(held).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    vocabulary = files.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    n = files.count()
-    return vocabulary.join(found, "term", "left").select("term", (F.log((n + 1) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf"))
+def term_counts(files: DataFrame, text: str) -> DataFrame:
+    """term, df: in how many texts each term of the files stands."""
+    terms = files.select(F.explode(F.array_distinct(_terms(text_of(text)))).alias("term"))
+    return terms.groupBy("term").agg(F.count("*").alias("df"))
 
 
 def passages(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
@@ -82,21 +89,26 @@ def passages(files: DataFrame, key: str, path: str, text: str) -> DataFrame:
 
 def own_licences(files: DataFrame, key: str = "doc_id", path: str = "path", text: str = "text", least: float = LEAST) -> DataFrame:
     """id, path, licence, cosine: the files that state a licence themselves."""
-    spark = files.sparkSession
-    templates = template_terms(spark)
-    terms = sorted({r.term for r in templates.select("term").distinct().collect()})
-    idf = stored(term_weights(files, terms, text), "idf")
-    weighted = templates.join(F.broadcast(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
+    n = files.count()
+    counts = stored(term_counts(files, text), "terms")
+    idf = (F.log((n + 1) / (1 + F.coalesce("df", F.lit(0)))) + 1).alias("idf")
+    weighted = template_terms(files.sparkSession).join(counts, "term", "left").withColumn("w", F.col("tf") * idf)
     norms = weighted.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = weighted.join(norms, "template").select("template", "licence", "term", (F.col("w") / F.col("norm")).alias("share"))
-    tf = passages(files, key, path, text).select("id", "path", "passage", F.xxhash64("body").alias("d"), F.explode(_terms(F.col("body"))).alias("term"))
-    known = tf.join(F.broadcast(idf), "term")
+    share = F.struct("template", "licence", (F.col("w") / F.col("norm")).alias("share"))
+    unit = stored(weighted.join(norms, "template").groupBy("term").agg(F.collect_list(share).alias("shares")), "unit")
     row = ["id", "path", "passage", "d"]
-    counted = known.groupBy(*row, "term").agg((F.count("*") * F.first("idf")).alias("w"))
+    tf = passages(files, key, path, text).select("id", "path", "passage", F.xxhash64("body").alias("d"), F.explode(_terms(F.col("body"))).alias("term"))
     # Repeated rows multiply all weights of a passage alike, which no cosine notices.
-    length = counted.groupBy(*row).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"), F.collect_list(F.struct("term", "w")).alias("vector"))
-    dots = length.select(*row, "length", F.explode("vector").alias("v")).select(*row, "length", "v.term", "v.w").join(F.broadcast(unit), "term")
-    cosines = dots.groupBy(*row, "template", "licence").agg(F.round(F.sum(F.col("w") * F.col("share")) / F.first("length"), 9).alias("cosine"))
+    tf = stored(tf.groupBy(*row, "term").agg(F.count("*").alias("tf")), "passages")
+    common = stored(counts.orderBy(F.col("df").desc(), "term").limit(COMMON), "common")
+    rare = tf.join(F.broadcast(common), "term", "left_anti").join(counts, "term")
+    known = tf.join(F.broadcast(common), "term").unionByName(rare).withColumn("w", F.col("tf") * idf)
+    with_shares = known.join(F.broadcast(unit), "term", "left")
+    length = F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length")
+    held = F.collect_list(F.when(F.col("shares").isNotNull(), F.struct("w", "shares"))).alias("held")
+    vectors = with_shares.groupBy(*row).agg(length, held)
+    each = vectors.select(*row, "length", F.explode("held").alias("h")).select(*row, "length", F.col("h.w").alias("w"), F.inline("h.shares"))
+    cosines = each.groupBy(*row, "template", "licence").agg(F.round(F.sum(F.col("w") * F.col("share")) / F.first("length"), 9).alias("cosine"))
     good = cosines.filter(F.col("cosine") >= least)
     best = good.groupBy("id", "path").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence", "passage")).alias("best"))
     return best.select("id", "path", F.col("best.licence").alias("licence"), (-F.col("best.c")).alias("cosine"))

@@ -6,7 +6,9 @@ import math
 import re
 from collections import Counter
 
-from casework.llm import licences
+from casework.llm import licences, queries
+
+SMALL = "/root/testdata/sf0.01"
 
 FILES = "doc_id long, path string, text string, licence string"
 
@@ -16,12 +18,10 @@ def plain_terms(text: str) -> list[str]:
 
 
 def plain_own(rows: list[tuple], least: float = licences.LEAST) -> dict:
-    vocabulary = {t for _, text in licences.TEMPLATES for t in plain_terms(text)}
-    df = Counter(t for r in rows for t in set(plain_terms(r[2] or "")) & vocabulary)
-    idf = {t: math.log((1 + len(rows)) / (1 + df[t])) + 1 for t in vocabulary}
+    df = Counter(t for r in rows for t in set(plain_terms(r[2] or "")))
 
     def vector(text: str) -> dict:
-        return {t: n * idf[t] for t, n in Counter(plain_terms(text)).items() if t in vocabulary}
+        return {t: n * (math.log((1 + len(rows)) / (1 + df[t])) + 1) for t, n in Counter(plain_terms(text)).items()}
 
     def cosine(a: dict, b: dict) -> float:
         norm = math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
@@ -62,3 +62,44 @@ def test_templates_and_inheritance(spark):
     assert result[5, "a/b/c/z.py"] == result[9, "a/b/c/y.py"] == ("MIT", None)
     assert result[7, None] == ("MIT", None) and result[8, None] == (None, None)
     assert licences.scan(files.limit(0)).count() == 0
+
+
+def test_words_outside_the_templates_count(spark):
+    said = {
+        1: ("He was released yesterday under a fishing license scheme that most villagers had long forgotten.", None),
+        2: ("GNU Affero General Public License, version 3", "AGPL-3.0"),
+        3: ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        4: ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        5: ("Licensed under the BSD 2-Clause License.", "BSD-2-Clause"),
+        6: ("Released under the MIT License.", "MIT"),
+    }
+    texts = [(r.doc_id, f"d/{r.doc_id}", r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    rows = [(-k, f"s/{k}", text) for k, (text, _) in said.items()] + texts
+    got = {r.id: r.licence for r in licences.own_licences(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+    assert {k: got.get(-k) for k in said} == {k: name for k, (_, name) in said.items()}
+
+
+def test_query_equals_plain_scan(spark):
+    files = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id", f"{queries.DOC_PATH} AS path", "text")
+    rows = [tuple(r) for r in files.collect()]
+    want = plain_own(rows)
+    got = queries.op1(spark, SMALL).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.path): (r.own_licence, round(r.cosine, 6)) for r in got if r.own_licence} == {k: (n, round(c, 6)) for k, (n, c) in want.items()}
+    named: dict = {}
+    for (key, path), (licence, _) in want.items():
+        if re.search(licences.LICENCE_FILE, path):
+            folder = path.rpartition("/")[0]
+            named[folder] = min(named.get(folder, (path, key, licence)), (path, key, licence))
+    for r in got:
+        above = r.path.rpartition("/")[0].split("/")
+        chain = ["/".join(above[:n]) for n in range(len(above), -1, -1)]
+        given = next((named[f][2] for f in chain if f in named), None)
+        assert r.licence == (r.own_licence or given), r.path
+
+
+def test_equal_cosines_take_the_first_licence(spark):
+    tie = "Licensed under the BSD Clause License."
+    rows = [(1, "a/x", tie), (2, "a/y", tie), (3, "a/z", None)]
+    got = {r.id: r.licence for r in licences.own_licences(spark.createDataFrame(rows, "doc_id long, path string, text string"), least=0.1).collect()}
+    assert got == {k: plain_own(rows, 0.1)[k, p][0] for k, p, text in rows if text}
