@@ -32,11 +32,23 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _AUTHORITY = re.compile(r"[^\s/?#\"'<>()\[\]{}]+")
 _QUAD_HOST = re.compile(r"[0-9]+(?:\.[0-9]+){3}(?::[0-9]+)?")
 _TARGET = re.compile(r"[A-Za-z0-9._%+@-]{3,}")
-_IBAN = re.compile(r"[:#\s]{0,3}([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+_IBAN = re.compile(r"[:#\s]{0,3}(?:number|no\.?)?[:#\s]{0,3}([A-Z]{2}[0-9]{2})(?=\x20?[A-Z0-9])", re.IGNORECASE | re.ASCII)
+_IBAN_SIGN = re.compile(r"\x20?[A-Za-z0-9]")
+#: Characters of an IBAN by country. Fixed values.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22,
+    "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22,
+    "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30,
+    "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20,
+    "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22,
+    "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+_DATE = re.compile(r"(?:1[89]|20)[0-9]{2}[\x20-](?:0?[1-9]|1[0-2])[\x20-](?:0?[1-9]|[12][0-9]|3[01])|(?:0?[1-9]|[12][0-9]|3[01])[\x20-](?:0?[1-9]|1[0-2])[\x20-](?:1[89]|20)[0-9]{2}")
 _ACCOUNT = re.compile(r"(?:\s?(?:number|no\.?|nr\.?))?[:#=\s]{0,3}([0-9](?:[\x20-]?[0-9]){5,17})(?![0-9])", re.IGNORECASE)
 _SSN = re.compile(r"(?:\s?(?:number|no\.?))?[:#=\s]{0,3}((?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4})(?![0-9])", re.IGNORECASE)
 SCHEMES = ("http://", "https://", "ftp://", "mailto:", "tel:")
-CUES = {"iban": _IBAN, "account": _ACCOUNT, "acct": _ACCOUNT, "ssn": _SSN, "social security": _SSN}
+CUES = {"account": _ACCOUNT, "acct": _ACCOUNT, "ssn": _SSN, "social security": _SSN}
 
 
 def luhn(digits: str) -> bool:
@@ -45,15 +57,34 @@ def luhn(digits: str) -> bool:
 
 
 def iban(value: str) -> bool:
-    plain = value.replace(" ", "")
-    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    """Length of the country and check digits, spaces and case apart."""
+    plain = value.replace(" ", "").upper()
+    return len(plain) == IBAN_LENGTHS.get(plain[:2]) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def _account_of(text: str, word: str, end: int) -> tuple[int, int] | None:
+    """The number after a cue that ends at `end`. An IBAN has as many characters as its country's, whatever words follow; a date is no number."""
+    if word != "iban":
+        m = CUES[word].match(text, end)
+        return m.span(1) if m and not _DATE.fullmatch(m[1]) else None
+    m = _IBAN.match(text, end)
+    if not m:
+        return None
+    at = m.end(1)
+    for _ in range(IBAN_LENGTHS.get(m[1][:2].upper(), 4) - 4):
+        sign = _IBAN_SIGN.match(text, at)
+        if not sign:
+            return None
+        at = sign.end()
+    closed = not (text[at:at + 1].isascii() and text[at:at + 1].isalnum())
+    return (m.start(1), at) if closed and iban(text[m.start(1):at]) else None
 
 
 @lru_cache(maxsize=1)
 def _anchors() -> ahocorasick.Automaton:
     """One automaton per Python worker, for texts with A-Z lower-cased; values are (what, text)."""
     found = {"@": "at", "+": "plus"} | {str(d): "digit" for d in range(10)} | {s: "scheme" for s in SCHEMES}
-    found |= dict.fromkeys(CUES, "cue")
+    found |= dict.fromkeys(("iban", *CUES), "cue")
     automaton = ahocorasick.Automaton()
     for text, what in found.items():
         automaton.add_word(text, (what, text))
@@ -115,10 +146,9 @@ def find(text: str) -> list[Span]:
                 done["address"] = at[1]
                 spans.append(("address", *at))
         elif start >= done["account"]:
-            m = CUES[word].match(text, last + 1)
-            if m and (word != "iban" or iban(m[1])):
-                done["account"] = m.end(1)
-                spans.append(("account", *m.span(1)))
+            if found := _account_of(text, word, last + 1):
+                done["account"] = found[1]
+                spans.append(("account", *found))
     return sorted(spans, key=lambda s: (s[1], _ORDER[s[0]], s[2]))
 
 
