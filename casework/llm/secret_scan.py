@@ -1,10 +1,14 @@
 """Secret scan: fixed patterns, and windows of high Shannon entropy inside candidate strings.
 
-Candidates are runs of 20 or more characters of the base64 alphabets. Inside a candidate each character class (hex,
-lower-case alphanumeric, base64) has its own maximal runs; a window slides over each run and its entropy is kept up to date by adding the entering and
-taking off the leaving character's count. Windows at or above the class's threshold join to one span. The allow-list leaves out what is no secret:
-candidates without a digit, and inside the others UUIDs, placeholders and literal values of the caller's; the rest of such a
-candidate is scanned. It never suppresses the fixed patterns.
+Candidates are runs of 20 or more characters of the base64 alphabets. Inside a candidate each character class has its own maximal
+runs; a window slides over each run and its entropy is kept up to date by adding the entering and taking off the leaving character's count, as are
+its numbers of digits, upper- and lower-case letters and separators. Windows at or above the class's threshold that have
+the class's mixture join to one span.
+
+Classes of one case or of whole tokens stop at separators (`/ _ - =`), so paths and slugs fall into words that are too short. Base64 runs go over
+separators, and there a window needs many letters of both cases, a digit and few separators. Longer tokens need less entropy, and tokens of letters
+alone need more of it. The allow-list leaves out what is no secret: UUIDs, placeholders and literal values of the caller's; the rest of
+such a candidate is scanned. It never suppresses the fixed patterns.
 
 Defined cases: a null or empty text has no spans; whole texts are scanned whatever their length; each of several repeated rows has its
 spans; spans are sorted by start, then by kind in the order of `KINDS`.
@@ -33,19 +37,25 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 
 
 class CharClass(NamedTuple):
-    """Characters, window length and least entropy (bits a character) of one class."""
+    """Characters, window length, least entropy (bits a character) and mixture of one class: least digits, least letters of either case, most separators."""
 
     kind: str
     run: str
     window: int
     bits: float
+    digits: int = 1
+    each_case: int = 0
+    separators: int = 0
 
 
-#: A uniform draw of 20 characters has about 3.4 bits from 16 symbols, 3.8 from 36 and 4.1 from 64.
+#: A uniform draw of 20 characters has about 3.4 bits from 16 symbols, 3.8 from 36 and 4.1 from 64; one of 32 has 4.5 from 52.
 CLASSES = (
     CharClass("entropy_hex", r"[0-9a-f]+|[0-9A-F]+", 20, 3.0),
     CharClass("entropy_lower", r"[0-9a-z]+", 20, 3.6),
-    CharClass("entropy_base64", r"[A-Za-z0-9+/_=-]+", 20, 3.9),
+    CharClass("entropy_upper", r"[0-9A-Z]+", 20, 3.6),
+    CharClass("entropy_base64", r"[A-Za-z0-9+/_=-]+", 20, 3.9, each_case=4, separators=3),
+    CharClass("entropy_token", r"[A-Za-z0-9+]+", 32, 3.6),
+    CharClass("entropy_letters", r"[A-Za-z]+", 32, 4.3, digits=0, each_case=6),
 )
 KINDS = (*BASE, *(c.kind for c in CLASSES))
 _BETWEEN = r"(?<![A-Za-z0-9+]){}(?![A-Za-z0-9+])"
@@ -55,7 +65,6 @@ _PLACEHOLDER = re.compile("|".join(PLACEHOLDERS), re.IGNORECASE | re.ASCII)
 #: Candidates consist of tokens of these characters and of separators.
 _TOKEN = re.compile(r"[A-Za-z0-9+]+")
 REACH = 64
-_DIGIT = re.compile(r"[0-9]")
 
 
 def open_parts(run: str, literals: frozenset[str] = frozenset()) -> list[tuple[int, int]]:
@@ -64,7 +73,7 @@ def open_parts(run: str, literals: frozenset[str] = frozenset()) -> list[tuple[i
     UUIDs and literals are allowed between separators. A placeholder word allows the token around it, in a long token only
     `REACH` characters on either side.
     """
-    if not _DIGIT.search(run) or run in literals:
+    if run in literals:
         return []
     closed = [m.span() for m in _UUID.finditer(run)]
     for value in literals:
@@ -80,26 +89,42 @@ def open_parts(run: str, literals: frozenset[str] = frozenset()) -> list[tuple[i
     return [*parts, (at, len(run))] if at < len(run) else parts
 
 
-def high_windows(run: str, window: int, bits: float) -> Iterable[tuple[int, int]]:
-    """Joined spans of the windows whose entropy is `bits` or more.
+def _part(character: str) -> int:
+    """Digit, upper case, lower case, separator; a plus sign is a letter of no case."""
+    if character.isdigit():
+        return 0
+    if character.isupper():
+        return 1
+    return 2 if character.islower() else 3 if character != "+" else 4
+
+
+def high_windows(run: str, c: CharClass) -> Iterable[tuple[int, int]]:
+    """Joined spans of the windows with the class's mixture whose entropy is `bits` or more.
 
-    With counts c the entropy is log2(window) - sum(c * log2(c)) / window; one step changes two counts, so it costs the same
+    With counts n the entropy is log2(window) - sum(n * log2(n)) / window; one step changes two counts, so it costs the same
     for every window length.
     """
+    window = c.window
     if len(run) < window:
         return
-    weight = [0.0, *(c * log2(c) for c in range(1, window + 1))]
+    weight = [0.0, *(n * log2(n) for n in range(1, window + 1))]
     counts: dict[str, int] = {}
-    total, most, start, end = 0.0, window * (log2(window) - bits) + 1e-9, -1, -1
+    parts = [0] * 5
+    total, most, start, end = 0.0, window * (log2(window) - c.bits) + 1e-9, -1, -1
     for i, entering in enumerate(run):
         if i >= window:
-            c = counts[run[i - window]]
-            total += weight[c - 1] - weight[c]
-            counts[run[i - window]] = c - 1
-        c = counts.get(entering, 0)
-        total += weight[c + 1] - weight[c]
-        counts[entering] = c + 1
-        if i >= window - 1 and total <= most:
+            leaving = run[i - window]
+            n = counts[leaving]
+            total += weight[n - 1] - weight[n]
+            counts[leaving] = n - 1
+            parts[_part(leaving)] -= 1
+        n = counts.get(entering, 0)
+        total += weight[n + 1] - weight[n]
+        counts[entering] = n + 1
+        parts[_part(entering)] += 1
+        if i < window - 1 or total > most:
+            continue
+        if parts[0] >= c.digits and min(parts[1], parts[2]) >= c.each_case and parts[3] <= c.separators:
             if i - window + 1 > end:
                 if end > start:
                     yield start, end
@@ -119,12 +144,11 @@ def finder(classes: tuple[CharClass, ...] = CLASSES, literals: frozenset[str] =
             spans += [("assign", *m.span()) for m in _ASSIGN.finditer(text) if len(m[2]) >= 6]
         spans += [("access", *m.span()) for m in _ACCESS.finditer(text)] if "AKIA" in text else []
         spans += [("hex", *m.span()) for m in _HEX.finditer(text)]
-        if _DIGIT.search(text):
-            for m in _CANDIDATE.finditer(text):
-                for part in open_parts(m[0], literals):
-                    for c, run in runs:
-                        for r in run.finditer(m[0], *part):
-                            spans += [(c.kind, m.start() + r.start() + a, m.start() + r.start() + b) for a, b in high_windows(r[0], c.window, c.bits)]
+        for m in _CANDIDATE.finditer(text):
+            for part in open_parts(m[0], literals):
+                for c, run in runs:
+                    for r in run.finditer(m[0], *part):
+                        spans += [(c.kind, m.start() + r.start() + a, m.start() + r.start() + b) for a, b in high_windows(r[0], c)]
         return sorted(spans, key=lambda s: (s[1], order[s[0]], s[2]))
 
     return find

@@ -70,7 +70,7 @@ def test_entropy_windows_equal_recomputed_ones():
             w = run[i:i + 10]
             if -sum(w.count(c) / 10 * log2(w.count(c) / 10) for c in set(w)) >= 2.0 - 1e-9:
                 covered |= set(range(i, i + 10))
-        got = list(secret_scan.high_windows(run, 10, 2.0))
+        got = list(secret_scan.high_windows(run, secret_scan.CharClass("x", "", 10, 2.0, digits=0, separators=10)))
         assert {i for a, b in got for i in range(a, b)} == covered
         assert all(b < c for (_, b), (c, _) in zip(got, got[1:]))
 
@@ -92,13 +92,13 @@ def test_allow_list_leaves_the_rest_of_a_run_open():
     uuid, literal = "123e4567-e89b-12d3-a456-426614174000", "Zx81kQpL0vRt7WmN3sYb"
     for before, closed in (("dataset_sample/", "sample"), ("sample_key=", "sample"), (f"{uuid}/", uuid), (f"{literal}/", literal), ("xxxx/" * 30, "xxxx")):
         for run in (before + secret, f"{secret}/{before}", f"{secret}/{before}{secret}"):
-            spans = [s for s in find(f"a {run} b") if s[0] == "entropy_base64"]
+            spans = [s for s in find(f"a {run} b") if s[0] in ("entropy_base64", "entropy_token")]
             covered = {i for _, a, b in spans for i in range(a - 2, b - 2)}
             for at in (m.start() for m in re.finditer(secret, run)):
                 assert covered >= set(range(at + 4, at + 36)), run
             assert not covered & set(range(run.index(closed), run.index(closed) + len(closed))), run
     long = drawn(3000) + "example" + drawn(3000)
-    covered = {i for k, a, b in find(long) if k == "entropy_base64" for i in range(a, b)}
+    covered = {i for k, a, b in find(long) if k in ("entropy_base64", "entropy_token") for i in range(a, b)}
     assert len(covered) > 5000 and not covered & set(range(3000 - 64, 3007 + 64))
 
 
@@ -146,3 +146,40 @@ def test_odd_rows(spark):
     assert {r.text for r in clean.collect()} == {None, "[ASSIGN]", "", long.replace("token = abcdef1", "[ASSIGN]")}
     empty = docs.filter(F.lit(False))
     assert secret_scan.scan(empty).count() == pii_scan.scan(empty).count() == secret_scan.redact(empty).count() == 0
+
+
+def test_recall_on_keys_and_false_alarms_on_paths():
+    draw = random.Random(11)
+    find = secret_scan.finder()
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    made = lambda alphabet, n: "".join(draw.choice(alphabet) for _ in range(n))
+    shapes = {
+        "prefixed": lambda: "ghp_" + made(letters + "0123456789", 36), "base64": lambda: made(letters + "0123456789+/", 40),
+        "base64url": lambda: made(letters + "0123456789-_", 43), "lower": lambda: made("abcdefghijklmnopqrstuvwxyz0123456789", 32),
+        "upper": lambda: made("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 32), "hex": lambda: made("0123456789ABCDEF", 32), "letters": lambda: made(letters, 40),
+    }
+    for name, shape in shapes.items():
+        hits = sum(bool(find(f"value {shape()} end")) for _ in range(500))
+        assert hits >= 450, (name, hits)
+    for key in ("ghp_16C7e42F292c6912E7710c838347Ae178B4a", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9"):
+        assert find(f"see {key} here"), key
+    words = "static media header image final version index of things resource docs Guide Setup main Local share python packages release notes".split()
+    alarms = 0
+    for _ in range(2000):
+        parts = [draw.choice(words) for _ in range(draw.randint(3, 8))] + [str(draw.randint(1, 2024)), draw.choice(["2x", "v3", "x86"])]
+        draw.shuffle(parts)
+        alarms += bool(find(" " + draw.choice(["/", "-", "_"]).join(parts) + " "))
+    assert alarms <= 10, alarms
+    for path in ("/static/media/header_image_2x-final-version.png", "/resource/2024/index-of-things", "getAbsolutelyNormalisedPathComponents",
+                 "/Users/Shared/Projects/Reports_2024/Final_Draft"):
+        assert not find(f"see {path} here"), path
+
+
+def test_iban_ends_where_its_country_says_and_dates_are_no_accounts():
+    found = lambda text: [text[a:b] for k, a, b in pii_scan.find(text) if k == "account"]
+    assert found("IBAN: GB82 WEST 1234 5698 7654 32 BIC DEUTDEFF") == ["GB82 WEST 1234 5698 7654 32"]
+    assert found("iban gb82 west 1234 5698 7654 32.") == ["gb82 west 1234 5698 7654 32"]
+    assert found("IBAN DE89370400440532013000") == ["DE89370400440532013000"]
+    assert found("IBAN DE8937040044053201300012") == found("IBAN DE88370400440532013000") == found("IBAN ZZ89370400440532013000") == []
+    assert found("account 2024-10-05 was") == found("account 05-10-2024 was") == []
+    assert found("account 2024-10-0555 was") == ["2024-10-0555"]
