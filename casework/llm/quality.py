@@ -1,8 +1,8 @@
 """Quality rules from cross-document line frequency, and per-document counts.
 
 Lines are normalised (lower-cased, white space collapsed, digit runs to 0) and hashed; a line's frequency is the number of distinct
-documents (texts; copies of one text are one document) of a host that hold it. Lines of more documents than the host's limit are removed: `least` documents
-or `share` of the host's distinct documents, whichever is more. A document is rejected if it fails the base rule (fewer than 50 words, or more than
+documents (texts; copies of one text are one document) of a host that hold it. Lines of more than `least` documents are removed, on hosts of every
+size alike, so a verdict does not depend on how much of a host was read. A document is rejected if it fails the base rule (fewer than 50 words, or more than
 half of its words in repeated three-word windows) or if the removal depletes it: fewer than `left` of its words remain.
 
 Defined cases: a null text is empty and fails the base rule, blank lines are no lines, a null host is the host with the empty name,
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from casework.llm.common import SPACE, let, stored, text_of, words_of
 
-LEAST, SHARE, LEFT, WINDOW = 10, 0.05, 0.5, 3
+LEAST, LEFT, WINDOW = 10, 0.5, 3
 #: Frequent lines that may be broadcast, 16 bytes each.
 BROADCAST_LINES = 1_000_000
 #: Frequent lines of one host that a text may be compared with in place, one after the other.
@@ -95,12 +95,10 @@ def normalised_lines(docs: DataFrame, text: str, host: str) -> DataFrame:
     return rows.select(*TEXT, "pos", F.xxhash64("raw").alias("line"), _line_words(F.col("raw")).alias("words"))
 
 
-def frequent_lines(docs: DataFrame, lines: DataFrame, text: str, host: str, least: int, share: float) -> DataFrame:
-    """host, line: a stored table of the lines above their host's limit. `lines` is a stored table."""
+def frequent_lines(lines: DataFrame, least: int) -> DataFrame:
+    """host, line: a stored table of the lines above the limit. `lines` is a stored table."""
     frequency = lines.groupBy("host", "line").agg(F.count_distinct("d1", "d2").alias("documents"))
-    hosts = docs.select(*_text_key(text, host)).groupBy("host").agg(F.count_distinct("d1", "d2").alias("all"))
-    limit = F.greatest(F.lit(float(least)), F.col("all") * F.lit(share))
-    return stored(frequency.join(hosts, "host").filter(F.col("documents") > limit).select("host", "line"), "frequent")
+    return stored(frequency.filter(F.col("documents") > least).select("host", "line"), "frequent")
 
 
 def removed_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
@@ -113,10 +111,10 @@ def removed_lines(lines: DataFrame, frequent: DataFrame) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = LEAST,
-             share: float = SHARE, left: float = LEFT) -> DataFrame:
+             left: float = LEFT) -> DataFrame:
     """The columns of `counts` with removed_lines, removed_words and kept: one row per row of `docs`."""
     lines = stored(normalised_lines(docs, text, host), "lines")
-    frequent = frequent_lines(docs, lines, text, host, least, share)
+    frequent = frequent_lines(lines, least)
     removed = stored(removed_lines(lines, frequent).drop("positions"), "removed")
     rows = counts(docs, key, text, host).join(removed, TEXT, "left").fillna(0, ["removed_lines", "removed_words"])
     depleted = F.col("n_words") - F.col("removed_words") < F.col("n_words") * F.lit(left)
@@ -124,15 +122,15 @@ def verdicts(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
 
 
 def clean(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source", least: int = LEAST,
-          share: float = SHARE, left: float = LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
+          left: float = LEFT, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
     """The rows of `docs` that are kept, without the removed lines; columns as in `docs`.
 
-    With `share` 0 the limit is `least` documents on every host, however large. Frequent lines are mostly few; then they are broadcast, and
+    Frequent lines are mostly few; then they are broadcast, and
     texts stay in the tasks that read them. Above `broadcast_lines`, or `HOST_LINES` of one host, each text is joined with
     its removed positions instead.
     """
     lines = stored(normalised_lines(docs, text, host), "lines")
-    frequent = frequent_lines(docs, lines, text, host, least, share)
+    frequent = frequent_lines(lines, least)
     per_host = frequent.groupBy("host").count().agg(F.sum("count"), F.max("count")).first()
     if (per_host[0] or 0) <= broadcast_lines and (per_host[1] or 0) <= HOST_LINES:
         return _clean_in_place(docs, frequent, text, host, left)

@@ -50,12 +50,11 @@ def test_frequent_lines_are_removed_and_depleted_documents_rejected(spark):
     rows = corpus()
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, source string, host string")
     norm = lambda x: " ".join(re.sub("[0-9]+", "0", x.lower()).split())
-    held, hosts = defaultdict(set), defaultdict(set)
+    held = defaultdict(set)
     for _, text, host in rows:
-        hosts[host].add(text)
         for x in text.split("\n"):
             held[host, norm(x)].add(text)
-    out = {k for k, texts in held.items() if len(texts) > max(10, 0.05 * len(hosts[k[0]]))}
+    out = {k for k, texts in held.items() if len(texts) > 10}
     assert {h for h, _ in out} == {"hot", None}
     got = quality.verdicts(docs).collect()
     assert len(got) == len(rows)
@@ -89,9 +88,9 @@ def test_stage_limit_does_not_grow_with_the_host(spark):
 def test_hosts_with_many_frequent_lines(spark, monkeypatch):
     """Both ways of cleaning give the same."""
     docs = spark.createDataFrame([(*r, "clash") for r in corpus()], "doc_id long, text string, source string, host string")
-    want = sorted(map(tuple, quality.clean(docs, share=0.0).collect()), key=repr)
+    want = sorted(map(tuple, quality.clean(docs).collect()), key=repr)
     monkeypatch.setattr(quality, "HOST_LINES", 0)
-    assert sorted(map(tuple, quality.clean(docs, share=0.0).collect()), key=repr) == want
+    assert sorted(map(tuple, quality.clean(docs).collect()), key=repr) == want
 
 
 def test_odd_rows(spark):
