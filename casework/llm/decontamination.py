@@ -11,7 +11,8 @@ The index is broadcast in blocks of at most `BLOCK` hashes, one probing pass per
 found pair.
 
 Words are runs of letters and digits, lower-cased. Defined cases: null and empty texts hold nothing and an item without words is in no
-document; an item of fewer words than a shingle is one shingle and is found in documents of exactly those words; repeated rows give
+document; an item of fewer words than a shingle is one shingle of its own width, and documents are probed with shingles of the widths that items have, so
+it is found inside longer documents too; repeated rows give
 a pair once, with the largest containment if texts differ; rows without an id pair as id null; empty tables give an empty result.
 """
 
@@ -33,15 +34,32 @@ def _words(text: Column) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
-def shingles(text: Column, of: Callable[..., Column], size: int = SHINGLE) -> Column:
-    """`of` applied to the words of each shingle, in order, repeats included."""
+def shingles(text: Column, of: Callable[..., Column], widths: tuple[int, ...] = (SHINGLE,)) -> Column:
+    """`of` applied to the words of each shingle of these widths, in order, repeats included."""
 
-    def windows(words: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(words) - size)
-        many = F.transform(starts, lambda i: of(*[F.get(words, i + k) for k in range(size)]))
-        return F.when(F.size(words) >= size, many).when(F.size(words) > 0, F.array(of(F.array_join(words, " "))))
+    def windows(words: Column, width: int) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words) - width)
+        many = F.transform(starts, lambda i: of(*[F.get(words, i + k) for k in range(width)]))
+        return F.when(F.size(words) >= width, many).otherwise(F.array())
 
-    return F.coalesce(let(_words(text), windows), F.array())
+    if not widths:
+        return F.array()
+    return F.coalesce(let(_words(text), lambda words: F.concat(*[windows(words, w) for w in widths])), F.array())
+
+
+def item_shingles(text: Column, of: Callable[..., Column]) -> Column:
+    """Those of an item: of `SHINGLE` words, or all its words as one."""
+    short = F.coalesce(let(_words(text), lambda words: F.when(F.size(words).between(1, SHINGLE - 1), F.size(words))), F.lit(SHINGLE))
+    branch = F.when(short == SHINGLE, shingles(text, of))
+    for width in range(1, SHINGLE):
+        branch = branch.when(short == width, shingles(text, of, (width,)))
+    return branch
+
+
+def item_widths(items: DataFrame, text: str = "text") -> tuple[int, ...]:
+    """Widths of the items' shingles, at most `SHINGLE` numbers."""
+    width = F.least(F.size(_words(text_of(text))), F.lit(SHINGLE))
+    return tuple(sorted(r["w"] for r in items.select(width.alias("w")).distinct().collect() if r["w"] > 0))
 
 
 def _hash(*words: Column) -> Column:
@@ -55,7 +73,7 @@ def _joined(*words: Column) -> Column:
 def item_index(items: DataFrame, text: str = "text", percent: int = PERCENT) -> DataFrame:
     """item_digest, need, hash: the sketch of each distinct item text, a row per hash."""
     hashed = items.select(
-        F.xxhash64(text_of(text)).alias("item_digest"), F.array_distinct(shingles(text_of(text), _hash)).alias("hashes")
+        F.xxhash64(text_of(text)).alias("item_digest"), F.array_distinct(item_shingles(text_of(text), _hash)).alias("hashes")
     ).distinct()
     size = F.size("hashes")
     largest = F.expr("shiftleft(1L, length(bin(size(hashes)))) - 1")  # of the size class
@@ -64,10 +82,11 @@ def item_index(items: DataFrame, text: str = "text", percent: int = PERCENT) ->
     return hashed.filter(size > 0).select("item_digest", need.alias("need"), F.explode(sketch).alias("hash"))
 
 
-def candidates(docs: DataFrame, index: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
+def candidates(docs: DataFrame, index: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK,
+               widths: tuple[int, ...] = (SHINGLE,)) -> DataFrame:
     """Row key and item_digest of the pairs that share a sketched hash. `index` is a stored table."""
     passes = max(1, -(-index.count() // block))
-    probes = docs.select(*row_key(key, text), shingles(text_of(text), _hash).alias("hashes"))
+    probes = docs.select(*row_key(key, text), shingles(text_of(text), _hash, widths).alias("hashes"))
     probes = probes.select(*ROW, F.size("hashes").alias("n"), F.explode("hashes").alias("hash"))
     found = [
         probes.join(F.broadcast(index.filter(F.pmod("hash", F.lit(passes)) == i)), "hash").filter("n >= need")
@@ -80,13 +99,14 @@ def row_pairs(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
               item_text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
     """Row key, item, shared, item_shingles of all pairs with enough containment; repeated rows repeat theirs."""
     index = stored(item_index(items, item_text, percent), "sketches")
-    pairs = candidates(docs, index, key, text, block).groupBy(*ROW).agg(F.collect_list("item_digest").alias("pairs"))
+    widths = item_widths(items, item_text)
+    pairs = candidates(docs, index, key, text, block, widths).groupBy(*ROW).agg(F.collect_list("item_digest").alias("pairs"))
     texts = docs.select(*row_key(key, text), text_of(text).alias("text")).join(stored(pairs, "candidates"), list(ROW))
-    whole = texts.select(*ROW, "pairs", F.array_distinct(shingles(F.col("text"), _joined)).alias("mine"))
+    whole = texts.select(*ROW, "pairs", F.array_distinct(shingles(F.col("text"), _joined, widths)).alias("mine"))
     each = whole.select(*ROW, "mine", F.explode("pairs").alias("item_digest"))
     full = items.select(
         F.col(item_key).cast("long").alias("item"), F.xxhash64(text_of(item_text)).alias("item_digest"),
-        F.array_distinct(shingles(text_of(item_text), _joined)).alias("theirs"),
+        F.array_distinct(item_shingles(text_of(item_text), _joined)).alias("theirs"),
     ).distinct()
     shared, size = F.size(F.array_intersect("mine", "theirs")), F.size("theirs")
     verified = each.join(full, "item_digest").select(*ROW, "item", shared.alias("shared"), size.alias("item_shingles"))

@@ -149,9 +149,7 @@ WITH docs AS (
 ), trimmed AS (
   SELECT host, text, pos, trim(line, ' ') AS line FROM split_ WHERE trim(line, ' ') <> ''
 ), frequent AS (
-  SELECT t.host, t.line FROM (SELECT host, line, count(DISTINCT text) AS documents FROM trimmed GROUP BY host, line) t
-  JOIN (SELECT host, count(DISTINCT text) AS all_ FROM docs GROUP BY host) h ON t.host = h.host
-  WHERE t.documents > greatest(10.0, h.all_ * CAST(0.05 AS DOUBLE))
+  SELECT host, line FROM trimmed GROUP BY host, line HAVING count(DISTINCT text) > 10
 ), removed AS (
   SELECT t.host, t.text, count(*) AS removed_lines, sum(len(t.line) - len(replace(t.line, ' ', '')) + 1) AS removed_words
   FROM trimmed t JOIN frequent f ON t.host = f.host AND t.line = f.line GROUP BY t.host, t.text
@@ -179,9 +177,16 @@ WITH texts AS (
 ), words AS (
   SELECT kind, id, list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') AS w
   FROM texts
+), widths AS (
+  SELECT DISTINCT least(len(w), 5) AS n FROM words WHERE kind = 'item' AND len(w) > 0
 ), shingles AS (
-  SELECT DISTINCT kind, id, array_to_string(w[i:i + 4], ' ') AS s
-  FROM (SELECT kind, id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM words WHERE len(w) > 0)
+  SELECT DISTINCT kind, id, array_to_string(w[i:i + n - 1], ' ') AS s
+  FROM (
+    SELECT kind, id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM (
+      SELECT kind, id, w, least(len(w), 5) AS n FROM words WHERE kind = 'item' AND len(w) > 0
+      UNION ALL SELECT kind, id, w, n FROM words JOIN widths ON len(w) >= n WHERE kind = 'doc'
+    )
+  )
 ), sizes AS (
   SELECT id, count(*) AS item_shingles FROM shingles WHERE kind = 'item' GROUP BY id
 ), shared AS (
