@@ -4,9 +4,12 @@ The search is exact and never builds the pairs of a customer as rows:
 
 * Exact copies collapse first. Only the first k+1 members of a copy group search and serve as candidates; every
   later member's nearest neighbours are, by construction, the first k members.
-* The remaining vectors are compared in cells of bounded size. Small customers are bundled into one cell; a
-  customer above `block_rows` is cut into blocks and every pair of blocks is one cell, so its work spreads over
-  many tasks. A cell multiplies two matrices and returns at most k neighbours per row.
+* The remaining vectors are compared in cells of bounded size. Small customers are bundled into one cell, which
+  multiplies two matrices and returns at most k neighbours per row.
+* A customer above `block_rows` has an index: `CENTRES` of its vectors are centres, every vector belongs to the nearest one, and
+  a centre's vectors lie in blocks of bounded size. A vector is first compared with its own block. Its k-th best there is a floor: a
+  block whose centre is at angle a and whose radius is r holds nothing better than cos(a - r), so only blocks that reach the floor
+  are visited. The search stays exact; `search_work` reports what was visited. Vectors without clusters visit most blocks.
 * The best k of a row's cells are merged with a rank limit, which Spark applies before the shuffle too.
 
 Exact copies rank before other neighbours; ties go to the earlier case, then the smaller id.
@@ -28,6 +31,7 @@ from casework.session import cut_lineage
 DUPLICATE_THRESHOLD = 0.78
 TOP_K = 5
 BLOCK_ROWS = 8192
+CENTRES = 64
 _DIGITS = 9
 _CHUNK = 1024
 
@@ -63,55 +67,80 @@ def _best(queries, candidates, query_pos, candidate_pos, query_copy, candidate_c
     return found, scores
 
 
+def _hits(cell: pd.DataFrame, query: np.ndarray, neighbour: np.ndarray, score: np.ndarray) -> pd.DataFrame:
+    ids, orders = cell["id"], cell["ord"].to_numpy()
+    return pd.DataFrame({
+        "id": ids.to_numpy()[query], "neighbour": ids.to_numpy()[neighbour], "score": score, "neighbour_ord": orders[neighbour],
+    })
+
+
+def _units(vectors: pd.Series) -> np.ndarray:
+    rows = np.stack(vectors.to_numpy()).astype(np.float64)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+
+
 def _search_cell(k: int, earlier: bool):
+    """Every customer of a cell, or a block of one, against itself."""
     def search(cell: pd.DataFrame) -> pd.DataFrame:
-        out = []
         cell = cell.sort_values(["customer_name", "ord", "id"], kind="stable", ignore_index=True)
-        vectors = np.stack(cell["embedding"].to_numpy()).astype(np.float64)
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        vectors, asks = _units(cell["embedding"]), cell["asks"].to_numpy()
         copies = pd.factorize(cell["copy_key"])[0]
-        sides, asks = cell["side"].to_numpy(), cell["asks"].to_numpy()
         bounds = np.flatnonzero(np.r_[True, (cell["customer_name"] != cell["customer_name"].shift()).to_numpy()[1:], True])
+        out = [np.zeros((3, 0), np.int64)]
         for low, high in zip(bounds[:-1], bounds[1:]):
-            rows = np.arange(low, high)
-            parts = [rows[sides[rows] == s] for s in np.unique(sides[rows])]
-            # One side: a whole (block of a) customer against itself. Two sides: block against block.
-            jobs = [(parts[0], parts[0])] if len(parts) == 1 else [(parts[0], parts[1]), (parts[1], parts[0])]
-            if len(parts) == 1 and cell["lo"].iat[low] != cell["hi"].iat[low]:
-                continue
-            for q, c in jobs:
-                q = q[asks[q]]
-                if not len(q):
-                    continue
+            c = np.arange(low, high)
+            q = c[asks[c]]
+            if len(q):
                 found, score = _best(vectors[q], vectors[c], q, c, copies[q], copies[c], k, earlier)
                 row, slot = np.nonzero(found >= 0)
-                if len(row):
-                    out.append((q[row], c[found[row, slot]], score[row, slot]))
-        if not out:
-            return pd.DataFrame({"id": cell["id"][:0], "neighbour": cell["id"][:0], "score": pd.Series([], dtype="int64"),
-                                 "neighbour_ord": cell["ord"][:0]})
-        query, neighbour, score = (np.concatenate(x) for x in zip(*out))
-        return pd.DataFrame(
-            {
-                "id": cell["id"].to_numpy()[query],
-                "neighbour": cell["id"].to_numpy()[neighbour],
-                "score": score,
-                "neighbour_ord": cell["ord"].to_numpy()[neighbour],
-            }
-        )
+                out.append(np.stack([q[row], c[found[row, slot]], score[row, slot]]))
+        return _hits(cell, *np.concatenate(out, axis=1))
 
     return search
 
 
-def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str = "id",
-               block_rows: int = BLOCK_ROWS, exclude: Sequence[str] = ()) -> DataFrame:
-    """The k nearest vectors of the same customer: id, neighbour, similarity, rank.
+def _search_visit(k: int, earlier: bool):
+    """Visiting rows against a block that none of them belongs to."""
+    def search(visitors: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        cell = pd.concat([visitors.assign(_q=True), block.assign(_q=False)])
+        cell = cell.sort_values(["ord", "id"], kind="stable", ignore_index=True)
+        if not len(visitors) or not len(block):
+            return _hits(cell, *np.zeros((3, 0), np.int64))
+        vectors, copies = _units(cell["embedding"]), pd.factorize(cell["copy_key"])[0]
+        q, c = np.flatnonzero(cell["_q"]), np.flatnonzero(~cell["_q"])
+        found, score = _best(vectors[q], vectors[c], q, c, copies[q], copies[c], k, earlier)
+        row, slot = np.nonzero(found >= 0)
+        return _hits(cell, q[row], c[found[row, slot]], score[row, slot])
 
-    `vectors` has id, customer_name, embedding and the bigint column `order`. `mode='earlier'` compares a case
-    only with earlier ones (J3); `mode='any'` with every other. A missing customer name never matches.
-    """
-    if mode not in ("any", "earlier"):
-        raise ValueError(f"unknown mode: {mode}")
+    return search
+
+
+def _assign(rows: pd.DataFrame, centres: pd.DataFrame) -> pd.DataFrame:
+    """Nearest centre, the angle to it and, for rows that ask, the angles to all."""
+    rows = rows.drop(columns="salt")
+    if not len(rows):
+        return rows.assign(centre=pd.Series([], dtype="int32"), angle=pd.Series([], dtype="float64"), angles=pd.Series([], dtype="object"))
+    centres = centres.sort_values("centre", ignore_index=True)
+    angles = np.arccos(np.clip(_units(rows["embedding"]) @ _units(centres["embedding"]).T, -1, 1))
+    nearest = angles.argmin(axis=1)
+    asked = [a if q else None for a, q in zip(angles, rows["asks"], strict=True)]
+    return rows.assign(centre=nearest.astype(np.int32), angle=angles[np.arange(len(rows)), nearest], angles=asked)
+
+
+def _found_schema(vectors: DataFrame) -> T.StructType:
+    id_type = vectors.schema["id"].dataType
+    return T.StructType(
+        [
+            T.StructField("id", id_type),
+            T.StructField("neighbour", id_type),
+            T.StructField("score", T.LongType()),
+            T.StructField("neighbour_ord", T.LongType()),
+        ]
+    )
+
+
+def _keyed(vectors: DataFrame, order: str, exclude: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows with a customer and a direction, and the same without their vectors, with copy_key."""
     length = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     usable = vectors.where(F.col("customer_name").isNotNull() & (length > 0))
     if exclude:
@@ -124,21 +153,33 @@ def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str
         F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256).alias("copy_key"),
         (F.col("asks") if "asks" in vectors.columns else F.lit(True)).alias("asks"),
     )
-    group = ["customer_name", "copy_key"]
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("ord", "id"))
-    heads = cut_lineage(keyed.withColumn("place", place).where(F.col("place") <= k + 1))
+    return usable.select("id", "embedding"), keyed
 
-    cells = _placed(heads, usable.select("id", "embedding"), block_rows)
-    id_type = vectors.schema["id"].dataType
-    schema = T.StructType(
-        [
-            T.StructField("id", id_type),
-            T.StructField("neighbour", id_type),
-            T.StructField("score", T.LongType()),
-            T.StructField("neighbour_ord", T.LongType()),
-        ]
-    )
-    found = cells.groupBy("cell", "lo", "hi").applyInPandas(_search_cell(k, mode == "earlier"), schema)
+
+def _heads_of(keyed: DataFrame, k: int) -> DataFrame:
+    """The first k+1 members of every group of copies."""
+    place = F.row_number().over(Window.partitionBy("customer_name", "copy_key").orderBy("ord", "id"))
+    return cut_lineage(keyed.withColumn("place", place).where(F.col("place") <= k + 1))
+
+
+def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str = "id",
+               block_rows: int = BLOCK_ROWS, exclude: Sequence[str] = ()) -> DataFrame:
+    """The k nearest vectors of the same customer: id, neighbour, similarity, rank.
+
+    `vectors` has id, customer_name, embedding and the bigint column `order`. `mode='earlier'` compares a case
+    only with earlier ones (J3); `mode='any'` with every other. A missing customer name never matches.
+    """
+    if mode not in ("any", "earlier"):
+        raise ValueError(f"unknown mode: {mode}")
+    group = ["customer_name", "copy_key"]
+    usable, keyed = _keyed(vectors, order, exclude)
+    heads = _heads_of(keyed, k)
+    schema = _found_schema(vectors)
+    earlier = mode == "earlier"
+    small, large = _placed(heads, usable, block_rows)
+    found = small.groupBy("cell").applyInPandas(_search_cell(k, earlier), schema)
+    if large is not None:
+        found = found.unionByName(_search_large(large, k, earlier, block_rows, schema)[0])
     # A copy group has members beyond its first k+1 only if it has a (k+1)-th one.
     full = heads.where(F.col("place") == k + 1).select(*group)
     if not full.isEmpty():
@@ -150,39 +191,68 @@ def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str
     return ranked.select("id", "neighbour", similarity.alias("similarity"), "rank")
 
 
-def _placed(heads: DataFrame, embedded: DataFrame, block_rows: int) -> DataFrame:
-    """Heads with their vectors, once for every comparison cell they take part in.
+def _placed(heads: DataFrame, embedded: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """Heads with their vectors: those of small customers with the cell they lie in, and those of large ones, None where there are none.
 
-    A large customer's rows that ask and its rows that only answer lie in blocks of their own, and cells exist only for pairs
-    of blocks of which one asks: stored rows are never compared with each other, and a customer without a question has no cell.
+    A customer of which no row asks has no cell.
     """
-    sizes = heads.groupBy("customer_name").agg(F.count("*").alias("_w"), F.count_if("asks").alias("_ask"))
-    sizes = sizes.where(F.col("_ask") > 0)
-    split = F.col("_w") > block_rows
-    blocks = lambda n: F.ceil(n / block_rows).cast("int")
-    sizes = sizes.select(
-        "customer_name", "_w", F.when(split, blocks(F.col("_ask"))).otherwise(0).alias("_asking"),
-        F.when(split, blocks(F.col("_w") - F.col("_ask"))).otherwise(0).alias("_answering"),
-    )
-    sized = attach_by_key(heads, sizes, "customer_name", "_w", "id").where(F.col("_asking").isNotNull())
+    sizes = heads.groupBy("customer_name").agg(F.count("*").alias("_w"), F.count_if("asks").alias("_ask")).where(F.col("_ask") > 0)
+    blocks = F.when(F.col("_w") > block_rows, F.ceil(F.col("_w") / block_rows)).otherwise(0).cast("int")
+    sizes = cut_lineage(sizes.select("customer_name", "_w", blocks.alias("_blocks")))
+    sized = attach_by_key(heads.drop("place"), sizes, "customer_name", "_w", "id").where(F.col("_blocks").isNotNull())
     bundles = heads.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("n")).scalar()
-    place = F.xxhash64("id")
-    own = F.when(F.col("_asking") == 0, 0).when(F.col("asks"), F.pmod(place, F.col("_asking"))).otherwise(
-        F.col("_asking") + F.pmod(place, F.greatest(F.lit(1), F.col("_answering")))
-    ).cast("int")
-    cell = F.when(F.col("_asking") > 0, F.concat(F.lit("="), "customer_name")).otherwise(
-        F.concat(F.lit("~"), F.pmod(F.xxhash64("customer_name"), bundles).cast("string"))
-    )
-    met = F.when(F.col("asks"), F.col("_asking") + F.col("_answering")).otherwise(F.col("_asking"))
-    narrow = sized.select(
-        "id", "customer_name", "ord", "copy_key", "asks", F.greatest(F.lit(1), met).alias("_met"), own.alias("side"), cell.alias("cell")
-    )
-    every = narrow.join(embedded, "id").withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_met") - 1)))
-    return every.select(
-        "id", "customer_name", "ord", "copy_key", "asks", "embedding", "side", "cell",
-        F.least("side", "_other").alias("lo"),
-        F.greatest("side", "_other").alias("hi"),
+    cell = F.pmod(F.xxhash64("customer_name"), bundles).alias("cell")
+    small = sized.where(F.col("_blocks") == 0).drop("_blocks").withColumn("cell", cell).join(embedded, "id")
+    if sizes.where(F.col("_blocks") > 0).isEmpty():
+        return small, None
+    return small, cut_lineage(sized.where(F.col("_blocks") > 0).join(embedded, "id"))
+
+
+def _index(large: DataFrame, block_rows: int) -> DataFrame:
+    """Rows of large customers with centre, angle, angles, and the cluster and block they lie in."""
+    place = F.row_number().over(Window.partitionBy("customer_name").orderBy(F.xxhash64("id"), "id"))
+    chosen = large.select("id", "customer_name").withColumn("centre", place - 1).where(F.col("centre") < CENTRES)
+    centres = cut_lineage(chosen.select("id", "centre").join(large.select("id", "customer_name", "embedding", "_blocks"), "id").drop("id"))
+    spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    rows = large.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    fields = [f for f in rows.schema.fields if f.name != "salt"]
+    schema = T.StructType([
+        *fields, T.StructField("centre", T.IntegerType()), T.StructField("angle", T.DoubleType()), T.StructField("angles", T.ArrayType(T.DoubleType()))
+    ])
+    keys = ["customer_name", "salt"]
+    assigned = cut_lineage(rows.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(_assign, schema))
+    named = assigned.withColumn("cluster", F.concat_ws("\u0001", "customer_name", "centre"))
+    clusters = named.groupBy("cluster").agg(F.count("*").alias("_w"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
+    dealt = attach_by_key(named, clusters, "cluster", "_w", "id")
+    return cut_lineage(dealt.withColumn("block", F.concat_ws("\u0001", "cluster", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))))
+
+
+def _search_large(large: DataFrame, k: int, earlier: bool, block_rows: int, schema: T.StructType) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Neighbours found, the visits (id, block) beyond the own block, and the indexed rows."""
+    rows = _index(large, block_rows)
+    inside = ["id", "customer_name", "ord", "copy_key", "asks", "embedding"]
+    own = cut_lineage(rows.select(*inside, "block").groupBy("block").applyInPandas(_search_cell(k, earlier), schema))
+    floors = own.groupBy("id").agg(F.when(F.count("*") >= k, F.least(F.min("score"), F.lit(10 ** _DIGITS))).alias("floor"))
+    blocks = rows.groupBy("customer_name", "centre", "block").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
+    index = blocks.groupBy("customer_name").agg(F.sum("n").alias("_w"), F.collect_list(F.struct("centre", "block", "radius")).alias("blocks"))
+    asking = rows.where("asks").select("id", "customer_name", "angles", F.col("block").alias("own")).join(floors, "id", "left")
+    asking = attach_by_key(asking, index, "customer_name", "_w", "id")
+    # Angles are computed to about 1e-8 near zero, similarities rounded to billionths.
+    nearest = lambda b: F.greatest(F.lit(0.0), F.get("angles", b["centre"]) - b["radius"] - 1e-6)
+    reaches = lambda b: F.col("floor").isNull() | (F.cos(nearest(b)) * 10 ** _DIGITS + 10 >= F.col("floor"))
+    visited = F.transform(F.filter("blocks", lambda b: (b["block"] != F.col("own")) & reaches(b)), lambda b: b["block"])
+    visits = cut_lineage(asking.select("id", F.explode(visited).alias("block")))
+    crowd = visits.groupBy("block").agg(F.count("*").alias("_w"), F.ceil(F.count("*") / block_rows).cast("int").alias("chunks"))
+    crowd = cut_lineage(crowd)
+    columns = ["id", "ord", "copy_key", "embedding"]
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")
+    queries = attach_by_key(visits, crowd, "block", "_w", "id").select("id", "block", chunk).join(rows.select(*columns), "id")
+    candidates = rows.select(*columns, "block").join(crowd, "block").select(
+        *[F.col(c).alias(c) for c in (*columns, "block")], F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     )
+    keys = ["block", "chunk"]
+    elsewhere = queries.select(*columns, *keys).groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(_search_visit(k, earlier), schema)
+    return own.unionByName(elsewhere), visits, rows
 
 
 def _beyond(keyed: DataFrame, heads: DataFrame, full: DataFrame, group: list[str], k: int) -> DataFrame:
@@ -218,6 +288,21 @@ def block_sizes(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return sizes.withColumn("cells", (blocks * (blocks + 1) / 2).cast("long"))
 
 
+def search_work(vectors: DataFrame, k: int = TOP_K, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Per large customer: its blocks, and of all pairs of a row that asks and a block those that the search of `neighbours` visits."""
+    embedded, keyed = _keyed(vectors, "id", ())
+    large = _placed(_heads_of(keyed, k), embedded, block_rows)[1]
+    if large is None:
+        return vectors.sparkSession.createDataFrame([], "customer_name string, blocks long, pairs long, visited long")
+    _, visits, rows = _search_large(large, k, False, block_rows, _found_schema(vectors))
+    per_customer = rows.groupBy("customer_name").agg(F.count_distinct("block").alias("blocks"), F.count_if("asks").alias("asking"))
+    visited = visits.withColumn("customer_name", F.split("block", "\u0001")[0]).groupBy("customer_name").agg(F.count("*").alias("others"))
+    pairs = (F.col("blocks") * F.col("asking")).alias("pairs")
+    return per_customer.join(visited, "customer_name", "left").select(
+        "customer_name", "blocks", pairs, (F.col("asking") + F.coalesce("others", F.lit(0))).alias("visited")
+    )
+
+
 def text_vectors(df: DataFrame, text: str, dims: int = 384) -> DataFrame:
     """Unit-length hashed TF-IDF vectors for inputs without embeddings."""
     from pyspark.ml import Pipeline

@@ -82,6 +82,21 @@ def test_a_case_never_points_to_itself_and_order_of_rows_is_irrelevant(spark):
     assert one == two and all(r[0] != r[1] for r in one)
 
 
+def test_clustered_vectors_visit_less_than_half_of_the_blocks(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, "hot", (centres[i % 12] + rng.normal(scale=0.05, size=8)).astype(np.float32).tolist(), i) for i in range(900)]
+    df = spark.createDataFrame(rows, "id bigint, customer_name string, embedding array<float>, filed bigint")
+    work = duplicates.search_work(df, 3, 40).collect()
+    assert [r["customer_name"] for r in work] == ["hot"] and work[0]["blocks"] > 20
+    assert 900 <= work[0]["visited"] < work[0]["pairs"] / 2
+    got: dict = {}
+    for r in duplicates.neighbours(df, 3, "any", "filed", 40).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["neighbour"], round(r["similarity"], 9)))
+    assert got == {i: [(o, round(s, 9)) for o, s in n] for i, n in brute(rows, 3, False).items()}
+    assert duplicates.search_work(df, 3).count() == 0
+
+
 def test_cells_of_a_hot_customer(spark):
     df = spark.range(100).select("id", F.when(F.col("id") < 70, "hot").otherwise("cold").alias("customer_name"))
     got = {r["customer_name"]: (r["vectors"], r["cells"]) for r in duplicates.block_sizes(df, 20).collect()}
