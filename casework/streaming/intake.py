@@ -53,14 +53,22 @@ def append_buckets(rows: DataFrame, path: str, key: str) -> None:
 
 
 def in_buckets(spark: SparkSession, path: str, schema: T.StructType, asked: DataFrame, key: str) -> DataFrame:
-    """Stored rows in the buckets of the asked keys; the other folders are not opened. The list has `BUCKETS` numbers at most."""
+    """Stored rows in the buckets of the asked keys; the other folders are neither listed nor opened. The list has `BUCKETS` numbers at most.
+
+    None of these folders yet means no rows; any other error is raised.
+    """
     wanted = [r["b"] for r in asked.select(_bucket(key).alias("b")).distinct().collect()]
     stored = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())])
+    if not wanted:
+        return spark.createDataFrame([], schema)
+    folders = f"{path}/bucket={{{','.join(map(str, sorted(wanted)))}}}"
     try:
-        rows = spark.read.schema(stored).option("basePath", path).parquet(path)
-    except AnalysisException:
+        rows = spark.read.schema(stored).option("basePath", path).parquet(folders)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
-    return rows.where(F.col("bucket").isin(wanted)).drop("bucket")
+    return rows.drop("bucket")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
