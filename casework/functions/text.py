@@ -250,18 +250,51 @@ def intake_fallback(cases_columns: dict[str, Column]) -> Column:
     )
 
 
+_SCAN = "struct<open: array<int>, quoted: boolean, escaped: boolean, found: array<struct<start: int, stop: int>>>"
+
+
+def balanced_objects(text: Column) -> Column:
+    """Spans (start from 1, stop inclusive) between a brace and the one that closes it, outer before inner, in order of their start.
+
+    One pass over the characters with the open braces as its state. Inside an object a double quote opens a string, in which braces are
+    characters and a backslash takes the next one; a brace that nothing closes has no span.
+    """
+    def step(s: Column, c: Column, at: Column) -> Column:
+        inside = F.size(s["open"]) > 0
+        quoted = F.when(~inside, F.lit(False)).when(s["escaped"], s["quoted"]).when(c == '"', ~s["quoted"]).otherwise(s["quoted"])
+        free = ~s["quoted"]
+        closes = free & inside & (c == "}")
+        opened = F.when(free & (c == "{"), F.concat(s["open"], F.array(at))).when(
+            closes, F.slice(s["open"], F.lit(1), F.greatest(F.size(s["open"]) - 1, F.lit(0)))
+        ).otherwise(s["open"])
+        span = F.struct(F.element_at(s["open"], F.greatest(F.size(s["open"]), F.lit(1))).alias("start"), at.alias("stop"))
+        found = F.when(closes, F.concat(s["found"], F.array(span))).otherwise(s["found"])
+        escaped = s["quoted"] & ~s["escaped"] & (c == "\\")
+        return F.struct(opened.alias("open"), quoted.alias("quoted"), escaped.alias("escaped"), found.alias("found")).cast(_SCAN)
+
+    characters = F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), (i + 1).alias("at")))
+    none = F.struct(
+        F.array().cast("array<int>").alias("open"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"),
+        F.array().cast("array<struct<start: int, stop: int>>").alias("found"),
+    ).cast(_SCAN)
+    scanned = F.aggregate(characters, none, lambda s, x: step(s, x["c"], x["at"]))
+    return F.array_sort(scanned["found"])
+
+
 def reply_object(reply: Column) -> Column:
-    """The JSON object inside a free-form reply, as text; null when there is none."""
+    """The first JSON object inside a free-form reply, as text; null when there is none.
+
+    A reply that is JSON as a whole is taken as it is. Otherwise the first balanced object that parses is, so prose, other braces and
+    further objects around it do no harm.
+    """
     bare = F.trim(reply)
     unfenced = F.when(
         F.startswith(bare, F.lit("```")),
         F.trim(F.regexp_replace(F.regexp_replace(bare, r"^`+|`+$", ""), r"(?i)^json", "")),
     ).otherwise(bare)
-    outer = F.regexp_extract(unfenced, r"(?s)\{.*\}", 0)
-    return (
-        F.when(F.try_parse_json(unfenced).isNotNull(), unfenced)
-        .when(F.try_parse_json(F.nullif(outer, F.lit(""))).isNotNull(), outer)
-    )
+    parts = F.transform(balanced_objects(unfenced), lambda s: F.substring(unfenced, s["start"], s["stop"] - s["start"] + 1))
+    first = F.get(F.filter(parts, lambda p: F.try_parse_json(p).isNotNull()), F.lit(0))
+    return F.when(F.try_parse_json(unfenced).isNotNull(), unfenced).when(F.contains(unfenced, F.lit("{")), first)
 
 
 def intake_record(reply: Column) -> Column:

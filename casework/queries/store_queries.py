@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from casework import schemas
@@ -307,6 +310,29 @@ def drift(spark, folder):
     return metrics.drift(rows.where(~recent), rows.where(recent), groups)
 
 
+@query("k21_numeric_drift", over(CASES) + """,
+old AS (SELECT amount_involved AS x FROM cases WHERE date < DATE '2001-07-02' AND amount_involved IS NOT NULL),
+edges AS (SELECT DISTINCT unnest(quantile_disc(x, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS e FROM old),
+sides AS (SELECT date < DATE '2001-07-02' AS before, amount_involved AS x FROM cases),
+ranks AS (SELECT e, avg(CASE WHEN x <= e THEN 1.0 ELSE 0 END) FILTER (WHERE before) AS b, avg(CASE WHEN x <= e THEN 1.0 ELSE 0 END) FILTER (WHERE NOT before) AS a
+  FROM sides, edges WHERE x IS NOT NULL GROUP BY e)
+SELECT 'amount_involved' AS "column", max(abs(a - b)) > 0.1 AS moved, false AS edge_off FROM ranks""")
+def numeric_drift(spark, folder):
+    """Deciles of a quantile sketch: whether the amounts of the last 30 days moved, and whether any edge misses its share of the earlier rows by over 1 % beyond its ties."""
+    rows = cases(spark, folder, "amount_involved", "date")
+    recent = F.col("date") >= F.date_sub(F.lit(AS_OF).cast("date"), 30)
+    before, now = rows.where(~recent), rows.where(recent)
+    found = metrics.numeric_drift(before, now, ["amount_involved"])
+    edges = metrics.quantile_edges(metrics.quantile_sketches(before, ["amount_involved"]), ["amount_involved"], 10)["amount_involved"]
+    x = F.col("amount_involved")
+    shares = [(F.avg((x < e).cast("int")), F.avg((x <= e).cast("int"))) for e in edges]
+    tenths = [F.lit(i / 10) for i in range(1, 10)]
+    off = [~reduce(Column.__or__, [(low - 0.01 <= t) & (high + 0.01 >= t) for low, high in shares]) for t in tenths]
+    misses = before.where(x.isNotNull()).agg(reduce(Column.__or__, off).alias("edge_off"))
+    return found.select("column", (F.col("distance") > 0.1).alias("moved")).join(misses.withColumn("column", F.lit("amount_involved")), "column")
+
+
+
 @query("d20_strikes_per_day", over(STRIKES) + """
 SELECT account_number, CAST(created_at AS DATE) AS day, COUNT(*) AS strikes FROM strikes GROUP BY 1, 2""")
 def strikes_per_day(spark, folder):

@@ -175,6 +175,19 @@ def intake_fallback(spark, folder):
                          "r.location_mentioned", "r.detected_language", F.size("r.urgency_keywords").alias("keywords"))
 
 
+@query("h32_first_object", over(CASES) + """
+SELECT id, '{"k": {"n": ' || id || ', "t": "' || CASE id % 3 WHEN 0 THEN 'a } b' WHEN 1 THEN 'a { b' ELSE 'say \\\"}\\\"' END || '"}}' AS json FROM cases""")
+def first_object(spark, folder):
+    """Nested objects, braces in strings and in prose, and a second object after the first."""
+    rows = cases(spark, folder, "id")
+    key = F.col("id")
+    said = F.when(key % 3 == 0, "a } b").when(key % 3 == 1, "a { b").otherwise('say \\"}\\"')
+    body = F.concat(F.lit('{"k": {"n": '), key.cast("string"), F.lit(', "t": "'), said, F.lit('"}}'))
+    before = F.when(key % 4 == 0, "set {x} is \"given\": ").when(key % 4 == 1, "an open { here, ").otherwise("Here: ")
+    after = F.when(key % 5 == 0, ' and {"second": 1}').when(key % 5 == 1, " with } and { after").otherwise(" Regards.")
+    return rows.select("id", text.reply_object(F.concat(before, body, after)).alias("json"))
+
+
 @query("h31_h32_intake_merge", over(CASES) + """
 SELECT id, CASE WHEN id % 3 = 0 THEN 'From Reply' ELSE customer_name END AS customer_name,
   CASE WHEN id % 2 = 0 THEN 'loan' ELSE account_type END AS account_type, COALESCE(CAST(id AS DOUBLE), amount_involved) AS amount_involved,

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,3 +244,22 @@ def test_drift_is_zero_for_equal_shares_and_silent_for_few_rows(spark):
     moved = metrics.drift(rows, rows.where("c <> '0'"), {"c": F.col("c")}).first()
     assert moved["drifted"]
     assert [r.too_small for r in metrics.drift(rows, rows.limit(10), {"c": F.col("c")}).collect()] == [True]
+
+
+def test_numeric_drift_over_quantile_sketches(spark):
+    rng = np.random.default_rng(3)
+    old, new = rng.lognormal(8, 1, 20_000), rng.lognormal(8.5, 1, 15_000)
+    frame = lambda xs: spark.createDataFrame([(float(x), float(x) % 7, None) for x in xs] + [(None, float("nan"), None)] * 10, "a double, b double, e double")
+    before, now = frame(old), frame(new)
+    edges = metrics.quantile_edges(metrics.quantile_sketches(before, ["a", "b", "e"]), ["a", "b", "e"])
+    assert len(edges["a"]) == 9 and edges["e"] == []
+    assert all(abs((old <= e).mean() - (i + 1) / 10) < 0.005 for i, e in enumerate(edges["a"]))
+    parts = metrics.quantile_sketches(before.where("a < 3000"), ["a"]).unionByName(metrics.quantile_sketches(before.where("a >= 3000"), ["a"]))
+    merged = metrics.quantile_edges(metrics.merged_sketches(parts, ["a"]), ["a"])["a"]
+    assert all(abs((old <= e).mean() - (i + 1) / 10) < 0.01 for i, e in enumerate(merged))
+    got = {r["column"]: r for r in metrics.numeric_drift(before, now, ["a", "b", "e"]).collect()}
+    gap = max(abs((old <= e).mean() - (new <= e).mean()) for e in edges["a"])
+    assert got["a"]["drifted"] and abs(got["a"]["distance"] - gap) < 0.01
+    assert not got["b"]["drifted"] and got["b"]["distance"] < 0.03
+    assert (got["e"]["psi"], got["e"]["distance"]) == (0.0, None)
+    assert metrics.numeric_drift(before, now.limit(0), ["a"]).first()["distance"] is None

@@ -116,6 +116,15 @@ def test_replies_become_records(spark):
     assert got[0]["detected_language"] == "hindi"
 
 
+def test_first_balanced_object(spark):
+    said = {
+        'x {"a": 1} y {"b": 2} z': '{"a": 1}', 'see {this} first: {"a": {"b": "}"}} and }': '{"a": {"b": "}"}}',
+        'open { quote {"a": "\\"{"}': '{"a": "\\"{"}', '{"a": 1': None, '} {': None, "": None, 'it"s {"a": "{"} ok': '{"a": "{"}',
+    }
+    df = spark.createDataFrame([(k,) for k in said], "reply string")
+    assert {r.reply: r.json for r in df.select("reply", text.reply_object(F.col("reply")).alias("json")).collect()} == said
+
+
 def test_intake_fallback(spark):
     df = spark.createDataFrame(
         [("N", "t" * 200, "loan", 5.0, "Pune", None)],
