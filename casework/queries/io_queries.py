@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from casework import schemas
 from casework.functions import text
+from casework.models import vectoriser
 from casework.operators import duplicates, kpi, rootcause, store, strikes
 from casework.queries.base import VECTORS, over, query
 from casework.queries.report_queries import REPORT_SQL, compliance_report
@@ -121,6 +122,21 @@ def text_vectors(spark, folder):
     return made.select("id", F.size("embedding").alias("dims"), F.round(F.sqrt(square), 4).alias("length"))
 
 
+@query("j1_stored_vectoriser", """
+SELECT doc_id AS id, (SELECT COUNT(*) FROM documents) AS texts, 384 AS dims,
+  CASE WHEN regexp_matches(coalesce(text, ''), '[\\p{L}\\p{N}_]') THEN 1.0::DOUBLE ELSE 0 END AS length FROM documents""")
+def stored_vectoriser(spark, folder):
+    """Document frequencies of two halves added up, kept, read again and applied to all documents."""
+    docs = table(spark, folder, "documents")
+    halves = [vectoriser.counts(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(2)) == i), "text") for i in range(2)]
+    path = f"{scratch(spark)}/vectoriser"
+    vectoriser.TextVectoriser.of(vectoriser.merged(*halves)).save(spark, path)
+    fitted = vectoriser.TextVectoriser.load(spark, path)
+    made = docs.select(F.col("doc_id").alias("id"), fitted(F.col("text")).alias("v"))
+    square = F.aggregate("v", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    return made.select("id", F.lit(fitted.texts).cast("long").alias("texts"), F.size("v").alias("dims"), F.round(F.sqrt(square), 4).alias("length"))
+
+
 _MAIL_SEVERITY = r"""CASE WHEN amount >= 50000 THEN 'Critical' WHEN regexp_matches(text, '(?i)unauthor|fraud|stuck|debit.{0,15}fail|debited') THEN 'High'
   WHEN amount > 0 THEN 'Medium' ELSE 'Low' END"""
 

@@ -173,6 +173,18 @@ def detected_alerts(spark, folder):
     return sums.select("sized", "dominated", (F.col("listed") == F.reverse(F.array_sort("listed"))).cast("int").alias("ordered"), "placed")
 
 
+@query("j6_planted_alerts", over(VECTORS) + """
+SELECT max(v.category) AS category, COUNT(*) AS count, round(COUNT(v.category) / COUNT(*), 2) AS category_share
+FROM vectors v JOIN embeddings e ON v.id = e.vec_id GROUP BY e.label % 6, e.vec_id % 2 HAVING COUNT(*) >= 5 AND COUNT(v.category) >= 0.6 * COUNT(*)""")
+def planted_alerts(spark, folder):
+    """J4 to J6 where alerts are certain: two far corners for every category, so twelve clusters that one category owns."""
+    rows = views.vectors(spark, folder).join(views.table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), "label"), "id")
+    corner = F.col("label") % 6 * 2 + F.col("id") % 2
+    far = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: F.when(i == corner, 50.0).otherwise(0.0).cast("float"))
+    found = rootcause.detect(rows.withColumn("embedding", F.concat("embedding", far)).drop("label"))
+    return found.select("category", "count", "category_share")
+
+
 SEVERITY_SQL = r"""CASE WHEN amount_involved >= 50000 THEN 'Critical'
   WHEN regexp_matches(text, '(?i)unauthor|fraud|stuck|debit.{0,15}fail|debited') THEN 'High'
   WHEN amount_involved > 0 THEN 'Medium' ELSE 'Low' END"""
