@@ -6,8 +6,9 @@ import unicodedata
 from dataclasses import asdict, dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, NGram, RegexTokenizer
+from pyspark.ml.feature import CountVectorizerModel, NGram, RegexTokenizer
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from casework.functions.text import SCAN_COLUMNS, Scan, scan, sentiment_rule, we
 from casework.models.split import MAX_LABELLED_ROWS, bounded, holdout, with_balance
 from casework.models.stored import read_facts, write_facts
 from casework.schemas import CATEGORIES
-from casework.session import table_path
+from casework.session import cut_lineage, table_path
 
 MAX_TERMS = 10000
 MIN_DOCS = 2
@@ -56,35 +57,30 @@ def _terms(rows: DataFrame, text: str) -> DataFrame:
     return out.withColumn("_terms", F.concat("_words", "_pairs")).drop("_plain", "_words", "_pairs")
 
 
-def _numbers(values: list[float]) -> Column:
-    """A constant array, folded once when the plan is made."""
-    return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
+def _scorer(idf: list[float], coefficients: list[list[float]], intercepts: list[float]):
+    """Margins of a batch of sparse count vectors: every entry's coefficients are looked up by its index once for all classes."""
+    weights, table, shift = np.array(idf), np.array(coefficients).T.copy(), np.array(intercepts)
 
+    @F.arrow_udf("array<double>")
+    def margins(indices: pa.Array, counts: pa.Array) -> pa.Array:
+        index, n = indices.flatten().to_numpy(zero_copy_only=False), counts.flatten().to_numpy(zero_copy_only=False)
+        row = np.repeat(np.arange(len(indices)), np.diff(indices.offsets.to_numpy()))
+        w = (1 + np.log(n)) * weights[index]
+        length = np.maximum(np.sqrt(np.bincount(row, w * w, len(indices))), 1e-300)
+        sums = [np.bincount(row, w * table[index, c], len(indices)) / length + b for c, b in enumerate(shift)]
+        flat = np.column_stack(sums).ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, len(shift)), pa.int32()), pa.array(flat))
 
-def _entries(counts: str, idf: list[float]) -> Column:
-    """(i, w) of a count vector: w = (1 + ln(count)) * idf."""
-    vector = F.unwrap_udt(F.col(counts))
-    weights = _numbers(idf)
-    return F.zip_with(
-        vector["indices"], vector["values"],
-        lambda i, n: F.struct(i.alias("i"), ((1 + F.ln(n)) * F.get(weights, i)).alias("w")),
-    )
-
-
-def _total(entries: Column, value) -> Column:
-    return F.aggregate(entries, F.lit(0.0), lambda acc, e: acc + value(e))
-
-
-def _length(entries: Column) -> Column:
-    return F.sqrt(_total(entries, lambda e: e["w"] * e["w"]))
+    return margins
 
 
 @dataclass
 class CategoryModel:
     """TF-IDF with 1 + ln(tf), smoothed idf + 1 and unit length, then logistic regression.
 
-    Everything is bounded by the vocabulary and the classes. Scoring is a sum of coefficient times weight per class, as Column
-    expressions on the row: no shuffle, no Python.
+    Everything is bounded by the vocabulary and the classes. Scoring shuffles nothing: terms are counted in the JVM, and
+    Arrow batches of the sparse counts meet the coefficient table in numpy, once for all classes.
+    `balanced_accuracy` is the mean over the held-out classes, so that a constant guess has 1 / classes.
     """
 
     vocabulary: list[str]
@@ -94,17 +90,14 @@ class CategoryModel:
     classes: list[str]
     accuracy: float
     source: str
+    balanced_accuracy: float = 0.0
 
     def predict(self, rows: DataFrame, text: str = "complaint_text") -> DataFrame:
         """Best class, its probability and the whole distribution, rounded to four places."""
         counter = CountVectorizerModel.from_vocabulary(self.vocabulary, inputCol="_terms", outputCol="_counts")
-        counted = counter.transform(_terms(rows, text)).withColumn("_entries", _entries("_counts", self.idf))
-        counted = counted.withColumn("_length", F.greatest(_length(F.col("_entries")), F.lit(1e-300)))
-        margins = [
-            _total(F.col("_entries"), lambda e, c=_numbers(row): e["w"] * F.get(c, e["i"])) / F.col("_length") + F.lit(b)
-            for row, b in zip(self.coefficients, self.intercepts, strict=True)
-        ]
-        scored = counted.withColumn("_margins", F.array(*margins))
+        vector = F.unwrap_udt(F.col("_counts"))
+        margins = _scorer(self.idf, self.coefficients, self.intercepts)
+        scored = counter.transform(_terms(rows, text)).withColumn("_margins", margins(vector["indices"], vector["values"]))
         scored = scored.withColumn("_odds", F.transform("_margins", lambda m: F.exp(m - F.array_max("_margins"))))
         scored = scored.withColumn("_p", F.transform("_odds", lambda o: o / F.aggregate("_odds", F.lit(0.0), lambda a, x: a + x)))
         names = F.array(*[F.lit(c) for c in self.classes])
@@ -135,49 +128,71 @@ def training_rows(cases: DataFrame, fallback: DataFrame, source: str, text: str
     return scanned_rows.select("id", text, weak_category(scanned).alias("category"))
 
 
-def _prepared(counted: DataFrame, idf: list[float], terms: int) -> DataFrame:
-    """id, label, features: the entries as vectors. A vector's stored form is a struct, so the table that cuts the lineage is
-    written as structs and read as vectors."""
-    entries, length = F.col("_entries"), F.col("_length")
+def _counted(rows: DataFrame, text: str) -> DataFrame:
+    """id, label, term, n: how often each term stands in each row, in as many parts as the cluster has slots. Written once."""
+    spark = rows.sparkSession
+    terms = _terms(rows.repartition(spark.sparkContext.defaultParallelism, "id"), text)
+    found = terms.select("id", "label", F.explode("_terms").alias("term"))
+    return cut_lineage(found.groupBy("id", "label", "term").agg(F.count("*").cast("double").alias("n")))
+
+
+def _prepared(picked: DataFrame, counted: DataFrame, vocabulary: DataFrame, terms: int) -> DataFrame:
+    """id, label, features: unit vectors of the rows' known terms. A vector's stored form is a struct, so the table that cuts
+    the lineage is written as structs and read as vectors. Rows without a known term have an empty vector."""
+    spark = picked.sparkSession
+    known = counted.join(F.broadcast(vocabulary), "term")
+    entry = F.struct("i", "w")
+    # The length is an aggregate of its own: as an expression over the entries it would be worked out again for every entry.
+    weighed = known.select("id", "i", ((1 + F.ln("n")) * F.col("idf")).alias("w")).groupBy("id").agg(
+        F.sort_array(F.collect_list(entry)).alias("_entries"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_length")
+    )
+    none = F.array().cast("array<struct<i:int,w:double>>")
+    rows = picked.select("id", "label").join(weighed, "id", "left").withColumn("_entries", F.coalesce("_entries", none))
     vector = F.struct(
-        F.lit(0).cast("tinyint").alias("type"), F.lit(terms).alias("size"), F.transform(entries, lambda e: e["i"]).alias("indices"),
-        F.transform(entries, lambda e: e["w"] / length).alias("values"),
+        F.lit(0).cast("tinyint").alias("type"), F.lit(terms).alias("size"), F.transform("_entries", lambda e: e["i"]).alias("indices"),
+        F.transform("_entries", lambda e: e["w"] / F.col("_length")).alias("values"),
     )
-    rows = counted.select("id", "label", _entries("_counts", idf).alias("_entries"))
-    rows = rows.withColumn("_length", F.greatest(_length(entries), F.lit(1e-300)))
-    path = table_path(counted.sparkSession)
-    rows.select("id", "label", vector.alias("features")).write.parquet(path)
+    path = table_path(spark)
+    rows.select("id", "label", vector.alias("features")).repartition(spark.sparkContext.defaultParallelism, "id").write.parquet(path)
     kind = T.StructType([rows.schema["id"], T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])
-    return counted.sparkSession.read.schema(kind).parquet(path)
+    return spark.read.schema(kind).parquet(path)
 
 
 def fit(rows: DataFrame, source: str, text: str = "complaint_text", max_terms: int = MAX_TERMS, max_iter: int = 100,
         max_labelled_rows: int = MAX_LABELLED_ROWS) -> CategoryModel | None:
-    """K13, on `max_labelled_rows` at most. None when fewer than two classes occur. The class list is as small as the vocabulary."""
-    classes = sorted(r["category"] for r in rows.select("category").distinct().collect())
+    """K13, on `max_labelled_rows` at most. None when fewer than two classes occur. The class list is as small as the vocabulary.
+
+    Rows are chosen and held out by id and class alone; texts join the chosen ids afterwards, whose number is bounded.
+    The vocabulary holds the terms of most occurrences in `MIN_DOCS` rows or more, ties by the term.
+    """
+    spark = rows.sparkSession
+    known = cut_lineage(rows.select("id", "category"))
+    classes = sorted(r["category"] for r in known.select("category").distinct().collect())
     if len(classes) < 2:
         return None
     order = F.array(*[F.lit(c) for c in classes])
-    labelled = bounded(rows, max_labelled_rows).withColumn("label", (F.array_position(order, F.col("category")) - 1).cast("double"))
-    train, test = holdout(labelled, label="label")
-    terms = _terms(train, text)
-    counter = CountVectorizer(inputCol="_terms", outputCol="_counts", vocabSize=max_terms, minDF=MIN_DOCS).fit(terms)
-    counted = counter.transform(terms).select("id", "label", "_counts")
-    n = counted.count()
-    held = counted.select(F.explode(F.unwrap_udt("_counts")["indices"]).alias("i")).groupBy("i").agg(F.count("*").alias("n"))
-    documents = np.zeros(len(counter.vocabulary))
-    for row in held.collect():
-        documents[row["i"]] = row["n"]
-    idf = (np.log((1 + n) / (1 + documents)) + 1).tolist()
-    prepared = with_balance(_prepared(counted, idf, len(idf)))
+    chosen = bounded(known, max_labelled_rows).withColumn("label", (F.array_position(order, F.col("category")) - 1).cast("double"))
+    train, test = (cut_lineage(part) for part in holdout(chosen, label="label"))
+    texts = rows.select("id", text)
+    counted = _counted(texts.join(F.broadcast(train.select("id", "label")), "id"), text)
+    n = train.count()
+    held = counted.groupBy("term").agg(F.sum("n").alias("all"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
+    best = held.orderBy(F.desc("all"), "term").limit(max_terms).collect()
+    idf = (np.log((1 + n) / (1 + np.array([r["n"] for r in best]))) + 1).tolist()
+    vocabulary = [r["term"] for r in best]
+    numbered = spark.createDataFrame([(t, i, w) for i, (t, w) in enumerate(zip(vocabulary, idf, strict=True))], "term string, i int, idf double")
+    prepared = with_balance(_prepared(train, counted, numbered, len(idf)))
     fitted = LogisticRegression(
         weightCol="weight", maxIter=max_iter, regParam=1.0 / (INVERSE_PENALTY * n), family="multinomial"
     ).fit(prepared)
     model = CategoryModel(
-        list(counter.vocabulary), idf, fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist(), classes, 0.0, source
+        vocabulary, idf, fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist(), classes, 0.0, source
     )
-    hit = F.avg((F.col("ml_category") == F.col("category")).cast("double"))
-    model.accuracy = round(model.predict(test, text).agg(hit.alias("a")).first()["a"] or 0.0, 4)
+    scored = model.predict(texts.join(F.broadcast(test.select("id", "category")), "id"), text)
+    hit = (F.col("ml_category") == F.col("category")).cast("double")
+    by_class = scored.groupBy("category").agg(F.sum(hit).alias("hits"), F.count("*").alias("n"))
+    found = by_class.agg((F.sum("hits") / F.sum("n")).alias("a"), F.avg(F.col("hits") / F.col("n")).alias("b")).first()
+    model.accuracy, model.balanced_accuracy = (round(v or 0.0, 4) for v in found)
     return model
 
 
