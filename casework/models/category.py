@@ -128,33 +128,32 @@ def training_rows(cases: DataFrame, fallback: DataFrame, source: str, text: str
     return scanned_rows.select("id", text, weak_category(scanned).alias("category"))
 
 
-def _counted(rows: DataFrame, text: str) -> DataFrame:
-    """id, label, term, n: how often each term stands in each row, in as many parts as the cluster has slots. Written once."""
-    spark = rows.sparkSession
-    terms = _terms(rows.repartition(spark.sparkContext.defaultParallelism, "id"), text)
-    found = terms.select("id", "label", F.explode("_terms").alias("term"))
-    return cut_lineage(found.groupBy("id", "label", "term").agg(F.count("*").cast("double").alias("n")))
+def _numbered(rows: DataFrame, text: str) -> DataFrame:
+    """_row, label, _terms in as many parts as the cluster has slots. Written once, so a row keeps its number, which is its own
+    even where ids repeat."""
+    dealt = _terms(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "id"), text)
+    return cut_lineage(dealt.select(F.monotonically_increasing_id().alias("_row"), "label", "_terms"))
 
 
-def _prepared(picked: DataFrame, counted: DataFrame, vocabulary: DataFrame, terms: int) -> DataFrame:
-    """id, label, features: unit vectors of the rows' known terms. A vector's stored form is a struct, so the table that cuts
+def _prepared(numbered: DataFrame, counted: DataFrame, vocabulary: DataFrame, terms: int) -> DataFrame:
+    """label, features: unit vectors of the rows' known terms. A vector's stored form is a struct, so the table that cuts
     the lineage is written as structs and read as vectors. Rows without a known term have an empty vector."""
-    spark = picked.sparkSession
+    spark = numbered.sparkSession
     known = counted.join(F.broadcast(vocabulary), "term")
     entry = F.struct("i", "w")
     # The length is an aggregate of its own: as an expression over the entries it would be worked out again for every entry.
-    weighed = known.select("id", "i", ((1 + F.ln("n")) * F.col("idf")).alias("w")).groupBy("id").agg(
+    weighed = known.select("_row", "i", ((1 + F.ln("n")) * F.col("idf")).alias("w")).groupBy("_row").agg(
         F.sort_array(F.collect_list(entry)).alias("_entries"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_length")
     )
     none = F.array().cast("array<struct<i:int,w:double>>")
-    rows = picked.select("id", "label").join(weighed, "id", "left").withColumn("_entries", F.coalesce("_entries", none))
+    rows = numbered.select("_row", "label").join(weighed, "_row", "left").withColumn("_entries", F.coalesce("_entries", none))
     vector = F.struct(
         F.lit(0).cast("tinyint").alias("type"), F.lit(terms).alias("size"), F.transform("_entries", lambda e: e["i"]).alias("indices"),
         F.transform("_entries", lambda e: e["w"] / F.col("_length")).alias("values"),
     )
     path = table_path(spark)
-    rows.select("id", "label", vector.alias("features")).repartition(spark.sparkContext.defaultParallelism, "id").write.parquet(path)
-    kind = T.StructType([rows.schema["id"], T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])
+    rows.select("_row", "label", vector.alias("features")).repartition(spark.sparkContext.defaultParallelism, "_row").write.parquet(path)
+    kind = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("features", VectorUDT())])
     return spark.read.schema(kind).parquet(path)
 
 
@@ -162,7 +161,7 @@ def fit(rows: DataFrame, source: str, text: str = "complaint_text", max_terms: i
         max_labelled_rows: int = MAX_LABELLED_ROWS) -> CategoryModel | None:
     """K13, on `max_labelled_rows` at most. None when fewer than two classes occur. The class list is as small as the vocabulary.
 
-    Rows are chosen and held out by id and class alone; texts join the chosen ids afterwards, whose number is bounded.
+    Ids are chosen and held out by id and class alone; texts join the chosen ids afterwards, whose number is bounded.
     The vocabulary holds the terms of most occurrences in `MIN_DOCS` rows or more, ties by the term.
     """
     spark = rows.sparkSession
@@ -171,24 +170,26 @@ def fit(rows: DataFrame, source: str, text: str = "complaint_text", max_terms: i
     if len(classes) < 2:
         return None
     order = F.array(*[F.lit(c) for c in classes])
-    chosen = bounded(known, max_labelled_rows).withColumn("label", (F.array_position(order, F.col("category")) - 1).cast("double"))
+    chosen = bounded(known, max_labelled_rows).distinct().withColumn("label", (F.array_position(order, F.col("category")) - 1).cast("double"))
     train, test = (cut_lineage(part) for part in holdout(chosen, label="label"))
-    texts = rows.select("id", text)
-    counted = _counted(texts.join(F.broadcast(train.select("id", "label")), "id"), text)
-    n = train.count()
+    texts, own = rows.select("id", "category", text), ["id", "category"]
+    numbered = _numbered(texts.join(F.broadcast(train), own), text)
+    n = numbered.count()
+    exploded = numbered.select("_row", F.explode("_terms").alias("term"))
+    counted = cut_lineage(exploded.groupBy("_row", "term").agg(F.count("*").cast("double").alias("n")))
     held = counted.groupBy("term").agg(F.sum("n").alias("all"), F.count("*").alias("n")).where(F.col("n") >= MIN_DOCS)
     best = held.orderBy(F.desc("all"), "term").limit(max_terms).collect()
     idf = (np.log((1 + n) / (1 + np.array([r["n"] for r in best]))) + 1).tolist()
     vocabulary = [r["term"] for r in best]
-    numbered = spark.createDataFrame([(t, i, w) for i, (t, w) in enumerate(zip(vocabulary, idf, strict=True))], "term string, i int, idf double")
-    prepared = with_balance(_prepared(train, counted, numbered, len(idf)))
+    listed = spark.createDataFrame([(t, i, w) for i, (t, w) in enumerate(zip(vocabulary, idf, strict=True))], "term string, i int, idf double")
+    prepared = with_balance(_prepared(numbered, counted, listed, len(idf)))
     fitted = LogisticRegression(
         weightCol="weight", maxIter=max_iter, regParam=1.0 / (INVERSE_PENALTY * n), family="multinomial"
     ).fit(prepared)
     model = CategoryModel(
         vocabulary, idf, fitted.coefficientMatrix.toArray().tolist(), fitted.interceptVector.toArray().tolist(), classes, 0.0, source
     )
-    scored = model.predict(texts.join(F.broadcast(test.select("id", "category")), "id"), text)
+    scored = model.predict(texts.join(F.broadcast(test.select(*own)), own), text)
     hit = (F.col("ml_category") == F.col("category")).cast("double")
     by_class = scored.groupBy("category").agg(F.sum(hit).alias("hits"), F.count("*").alias("n"))
     found = by_class.agg((F.sum("hits") / F.sum("n")).alias("a"), F.avg(F.col("hits") / F.col("n")).alias("b")).first()
