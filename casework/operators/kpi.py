@@ -247,3 +247,8 @@ def run_summary(enriched: DataFrame, alerts: DataFrame | None = None) -> DataFra
     if alerts is None:
         return out
     return out.select("*", alerts.agg(F.count("*").alias("n")).scalar().alias("alerts_detected"))
+
+
+def error_summary(enriched: DataFrame) -> DataFrame:
+    """D19's errors by kind: stage, column, reason and the number of cases. A case with several errors counts in each."""
+    return enriched.select(F.explode("errors").alias("e")).select("e.*").groupBy("stage", "column", "reason").agg(F.count("*").alias("cases"))

@@ -7,7 +7,7 @@ checkpointed before the customer history reads them a second time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casework.functions import labels, risk, sla, text
@@ -20,6 +20,7 @@ from casework.operators.store import patch
 from casework.schemas import SLA_DAYS, lookup
 from casework.session import cut_lineage
 
+ERRORS = "array<struct<stage: string, column: string, reason: string>>"
 _INTAKE_INPUT = ("customer_name", "complaint_text", "account_type", "amount_involved", "location", "language")
 
 
@@ -153,15 +154,50 @@ def enrich(cases: DataFrame, as_of, threshold: float = duplicates.DUPLICATE_THRE
     return with_priority(history.scored(joined), as_of, True, priority)
 
 
-def process_pending(table: DataFrame, as_of, with_alerts: bool = True, **options) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+def checked(cases: DataFrame, dimensions: int | None = None) -> DataFrame:
+    """The cases with every unreadable value set to null, and `errors`: an array of (stage, column, reason), empty for a sound row.
+
+    Dates and amounts may be text; the column then becomes a date or a number. A vector is unusable when a component is missing or
+    not finite, or its length is not `dimensions` (without it: the most frequent length). A missing amount or vector is no error,
+    a missing date is, as the deadline needs one. Nothing here fails a row, whatever the session's ANSI setting.
+    """
+    found, sound, none = [], {}, F.array().cast(ERRORS)
+
+    def stage(name: str, column: str, reason: str, bad: Column, value: Column) -> None:
+        error = F.struct(F.lit(name).alias("stage"), F.lit(column).alias("column"), F.lit(reason).alias("reason"))
+        found.append(F.when(bad, F.array(error)).otherwise(none))
+        sound[column] = F.when(~bad, value)
+
+    def finite(x: Column) -> Column:
+        return F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))
+
+    if "date" in cases.columns:
+        day = F.col("date").try_cast("date")
+        stage("deadline", "date", "unreadable filing date", day.isNull(), day)
+    if "amount_involved" in cases.columns:
+        amount = F.col("amount_involved").try_cast("double")
+        stage("severity", "amount_involved", "unreadable amount", F.col("amount_involved").isNotNull() & ~finite(amount), amount)
+    if "embedding" in cases.columns:
+        vector = F.col("embedding")
+        length = F.lit(dimensions) if dimensions else cases.where(vector.isNotNull()).agg(F.mode(F.size(vector), True)).scalar()
+        usable = (F.size(vector) == length) & F.forall(vector, finite)
+        stage("duplicates", "embedding", "unusable vector", vector.isNotNull() & ~F.coalesce(usable, F.lit(False)), vector)
+    errors = F.concat(none, *found)
+    # The errors are read from the values as they came, so both are one projection.
+    return cases.select(*[sound[c].alias(c) if c in sound else F.col(c) for c in cases.columns if c != "errors"], errors.alias("errors"))
+
+
+def process_pending(table: DataFrame, as_of, with_alerts: bool = True, dimensions: int | None = None,
+                    **options) -> tuple[DataFrame, DataFrame | None, DataFrame]:
     """L2: enrich the unprocessed cases, cluster all vectors once, and summarise the run.
 
-    A row whose filing date cannot be read is kept with an `error` instead of failing the batch.
+    A row with values that cannot be read is kept without them; `errors` lists them (`checked`), `error` is the first reason.
     """
+    table = checked(table, dimensions)
     pending = table.where(F.col("processed_at").isNull())
-    done = enrich(pending, as_of, **options).withColumn("error", F.when(F.col("date").isNull(), "unreadable filing date"))
+    done = enrich(pending, as_of, **options).withColumn("error", F.get("errors", F.lit(0))["reason"])
     # Clusters are profiled with the labels the run has just assigned.
-    alerts = rootcause.detect(write_back(table, done)) if with_alerts else None
+    alerts = rootcause.detect(write_back(table.drop("errors"), done)) if with_alerts else None
     return done, alerts, kpi.run_summary(done, alerts)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from casework.functions import vectors as vec
 from casework.models.category import sentiment_scorer_by_rule
-from casework.operators import duplicates, rootcause
+from casework.operators import duplicates, kpi, rootcause
 from casework.plans import enrich as plan
 from casework.queries.base import CASES, VECTORS, over, query
 from casework.queries.text_queries import KEYWORD_SQL
@@ -258,3 +258,25 @@ def pending_run(spark, folder):
     _, alerts, summary = plan.process_pending(rows, views.AS_OF, threshold=THRESHOLD)
     listed = alerts.agg(F.coalesce(F.min((F.col("count") >= rootcause.MIN_CLUSTER).cast("int")), F.lit(1)).alias("alerts_listed"))
     return summary.select("processed", "errors", listed.scalar().alias("alerts_listed"))
+
+
+@query("l2_error_channel", over(CASES) + """,
+broken AS (SELECT id, id % 5 = 0 OR date IS NULL AS d, id % 7 = 0 AS a, vec_id IS NOT NULL AND (id % 11 = 0 OR id % 13 = 0) AS v
+  FROM cases LEFT JOIN embeddings ON vec_id = id WHERE processed_at IS NULL)
+SELECT 'deadline' AS stage, 'date' AS "column", 'unreadable filing date' AS reason, COUNT(*) AS cases FROM broken WHERE d HAVING COUNT(*) > 0
+UNION ALL SELECT 'severity', 'amount_involved', 'unreadable amount', COUNT(*) FROM broken WHERE a HAVING COUNT(*) > 0
+UNION ALL SELECT 'duplicates', 'embedding', 'unusable vector', COUNT(*) FROM broken WHERE v HAVING COUNT(*) > 0
+UNION ALL SELECT 'any', 'any', 'any', COUNT(*) FROM broken WHERE d OR a OR v""")
+def error_channel(spark, folder):
+    """L2 on rows broken in four ways: dates and amounts that are no such thing, vectors with a missing component, vectors cut short."""
+    rows = views.filed_texts(spark, folder).join(views.cases(spark, folder, "id", "processed_at"), "id")
+    vector, id_ = F.col("embedding"), F.col("id")
+    holed = F.transform(vector, lambda x, i: F.when(i > 0, x))
+    broken = rows.withColumns({
+        "date": F.when(id_ % 5 == 0, "2001-13-45").otherwise(F.col("date").cast("string")),
+        "amount_involved": F.when(id_ % 7 == 0, "twelve").otherwise(F.col("amount_involved").cast("string")),
+        "embedding": F.when(id_ % 11 == 0, holed).when(id_ % 13 == 0, F.slice(vector, 1, 3)).otherwise(vector),
+    })
+    done, _, summary = plan.process_pending(broken, views.AS_OF, with_alerts=False, threshold=THRESHOLD)
+    any_ = summary.select(*[F.lit("any").alias(c) for c in ("stage", "column", "reason")], F.col("errors").alias("cases"))
+    return kpi.error_summary(done).unionByName(any_)

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from casework.models import breach, category, priority
+from casework.operators import kpi
 from casework.plans import enrich
 from casework.queries.model_queries import text_cases
 from casework.sources import views
@@ -65,6 +66,25 @@ def test_scores_stay_in_range_and_ignore_row_order(spark):
     assert {tuple(r) for r in one.select(*wanted).collect()} == {tuple(r) for r in two.select(*wanted).collect()}
 
 
+def test_rows_broken_in_four_ways_come_through_with_their_errors(spark):
+    nan = float("nan")
+    rows = [
+        (1, "C", "text", "2001-07-01", "5", [1.0, 0.0]), (2, "C", "text", "01/02", "x", [1.0, 0.0]), (3, "C", "text", "2001-07-01", "NaN", [nan, 0.0]),
+        (4, "C", "text", "2001-07-01", None, [None, 1.0]), (5, None, None, None, "1", [1.0]), (6, "C", "text", "2001-07-01", None, None),
+    ]
+    df = spark.createDataFrame(rows, "id int, customer_name string, complaint_text string, date string, amount_involved string, embedding array<float>")
+    df = df.withColumn("location", F.lit("Pune"))
+    df = df.withColumn("processed_at", F.lit(None).cast("timestamp_ntz"))
+    done, alerts, summary = enrich.process_pending(df, AS_OF, threshold=0.3)
+    got = {r["id"]: sorted(e["column"] for e in r["errors"]) for r in done.collect()}
+    assert got == {1: [], 2: ["amount_involved", "date"], 3: ["amount_involved", "embedding"], 4: ["embedding"], 5: ["date", "embedding"], 6: []}
+    assert summary.first()["errors"] == 4 and alerts.count() == 0
+    assert {r["id"]: r["duplicate_of"] for r in done.where("duplicate_of is not null").collect()} in ({2: 1}, {1: 2})
+    kinds = {r["column"]: r["cases"] for r in kpi.error_summary(done).collect()}
+    assert kinds == {"date": 2, "amount_involved": 2, "embedding": 3}
+    assert enrich.checked(df.select("id")).first()["errors"] == [] and enrich.checked(df.limit(0)).count() == 0
+
+
 def test_known_cases_are_candidates_and_history(spark):
     schema = "id int, customer_name string, channel string, complaint_text string, date date, amount_involved double, embedding array<float>"
     old = spark.createDataFrame([(1, "C", "email", "atm", dt.date(2001, 7, 20), None, [1.0, 0.0]),
