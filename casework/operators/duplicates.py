@@ -32,8 +32,13 @@ DUPLICATE_THRESHOLD = 0.78
 TOP_K = 5
 BLOCK_ROWS = 8192
 CENTRES = 64
+#: Rows that a visit moves to one task and, of as many, the cell that it visits there; a block may be far smaller.
+CELL_ROWS = 32768
+MAX_TASKS = 2000
 _DIGITS = 9
 _CHUNK = 1024
+#: Below every score.
+_NONE = -4 * 10 ** _DIGITS
 
 
 def _best(queries, candidates, query_pos, candidate_pos, query_copy, candidate_copy, k, earlier):
@@ -99,18 +104,55 @@ def _search_cell(k: int, earlier: bool):
     return search
 
 
+def _bettered(score: np.ndarray, found: np.ndarray, row: np.ndarray, new_score: np.ndarray, new: np.ndarray) -> None:
+    """Puts hits (row, new_score, new) among the best of their rows, in place: higher scores first, then smaller candidate places."""
+    k, rows = score.shape[1], np.unique(row)
+    where = np.r_[np.repeat(rows, k), row]
+    scores, places = np.r_[score[rows].ravel(), new_score], np.r_[found[rows].ravel(), new]
+    order = np.lexsort((places, -scores, where))
+    rank = np.arange(len(order)) - np.searchsorted(where[order], where[order])
+    kept, slot = order[rank < k], rank[rank < k]
+    score[where[kept], slot], found[where[kept], slot] = scores[kept], places[kept]
+
+
 def _search_visit(k: int, earlier: bool):
-    """Visiting rows against a block that none of them belongs to."""
-    def search(visitors: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        cell = pd.concat([visitors.assign(_q=True), block.assign(_q=False)])
-        cell = cell.sort_values(["ord", "id"], kind="stable", ignore_index=True)
-        if not len(visitors) or not len(block):
-            return _hits(cell, *np.zeros((3, 0), np.int64))
-        vectors, copies = _units(cell["embedding"]), pd.factorize(cell["copy_key"])[0]
-        q, c = np.flatnonzero(cell["_q"]), np.flatnonzero(~cell["_q"])
-        found, score = _best(vectors[q], vectors[c], q, c, copies[q], copies[c], k, earlier)
+    """Visiting rows against the vectors of a cell, without those of a row's own block: of each centre's vectors by the rows whose `reached` has its bit,
+    and only scores that reach the row's floor and its k-th best so far are looked at."""
+    def search(visitors: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
+        # Filled before they meet: 64 bits of `reached` would not survive a column with gaps.
+        rows = pd.concat([visitors.assign(_q=True, centre=np.int32(-1)), cell.assign(_q=False, floor=np.int64(0), reached=np.int64(0))])
+        rows = rows.sort_values(["ord", "id"], kind="stable", ignore_index=True)
+        if not len(visitors) or not len(cell):
+            return _hits(rows, *np.zeros((3, 0), np.int64))
+        scale, asks = 10 ** _DIGITS, rows["_q"].to_numpy(bool)
+        copies, part, centre = pd.factorize(rows["copy_key"])[0], rows["part"].to_numpy(np.int64), rows["centre"].to_numpy(np.int64)
+        q, c = np.flatnonzero(asks), np.flatnonzero(~asks)
+        c = c[np.argsort(centre[c], kind="stable")]
+        queries, candidates = _units(rows["embedding"][q]), _units(rows["embedding"][c])
+        floor, reached = rows["floor"].to_numpy()[q].astype(np.int64), rows["reached"].to_numpy()[q].astype(np.int64)
+        edges = np.r_[0, np.flatnonzero(np.diff(centre[c])) + 1, len(c)]
+        score, found = np.full((len(q), k), _NONE), np.full((len(q), k), -1)
+        for start in range(0, len(q), _CHUNK):
+            chunk = np.arange(start, min(start + _CHUNK, len(q)))
+            for low, end in zip(edges[:-1], edges[1:], strict=True):
+                some = chunk[(reached[chunk] >> centre[c[low]]) & 1 == 1]
+                for a in range(low, end, 4 * _CHUNK):
+                    if not len(some):
+                        break
+                    z = min(a + 4 * _CHUNK, end)
+                    sims = queries[some] @ candidates[a:z].T
+                    least = np.maximum(floor[some], score[some, -1]) / scale - 2 / scale
+                    i, j = np.nonzero(sims >= least[:, None])
+                    mine, theirs = q[some[i]], c[a + j]
+                    fits = part[mine] != part[theirs]
+                    if earlier:
+                        fits &= theirs < mine
+                    i, j, mine, theirs = i[fits], j[fits], mine[fits], theirs[fits]
+                    if len(i):
+                        exact = np.clip(np.rint(np.round(sims[i, j], _DIGITS) * scale).astype(np.int64), -scale, scale)
+                        _bettered(score, found, some[i], np.where(copies[mine] == copies[theirs], 2 * scale, exact), theirs)
         row, slot = np.nonzero(found >= 0)
-        return _hits(cell, q[row], c[found[row, slot]], score[row, slot])
+        return _hits(rows, q[row], found[row, slot], score[row, slot])
 
     return search
 
@@ -208,13 +250,17 @@ def _placed(heads: DataFrame, embedded: DataFrame, block_rows: int) -> tuple[Dat
     return small, cut_lineage(sized.where(F.col("_blocks") > 0).join(embedded, "id"))
 
 
-def _index(large: DataFrame, block_rows: int) -> DataFrame:
-    """Rows of large customers with centre, angle, angles, and the cluster and block they lie in."""
+def _index(large: DataFrame, block_rows: int, cell_rows: int) -> DataFrame:
+    """Rows of large customers with centre, angle, angles, the block they lie in, its number `part` within the customer, and the cell.
+
+    A cell is what moves at once: the blocks of neighbouring centres up to about `cell_rows` vectors, or a share of the blocks of a larger centre.
+    """
     place = F.row_number().over(Window.partitionBy("customer_name").orderBy(F.xxhash64("id"), "id"))
     chosen = large.select("id", "customer_name").withColumn("centre", place - 1).where(F.col("centre") < CENTRES)
-    centres = cut_lineage(chosen.select("id", "centre").join(large.select("id", "customer_name", "embedding", "_blocks"), "id").drop("id"))
-    spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
-    rows = large.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    large = large.withColumn("_salts", F.ceil(F.col("_blocks") * block_rows / cell_rows).cast("int")).drop("_blocks")
+    centres = cut_lineage(chosen.select("id", "centre").join(large.select("id", "customer_name", "embedding", "_salts"), "id").drop("id"))
+    spread = centres.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    rows = large.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("_salts")).cast("int")).drop("_salts")
     fields = [f for f in rows.schema.fields if f.name != "salt"]
     schema = T.StructType([
         *fields, T.StructField("centre", T.IntegerType()), T.StructField("angle", T.DoubleType()), T.StructField("angles", T.ArrayType(T.DoubleType()))
@@ -222,37 +268,59 @@ def _index(large: DataFrame, block_rows: int) -> DataFrame:
     keys = ["customer_name", "salt"]
     assigned = cut_lineage(rows.groupBy(*keys).cogroup(spread.groupBy(*keys)).applyInPandas(_assign, schema))
     named = assigned.withColumn("cluster", F.concat_ws("\u0001", "customer_name", "centre"))
-    clusters = named.groupBy("cluster").agg(F.count("*").alias("_w"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    dealt = attach_by_key(named, clusters, "cluster", "_w", "id")
-    return cut_lineage(dealt.withColumn("block", F.concat_ws("\u0001", "cluster", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))))
-
-
-def _search_large(large: DataFrame, k: int, earlier: bool, block_rows: int, schema: T.StructType) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Neighbours found, the visits (id, block) beyond the own block, and the indexed rows."""
-    rows = _index(large, block_rows)
+    clusters = named.groupBy("cluster", "customer_name", "centre").agg(
+        F.count("*").alias("_w"), F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.ceil(F.count("*") / cell_rows).cast("int").alias("shares")
+    )
+    # At most CENTRES rows a customer.
+    before = Window.partitionBy("customer_name").orderBy("centre").rowsBetween(Window.unboundedPreceding, -1)
+    filled = F.coalesce(F.sum(F.when(F.col("shares") == 1, F.col("_w")).otherwise(0)).over(before), F.lit(0))
+    clusters = clusters.withColumn("shelf", F.floor(filled / cell_rows)).drop("customer_name", "centre")
+    dealt = attach_by_key(named, clusters, "cluster", "_w", "id").withColumn("_no", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks")))
+    shared = F.concat_ws("\u0001", "cluster", F.col("_no") % F.col("shares"))
+    return cut_lineage(dealt.withColumns({
+        "block": F.concat_ws("\u0001", "cluster", "_no"), "part": F.shiftleft(F.col("centre").cast("long"), 32) + F.col("_no"),
+        "cell": F.when(F.col("shares") > 1, shared).otherwise(F.concat_ws("\u0001", "customer_name", F.lit("shelf"), "shelf")),
+    }).drop("blocks", "shares", "shelf", "cluster", "_no"))
+
+
+def _search_large(large: DataFrame, k: int, earlier: bool, block_rows: int, schema: T.StructType,
+                  cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Neighbours found, the visits (id, cell, blocks that the visit compares with), and the indexed rows.
+
+    A row moves once to each cell with a block that its floor reaches, so what moves is bounded by rows times cells, whatever the size of a block.
+    """
+    cell_rows = max(cell_rows, block_rows)
+    rows = _index(large, block_rows, cell_rows)
     inside = ["id", "customer_name", "ord", "copy_key", "asks", "embedding"]
     own = cut_lineage(rows.select(*inside, "block").groupBy("block").applyInPandas(_search_cell(k, earlier), schema))
     floors = own.groupBy("id").agg(F.when(F.count("*") >= k, F.least(F.min("score"), F.lit(10 ** _DIGITS))).alias("floor"))
-    blocks = rows.groupBy("customer_name", "centre", "block").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
-    index = blocks.groupBy("customer_name").agg(F.sum("n").alias("_w"), F.collect_list(F.struct("centre", "block", "radius")).alias("blocks"))
-    asking = rows.where("asks").select("id", "customer_name", "angles", F.col("block").alias("own")).join(floors, "id", "left")
-    asking = attach_by_key(asking, index, "customer_name", "_w", "id")
+    reach = rows.groupBy("customer_name", "cell", "centre").agg(F.count("*").alias("n"), F.max("angle").alias("radius"), F.count_distinct("part").alias("blocks"))
+    entry = F.struct("centre", "radius", "blocks", F.expr("shiftleft(1L, centre)").alias("bit"))
+    cells = reach.groupBy("customer_name", "cell").agg(F.sum("n").alias("n"), F.collect_list(entry).alias("entries"))
+    index = cells.groupBy("customer_name").agg(F.sum("n").alias("_w"), F.collect_list(F.struct("cell", "entries")).alias("cells"))
+    columns = ["id", "ord", "copy_key", "embedding", "part"]
+    asking = attach_by_key(rows.where("asks").select(*columns, "customer_name", "angles").join(floors, "id", "left"), index, "customer_name", "_w", "id")
     # Angles are computed to about 1e-8 near zero, similarities rounded to billionths.
-    nearest = lambda b: F.greatest(F.lit(0.0), F.get("angles", b["centre"]) - b["radius"] - 1e-6)
-    reaches = lambda b: F.col("floor").isNull() | (F.cos(nearest(b)) * 10 ** _DIGITS + 10 >= F.col("floor"))
-    visited = F.transform(F.filter("blocks", lambda b: (b["block"] != F.col("own")) & reaches(b)), lambda b: b["block"])
-    visits = cut_lineage(asking.select("id", F.explode(visited).alias("block")))
-    crowd = visits.groupBy("block").agg(F.count("*").alias("_w"), F.ceil(F.count("*") / block_rows).cast("int").alias("chunks"))
-    crowd = cut_lineage(crowd)
-    columns = ["id", "ord", "copy_key", "embedding"]
-    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int").alias("chunk")
-    queries = attach_by_key(visits, crowd, "block", "_w", "id").select("id", "block", chunk).join(rows.select(*columns), "id")
-    candidates = rows.select(*columns, "block").join(crowd, "block").select(
-        *[F.col(c).alias(c) for c in (*columns, "block")], F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
+    nearest = lambda e: F.greatest(F.lit(0.0), F.get("angles", e["centre"]) - e["radius"] - 1e-6)
+    reaches = lambda e: F.col("floor").isNull() | (F.cos(nearest(e)) * 10 ** _DIGITS + 10 >= F.col("floor"))
+    total = lambda some, what, add: F.aggregate(some, F.lit(0).cast("long"), lambda a, e: add(a, e[what].cast("long")))
+    seen = F.transform("cells", lambda x: F.struct(x["cell"].alias("cell"), F.filter(x["entries"], reaches).alias("at")))
+    brief = F.transform(F.filter(seen, lambda x: F.size(x["at"]) > 0), lambda x: F.struct(
+        x["cell"].alias("cell"), total(x["at"], "bit", lambda a, b: a.bitwiseOR(b)).alias("reached"), total(x["at"], "blocks", lambda a, b: a + b).alias("blocks")
+    ))
+    going = cut_lineage(asking.select(*columns, F.coalesce("floor", F.lit(_NONE)).cast("long").alias("floor"), brief.alias("visits")))
+    visits = going.select("id", F.explode(F.transform("visits", lambda v: F.struct(v["cell"].alias("cell"), v["blocks"].alias("blocks")))).alias("v")).select("id", "v.*")
+    crowd = cut_lineage(visits.groupBy("cell").agg(F.count("*").alias("_w"), F.ceil(F.count("*") / cell_rows).cast("int").alias("chunks")))
+    groups = crowd.agg(F.coalesce(F.sum("chunks"), F.lit(1)).alias("n")).first()["n"]
+    queries = going.select(*columns, "floor", F.explode("visits").alias("v")).select(*columns, "floor", "v.cell", "v.reached")
+    queries = queries.join(F.broadcast(crowd.select("cell", "chunks")), "cell").withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+    candidates = rows.select(*columns, "centre", "cell").join(F.broadcast(crowd.select("cell", "chunks")), "cell").select(
+        *[F.col(c).alias(c) for c in (*columns, "centre", "cell")], F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk")
     )
-    keys = ["block", "chunk"]
-    elsewhere = queries.select(*columns, *keys).groupBy(*keys).cogroup(candidates.groupBy(*keys)).applyInPandas(_search_visit(k, earlier), schema)
-    return own.unionByName(elsewhere), visits, rows
+    # A group is small on disk and dear to compare: groups are dealt over tasks of their own.
+    keys, tasks = ["cell", "chunk"], max(min(2 * groups, MAX_TASKS), 1)
+    visiting, visited = (x.drop("chunks").repartition(tasks, *keys).groupBy(*keys) for x in (queries, candidates))
+    return own.unionByName(visiting.cogroup(visited).applyInPandas(_search_visit(k, earlier), schema)), visits, rows
 
 
 def _beyond(keyed: DataFrame, heads: DataFrame, full: DataFrame, group: list[str], k: int) -> DataFrame:
@@ -296,11 +364,9 @@ def search_work(vectors: DataFrame, k: int = TOP_K, block_rows: int = BLOCK_ROWS
         return vectors.sparkSession.createDataFrame([], "customer_name string, blocks long, pairs long, visited long")
     _, visits, rows = _search_large(large, k, False, block_rows, _found_schema(vectors))
     per_customer = rows.groupBy("customer_name").agg(F.count_distinct("block").alias("blocks"), F.count_if("asks").alias("asking"))
-    visited = visits.withColumn("customer_name", F.split("block", "\u0001")[0]).groupBy("customer_name").agg(F.count("*").alias("others"))
+    visited = visits.withColumn("customer_name", F.split("cell", "\u0001")[0]).groupBy("customer_name").agg(F.sum("blocks").alias("visited"))
     pairs = (F.col("blocks") * F.col("asking")).alias("pairs")
-    return per_customer.join(visited, "customer_name", "left").select(
-        "customer_name", "blocks", pairs, (F.col("asking") + F.coalesce("others", F.lit(0))).alias("visited")
-    )
+    return per_customer.join(visited, "customer_name", "left").select("customer_name", "blocks", pairs, F.coalesce("visited", F.lit(0)).alias("visited"))
 
 
 def text_vectors(df: DataFrame, text: str, dims: int = 384) -> DataFrame:

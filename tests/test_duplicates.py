@@ -97,6 +97,24 @@ def test_clustered_vectors_visit_less_than_half_of_the_blocks(spark):
     assert duplicates.search_work(df, 3).count() == 0
 
 
+def test_a_row_moves_once_per_cell_however_small_the_blocks(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, "hot", rng.normal(size=8).astype(np.float32).tolist(), i) for i in range(800)]
+    df = spark.createDataFrame(rows, "id bigint, customer_name string, embedding array<float>, filed bigint")
+    embedded, keyed = duplicates._keyed(df, "filed", ())
+    large = duplicates._placed(duplicates._heads_of(keyed, 3), embedded, 16)[1]
+    schema = duplicates._found_schema(df)
+    assert duplicates._search_large(large, 3, False, 16, schema)[1].count() <= 800
+    found, visits, indexed = duplicates._search_large(large, 3, True, 16, schema, cell_rows=100)
+    cells = {r["cell"]: r["count"] for r in indexed.groupBy("cell").count().collect()}
+    assert 8 <= len(cells) <= 16 and max(cells.values()) <= 200 and visits.count() <= 800 * len(cells)
+    got: dict = {}
+    for r in found.collect():
+        got.setdefault(r["id"], []).append((-r["score"], r["neighbour"]))
+    best = {i: [(o, round(-s / 10 ** 9, 9)) for s, o in sorted(n)[:3]] for i, n in got.items()}
+    assert best == {i: [(o, round(s, 9)) for o, s in n] for i, n in brute(rows, 3, True).items() if n}
+
+
 def test_cells_of_a_hot_customer(spark):
     df = spark.range(100).select("id", F.when(F.col("id") < 70, "hot").otherwise("cold").alias("customer_name"))
     got = {r["customer_name"]: (r["vectors"], r["cells"]) for r in duplicates.block_sizes(df, 20).collect()}
