@@ -214,3 +214,15 @@ def test_category_scores_equal_spark_ml(spark):
         p /= p.sum()
         assert row["ml_category_prob"] == pytest.approx(round(float(p.max()), 4), abs=1.1e-4)
         assert row["ml_category"] == model.classes[int(p.argmax())]
+
+
+def test_rows_to_fit_on_are_chosen_without_sorting_all(spark):
+    rows = spark.range(20_000).select(F.col("id"), (F.col("id") % 3).alias("x"))
+    possible = split.few(rows.select("id"), 500)
+    some = rows.where(possible)
+    assert 500 <= some.count() <= 600
+    plain = {r["id"] for r in rows.orderBy(split._digest("id", split.SEED), "id").limit(500).collect()}
+    assert {r["id"] for r in split.bounded(rows, 500).collect()} == plain
+    assert split.bounded(rows, 30_000).count() == 20_000
+    twice = rows.unionByName(rows).withColumn("id", F.when(F.col("x") > 0, F.col("id")))
+    assert split.bounded(twice, 500).count() == 500
