@@ -130,4 +130,5 @@ def numbered(found: DataFrame, created_at) -> DataFrame:
 
 def detect(vectors: DataFrame, k: int = MAX_CLUSTERS, restarts: int = RESTARTS) -> DataFrame:
     """J4-J5 end to end; too few vectors make no cluster of `MIN_CLUSTER`, hence no alert."""
-    return alerts(assign_clusters(vectors, k, restarts))
+    # Clusters are stored; texts and other columns of a case would be stored with them.
+    return alerts(assign_clusters(vectors.select("embedding", "category", "location"), k, restarts))

@@ -154,6 +154,12 @@ def enrich(cases: DataFrame, as_of, threshold: float = duplicates.DUPLICATE_THRE
     return with_priority(history.scored(joined), as_of, True, priority)
 
 
+def usual_length(cases: DataFrame) -> DataFrame:
+    """One row: the most frequent length of a vector, the smallest of several."""
+    vector = F.col("embedding")
+    return cases.where(vector.isNotNull()).agg(F.mode(F.size(vector), True))
+
+
 def checked(cases: DataFrame, dimensions: int | None = None) -> DataFrame:
     """The cases with every unreadable value set to null, and `errors`: an array of (stage, column, reason), empty for a sound row.
 
@@ -179,7 +185,7 @@ def checked(cases: DataFrame, dimensions: int | None = None) -> DataFrame:
         stage("severity", "amount_involved", "unreadable amount", F.col("amount_involved").isNotNull() & ~finite(amount), amount)
     if "embedding" in cases.columns:
         vector = F.col("embedding")
-        length = F.lit(dimensions) if dimensions else cases.where(vector.isNotNull()).agg(F.mode(F.size(vector), True)).scalar()
+        length = F.lit(dimensions) if dimensions else usual_length(cases).scalar()
         usable = (F.size(vector) == length) & F.forall(vector, finite)
         stage("duplicates", "embedding", "unusable vector", vector.isNotNull() & ~F.coalesce(usable, F.lit(False)), vector)
     errors = F.concat(none, *found)
@@ -193,8 +199,11 @@ def process_pending(table: DataFrame, as_of, with_alerts: bool = True, dimension
 
     A row with values that cannot be read is kept without them; `errors` lists them (`checked`), `error` is the first reason.
     """
+    # The table may be joined from many: the length of its vectors is looked up once, and the pending cases, which several stages read, are stored once.
+    if not dimensions and "embedding" in table.columns:
+        dimensions = usual_length(table).first()[0]
     table = checked(table, dimensions)
-    pending = table.where(F.col("processed_at").isNull())
+    pending = cut_lineage(table.where(F.col("processed_at").isNull()))
     done = enrich(pending, as_of, **options).withColumn("error", F.get("errors", F.lit(0))["reason"])
     # Clusters are profiled with the labels the run has just assigned.
     alerts = rootcause.detect(write_back(table.drop("errors"), done)) if with_alerts else None

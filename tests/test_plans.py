@@ -124,3 +124,22 @@ def test_fitted_models_score_their_stages(spark):
     assert {r["sla_breach_prob"] for r in by_model.values()} != {r["sla_breach_prob"] for r in by_rule.values()}
     table = rows.select("id").withColumns({"processed_at": F.lit(None).cast("timestamp_ntz"), "ml_category": F.lit(None).cast("string")})
     assert enrich.write_back(table, scored).where("ml_category is null or category_confidence is null").count() == 0
+
+
+def test_a_pending_run_stores_pending_cases_once_and_no_text_with_the_clusters(spark, monkeypatch):
+    from casework.operators import rootcause
+
+    enriched, stored, whole, kept = [], [], enrich.enrich, rootcause.cut_lineage
+    monkeypatch.setattr(enrich, "enrich", lambda cases, *a, **o: enriched.append(cases) or whole(cases, *a, **o))
+    monkeypatch.setattr(rootcause, "cut_lineage", lambda df: stored.append(df.columns) or kept(df))
+    words = [f"case {i} about a card" for i in range(12)]
+    rows = [(i, f"C{i % 2}", words[i], dt.date(2001, 7, 1), None if i == 5 else [float(i % 2), 1.0] if i else [1.0], "Pune", dt.datetime(2001, 7, 2) if i % 3 else None)
+            for i in range(12)]
+    df = spark.createDataFrame(
+        rows, "id int, customer_name string, complaint_text string, date date, embedding array<float>, location string, processed_at timestamp_ntz"
+    )
+    done, alerts, summary = enrich.process_pending(df, AS_OF)
+    assert sorted(stored[0]) == ["category", "embedding", "features", "location"]
+    assert len(enriched[0].inputFiles()) > 0 and sorted(r["id"] for r in enriched[0].collect()) == [0, 3, 6, 9]
+    assert summary.first()["processed"] == 4 and [r["id"] for r in done.where("error is not null").collect()] == [0]
+    assert alerts.count() == summary.first()["alerts_detected"]
