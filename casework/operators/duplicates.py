@@ -10,6 +10,8 @@ The search is exact and never builds the pairs of a customer as rows:
   a centre's vectors lie in blocks of bounded size. A vector is first compared with its own block. Its k-th best there is a floor: a
   block whose centre is at angle a and whose radius is r holds nothing better than cos(a - r), so only blocks that reach the floor
   are visited. The search stays exact; `search_work` reports what was visited. Vectors without clusters visit most blocks.
+* Up to `CELL_VALUES` numbers such a customer is a cell of its own: one task builds the index and visits the blocks, and a vector moves
+  as often as those of small customers. Only a larger one is indexed, dealt over cells and visited by jobs.
 * The best k of a row's cells are merged with a rank limit, which Spark applies before the shuffle too.
 
 Exact copies rank before other neighbours; ties go to the earlier case, then the smaller id.
@@ -34,6 +36,8 @@ BLOCK_ROWS = 8192
 CENTRES = 64
 #: Rows that a visit moves to one task and, of as many, the cell that it visits there; a block may be far smaller.
 CELL_ROWS = 32768
+#: Numbers in the vectors of a cell that `neighbours` makes, 64 MB as doubles: 131,072 vectors of 64, 5,461 of 1,536.
+CELL_VALUES = 2 ** 23
 MAX_TASKS = 2000
 _DIGITS = 9
 _CHUNK = 1024
@@ -84,26 +88,97 @@ def _units(vectors: pd.Series) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def _search_cell(k: int, earlier: bool):
-    """Every customer of a cell, or a block of one, against itself."""
+def _search_cell(k: int, earlier: bool, block_rows: int | None = None, work: bool = False):
+    """Every customer of a cell, or a block of one, against itself; with an index above `block_rows`. With `work` what the index visits."""
     def search(cell: pd.DataFrame) -> pd.DataFrame:
         cell = cell.sort_values(["customer_name", "ord", "id"], kind="stable", ignore_index=True)
         vectors, asks = _units(cell["embedding"]), cell["asks"].to_numpy()
         copies = pd.factorize(cell["copy_key"])[0]
         bounds = np.flatnonzero(np.r_[True, (cell["customer_name"] != cell["customer_name"].shift()).to_numpy()[1:], True])
-        out = [np.zeros((3, 0), np.int64)]
+        out, visits = [np.zeros((3, 0), np.int64)], []
         for low, high in zip(bounds[:-1], bounds[1:]):
             c = np.arange(low, high)
             q = c[asks[c]]
-            if len(q):
+            if block_rows and len(c) > block_rows:
+                found, score, blocks, visited = _indexed_best(vectors[c], asks[c], copies[c], k, earlier, block_rows)
+                row, slot = np.nonzero(found >= 0)
+                out.append(np.stack([c[row], c[found[row, slot]], score[row, slot]]))
+                visits.append((cell["customer_name"][low], blocks, blocks * len(q), visited))
+            elif len(q) and not work:
                 found, score = _best(vectors[q], vectors[c], q, c, copies[q], copies[c], k, earlier)
                 row, slot = np.nonzero(found >= 0)
                 out.append(np.stack([q[row], c[found[row, slot]], score[row, slot]]))
+        if work:
+            return pd.DataFrame(visits, columns=["customer_name", "blocks", "pairs", "visited"])
         return _hits(cell, *np.concatenate(out, axis=1))
 
     return search
 
 
+def _indexed_best(vectors, asks, copies, k, earlier, block_rows):
+    """The k best of each row that asks among the vectors of its customer, which lie in the order of ties: places, -1 where fewer exist, scores,
+    the number of blocks, and how many of them the rows were compared with.
+
+    Near centres are visited first, and before each visit a row's k-th best so far is its floor.
+    """
+    scale, n = 10 ** _DIGITS, len(vectors)
+    # Vectors that are not finite score least with all others, as in `_best`.
+    odd = np.isnan(vectors).any(axis=1)
+    sound = np.flatnonzero(~odd) if not odd.all() else np.arange(1)
+    chosen = sound[np.unique(np.linspace(0, len(sound) - 1, CENTRES).astype(np.int64))]
+    # Filled by parts: besides the vectors only this table is as long as the cell.
+    angles = np.empty((n, len(chosen)))
+    for start in range(0, n, 4 * _CHUNK):
+        angles[start:start + 4 * _CHUNK] = np.arccos(np.clip(vectors[start:start + 4 * _CHUNK] @ vectors[chosen].T, -1, 1))
+    angles[odd] = 0
+    nearest = angles.argmin(axis=1)
+    radius = np.array([angles[nearest == e, e].max(initial=0) for e in range(len(chosen))])
+    order = np.argsort(nearest, kind="stable")
+    edges = np.searchsorted(nearest[order], np.arange(len(chosen) + 1))
+    blocks = -(-np.diff(edges) // block_rows)
+    starts = np.concatenate([np.linspace(a, z, b + 1)[:-1].astype(np.int64) for a, z, b in zip(edges[:-1], edges[1:], blocks, strict=True)])
+    part = np.empty(n, np.int64)
+    part[order] = np.searchsorted(starts, np.arange(n), side="right")
+
+    score, found, visited = np.full((n, k), _NONE), np.full((n, k), -1), 0
+    for low, end in zip(starts, np.r_[starts[1:], n], strict=True):
+        c = order[low:end]
+        q = c[asks[c]]
+        if len(q):
+            at, own = _best(vectors[q], vectors[c], q, c, copies[q], copies[c], k, earlier)
+            at, own = np.where(at >= 0, c[at], -1), np.where(at >= 0, own, _NONE)
+            best = np.lexsort((at, -own), axis=1)
+            found[q], score[q] = np.take_along_axis(at, best, axis=1), np.take_along_axis(own, best, axis=1)
+    for centre in range(len(chosen)):
+        q = order[edges[centre]:edges[centre + 1]]
+        q = q[asks[q]]
+        for start in range(0, len(q), _CHUNK):
+            chunk = q[start:start + _CHUNK]
+            for e in np.argsort(np.where(np.arange(len(chosen)) == centre, -1, angles[chosen[centre]]), kind="stable"):
+                # A copy that is found may lose its tie to another one. Angles are computed to about 1e-8 near zero, similarities rounded to billionths.
+                reach = np.cos(np.maximum(0, angles[chunk, e] - radius[e] - 1e-6)) * scale + 10
+                some = chunk[reach >= np.minimum(score[chunk, -1], scale)]
+                visited += len(some) * int(blocks[e])
+                for a in range(edges[e], edges[e + 1], 4 * _CHUNK):
+                    if not len(some):
+                        break
+                    c = order[a:min(a + 4 * _CHUNK, edges[e + 1])]
+                    sims = vectors[some] @ vectors[c].T
+                    if odd.any():
+                        sims[np.isnan(sims)] = -1
+                    least = np.minimum(score[some, -1], scale) / scale - 2 / scale
+                    i, j = np.nonzero(sims >= least[:, None])
+                    mine, theirs = some[i], c[j]
+                    fits = part[mine] != part[theirs]
+                    if earlier:
+                        fits &= theirs < mine
+                    i, j, mine, theirs = i[fits], j[fits], mine[fits], theirs[fits]
+                    if len(i):
+                        exact = np.clip(np.rint(np.round(sims[i, j], _DIGITS) * scale).astype(np.int64), -scale, scale)
+                        _bettered(score, found, mine, np.where(copies[mine] == copies[theirs], 2 * scale, exact), theirs)
+    return found, score, int(blocks.sum()), visited
+
+
 def _bettered(score: np.ndarray, found: np.ndarray, row: np.ndarray, new_score: np.ndarray, new: np.ndarray) -> None:
     """Puts hits (row, new_score, new) among the best of their rows, in place: higher scores first, then smaller candidate places."""
     k, rows = score.shape[1], np.unique(row)
@@ -192,8 +267,9 @@ def _keyed(vectors: DataFrame, order: str, exclude: Sequence[str]) -> tuple[Data
         "id",
         "customer_name",
         F.col(order).cast("bigint").alias("ord"),
-        F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256).alias("copy_key"),
+        F.unhex(F.sha2(F.array_join(F.col("embedding").cast("array<string>"), ","), 256)).alias("copy_key"),
         (F.col("asks") if "asks" in vectors.columns else F.lit(True)).alias("asks"),
+        F.size("embedding").alias("dims"),
     )
     return usable.select("id", "embedding"), keyed
 
@@ -205,11 +281,12 @@ def _heads_of(keyed: DataFrame, k: int) -> DataFrame:
 
 
 def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str = "id",
-               block_rows: int = BLOCK_ROWS, exclude: Sequence[str] = ()) -> DataFrame:
+               block_rows: int = BLOCK_ROWS, exclude: Sequence[str] = (), cell_rows: int | None = None) -> DataFrame:
     """The k nearest vectors of the same customer: id, neighbour, similarity, rank.
 
     `vectors` has id, customer_name, embedding and the bigint column `order`. `mode='earlier'` compares a case
     only with earlier ones (J3); `mode='any'` with every other. A missing customer name never matches.
+    A cell holds `cell_rows` vectors, unless given as many as make `CELL_VALUES` numbers.
     """
     if mode not in ("any", "earlier"):
         raise ValueError(f"unknown mode: {mode}")
@@ -218,10 +295,11 @@ def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str
     heads = _heads_of(keyed, k)
     schema = _found_schema(vectors)
     earlier = mode == "earlier"
-    small, large = _placed(heads, usable, block_rows)
-    found = small.groupBy("cell").applyInPandas(_search_cell(k, earlier), schema)
+    cell_rows = cell_rows or _cell_rows(heads, block_rows)
+    small, large = _placed(heads, usable, block_rows, cell_rows)
+    found = small.groupBy("cell").applyInPandas(_search_cell(k, earlier, block_rows), schema)
     if large is not None:
-        found = found.unionByName(_search_large(large, k, earlier, block_rows, schema)[0])
+        found = found.unionByName(_search_large(large, k, earlier, block_rows, schema, cell_rows)[0])
     # A copy group has members beyond its first k+1 only if it has a (k+1)-th one.
     full = heads.where(F.col("place") == k + 1).select(*group)
     if not full.isEmpty():
@@ -233,21 +311,27 @@ def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str
     return ranked.select("id", "neighbour", similarity.alias("similarity"), "rank")
 
 
-def _placed(heads: DataFrame, embedded: DataFrame, block_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """Heads with their vectors: those of small customers with the cell they lie in, and those of large ones, None where there are none.
+def _cell_rows(heads: DataFrame, block_rows: int) -> int:
+    return max(block_rows, CELL_VALUES // max(heads.agg(F.max("dims")).first()[0] or 1, 1))
+
+
+def _placed(heads: DataFrame, embedded: DataFrame, block_rows: int, cell_rows: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """Heads with their vectors: those of customers that fit a cell with the cell they lie in, and those of larger ones, None where there are none.
 
-    A customer of which no row asks has no cell.
+    Customers up to `block_rows` share cells, others up to `cell_rows` have one each. A customer of which no row asks has no cell.
     """
     sizes = heads.groupBy("customer_name").agg(F.count("*").alias("_w"), F.count_if("asks").alias("_ask")).where(F.col("_ask") > 0)
     blocks = F.when(F.col("_w") > block_rows, F.ceil(F.col("_w") / block_rows)).otherwise(0).cast("int")
-    sizes = cut_lineage(sizes.select("customer_name", "_w", blocks.alias("_blocks")))
-    sized = attach_by_key(heads.drop("place"), sizes, "customer_name", "_w", "id").where(F.col("_blocks").isNotNull())
+    fits = F.col("_w") <= max(block_rows, cell_rows)
+    sizes = cut_lineage(sizes.select("customer_name", "_w", blocks.alias("_blocks"), fits.alias("_fits")))
+    sized = attach_by_key(heads.drop("place", "dims"), sizes, "customer_name", "_w", "id").where(F.col("_blocks").isNotNull())
     bundles = heads.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block_rows)).cast("int").alias("n")).scalar()
-    cell = F.pmod(F.xxhash64("customer_name"), bundles).alias("cell")
-    small = sized.where(F.col("_blocks") == 0).drop("_blocks").withColumn("cell", cell).join(embedded, "id")
-    if sizes.where(F.col("_blocks") > 0).isEmpty():
+    bundle = F.concat(F.lit("bundle"), F.pmod(F.xxhash64("customer_name"), bundles))
+    cell = F.when(F.col("_blocks") == 0, bundle).otherwise(F.concat(F.lit("customer\u0001"), "customer_name"))
+    small = sized.where("_fits").withColumn("cell", cell).drop("_blocks", "_fits").join(embedded, "id")
+    if sizes.where(~F.col("_fits")).isEmpty():
         return small, None
-    return small, cut_lineage(sized.where(F.col("_blocks") > 0).join(embedded, "id"))
+    return small, cut_lineage(sized.where(~F.col("_fits")).drop("_fits").join(embedded, "id"))
 
 
 def _index(large: DataFrame, block_rows: int, cell_rows: int) -> DataFrame:
@@ -330,7 +414,7 @@ def _beyond(keyed: DataFrame, heads: DataFrame, full: DataFrame, group: list[str
         .alias("_first")
     )
     weights = keyed.groupBy(*group).agg(F.count("*").alias("_w")).where(F.col("_w") > k + 1)
-    whole = F.concat_ws("\u0001", *group)
+    whole = F.concat_ws("\u0001", "customer_name", F.hex("copy_key"))
     per_group = first_k.join(weights, group).select(whole.alias("_group"), "_first", "_w")
     late = keyed.where("asks").select("id", whole.alias("_group")).join(heads.select("id"), "id", "left_anti")
     answers = attach_by_key(late, per_group, "_group", "_w", "id").select("id", F.inline("_first"))
@@ -356,17 +440,22 @@ def block_sizes(vectors: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return sizes.withColumn("cells", (blocks * (blocks + 1) / 2).cast("long"))
 
 
-def search_work(vectors: DataFrame, k: int = TOP_K, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search_work(vectors: DataFrame, k: int = TOP_K, block_rows: int = BLOCK_ROWS, cell_rows: int | None = None) -> DataFrame:
     """Per large customer: its blocks, and of all pairs of a row that asks and a block those that the search of `neighbours` visits."""
     embedded, keyed = _keyed(vectors, "id", ())
-    large = _placed(_heads_of(keyed, k), embedded, block_rows)[1]
+    heads = _heads_of(keyed, k)
+    cell_rows = cell_rows or _cell_rows(heads, block_rows)
+    small, large = _placed(heads, embedded, block_rows, cell_rows)
+    done = small.groupBy("cell").applyInPandas(_search_cell(k, False, block_rows, work=True), "customer_name string, blocks long, pairs long, visited long")
     if large is None:
-        return vectors.sparkSession.createDataFrame([], "customer_name string, blocks long, pairs long, visited long")
-    _, visits, rows = _search_large(large, k, False, block_rows, _found_schema(vectors))
+        return done
+    _, visits, rows = _search_large(large, k, False, block_rows, _found_schema(vectors), cell_rows)
     per_customer = rows.groupBy("customer_name").agg(F.count_distinct("block").alias("blocks"), F.count_if("asks").alias("asking"))
     visited = visits.withColumn("customer_name", F.split("cell", "\u0001")[0]).groupBy("customer_name").agg(F.sum("blocks").alias("visited"))
     pairs = (F.col("blocks") * F.col("asking")).alias("pairs")
-    return per_customer.join(visited, "customer_name", "left").select("customer_name", "blocks", pairs, F.coalesce("visited", F.lit(0)).alias("visited"))
+    return done.unionByName(
+        per_customer.join(visited, "customer_name", "left").select("customer_name", "blocks", pairs, F.coalesce("visited", F.lit(0)).alias("visited"))
+    )
 
 
 def text_vectors(df: DataFrame, text: str, dims: int = 384) -> DataFrame:

@@ -115,6 +115,49 @@ def test_a_row_moves_once_per_cell_however_small_the_blocks(spark):
     assert best == {i: [(o, round(s, 9)) for o, s in n] for i, n in brute(rows, 3, True).items() if n}
 
 
+def test_a_customer_that_fits_a_cell_is_searched_there(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, "hot", rng.normal(size=8).astype(np.float32).tolist(), i) for i in range(600)]
+    rows += [(600 + i, "cold", rng.normal(size=8).astype(np.float32).tolist(), i) for i in range(30)]
+    df = spark.createDataFrame(rows, "id bigint, customer_name string, embedding array<float>, filed bigint")
+    stored = []
+    monkeypatch.setattr(duplicates, "cut_lineage", lambda x, kept=duplicates.cut_lineage: stored.append(x.columns) or kept(x))
+    found = duplicates.neighbours(df, 3, "any", "filed", 50)
+    assert len(stored) == 2 and not any("embedding" in columns for columns in stored)
+    got: dict = {}
+    for r in found.orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["neighbour"], round(r["similarity"], 9)))
+    assert got == {i: [(o, round(s, 9)) for o, s in n] for i, n in brute(rows, 3, False).items()}
+
+
+@pytest.mark.parametrize("mode", ["any", "earlier"])
+@pytest.mark.parametrize("copies", [False, True])
+def test_customers_above_a_cell_match_brute_force(spark, mode, copies):
+    rows = fixture(copies)
+    df = spark.createDataFrame(rows, "id bigint, customer_name string, embedding array<float>, filed bigint")
+    got: dict = {}
+    for r in duplicates.neighbours(df, 3, mode, "filed", 7, cell_rows=20).orderBy("id", "rank").collect():
+        got.setdefault(r["id"], []).append((r["neighbour"], round(r["similarity"], 9)))
+    assert got == {i: [(o, round(s, 9)) for o, s in n] for i, n in brute(rows, 3, mode == "earlier").items() if n}
+
+
+def test_the_search_inside_a_cell_equals_one_comparison():
+    rng = np.random.default_rng(11)
+    rows = rng.normal(size=(5, 6))[rng.integers(0, 5, 400)] + rng.normal(scale=0.05, size=(400, 6))
+    rows[rng.integers(0, 400, 120)] = rows[3]
+    rows[17] = np.nan
+    copies = np.unique(rows, axis=0, return_inverse=True)[1].ravel()
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    places, asks = np.arange(400), np.arange(400) % 3 > 0
+    for earlier in (False, True):
+        for block_rows in (7, 60):
+            found, score, blocks, visited = duplicates._indexed_best(rows, asks, copies, 4, earlier, block_rows)
+            want, want_score = duplicates._best(rows[asks], rows, places[asks], places, copies[asks], copies, 4, earlier)
+            pairs = [sorted(zip(-s[f >= 0], f[f >= 0])) for f, s in zip(found[asks], score[asks])]
+            assert pairs == [sorted(zip(-s[f >= 0], f[f >= 0])) for f, s in zip(want, want_score)]
+            assert (found[~asks] == -1).all() and asks.sum() <= visited < blocks * asks.sum()
+
+
 def test_cells_of_a_hot_customer(spark):
     df = spark.range(100).select("id", F.when(F.col("id") < 70, "hot").otherwise("cold").alias("customer_name"))
     got = {r["customer_name"]: (r["vectors"], r["cells"]) for r in duplicates.block_sizes(df, 20).collect()}
