@@ -36,7 +36,7 @@ BLOCK_ROWS = 8192
 CENTRES = 64
 #: Rows that a visit moves to one task and, of as many, the cell that it visits there; a block may be far smaller.
 CELL_ROWS = 32768
-#: Numbers in the vectors of a cell that `neighbours` makes, 64 MB as doubles: 131,072 vectors of 64, 5,461 of 1,536.
+#: Numbers in the vectors of a customer that is one cell, 64 MB as doubles: 131,072 vectors of 64, 5,461 of 1,536.
 CELL_VALUES = 2 ** 23
 MAX_TASKS = 2000
 _DIGITS = 9
@@ -286,7 +286,7 @@ def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str
 
     `vectors` has id, customer_name, embedding and the bigint column `order`. `mode='earlier'` compares a case
     only with earlier ones (J3); `mode='any'` with every other. A missing customer name never matches.
-    A cell holds `cell_rows` vectors, unless given as many as make `CELL_VALUES` numbers.
+    A cell holds `cell_rows` vectors. Unless given, a customer's own holds as many as make `CELL_VALUES` numbers, one of several `CELL_ROWS`.
     """
     if mode not in ("any", "earlier"):
         raise ValueError(f"unknown mode: {mode}")
@@ -295,11 +295,10 @@ def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str
     heads = _heads_of(keyed, k)
     schema = _found_schema(vectors)
     earlier = mode == "earlier"
-    cell_rows = cell_rows or _cell_rows(heads, block_rows)
-    small, large = _placed(heads, usable, block_rows, cell_rows)
+    small, large = _placed(heads, usable, block_rows, cell_rows or _cell_rows(heads, block_rows))
     found = small.groupBy("cell").applyInPandas(_search_cell(k, earlier, block_rows), schema)
     if large is not None:
-        found = found.unionByName(_search_large(large, k, earlier, block_rows, schema, cell_rows)[0])
+        found = found.unionByName(_search_large(large, k, earlier, block_rows, schema, cell_rows or CELL_ROWS)[0])
     # A copy group has members beyond its first k+1 only if it has a (k+1)-th one.
     full = heads.where(F.col("place") == k + 1).select(*group)
     if not full.isEmpty():
@@ -312,6 +311,7 @@ def neighbours(vectors: DataFrame, k: int = TOP_K, mode: str = "any", order: str
 
 
 def _cell_rows(heads: DataFrame, block_rows: int) -> int:
+    """Vectors that a customer's own cell holds."""
     return max(block_rows, CELL_VALUES // max(heads.agg(F.max("dims")).first()[0] or 1, 1))
 
 
@@ -444,12 +444,11 @@ def search_work(vectors: DataFrame, k: int = TOP_K, block_rows: int = BLOCK_ROWS
     """Per large customer: its blocks, and of all pairs of a row that asks and a block those that the search of `neighbours` visits."""
     embedded, keyed = _keyed(vectors, "id", ())
     heads = _heads_of(keyed, k)
-    cell_rows = cell_rows or _cell_rows(heads, block_rows)
-    small, large = _placed(heads, embedded, block_rows, cell_rows)
+    small, large = _placed(heads, embedded, block_rows, cell_rows or _cell_rows(heads, block_rows))
     done = small.groupBy("cell").applyInPandas(_search_cell(k, False, block_rows, work=True), "customer_name string, blocks long, pairs long, visited long")
     if large is None:
         return done
-    _, visits, rows = _search_large(large, k, False, block_rows, _found_schema(vectors), cell_rows)
+    _, visits, rows = _search_large(large, k, False, block_rows, _found_schema(vectors), cell_rows or CELL_ROWS)
     per_customer = rows.groupBy("customer_name").agg(F.count_distinct("block").alias("blocks"), F.count_if("asks").alias("asking"))
     visited = visits.withColumn("customer_name", F.split("cell", "\u0001")[0]).groupBy("customer_name").agg(F.sum("blocks").alias("visited"))
     pairs = (F.col("blocks") * F.col("asking")).alias("pairs")
