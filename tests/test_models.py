@@ -241,3 +241,30 @@ def test_category_labels_are_not_worked_out_again_for_all_rows(spark):
     model = category.fit(rows, "weak labels", max_iter=3, max_labelled_rows=200)
     assert model.classes == ["Card", "UPI"] and model.balanced_accuracy == 1.0
     assert 4000 <= asked.value < 6000
+
+
+def test_category_model_is_fitted_on_every_row(spark, monkeypatch):
+    """Also on rows without an id and rows that share one; `smallest` would stand for a cut."""
+    topics = [("upi payment failed", "UPI"), ("home loan emi", "Loan")]
+    rows = [(None if i < 20 else i // 2, f"{topics[i % 2][0]} only{i // 4}", topics[i % 2][1]) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, complaint_text string, category string").repartition(3)
+    seen = []
+    prepared = category._prepared
+    monkeypatch.setattr(category, "_prepared", lambda termed, *a: seen.append(termed.count()) or prepared(termed, *a))
+    for name in ("few", "bounded"):
+        monkeypatch.setattr(category, name, lambda *a, **b: pytest.fail("rows are left out"))
+    model = category.fit(df, "labelled", max_iter=5)
+    # 190 named ids of each class, a fifth of which is held out.
+    assert seen == [400 - 2 * 38] and model.balanced_accuracy == 1.0 and "only1" in model.vocabulary
+
+
+@pytest.mark.parametrize("ids", ["id", "case when id % 3 > 0 then id % 50 end"])
+def test_places_in_ranges_are_those_of_one_sort(spark, ids):
+    rows = spark.range(3000).select("id", F.expr(ids).alias("key"), F.when(F.col("id") % 4 > 0, (F.col("id") % 4 > 1).cast("int")).alias("label")).repartition(7)
+    got = split.placed(rows, "label", "key", 5).collect()
+    order = {r["id"]: (r["label"], r["d"], r["key"] is not None, r["key"]) for r in rows.withColumn("d", split._digest("key", 5)).collect()}
+    for label in (None, 0, 1):
+        some = sorted((r for r in got if r["label"] == label), key=lambda r: r["_place"])
+        assert [r["_place"] for r in some] == list(range(1, len(some) + 1)) and {r["_size"] for r in some} == {len(some)}
+        keys = [order[r["id"]][1:] for r in some]
+        assert keys == sorted(keys)
