@@ -4,8 +4,9 @@ Both encodings of a text are partitions of the same bytes. A dictionary leads fr
 have, in order, cut both id lists into groups, and inside a group every pair of tokens whose byte ranges overlap is a link.
 
 Counts of id pairs are over the whole corpus and come back to every document, which would be a join of all links. Instead documents are gathered in
-chunks of about `CHUNK` distinct pairs: a chunk keeps one list of its pairs and its documents point into it. Only the lists are counted, summed over chunks, and
-looked up again, one row per chunk and pair, so a pair that stands in every text is as many rows as there are chunks. A chunk is written once and read twice; nothing
+chunks of about `CHUNK` pairs: a chunk keeps one list of its different pairs and its documents point into it. The lists, cut into `BUCKETS` parts by the B id, are
+counted part by part and go back to their chunks, so a pair that stands in every text is as many entries as there are chunks. Lists and documents are rows of
+bounded size and stay arrays on the way: no task holds more than a chunk or a part of the lists, and no pair is a row. The chunks are written once; nothing
 is tokenised again, and a lost executor costs a re-read.
 
 Defined cases: null and empty texts, and texts whose tokens do not join to the space and the text (unknown or normalised characters), have no tokens: zeros and an
@@ -30,17 +31,18 @@ from pyspark.sql import functions as F
 from casework.llm.common import stored, text_of
 
 CHUNK = 1 << 20
+BUCKETS = 1 << 11
 #: Fixed value: the split into words that byte-level vocabularies of this kind were made with.
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CHUNKS = (
-    "chunk long, pairs array<long>, totals array<long>, ids array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, "
-    "n_links array<long>, digests array<string>, sizes array<int>, places array<int>, counts array<int>"
+    "chunk long, bucket int, id long, n_a long, n_b long, n_groups long, n_links long, digest string, pairs array<long>, totals array<long>, "
+    "places array<int>, counts array<int>"
 )
+COUNTED = "chunk long, places array<int>, n array<long>, best array<boolean>"
 ALIGNED = "id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 _CHUNK_TYPE = pa.schema([
-    ("chunk", pa.int64()), ("pairs", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64())),
-    *[(n, pa.list_(pa.int64())) for n in ("n_a", "n_b", "n_groups", "n_links")], ("digests", pa.list_(pa.string())),
-    *[(n, pa.list_(pa.int32())) for n in ("sizes", "places", "counts")],
+    ("chunk", pa.int64()), ("bucket", pa.int32()), *[(n, pa.int64()) for n in ("id", "n_a", "n_b", "n_groups", "n_links")], ("digest", pa.string()),
+    ("pairs", pa.list_(pa.int64())), ("totals", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())),
 ])
 
 
@@ -131,7 +133,7 @@ class _Said(dict):
     """Text of a group of one token each, by its pair of ids; starts anew when it is full."""
 
     def __missing__(self, pair: int) -> str:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 17:
             self.clear()
         said = self[pair] = f"{pair >> 32}|{pair & 0xFFFFFFFF}"
         return said
@@ -169,39 +171,57 @@ def aligned(encoders: Encoders, text: str) -> tuple[int, int, int, int, str, np.
     return len(a), len(b), len(said), len(linked), digest, *np.unique(linked, return_counts=True)
 
 
-class _Places(dict):
-    """Numbers its keys in the order of their first use."""
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(values))
 
-    def __missing__(self, key: int) -> int:
-        place = self[key] = len(self)
-        return place
+
+def _flat(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def _sizes(column: pa.ChunkedArray) -> np.ndarray:
+    return np.diff(column.combine_chunks().offsets.to_numpy())
+
+
+def _bucket(pairs: np.ndarray) -> np.ndarray:
+    """The part of a pair's B id: neighbouring ids, which are often alike in use, are dealt apart."""
+    return ((pairs & 0xFFFFFFFF) % BUCKETS).astype(np.int32)
 
 
 class _Chunk:
     """Documents that share one list of pairs."""
 
     def __init__(self) -> None:
-        self.place = _Places()
         self.docs: list[tuple] = []
-        self.sizes: list[int] = []
-        self.places: list[np.ndarray] = []
+        self.pairs: list[np.ndarray] = []
         self.counts: list[np.ndarray] = []
         self.entries = 0
 
     def add(self, id_: int | None, facts: tuple, pairs: np.ndarray, counts: np.ndarray) -> None:
         self.docs.append((id_, *facts))
-        self.sizes.append(len(pairs))
-        self.places.append(np.fromiter(map(self.place.__getitem__, pairs.tolist()), np.int32, len(pairs)))
+        self.pairs.append(pairs)
         self.counts.append(counts.astype(np.int32))
         self.entries += len(pairs) + 1
 
-    def batch(self, number: int) -> pa.RecordBatch:
-        ids, n_a, n_b, n_groups, n_links, digests = zip(*self.docs, strict=True)
-        places, counts = np.concatenate(self.places), np.concatenate(self.counts)
-        totals = np.zeros(len(self.place), np.int64)
-        np.add.at(totals, places, counts)
-        row = [number, list(self.place), totals, ids, n_a, n_b, n_groups, n_links, digests, self.sizes, places, counts]
-        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _CHUNK_TYPE, strict=True)], schema=_CHUNK_TYPE)
+    def _batch(self, number: int, rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        given = {"chunk": pa.array(np.full(rows, number, np.int64))} | columns
+        return pa.RecordBatch.from_arrays([given.get(f.name, pa.nulls(rows, f.type)) for f in _CHUNK_TYPE], schema=_CHUNK_TYPE)
+
+    def batches(self, number: int) -> Iterator[pa.RecordBatch]:
+        """The documents, a row each, and the parts of the list."""
+        counts, sizes = np.concatenate(self.counts), np.array([len(p) for p in self.pairs])
+        pairs, places = np.unique(np.concatenate(self.pairs), return_inverse=True)
+        names = ("id", "n_a", "n_b", "n_groups", "n_links", "digest")
+        facts = {n: pa.array(x, _CHUNK_TYPE.field(n).type) for n, x in zip(names, zip(*self.docs, strict=True), strict=True)}
+        yield self._batch(number, len(sizes), **facts, places=_lists(places.astype(np.int32), sizes), counts=_lists(counts, sizes))
+        if len(pairs):
+            totals = np.zeros(len(pairs), np.int64)
+            np.add.at(totals, places, counts)
+            part = _bucket(pairs)
+            order = np.argsort(part, kind="stable").astype(np.int32)
+            buckets, sizes = np.unique(part, return_counts=True)
+            lists = {"pairs": pairs[order], "totals": totals[order], "places": order}
+            yield self._batch(number, len(buckets), bucket=pa.array(buckets), **{n: _lists(x, sizes) for n, x in lists.items()})
 
 
 def chunked(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
@@ -215,51 +235,47 @@ def chunked(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id",
                 *facts, pairs, counts = aligned(encoders, value.as_py())
                 open_.add(id_, tuple(facts), pairs, counts)
                 if open_.entries >= chunk:
-                    yield open_.batch(number)
+                    yield from open_.batches(number)
                     number, open_ = number + 1, _Chunk()
         if open_.docs:
-            yield open_.batch(number)
+            yield from open_.batches(number)
 
     return docs.select(F.col(key).cast("long").alias("id"), text_of(text).alias("text")).mapInArrow(run, CHUNKS)
 
 
-def pair_counts(chunks: DataFrame) -> DataFrame:
-    """pair, n, best: links of each id pair in the corpus, and whether no pair of its B id has more."""
-    listed = chunks.select(F.explode(F.arrays_zip("pairs", "totals")).alias("x")).select("x.pairs", "x.totals")
-    counts = stored(listed.groupBy(F.col("pairs").alias("pair")).agg(F.sum("totals").alias("n")), "pair-counts")
-    b = F.col("pair").bitwiseAND(F.lit(0xFFFFFFFF))
-    most = counts.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
-    return counts.withColumn("b", b).join(most, "b").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
-
-
-def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of each document over its pairs."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            cell = {n: batch.column(n)[row].values for n in batch.schema.names if n != "chunk"}
-            sizes = cell["sizes"].to_numpy()
-            number, best = np.empty(len(cell["place"]), np.int64), np.empty(len(cell["place"]), np.int64)
-            place = cell["place"].to_numpy()
-            number[place], best[place] = cell["n"].to_numpy(), cell["best"].to_numpy(zero_copy_only=False)
-            at, times = cell["places"].to_numpy(), cell["counts"].to_numpy().astype(np.int64)
-            edges = np.r_[0, np.cumsum(sizes)]
-            total, top = (np.r_[0, np.cumsum(x[at] * times)] for x in (number, best))
-            sums = [x[edges[1:]] - x[edges[:-1]] for x in (top, total)]
-            yield pa.RecordBatch.from_arrays(
-                [*[cell[n] for n in ("ids", "n_a", "n_b", "n_groups", "n_links")], *map(pa.array, sums), cell["digests"]],
-                [f.split()[0] for f in ALIGNED.split(", ")],
-            )
+def _counted(part: pa.Table) -> pa.Table:
+    """Of a part of all lists: links of each id pair in the corpus, and whether no pair of its B id has more. All pairs of a B id are in one part."""
+    pairs, own = np.unique(_flat(part["pairs"]), return_inverse=True)
+    n = np.zeros(len(pairs), np.int64)
+    np.add.at(n, own, _flat(part["totals"]))
+    ids, of = np.unique(pairs & 0xFFFFFFFF, return_inverse=True)
+    most = np.zeros(len(ids), np.int64)
+    np.maximum.at(most, of, n)
+    best, sizes = n == most[of], _sizes(part["pairs"])
+    columns = [part["chunk"].combine_chunks(), part["places"].combine_chunks(), _lists(n[own], sizes), _lists(best[own], sizes)]
+    return pa.Table.from_arrays(columns, [f.split()[0] for f in COUNTED.split(", ")])
+
+
+def _sums(lists: pa.Table, docs: pa.Table) -> pa.Table:
+    """Sums of each document of a chunk over its pairs."""
+    place = _flat(lists["places"])
+    number, best = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
+    number[place], best[place] = _flat(lists["n"]), _flat(lists["best"])
+    at, times = _flat(docs["places"]), _flat(docs["counts"]).astype(np.int64)
+    edges = np.r_[0, np.cumsum(_sizes(docs["places"]))]
+    sums = []
+    for x in (best, number):
+        total = np.r_[0, np.cumsum(x[at] * times)]
+        sums.append(pa.array(total[edges[1:]] - total[edges[:-1]]))
+    kept = [docs[n].combine_chunks() for n in ("id", "n_a", "n_b", "n_groups", "n_links", "digest")]
+    return pa.Table.from_arrays([*kept[:-1], *sums, kept[-1]], [f.split()[0] for f in ALIGNED.split(", ")])
 
 
 def align(docs: DataFrame, byte_level: str, pieces: str, key: str = "doc_id", text: str = "text", chunk: int = CHUNK) -> DataFrame:
     """id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256: a row per row. `byte_level` is a vocabulary of the tokenizers library whose
     tokens are spelled bytes (A), `pieces` a sentencepiece model with byte fallback (B)."""
     chunks = stored(chunked(docs, byte_level, pieces, key, text, chunk), "aligned")
-    counts = stored(pair_counts(chunks), "best-pairs")
-    listed = chunks.select("chunk", F.posexplode("pairs").alias("place", "pair")).join(counts, "pair")
-    gathered = listed.groupBy("chunk").agg(F.collect_list(F.struct("place", "n", "best")).alias("x"))
-    looked = gathered.select("chunk", *[F.col(f"x.{c}").alias(c) for c in ("place", "n", "best")])
-    told = chunks.drop("pairs", "totals").join(looked, "chunk", "left")
-    none = {"place": "array<int>", "n": "array<long>", "best": "array<boolean>"}
-    told = told.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in none.items()})
-    return told.mapInArrow(_sums, ALIGNED)
+    lists = chunks.where("bucket is not null").select("bucket", "chunk", "pairs", "totals", "places")
+    counted = lists.groupBy("bucket").applyInArrow(_counted, COUNTED)
+    told = chunks.where("bucket is null").drop("bucket", "pairs", "totals")
+    return counted.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_sums, ALIGNED)

@@ -139,3 +139,16 @@ def test_query(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
     got = queries.QUERIES["op12_token_alignment"](spark, SMALL).collect()
     assert in_order(got) == in_order(plain_rows([tuple(r) for r in docs]))
+
+
+def test_lists_and_documents_are_rows_of_bounded_size(spark, monkeypatch):
+    """A chunk is not one row with all its pairs: documents are rows, and the list is dealt by its B ids."""
+    draw = random.Random(9)
+    docs = [(i, "".join(chr(draw.randint(97, 122)) + draw.choice(["", " "]) for _ in range(400))) for i in range(40)]
+    rows = alignment.chunked(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), A, B).collect()
+    assert len({r["chunk"] for r in rows}) == 1 and sorted(r["id"] for r in rows if r["bucket"] is None) == list(range(40))
+    lists = [r for r in rows if r["bucket"] is not None]
+    pairs = [p for r in lists for p in r["pairs"]]
+    assert len(pairs) == len(set(pairs)) > 500 and sorted(p for r in lists for p in r["places"]) == list(range(len(pairs)))
+    assert all({(p & 0xFFFFFFFF) % alignment.BUCKETS for p in r["pairs"]} == {r["bucket"]} for r in lists)
+    assert max(len(r["pairs"]) for r in lists) < len(pairs) / 10
